@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm.common import table
 
@@ -22,3 +23,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.simhash import simhash_groups
 
     return simhash_groups(table(spark, sf_dir, "documents"), width=4, radius=4)
+
+
+@query
+def op6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.windows import drop_repeats
+
+    out = drop_repeats(table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
