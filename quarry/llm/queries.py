@@ -31,3 +31,10 @@ def op6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = drop_repeats(table(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
