@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import chat
 from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op9_chats"] = chat.SQL
