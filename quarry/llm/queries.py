@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat
+from quarry.llm import chat, licenses
 from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,15 @@ def op9_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_chats"] = chat.SQL
+
+
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.licenses import scan, tree_path
+
+    docs = table(spark, sf_dir, "documents")
+    path = tree_path(*(F.col(c) for c in ("doc_id", "source", "lang", "text")))
+    return scan(docs.select(path.alias("path"), "text"))
+
+
+ORACLES["op4_licenses"] = licenses.SQL
