@@ -61,3 +61,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_licenses"] = licenses.SQL
+
+
+@query
+def op2_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.tiling import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_tokens", "n_tiled", "coverage")
