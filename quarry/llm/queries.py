@@ -69,3 +69,10 @@ def op2_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_tokens", "n_tiled", "coverage")
+
+
+@query
+def op3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
