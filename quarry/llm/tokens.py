@@ -1,4 +1,4 @@
-"""Token ids of whole texts by a public word-level BPE, each distinct word encoded once.
+"""Token ids of whole texts by a public word-level BPE, a word encoded once while it is in use.
 
 The tokenizer drops white space and never joins pieces across it, so a text's ids are those
 of its words, one after the other. Workers keep the ids of the words they met lately.
@@ -6,10 +6,17 @@ of its words, one after the other. Workers keep the ids of the words they met la
 
 from __future__ import annotations
 
+import os
+import re
 from functools import cache
 
-#: Words whose ids a worker keeps; then it starts anew.
-KEPT_WORDS = 250_000
+import numpy as np
+
+#: A worker has one core; threads of its own would only add memory.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+#: Words whose ids a worker keeps in each of two generations.
+KEPT_WORDS = 150_000
 
 
 @cache
@@ -25,24 +32,64 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_known: dict[str, dict[bytes, bytes]] = {}
+#: Lower-case Latin letters, each one code point that normalization leaves alone, then marks other
+#: than apostrophes: a word that the tokenizer splits there and nowhere else.
+_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+#: How byte-level models write the UTF-8 bytes of those letters: printable bytes as themselves, the
+#: others as code points from 256 on, in order.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PRINTED)}
+_AS_BYTES = {c: "".join(chr(b) if b in _PRINTED else _OTHERS[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+
+
+class Memory:
+    """Ids of the words met lately: when the younger generation is full it becomes the older, and what
+    is still in use moves over again."""
+
+    def __init__(self) -> None:
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes], path: str) -> dict[bytes, bytes]:
+        if len(self.young) > KEPT_WORDS:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = [w for w in words if w not in young]
+        if old:
+            young.update((w, old[w]) for w in new if w in old)
+            new = [w for w in new if w not in old]
+        if not new:
+            return young
+        tokens = tokenizer(path)
+        one, rest = tokens.model.tokenize, []
+        for w in new:
+            if (plain := _PLAIN(word := w.decode().lower())) is None or len(word) > 1000:
+                rest.append(w)
+                continue
+            letters, marks = plain.groups()
+            ids = [t.id for t in one(letters if letters.isascii() else letters.translate(_AS_BYTES))]
+            if marks:
+                ids += [t.id for t in one(marks)]
+            young[w] = np.array(ids, "<u4").tobytes()
+        for k in range(0, len(rest), 4096):
+            part = rest[k : k + 4096]
+            found = tokens.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            young.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        return young
+
+
+_memory: dict[str, Memory] = {}
 
 
 def encode(docs: list[bytes], path: str) -> list[bytes]:
-    """The ids of each UTF-8 text, as little-endian unsigned 32-bit values."""
-    import numpy as np
+    """The ids of each UTF-8 text, as little-endian unsigned 32-bit values.
 
-    known = _known.setdefault(path, {})
-    if len(known) > KEPT_WORDS:
-        known.clear()
+    Words are split at bytes 9 to 13 and 32. The tokenizer lower-cases, so A-Z are lowered first
+    unless a text may hold the name of a special token, which counts only as written."""
+    memory = _memory.setdefault(path, Memory())
     out: list[bytes] = []
     for i in range(0, len(docs), 64):
-        split = [x.split() for x in docs[i : i + 64]]  # at bytes 9 to 13 and 32
-        new = list({w for words in split for w in words if w not in known})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            found = tokenizer(path).encode_batch([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, found, strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        split = [(x if b"<|" in x else x.lower()).split() for x in docs[i : i + 64]]
+        known = memory.learn(set().union(*split), path)
         out += [b"".join(map(known.__getitem__, words)) for words in split]
     return out
