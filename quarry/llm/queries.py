@@ -76,3 +76,10 @@ def op3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.langid import identify
 
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.audio import describe, store
+
+    return describe(store(table(spark, sf_dir, "documents")))
