@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,15 +42,32 @@ def drop_cut(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id bigint, text binary)`` of the documents; a null text is empty. Only these two
-    columns are read, so columns of any other name can't clash with an operator's own."""
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``(doc_id bigint, text binary[, row struct])`` of the documents; a null text is empty. Only
+    these columns are read, so columns of any other name can't clash with an operator's own;
+    those in ``carry`` travel in ``row``."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
+        *([F.struct(*carry).alias("row")] if carry else []),
     )
 
 
+def keep_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[list[bytes | None]], list[bool]]]) -> DataFrame:
+    """The rows whose text the judge keeps, all columns as they are, in one narrow pass. ``judge`` is
+    called once in each task."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps = judge()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                yield part.filter(pa.array(keeps(part.column(at).cast(pa.binary()).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def n_blocks(data: DataFrame, block_bytes: int) -> int:
     """How many blocks of about ``block_bytes`` the texts make; grows with the input."""
     total = data.agg(F.sum(F.octet_length("text"))).first()[0] or 0

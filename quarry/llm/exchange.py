@@ -51,43 +51,48 @@ def unpack_bits(blob: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(unsqueeze(blob), np.uint8))[:n].astype(bool)
 
 
-def body(ids: list[int | None], docs: list[bytes]) -> tuple[bytes, bytes]:
-    """A block's ids (with a null mark) and texts, as two blobs."""
-    marks = np.array([x is None for x in ids], np.uint8)
-    nums = np.array([x or 0 for x in ids], np.int64)
-    lens = np.fromiter(map(len, docs), np.int64, len(docs))
-    head = np.int64(len(ids)).tobytes() + marks.tobytes() + nums.tobytes() + lens.tobytes()
-    return squeeze(head), squeeze(b"".join(docs))
-
-
-def unbody(head: bytes, data: bytes) -> tuple[list[int | None], list[bytes]]:
-    raw = unsqueeze(head)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    marks, rest = np.frombuffer(raw, np.uint8, n, 8), np.frombuffer(raw, np.uint8, offset=8 + n).tobytes()
-    nums, lens = np.frombuffer(rest, np.int64, n), np.frombuffer(rest, np.int64, n, 8 * n)
-    ends = np.cumsum(lens).tolist()
-    text = unsqueeze(data)
-    docs = [text[e - k : e] for e, k in zip(ends, lens.tolist(), strict=True)]
-    return [None if m else int(x) for m, x in zip(marks, nums, strict=True)], docs
-
-
-def blocks_of(batches: Iterator[pa.RecordBatch], limit: int = BLOCK) -> Iterator[tuple[list[int | None], list[bytes]]]:
-    """Consecutive documents ``(doc_id, text)`` up to ``limit`` bytes."""
-    ids: list[int | None] = []
+def body(head: pa.RecordBatch, docs: list[bytes]) -> tuple[bytes, bytes]:
+    """A block's ids and carried columns, and its texts, as two blobs."""
+    sink = pa.BufferOutputStream()
+    whole = head.append_column("bytes", pa.array([len(x) for x in docs], pa.int64()))
+    with pa.ipc.new_stream(sink, whole.schema) as out:
+        out.write_batch(whole)
+    return squeeze(sink.getvalue().to_pybytes()), squeeze(b"".join(docs))
+
+
+def unbody(head: bytes, data: bytes) -> tuple[pa.RecordBatch, list[bytes]]:
+    batch = pa.ipc.open_stream(unsqueeze(head)).read_next_batch()
+    text, at, docs = unsqueeze(data), 0, []
+    for n in batch.column("bytes").to_pylist():
+        docs.append(text[at : at + n])
+        at += n
+    return batch.drop_columns(["bytes"]), docs
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Consecutive documents of up to ``limit`` bytes in all: the columns but ``text``, and the texts."""
+    held: list[pa.RecordBatch] = []
     docs: list[bytes] = []
-    held = 0
+    size = 0
+
+    def block() -> tuple[pa.RecordBatch, list[bytes]]:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0], docs
+
     for batch in batches:
-        names = batch.column(0).to_pylist()
-        for name, text in zip(names, batch.column(1), strict=True):
+        head, first = batch.drop_columns(["text"]), 0
+        for k, text in enumerate(batch.column("text")):
             data = text.as_py()
-            if docs and held + len(data) > limit:
-                yield ids, docs
-                ids, docs, held = [], [], 0
-            ids.append(name)
+            if docs and size + len(data) > limit:
+                if k > first:
+                    held.append(head.slice(first, k - first))
+                yield block()
+                held, docs, size, first = [], [], 0, k
             docs.append(data)
-            held += len(data)
+            size += len(data)
+        if batch.num_rows > first:
+            held.append(head.slice(first))
     if docs:
-        yield ids, docs
+        yield block()
 
 
 #: Rows between blocks and buckets. kind 0 is a block's body (data: texts, more: ids), kind 1 an

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold
+from quarry.llm.common import fold, keep_rows
 
 #: Longest context in bytes; training bytes of a language, about; languages at most.
 ORDER, SAMPLE_BYTES, LANGUAGES = 4, 1 << 20, 256
@@ -34,7 +34,7 @@ SLOTS = 1 << 18
 def grams(data: np.ndarray, n: int) -> np.ndarray:
     """The n-gram that ends at each byte, as a number: bytes before the text are zeros."""
     out = np.zeros(len(data), np.uint64)
-    for k in range(n):
+    for k in range(min(n, len(data))):
         out[k:] |= data[: len(data) - k].astype(np.uint64) << np.uint64(8 * k)
     return out
 
@@ -136,10 +136,7 @@ _scorers: dict[int, Scorer] = {}
 
 def _predict(shared, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
-        scorer = _scorers[key]
+        scorer = _scorer(shared, key)
         langs = scorer.model.langs
         for batch in batches:
             pred: list[str] = []
@@ -200,6 +197,24 @@ def train(rows: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES,
 _models = 0
 
 
+def _share(spark: SparkSession, model: Model) -> tuple:
+    """The model for the workers, and a name that no other has."""
+    global _models
+    _models += 1
+    return spark.sparkContext.broadcast(model), hash((_models, spark.sparkContext.applicationId))
+
+
+def _scorer(shared, key: int) -> Scorer:
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(shared.value)
+    return _scorers[key]
+
+
+def _default_fold(col: Column) -> Column:
+    return F.coalesce(fold(col, 4) == 2, F.lit(False))
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: Column | None = None, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score, bits_per_byte)``, a row per input row.
 
@@ -208,11 +223,28 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     that is null or has no letter, or when there is nothing to learn from; else the language of
     the shortest code, ties going to the first by name. ``score`` is its share of the probability of the
     text. Equal texts get equal results. Other columns are not read."""
-    global _models
-    spark = docs.sparkSession
-    held = F.coalesce(fold(F.col(id_col), 4) == 2, F.lit(False)) if held_out is None else held_out
+    held = _default_fold(F.col(id_col)) if held_out is None else held_out
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"), held.alias("held_out"))
     model = train(rows.where("not held_out"), order, sample_bytes)
-    _models += 1
-    shared = spark.sparkContext.broadcast(model)
-    return rows.select("doc_id", "text", "held_out").mapInArrow(_predict(shared, hash((_models, spark.sparkContext.applicationId))), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
+    shared = _share(docs.sparkSession, model)
+    return rows.select("doc_id", "text", "held_out").mapInArrow(_predict(*shared), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """The rows, with all their columns, whose text a learned language explains: texts that are null or
+    have no letter go, and those whose best language has a score under ``least``. Learns as
+    :func:`identify` does."""
+    rows = docs.where(~_default_fold(F.col(id_col))).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    shared = _share(docs.sparkSession, train(rows, order, sample_bytes))
+
+    def judge():
+        scorer = _scorer(*shared)
+
+        def keeps(texts: list[bytes | None]) -> list[bool]:
+            known = [bool(t) and bool(scorer.model.langs) and has_letter(t) for t in texts]
+            lengths = scorer.lengths([t if k else b"" for t, k in zip(texts, known, strict=True)])
+            return [k and float(1 / np.exp2(np.maximum(row.min() - row, -1000.0)).sum()) >= least for k, row in zip(known, lengths, strict=True)]
+
+        return keeps
+
+    return keep_rows(docs, text_col, judge)

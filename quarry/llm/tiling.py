@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import texts
+from quarry.llm.common import keep_rows, texts
 from quarry.llm.windows import Words, _power, mixed
 
 #: Tokens of a seed and of the shortest tile; share of an item that must be tiled; bytes of test
@@ -138,24 +138,30 @@ class Seeds:
         return out
 
 
+    def tiled(self, docs: list[bytes], coverage: float) -> Iterator[tuple[int, int | None, int, int, list[tuple[int, int, int]]]]:
+        """(document, item id, item's tokens, tiled tokens, tiles) of pairs with enough tiled."""
+        docs = [fold(x) for x in docs]
+        split: dict[int, list[bytes]] = {}
+        for d, k in sorted(self.candidates(docs)):
+            if d not in split:
+                split[d] = docs[d].split()
+            item_id, item = self.items[k]
+            ids = {w: x for x, w in enumerate(dict.fromkeys(item))}
+            text = np.array([ids.get(w, len(ids)) for w in split[d]])
+            tiles = tile(text, np.array([ids[w] for w in item]), min(self.least, len(item)))
+            n = sum(x for _, _, x in tiles)
+            if n >= coverage * len(item):
+                yield d, item_id, len(item), n, sorted(tiles)
+
+
 def _find(seeds: Seeds, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                names, docs = part.column(0).to_pylist(), [fold(x) for x in part.column(1).to_pylist()]
-                rows: list[dict] = []
-                split: dict[int, list[bytes]] = {}
-                for d, k in sorted(seeds.candidates(docs)):
-                    if d not in split:
-                        split[d] = docs[d].split()
-                    item_id, item = seeds.items[k]
-                    ids = {w: x for x, w in enumerate(dict.fromkeys(item))}
-                    text = np.array([ids.get(w, len(ids)) for w in split[d]])
-                    tiles = tile(text, np.array([ids[w] for w in item]), min(seeds.least, len(item)))
-                    tiled = sum(n for _, _, n in tiles)
-                    if tiled >= coverage * len(item):
-                        rows.append({"doc_id": names[d], "item_id": item_id, "n_tokens": len(item), "n_tiled": tiled, "coverage": tiled / len(item), "tiles": [{"at": t, "item_at": p, "length": n} for t, p, n in sorted(tiles)]})
+                names = part.column(0).to_pylist()
+                found = seeds.tiled(part.column(1).to_pylist(), coverage)
+                rows = [{"doc_id": names[d], "item_id": i, "n_tokens": m, "n_tiled": n, "coverage": n / m, "tiles": [{"at": t, "item_at": p, "length": x} for t, p, x in tiles]} for d, i, m, n, tiles in found]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _OUT)
 
@@ -173,15 +179,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``least`` tokens must occur as a whole. Items without tokens, null and empty texts give no
     pairs; repeated rows give a pair each; ids may be null. An empty table gives no rows. Other
     columns are not read."""
-    spark = docs.sparkSession
+    data, out = texts(docs, id_col, text_col), None
+    for seeds in _slices(benchmark, item_col, item_text_col, least, slice_bytes):
+        found = data.mapInArrow(_find(seeds, coverage), "doc_id long, item_id long, n_tokens long, n_tiled long, coverage double, tiles array<struct<at: long, item_at: long, length: long>>")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _slices(benchmark: DataFrame, item_col: str, item_text_col: str, least: int, slice_bytes: int) -> Iterator[Seeds]:
+    """The benchmark's items in slices of about ``slice_bytes``, however many there are."""
     items = texts(benchmark, item_col, item_text_col)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-int(total) // slice_bytes))
-    data, out = texts(docs, id_col, text_col), None
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)) == k)
-        # about slice_bytes of items, whatever the size of either table
-        seeds = Seeds([(r[0], bytes(r[1])) for r in part.collect()], least)
-        found = data.mapInArrow(_find(seeds, coverage), "doc_id long, item_id long, n_tokens long, n_tiled long, coverage double, tiles array<struct<at: long, item_at: long, length: long>>")
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield Seeds([(r[0], bytes(r[1])) for r in part.collect()], least)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE, slice_bytes: int = SLICE) -> DataFrame:
+    """The rows, with all their columns, that hold no test item to ``coverage`` or more. Texts are judged
+    as by :func:`contaminated`; null and empty ones stay."""
+    for seeds in _slices(benchmark, item_col, item_text_col, least, slice_bytes):
+
+        def judge(seeds: Seeds = seeds):
+            def keeps(texts: list[bytes | None]) -> list[bool]:
+                hit = {d for d, *_ in seeds.tiled([t or b"" for t in texts], coverage)}
+                return [k not in hit for k in range(len(texts))]
+
+            return keeps
+
+        docs = keep_rows(docs, text_col, judge)
+    return docs

@@ -110,7 +110,7 @@ def _sketch(window: int, width: int, depth: int, buckets: int):
         for ids, docs in X.blocks_of(batches):
             block = X.fresh_block()
             head, data = X.body(ids, docs)
-            out = [(0, block, -1, len(ids), data, head)]
+            out = [(0, block, -1, len(docs), data, head)]
             for row, cells in enumerate(_cells(Words(docs, window), width, depth)):
                 if not len(cells):
                     continue
@@ -183,7 +183,7 @@ def judge_exact(group: list[dict]) -> list[tuple]:
     return [(1, r["block"], r["bucket"], r["n"], X.pack_bits(again[i:j]), b"") for r, i, j in zip(group, cuts[:-1], cuts[1:], strict=True)]
 
 
-def _remove(window: int):
+def _remove(window: int, verbatim: bool):
     def work(answers: list[dict], body: dict) -> Iterator[pa.RecordBatch]:
         ids, docs = X.unbody(body["more"], body["data"])
         words = Words(docs, window)
@@ -198,7 +198,7 @@ def _remove(window: int):
             mask = gone[i:j]
             removed.append(int(mask.sum()))
             if not removed[-1]:
-                texts.append(joined)
+                texts.append(docs[k] if verbatim else joined)
                 spans.append([])
                 continue
             edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
@@ -207,14 +207,14 @@ def _remove(window: int):
             kept = zip(np.concatenate([[0], b]).tolist(), np.concatenate([a, [j - i]]).tolist(), strict=True)
             texts.append(b" ".join(words.buffer[words.starts[i + x] : words.ends[i + y - 1]] for x, y in kept if y > x))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())])))],
-            ["doc_id", "kept", "n_words", "n_removed", "removed"],
+            [*ids.columns, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())])))],
+            [*ids.schema.names, "kept", "n_words", "n_removed", "removed"],
         )
 
     return work
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, depth: int = DEPTH, cells: int = CELLS) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, depth: int = DEPTH, cells: int = CELLS, carry: list[str] | None = None, verbatim: bool = False) -> DataFrame:
     """Remove each word that a repeated window of ``window`` words covers.
 
     Returns ``(doc_id, kept string, n_words, n_removed, removed array<struct<first, after>>)``, a row
@@ -222,13 +222,16 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs of bytes other than 9 to 13 and 32, unchanged. A window repeats if its word sequence
     starts anywhere else, in the same document or another; windows are judged on the input.
     Null and empty texts have no words; repeated rows (also of one id) repeat each other's
-    windows; null ids are kept as they are. Other columns are not read."""
+    windows; null ids are kept as they are. Other columns are not read; those in ``carry`` come
+    along in a struct ``row``. With ``verbatim`` a text that loses no word is given as it was,
+    white space and all."""
     spark = docs.sparkSession
-    data = texts(docs, id_col, text_col)
+    data = texts(docs, id_col, text_col, carry)
     total = int(data.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     windows = max(1, total // 6)  # about; only sizes depend on it
     width = cells * max(windows, 1 << 16)
     buckets = max(1, -(-windows // BUCKET_KEYS))
+    row = f"row {data.schema['row'].dataType.simpleString()}, " if carry else ""
     first = data.mapInArrow(_sketch(window, width, depth, buckets), X.ROWS)
     path = f"{shared_dir(spark)}/windows-{X.fresh_block():x}"
     first.write.partitionBy("kind").option("compression", "uncompressed").parquet(path)
@@ -243,7 +246,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     drop_cut(estimates)
     marks = cut(X.answered(found.where("kind = 1"), judge_exact))
     answers = marks.unionByName(found.where("kind = 2"))
-    return X.per_block(bodies, answers, _remove(window), "doc_id long, kept string, n_words long, n_removed long, removed array<struct<first: long, after: long>>")
+    return X.per_block(bodies, answers, _remove(window, verbatim), f"doc_id long, {row}kept string, n_words long, n_removed long, removed array<struct<first: long, after: long>>")
 
 
 def _exists(spark, path: str) -> bool:
