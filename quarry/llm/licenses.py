@@ -10,11 +10,11 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.common import cut
+
 #: Identifiers and the usual short notices of public licences.
 TEMPLATES = (
     ("AGPL-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license version 3"),
@@ -51,7 +51,7 @@ def _terms(col: Column) -> Column:
 def _weights(terms: DataFrame, keys: list[str], idf: DataFrame) -> DataFrame:
     """TF-IDF weights of terms, each text's vector scaled to length one."""
     tf = terms.groupBy(*keys, "term").count()
-    w = tf.join(idf, "term", "left").select(*keys, "term", (F.col("count") * F.coalesce(F.col("idf"), F.col("top"))).alias("w"))
+    w = tf.join(idf, "term").select(*keys, "term", (F.col("count") * F.col("idf")).alias("w"))
     norm = w.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, keys).select(*keys, "term", (F.col("w") / F.col("norm")).alias("w"))
 
@@ -67,14 +67,14 @@ def score_notices(spark: SparkSession, found: DataFrame, templates: tuple[tuple[
     """``(notice, license, cosine)``: the best template of each distinct notice of at least one shared
     term. A term's weight is its count times ``1 + ln((n + 1) / (df + 1))`` over the n distinct
     (file, notice) rows; templates use the same weights."""
-    n = found.agg(F.count("*").alias("n"))
+    n = found.count()
     uses = found.groupBy("notice").agg(F.count("*").alias("uses"))
     terms = uses.select("notice", "uses", F.explode(_terms(F.col("notice"))).alias("term"))
     marks = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template int, license string, t string")
     marked = marks.select("template", "license", F.explode(_terms(F.col("t"))).alias("term"))
     df = terms.distinct().groupBy("term").agg(F.sum("uses").alias("df"))
     known = marked.select("term").distinct().unionByName(df.select("term")).distinct().join(df, "term", "left")
-    idf = known.crossJoin(F.broadcast(n)).select("term", (1 + F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1))).alias("idf"), (1 + F.log(F.col("n") + 1.0)).alias("top"))
+    idf = known.select("term", (1 + F.log(F.lit(n + 1) / (F.coalesce("df", F.lit(0)) + 1))).alias("idf"))
     # templates are a fixed, small table: the only side that is broadcast
     t = _weights(marked, ["template", "license"], idf).select("template", "license", "term", F.col("w").alias("tw"))
     w = _weights(terms, ["notice"], idf)
@@ -100,9 +100,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     columns are not read."""
     spark = files.sparkSession
     rows = files.where(F.col(path_col).isNotNull()).select(F.col(path_col).cast("string").alias("file"), F.col(text_col).cast("string").alias("text"))
-    found = notices(rows).distinct()
+    found = cut(notices(rows).distinct())
     scored = score_notices(spark, found, templates).where(F.col("cosine") >= threshold)
-    best = F.max(F.struct("cosine", F.col("license"))).alias("b")
     own = found.join(scored, "notice").groupBy("file").agg(F.min_by("license", F.struct(F.negative("cosine"), "license")).alias("license"), F.max("cosine").alias("cosine"))
     paths = rows.select("file").distinct()
     known = paths.join(own, "file", "left").withColumn("dir", F.array_join(F.slice(F.split("file", "/"), F.lit(1), F.size(F.split("file", "/")) - 1), "/"))
