@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -35,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps whose results are stored: nothing refers to them now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete a table made by :func:`cut` once nothing reads it any more."""
     spark = df.sparkSession

@@ -83,3 +83,11 @@ def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.audio import describe, store
 
     return describe(store(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.suffixes import drop_substrings
+
+    out = drop_substrings(table(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
