@@ -18,8 +18,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import shared_dir
+
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 _zip, _unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
@@ -124,6 +126,28 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]
         yield held
 
 
+def stored(found: DataFrame) -> Callable[[int], DataFrame]:
+    """Write rows to the shared folder, apart by kind, and read one kind back: so each kind is read by
+    those who need it, and can be deleted alone."""
+    spark = found.sparkSession
+    path = f"{shared_dir(spark)}/kinds-{fresh_block():x}"
+    found.write.partitionBy("kind").option("compression", "uncompressed").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    schema, names = found.schema, found.columns
+
+    def kind(k: int) -> DataFrame:
+        own = f"{path}/kind={k}"
+        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(own)):
+            out = spark.read.schema(schema).option("basePath", path).parquet(own).select(*names)
+        else:
+            out = spark.createDataFrame([], schema)
+        out._cut_path = own
+        return out
+
+    return kind
+
+
 def answered(asks: DataFrame, judge: Callable[[list[dict]], list[tuple]]) -> DataFrame:
     """Bring the asks of each bucket together and return what ``judge`` makes of them."""
 

@@ -91,3 +91,10 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = drop_substrings(table(spark, sf_dir, "documents"), length=50)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.mixing import score
+
+    return score(table(spark, sf_dir, "documents"))

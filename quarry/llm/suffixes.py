@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import exchange as X
-from quarry.llm.common import cut, drop_cut, settle, shared_dir, texts
-from quarry.llm.windows import _bits, _exists, _power, mixed
+from quarry.llm.common import cut, drop_cut, settle, texts
+from quarry.llm.exchange import stored
+from quarry.llm.windows import _bits, _power, mixed
 
 #: Bytes of a window and of a gram; cells for each segment; bytes of text to a bucket; different
 #: segments of one key that are sorted together.
-LENGTH, GRAM, CELLS, BUCKET_BYTES, MOST = 50, 20, 16, 8 << 20, 4096
+LENGTH, GRAM, CELLS, BUCKET_BYTES, MOST = 50, 20, 64, 8 << 20, 4096
 #: Stands for a null id: after all others.
 LAST = (1 << 63) - 1
 
@@ -222,17 +223,13 @@ def _ids(head: pa.RecordBatch) -> np.ndarray:
     return np.array([LAST if x is None else x for x in head.column("doc_id").to_pylist()], np.int64)
 
 
-def _meet(block: int, key, digest, doc_id, doc, first, after, raw: bytes, buckets: int, kind: int) -> list[tuple]:
-    """A block's segments as asks (key, digest, smallest id), where each is (``kind`` + 1), and the
-    bytes of the distinct ones (``kind`` + 2)."""
+def _meet(block: int, key, digest, doc_id, doc, first, after, buckets: int, kind: int) -> list[tuple]:
+    """A block's segments as asks (key, digest, smallest id) and where each is (``kind`` + 1)."""
     pick, where = _distinct(key, digest, doc_id)
     keys = key[pick]
     asks = [(kind, block, k, j - i, X.squeeze(keys[i:j].tobytes() + digest[pick[i:j]].tobytes() + doc_id[pick[i:j]].tobytes()), b"") for k, i, j in _split(_bucket(keys, buckets), buckets)]
-    spots = np.stack([doc, first, after, where]).astype(np.int64)
-    lens = (after - first)[pick]
-    data = b"".join(raw[i:j] for i, j in zip(first[pick].tolist(), after[pick].tolist(), strict=True))
-    place = np.concatenate([[len(pick)], keys.view(np.int64), doc_id[pick], lens]).astype(np.int64)
-    return [*asks, (kind + 1, block, -2, len(key), X.squeeze(spots.tobytes()), b""), (kind + 2, block, -1, len(pick), X.squeeze(data), X.squeeze(place.tobytes()))]
+    spots = np.stack([np.diff(doc, prepend=0), np.diff(first, prepend=0), after - first, where]).astype(np.int32)
+    return [*asks, (kind + 1, block, -2, len(key), X.squeeze(spots.tobytes()), b"")]
 
 
 def _met(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,7 +247,7 @@ def _segments(length: int, gram: int, width: int, buckets: int):
         if not len(key):
             return
         raw = s.raw.tobytes()
-        yield X.rows(_meet(body["block"], key, _digests(raw, first, after), _ids(head)[doc], doc, first, after, raw, buckets, 1))
+        yield X.rows(_meet(body["block"], key, _digests(raw, first, after), _ids(head)[doc], doc, first, after, buckets, 1))
 
     return work
 
@@ -280,79 +277,119 @@ def _answers(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(least), np.concatenate(state)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int8))
 
 
-def _contents(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """Keys, ids and end places of the distinct segments of a block, and their bytes."""
-    place = np.frombuffer(X.unsqueeze(row["more"]), np.int64)
-    n = int(place[0])
-    return place[1 : n + 1].view(np.uint64), place[n + 1 : 2 * n + 1], np.cumsum(place[2 * n + 1 :]), X.unsqueeze(row["data"])
+def _join(raw: bytes, first: np.ndarray, after: np.ndarray) -> bytes:
+    return b"".join([raw[a:b] for a, b in zip(first.tolist(), after.tolist(), strict=True)])
 
 
-def _different(length: int, buckets: int):
+def _runs(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the counts."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _different(length: int, gram: int, buckets: int):
     """Of segments whose keys have others: their bytes go to be sorted (kind 4); those of crowded keys
-    are asked about again window by window (kinds 5 to 7)."""
+    are asked about again window by window (kinds 5 and 6)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in X.grouped(batches, "block"):
-            data = next(r for r in group if r["kind"] == 3)
-            _, state = _answers([r for r in group if r["kind"] == 1])
-            key, ids, ends, raw = _contents(data)
-            starts = np.concatenate([[0], ends[:-1]])
-            own = np.nonzero(state == 1)[0]
-            out = []
-            for k, i, j in _split(_bucket(key[own], buckets), buckets):
-                part = own[i:j]
-                text = b"".join(raw[a:b] for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True))
-                place = np.concatenate([key[part].view(np.int64), ids[part], (ends - starts)[part]])
-                out.append((4, data["block"], k, j - i, X.squeeze(text), X.squeeze(place.tobytes())))
-            crowded = np.nonzero(state == 2)[0]
-            if len(crowded):
-                n = (ends - starts)[crowded] - length + 1
-                first = np.repeat(starts[crowded], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                seg, after = np.repeat(crowded, n), first + length
-                digest = _digests(raw, first, after)
-                out += _meet(data["block"], digest[:, 0] ^ digest[:, 1], digest, ids[seg], seg, first - starts[seg], after - starts[seg], b"", buckets, 5)[:-1]
-            if out:
-                yield X.rows(out)
+    def work(answers: list[dict], body: dict) -> Iterator[pa.RecordBatch]:
+        least, state = _answers([r for r in answers if r["kind"] == 1])
+        if not state.any():
+            return
+        _, docs = X.unbody(body["more"], body["data"])
+        raw = b"".join(docs)
+        _, first, after, where = _spots(next(r for r in answers if r["kind"] == 2))
+        begin, end = np.zeros(len(state), np.int64), np.zeros(len(state), np.int64)
+        begin[where], end[where] = first, after  # any place of each distinct segment
+        out = []
+        own = np.nonzero(state == 1)[0]
+        if len(own):
+            text, size = _join(raw, begin[own], end[own]), (end - begin)[own]
+            h = gram_hashes(np.frombuffer(text, np.uint8), gram)
+            inner = size - gram + 1
+            start = np.cumsum(size) - size
+            flat = h[np.repeat(start, inner) + _runs(inner)]
+            key = np.minimum.reduceat(flat, np.cumsum(inner) - inner)  # the smallest is a segment's key
+            stop = np.cumsum(size)
+            for k, i, j in _split(_bucket(key, buckets), buckets):
+                place = np.concatenate([key[i:j].view(np.int64), least[own[i:j]], size[i:j]])
+                out.append((4, body["block"], k, j - i, X.squeeze(text[start[i] : stop[j - 1]]), X.squeeze(place.tobytes())))
+        crowded = np.nonzero(state == 2)[0]
+        if len(crowded):
+            n = (end - begin)[crowded] - length + 1
+            at = np.repeat(begin[crowded], n) + _runs(n)
+            digest = _digests(raw, at, at + length)
+            out += _meet(body["block"], digest[:, 0] ^ digest[:, 1], digest, np.repeat(least[crowded], n), np.zeros(len(at), np.int64), at, at + length, buckets, 5)
+        yield X.rows(out)
 
-    return run
+    return work
 
 
 def _sort(length: int):
     def judge(group: list[dict]) -> list[tuple]:
-        """The windows' smallest ids for segments that came with their bytes."""
-        key, ids, seg, cuts = [], [], [], [0]
+        """The windows' smallest ids for segments that came with their bytes. A window whose hash is alone
+        among the different segments is alone; of the rest, what is left of a key's segments is
+        sorted if it differs."""
+        keys, ids, sizes, raw, cuts = [], [], [], [], [0]
         for r in group:
             place, n = np.frombuffer(X.unsqueeze(r["more"]), np.int64), r["n"]
-            ends = np.cumsum(place[2 * n :]).tolist()
-            raw = X.unsqueeze(r["data"])
-            seg += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            key.append(place[:n])
+            keys.append(place[:n])
             ids.append(place[n : 2 * n])
+            sizes.append(place[2 * n :])
+            raw.append(X.unsqueeze(r["data"]))
             cuts.append(cuts[-1] + n)
-        keys, low = np.concatenate(key), np.concatenate(ids)
-        order = np.argsort(keys, kind="stable")
-        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(seg)
-        for own in np.split(order, np.nonzero(np.diff(keys[order]))[0] + 1):
-            least: dict[bytes, int] = {}
-            for i in own.tolist():
-                least[seg[i]] = min(least.get(seg[i], LAST), int(low[i]))
-            names = sorted(least)
-            answer = dict(zip(names, least_ids(names, [least[x] for x in names], length), strict=True))
-            for i in own.tolist():
-                found[i] = answer[seg[i]]
-        return [(4, r["block"], r["bucket"], r["n"], X.squeeze(np.concatenate(found[i:j]).tobytes()), b"") for r, i, j in zip(group, cuts[:-1], cuts[1:], strict=True)]
+        key, low, size, text = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes), b"".join(raw)
+        start = np.cumsum(size) - size
+        seen: dict[tuple[int, bytes], int] = {}
+        same = np.array([seen.setdefault((k, text[a : a + n]), len(seen)) for k, a, n in zip(key.tolist(), start.tolist(), size.tolist(), strict=True)])
+        _, one = np.unique(same, return_index=True)  # a representative of each different segment
+        least = np.full(len(one), LAST)
+        np.minimum.at(least, same, low)
+        wins = size[one] - length + 1
+        of = np.repeat(np.arange(len(one)), wins)
+        at = start[one][of] + _runs(wins)
+        h = gram_hashes(np.frombuffer(text, np.uint8), length)[at]
+        order = np.argsort(h)
+        twin = h[order][1:] == h[order][:-1]
+        again = np.zeros(len(h), bool)
+        again[order[1:][twin]] = True
+        again[order[:-1][twin]] = True
+        answer = least[of]
+        # runs of windows that may be elsewhere too
+        edge = again.copy()
+        edge[1:] &= ~again[:-1] | (of[1:] != of[:-1])
+        begin = np.nonzero(edge)[0]
+        stop = np.nonzero(again & np.append(~again[1:] | (of[1:] != of[:-1]), True))[0] + 1
+        by_key: dict[int, dict[bytes, list[int]]] = {}
+        own_key = key[one][of[begin]].tolist()
+        for x, (k, a, n) in enumerate(zip(own_key, at[begin].tolist(), (stop - begin).tolist(), strict=True)):
+            by_key.setdefault(k, {}).setdefault(text[a : a + n + length - 1], []).append(x)
+        for parts in by_key.values():
+            names = sorted(parts)
+            lows = [min(int(least[of[begin[x]]]) for x in parts[t]) for t in names]
+            found = least_ids(names, lows, length) if len(names) > 1 else [np.full(len(names[0]) - length + 1, lows[0])]
+            for t, value in zip(names, found, strict=True):
+                for x in parts[t]:
+                    answer[begin[x] : stop[x]] = value
+        ends = np.cumsum(wins)
+        out = []
+        for r, i, j in zip(group, cuts[:-1], cuts[1:], strict=True):
+            n = wins[same[i:j]]
+            out.append((4, r["block"], r["bucket"], r["n"], X.squeeze(answer[np.repeat((ends - wins)[same[i:j]], n) + _runs(n)].tobytes()), b""))
+        return out
 
     return judge
 
 
-def _spots(row: dict) -> np.ndarray:
-    return np.frombuffer(X.unsqueeze(row["data"]), np.int64).reshape(4, -1)
+def _spots(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first byte, last byte + 1 and number among the distinct of a block's segments."""
+    doc, first, size, where = np.frombuffer(X.unsqueeze(row["data"]), np.int32).reshape(4, -1).astype(np.int64)
+    first = np.cumsum(first)
+    return np.cumsum(doc), first, first + size, where
 
 
 def _remove(length: int):
     def work(answers: list[dict], body: dict) -> Iterator[pa.RecordBatch]:
         head, docs = X.unbody(body["more"], body["data"])
-        begin = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in docs])]).astype(np.int64)
         edge = np.zeros(begin[-1] + 1, np.int64)
         of_kind: dict[int, list[dict]] = {k: [r for r in answers if r["kind"] == k] for k in (1, 2, 4, 5, 6)}
         if of_kind[2]:
@@ -362,24 +399,23 @@ def _remove(length: int):
             gone = (state[where] == 0) & (least[where] < own)
             np.add.at(edge, first[gone], 1)
             np.add.at(edge, after[gone], -1)
-            wins = (after - first) - length + 1
-            # windows of segments that were sorted, or asked about one by one
-            table: dict[int, np.ndarray] = {}
-            sizes = np.zeros(len(state), np.int64)
-            sizes[where] = wins
-            for kind, value in ((4, 1), (6, 2)):
+            wins = np.zeros(len(state), np.int64)
+            wins[where] = after - first - length + 1
+            for kind, value in ((4, 1), (6, 2)):  # sorted, or asked about one by one
                 parts = np.nonzero(state == value)[0]
                 if not len(parts):
                     continue
-                ends = np.cumsum(sizes[parts])
                 if kind == 4:
                     flat = np.concatenate([np.frombuffer(X.unsqueeze(r["data"]), np.int64) for r in of_kind[4]])
                 else:
-                    low, _ = _answers(of_kind[5])
-                    flat = low[_spots(of_kind[6][0])[3]]
-                table |= {int(p): flat[e - sizes[p] : e] for p, e in zip(parts, ends.tolist(), strict=True)}
-            for x in np.nonzero(state[where] > 0)[0].tolist():
-                at = np.nonzero(table[int(where[x])] < own[x])[0] + first[x]
+                    flat = _answers(of_kind[5])[0][_spots(of_kind[6][0])[3]]
+                offset = np.zeros(len(state), np.int64)
+                offset[parts] = np.cumsum(wins[parts]) - wins[parts]
+                mine = np.nonzero(state[where] == value)[0]
+                n = wins[where[mine]]
+                step = _runs(n)
+                hit = flat[np.repeat(offset[where[mine]], n) + step] < np.repeat(own[mine], n)
+                at = (np.repeat(first[mine], n) + step)[hit]
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + length, -1)
         cover = np.cumsum(edge[:-1]) > 0
@@ -418,34 +454,21 @@ def drop_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     width = CELLS * max(total // per_segment, 1 << 16)
     buckets = max(1, -(-total // BUCKET_BYTES))
     cells = max(1, buckets // 4)
-    path = f"{shared_dir(spark)}/substrings-{X.fresh_block():x}"
-    first = data.mapInArrow(_ask_cells(length, gram, width, cells), X.ROWS)
-    first.write.partitionBy("kind").option("compression", "uncompressed").parquet(path)
-    names = first.columns
-
-    def stored(kind: int) -> DataFrame:
-        own = f"{path}/kind={kind}"
-        if not _exists(spark, own):
-            return spark.createDataFrame([], first.schema)
-        out = spark.read.schema(first.schema).option("basePath", path).parquet(own).select(*names)
-        out._cut_path = own
-        return out
-
-    bodies, asks = stored(0), stored(1)
-    counted = cut(X.answered(asks, X.judge_repeats))
-    if hasattr(asks, "_cut_path"):
-        drop_cut(asks)
+    first = stored(data.mapInArrow(_ask_cells(length, gram, width, cells), X.ROWS))
+    bodies = first(0)
+    counted = cut(X.answered(first(1), X.judge_repeats))
+    drop_cut(first(1))
     settle(spark)
-    found = cut(X.per_block(bodies, counted, _segments(length, gram, width, buckets), X.ROWS))
+    second = stored(X.per_block(bodies, counted, _segments(length, gram, width, buckets), X.ROWS))
     drop_cut(counted)
     settle(spark)
-    first_answers = cut(X.answered(found.where("kind = 1"), judge_segments))
+    least = cut(X.answered(second(1), judge_segments))
+    drop_cut(second(1))
     settle(spark)
-    both = found.where("kind = 3").unionByName(first_answers).repartition("block").sortWithinPartitions("block", "kind", "bucket")
-    more = cut(both.mapInArrow(_different(length, buckets), X.ROWS))
+    known = least.unionByName(second(2))
+    third = stored(X.per_block(bodies, known, _different(length, gram, buckets), X.ROWS))
     settle(spark)
-    sorted_ = X.answered(more.where("kind = 4"), _sort(length))
-    single = X.answered(more.where("kind = 5"), judge_segments)
-    answers = first_answers.unionByName(found.where("kind = 2")).unionByName(cut(sorted_)).unionByName(cut(single)).unionByName(more.where("kind = 6"))
+    answers = known.unionByName(cut(X.answered(third(4), _sort(length)))).unionByName(cut(X.answered(third(5), judge_segments))).unionByName(third(6))
+    drop_cut(third(4))
     settle(spark)
     return X.per_block(bodies, answers, _remove(length), "doc_id long, kept binary, n_bytes long, n_removed long, removed array<struct<first: long, after: long>>")

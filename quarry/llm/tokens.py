@@ -16,7 +16,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words whose ids a worker keeps in each of two generations.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 
 
 @cache

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import exchange as X
-from quarry.llm.common import cut, drop_cut, shared_dir, texts
+from quarry.llm.common import cut, drop_cut, settle, texts
 
 #: Rows of the sketch; cells of a row for each window, at least; keys that a bucket judges at once.
 DEPTH, CELLS, BUCKET_KEYS = 2, 8, 1 << 21
@@ -233,22 +233,16 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = max(1, -(-windows // BUCKET_KEYS))
     row = f"row {data.schema['row'].dataType.simpleString()}, " if carry else ""
     first = data.mapInArrow(_sketch(window, width, depth, buckets), X.ROWS)
-    path = f"{shared_dir(spark)}/windows-{X.fresh_block():x}"
-    first.write.partitionBy("kind").option("compression", "uncompressed").parquet(path)
-    schema = first.schema
-    stored = spark.read.schema(schema).option("basePath", path)
-    bodies = stored.parquet(f"{path}/kind=0").select(*schema.names) if _exists(spark, f"{path}/kind=0") else spark.createDataFrame([], schema)
-    asks = stored.parquet(f"{path}/kind=1").select(*schema.names) if _exists(spark, f"{path}/kind=1") else spark.createDataFrame([], schema)
-    asks._cut_path = f"{path}/kind=1"
+    kinds = X.stored(first)
+    bodies, asks = kinds(0), kinds(1)
     estimates = cut(X.answered(asks, X.judge_repeats))
     drop_cut(asks)
+    settle(spark)
     found = cut(X.per_block(bodies, estimates, _exact(window, width, depth, buckets, buckets), X.ROWS))
     drop_cut(estimates)
+    settle(spark)
     marks = cut(X.answered(found.where("kind = 1"), judge_exact))
+    settle(spark)
     answers = marks.unionByName(found.where("kind = 2"))
     return X.per_block(bodies, answers, _remove(window, verbatim), f"doc_id long, {row}kept string, n_words long, n_removed long, removed array<struct<first: long, after: long>>")
 
-
-def _exists(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
