@@ -49,10 +49,19 @@ def drop_cut(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Send at most so many rows to a Python worker at once: rows here are whole texts or blobs, and the
+    default of ten thousand of them may be more than a worker holds."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``(doc_id bigint, text binary[, row struct])`` of the documents; a null text is empty. Only
     these columns are read, so columns of any other name can't clash with an operator's own;
     those in ``carry`` travel in ``row``."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
@@ -63,6 +72,7 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
 def keep_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[list[bytes | None]], list[bool]]]) -> DataFrame:
     """The rows whose text the judge keeps, all columns as they are, in one narrow pass. ``judge`` is
     called once in each task."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ with the asks, in the shared folder; a lost executor repeats its part of a stage
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +22,19 @@ from pyspark.sql import functions as F
 from quarry.llm.common import shared_dir
 
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK = 2 << 20
+BLOCK = 2_000_000
+
+
+def _give_back() -> None:
+    """Have the C library return large arrays to the system once they are freed, so that a worker that
+    goes on to the next stage doesn't hold the memory of the last."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_give_back()
 
 _zip, _unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, keep_rows
+from quarry.llm.common import fold, keep_rows, small_batches
 
 #: Longest context in bytes; training bytes of a language, about; languages at most.
 ORDER, SAMPLE_BYTES, LANGUAGES = 4, 1 << 20, 256
@@ -223,6 +223,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     that is null or has no letter, or when there is nothing to learn from; else the language of
     the shortest code, ties going to the first by name. ``score`` is its share of the probability of the
     text. Equal texts get equal results. Other columns are not read."""
+    small_batches(docs.sparkSession)
     held = _default_fold(F.col(id_col)) if held_out is None else held_out
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"), held.alias("held_out"))
     model = train(rows.where("not held_out"), order, sample_bytes)
@@ -234,6 +235,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows, with all their columns, whose text a learned language explains: texts that are null or
     have no letter go, and those whose best language has a score under ``least``. Learns as
     :func:`identify` does."""
+    small_batches(docs.sparkSession)
     rows = docs.where(~_default_fold(F.col(id_col))).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     shared = _share(docs.sparkSession, train(rows, order, sample_bytes))
 

@@ -142,7 +142,8 @@ def least_ids(segments: list[bytes], ids: list[int], length: int) -> list[np.nda
 
 
 class Segments:
-    """The segments of a block's documents: key, document number, first and last byte + 1."""
+    """The segments of a block's documents: key, document number, first and last byte + 1. Keys are
+    minima, so they are mixed again lest they crowd the low buckets."""
 
     def __init__(self, docs: list[bytes], length: int, gram: int):
         raw = np.frombuffer(b"".join(docs), np.uint8)
@@ -167,7 +168,7 @@ class Segments:
         starts = np.nonzero(new & whole)[0]
         runs = np.append(np.nonzero(new)[0], n - length + 1)
         ends = runs[np.searchsorted(runs, starts, "right")]
-        self.key, self.doc, self.first, self.after = low[starts], doc[starts], starts, ends - 1 + length
+        self.key, self.doc, self.first, self.after = mixed(low[starts], 13), doc[starts], starts, ends - 1 + length
 
 
 def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
@@ -307,7 +308,7 @@ def _different(length: int, gram: int, buckets: int):
             inner = size - gram + 1
             start = np.cumsum(size) - size
             flat = h[np.repeat(start, inner) + _runs(inner)]
-            key = np.minimum.reduceat(flat, np.cumsum(inner) - inner)  # the smallest is a segment's key
+            key = mixed(np.minimum.reduceat(flat, np.cumsum(inner) - inner), 13)
             stop = np.cumsum(size)
             for k, i, j in _split(_bucket(key, buckets), buckets):
                 place = np.concatenate([key[i:j].view(np.int64), least[own[i:j]], size[i:j]])
@@ -453,7 +454,7 @@ def drop_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_segment = max(1, (length - gram + 2) // 2)
     width = CELLS * max(total // per_segment, 1 << 16)
     buckets = max(1, -(-total // BUCKET_BYTES))
-    cells = max(1, buckets // 4)
+    cells = max(1, buckets // 2)
     first = stored(data.mapInArrow(_ask_cells(length, gram, width, cells), X.ROWS))
     bodies = first(0)
     counted = cut(X.answered(first(1), X.judge_repeats))

@@ -21,7 +21,7 @@ from quarry.llm import exchange as X
 from quarry.llm.common import cut, drop_cut, settle, texts
 
 #: Rows of the sketch; cells of a row for each window, at least; keys that a bucket judges at once.
-DEPTH, CELLS, BUCKET_KEYS = 2, 8, 1 << 21
+DEPTH, CELLS, BUCKET_KEYS = 2, 8, 1 << 20
 
 _powers: dict[str, np.ndarray] = {}
 
