@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Questions multiplied with the vectors at once.
 BLOCK = 512
@@ -30,7 +31,7 @@ def cosine(a: F.Column, b: F.Column) -> F.Column:
     return F.when(size == 0, 0.0).otherwise(dot / size)
 
 
-def _best(ids: list, unit: np.ndarray, groups: list, depth: np.ndarray):
+def _best(ids: list, unit: np.ndarray, groups: list, depth: np.ndarray, kinds: list[pa.DataType]):
     by_group: dict = {}
     for i, g in enumerate(groups):
         by_group.setdefault(g, []).append(i)
@@ -64,7 +65,7 @@ def _best(ids: list, unit: np.ndarray, groups: list, depth: np.ndarray):
         found = [(ids[q], name, -s) for q, best in held.items() for s, name in best]
         if found:
             q, name, s = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(name), pa.array(s, pa.float64())], ["question_id", "chunk_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(q, kinds[0]), pa.array(name, kinds[1]), pa.array(s, pa.float64())], ["question_id", "chunk_id", "score"])
 
     return run
 
@@ -80,8 +81,8 @@ def top_k(vectors: DataFrame, questions: DataFrame, k: int | str = 5, id_col: st
         data = data.join(whitelist.select(F.col(whitelist.columns[0]).alias(id_col)).distinct(), id_col, "left_semi")
     repo = F.col(repo_col) if repo_col else F.lit(None).cast("string")
     data = data.select(F.col(id_col).alias("chunk_id"), F.col(vector_col).cast("array<double>").alias("v"), repo.alias("repo"))
-    kind = data.schema["chunk_id"].dataType.simpleString()
-    qkind = questions.schema["question_id"].dataType.simpleString()
+    types = [questions.schema["question_id"].dataType, data.schema["chunk_id"].dataType]
+    schema = f"question_id {types[0].simpleString()}, chunk_id {types[1].simpleString()}, score double"
     depth = F.col(k) if isinstance(k, str) else F.lit(k)
     asked = questions.where("vector is not null").select("question_id", F.col("vector").cast("array<double>"), (F.col("repo_id") if repo_col else F.lit(None)).alias("g"), depth.alias("depth"))
     n = asked.count()
@@ -92,8 +93,8 @@ def top_k(vectors: DataFrame, questions: DataFrame, k: int | str = 5, id_col: st
         unit = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
         norm = np.sqrt((unit * unit).sum(axis=1, keepdims=True))
         unit = np.divide(unit, norm, out=np.zeros_like(unit), where=norm > 0)
-        run = _best([r["question_id"] for r in rows], unit, [r["g"] for r in rows], np.array([r["depth"] for r in rows]))
-        found = data.mapInArrow(run, f"question_id {qkind}, chunk_id {kind}, score double") if rows else data.sparkSession.createDataFrame([], f"question_id {qkind}, chunk_id {kind}, score double")
+        run = _best([r["question_id"] for r in rows], unit, [r["g"] for r in rows], np.array([r["depth"] for r in rows]), [to_arrow_type(t) for t in types])
+        found = data.mapInArrow(run, schema) if rows else data.sparkSession.createDataFrame([], schema)
         out = found if out is None else out.unionByName(found)
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")))
     if isinstance(k, str):
