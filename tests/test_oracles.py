@@ -6,7 +6,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from conftest import SF
+from testdata import SF
 
 from quarry.plans import catalog
 

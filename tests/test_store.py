@@ -105,7 +105,7 @@ def test_streams(spark, tmp_path):
 
 
 def test_event_stream(spark, tmp_path):
-    from conftest import SF
+    from testdata import SF
 
     schema = spark.read.parquet(f"{SF}/events.parquet").schema
     stream = indexing.event_stages(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(SF))
