@@ -164,7 +164,7 @@ def _count(order: int):
                 held.setdefault(lang, []).append(text)
         for lang, texts in held.items():  # of a bounded sample
             for n, (keys, count) in enumerate(count_grams(texts, order)):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([n] * len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(count, pa.int64())], ["lang", "n", "gram", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([n] * len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(count, pa.int64())], ["lang", "n", "gram", "count"])
 
     return run
 
