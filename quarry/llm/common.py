@@ -49,12 +49,20 @@ def drop_cut(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Send at most so many rows to a Python worker at once: rows here are whole texts or blobs, and the
-    default of ten thousand of them may be more than a worker holds."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 64) -> None:
+    """From now on send at most so many rows to a Python worker at once: rows here are whole texts or
+    blobs, and the buffers of the default of ten thousand of them may outgrow an executor."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
+        spark.conf.set(_BATCH, str(rows))
+
+
+def wide_batches(spark: SparkSession, rows: int = 8192) -> None:
+    """From now on send more rows at once: for steps over words, keys or links, run before the next
+    step over texts."""
+    spark.conf.set(_BATCH, str(rows))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
