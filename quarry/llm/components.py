@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, drop_cut
+from quarry.llm.common import cut, drop_cut, wide_batches
 
 #: Edges contracted at once within a partition.
 SLICE = 500_000
@@ -42,6 +42,32 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
+def best_forest(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the edges with the least costs: each tree takes its cheapest edge to
+    another tree, in rounds, until none is left."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    rank = np.empty(len(a), np.int64)
+    rank[np.lexsort((b, a, cost))] = np.arange(len(a))
+    edge = np.arange(len(a))
+    label, taken = np.arange(len(nodes)), np.zeros(len(a), bool)
+    by_rank = np.argsort(rank)
+    while True:
+        apart = label[x[edge]] != label[y[edge]]
+        edge = edge[apart]
+        if not len(edge):
+            return a[taken], b[taken]
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, label[x[edge]], rank[edge])
+        np.minimum.at(best, label[y[edge]], rank[edge])
+        chosen = by_rank[np.unique(best[best < len(a)])]
+        taken[chosen] = True
+        own, root = stars(label[x[chosen]], label[y[chosen]])
+        move = np.arange(len(nodes))
+        move[own] = root
+        label = move[label]
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
@@ -68,6 +94,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node that an edge ``(a, b)`` of longs touches; the component is
     its smallest node. Self loops and repeated edges are fine; nulls are ignored; no edges
     give no rows."""
+    wide_batches(edges.sparkSession)
     links = edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long")
     now = cut(links.distinct())
     mark = _mark(now)

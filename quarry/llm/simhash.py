@@ -26,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, signed, texts
-from quarry.llm.components import connected_components, stars
+from quarry.llm.common import cut, signed, texts, wide_batches
+from quarry.llm.components import best_forest, connected_components, stars
 
 SEED = 42
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Members of a bucket that are compared with as many others in one task.
 CHUNK = 1024
+#: How far a signature's estimate may fall short of the similarity before the exact check.
+MARGIN = 0.08
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -125,7 +127,7 @@ def masks(radius: int) -> list[int]:
     return [x | y for x, y in combinations(ranges, 2)]
 
 
-def _fingerprints(width: int, minhashes: int):
+def _fingerprints(width: int, minhashes: int, bands: int, rows: int):
     scale = _permutations(minhashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +137,11 @@ def _fingerprints(width: int, minhashes: int):
                 h = shingle_hashes(text, width)
                 fps.append(signed(fingerprint(h)))
                 if minhashes:
-                    sigs.append(signature(h, scale))
+                    sigs.append(signature(h, scale, bands, rows))
             out = [batch.column(0), pa.array(fps, pa.int64())]
             if minhashes:
-                out.append(pa.array(sigs, pa.binary()))
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "fp", "sig"][: len(out)])
+                out += [pa.array([x[0] for x in sigs], pa.list_(pa.int64())), pa.array([x[1] for x in sigs], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "fp", "bands", "sig"][: len(out)])
 
     return run
 
@@ -149,22 +151,32 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 32, n, np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
 
 
-def signature(hashes: np.ndarray, scale: tuple[np.ndarray, np.ndarray]) -> bytes:
-    """Min-hash values (32 bits each) of the set of shingles; empty for no shingles."""
-    if not len(hashes):
-        return b""
+def signature(hashes: np.ndarray, scale: tuple[np.ndarray, np.ndarray], bands: int, rows: int) -> tuple[list[int], bytes]:
+    """Min-hash of the set of shingles: a hash of each band of ``rows`` values, and two bits of every
+    value. No shingles have no bands."""
     mul, add = scale
+    if not len(hashes):
+        return [], bytes(len(mul) // 4)
     low = np.full(len(mul), 0xFFFFFFFF, np.uint64)
-    folded = (np.unique(hashes) >> np.uint64(32)).astype(np.uint64)
+    folded = np.unique(hashes) >> np.uint64(32)
     for i in range(0, len(folded), 2048):
         low = np.minimum(low, ((folded[i : i + 2048, None] * mul + add) >> np.uint64(32)).min(axis=0))
-    return low.astype(np.uint32).tobytes()
+    values = low.astype(np.uint32)
+    keys = [signed(xxhash.xxh64_intdigest(values[k * rows : (k + 1) * rows].tobytes(), k)) for k in range(bands)]
+    two = (values * np.uint32(2654435761) >> np.uint32(30)).astype(np.uint8).reshape(-1, 4)
+    return keys, (two << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the two-bit values of two rows of words differ."""
+    x = a ^ b
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1)
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, minhashes: int = 0) -> DataFrame:
-    """``(doc_id, fp long[, sig binary])`` of every document: one narrow pass over the texts."""
-    out = "doc_id long, fp long" + ", sig binary" * (minhashes > 0)
-    return texts(docs, id_col, text_col).mapInArrow(_fingerprints(width, minhashes), out)
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, minhashes: int = 0, bands: int = 0, rows: int = 0) -> DataFrame:
+    """``(doc_id, fp long[, bands array<long>, sig binary])`` of every document: one narrow pass over the texts."""
+    out = "doc_id long, fp long" + ", bands array<long>, sig binary" * (minhashes > 0)
+    return texts(docs, id_col, text_col).mapInArrow(_fingerprints(width, minhashes, bands, rows), out)
 
 
 def _linker(radius: int, agree: float):
@@ -180,10 +192,16 @@ def _linker(radius: int, agree: float):
         return alike(a, b, sig, node)
 
     def alike(a, b, sig, node):
-        if sig is not None and len(a):
-            keep = np.concatenate([(sig[a[i : i + 4096]] == sig[b[i : i + 4096]]).mean(axis=1) >= agree for i in range(0, len(a), 4096)])
-            a, b = a[keep], b[keep]
-        return node[a], node[b]
+        if sig is None:
+            return node[a], node[b], np.zeros(len(a), np.int64)
+        cost = np.zeros(len(a), np.int64)
+        if len(a):
+            # values that differ agree in two bits one time in four
+            most = 0.75 * (1 - agree) * sig.shape[1] * 32
+            cost = np.concatenate([differing(sig[a[i : i + 4096]], sig[b[i : i + 4096]]) for i in range(0, len(a), 4096)]).astype(np.int64)
+            keep = cost <= most
+            a, b, cost = a[keep], b[keep], cost[keep]
+        return node[a], node[b], cost
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
@@ -208,7 +226,7 @@ def _linker(radius: int, agree: float):
             sig = None
             if "sig" in part.column_names:
                 raw = part.column("sig").combine_chunks()
-                sig = np.frombuffer(b"".join(raw.to_pylist()), np.uint32).reshape(len(node), -1)
+                sig = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(len(node), -1)
             lens = np.diff(starts)
             found = []
             for s, n in zip(starts[:-1][lens >= 24], lens[lens >= 24], strict=True):
@@ -222,9 +240,9 @@ def _linker(radius: int, agree: float):
                     continue
                 i = i[near_lanes(fp[i], fp[i + d], radius)]
                 found.append(alike(i, i + d, sig, node))
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            a, b, cost = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
             if len(a):
-                a, b = stars(a, b)
+                a, b = stars(a, b) if sig is None else best_forest(a, b, cost)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
@@ -239,6 +257,7 @@ def bucket_links(members: DataFrame, radius: int, agree: float = 0.0, chunk: int
     """Links ``(a, b)`` between members ``(bucket, node, fp[, sig])`` of a bucket, a spanning forest of
     each compared cell. A bucket of more than ``chunk`` members is dealt out as pairs of
     chunks to different tasks, so no task holds more than two chunks."""
+    wide_batches(members.sparkSession)
     sizes = members.groupBy("bucket").count().where("count > 1")
     met = members.join(sizes, "bucket").withColumn("n", F.ceil(F.col("count") / chunk).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
@@ -275,17 +294,45 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 24, minhashes: int = 128, rows: int = 4) -> DataFrame:
+def _similar(width: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        for batch in batches:
+            a, b, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for i, (x, s, t) in enumerate(zip(a, batch.column(2), batch.column(3), strict=True)):
+                if x != last[0]:
+                    last = x, np.unique(shingle_hashes(s.as_py(), width))
+                other = np.unique(shingle_hashes(t.as_py(), width))
+                both = len(np.intersect1d(last[1], other, assume_unique=True))
+                if both >= similarity * (len(last[1]) + len(other) - both):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def exact_links(docs: DataFrame, links: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """The links whose documents' shingle sets have that Jaccard similarity. Only texts with links
+    are joined."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    own = cut(texts(docs, id_col, text_col).join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    pairs = links.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
+    return pairs.select("a", "b", "s", "t").mapInArrow(_similar(width, similarity), "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 24, minhashes: int = 128, bands: int = 16, rows: int = 4) -> DataFrame:
     """``(doc_id, component_id)``: documents linked when their shingle sets are alike.
 
-    For similarities that SimHash pigeonholes can't reach: buckets are min-hash bands of
-    ``rows`` values, members within ``radius`` SimHash bits (bit-sliced) are held against their
-    min-hash signatures at ``similarity``. Documents of equal signature and fingerprint are
-    compared once. Documents without words form one group with each other."""
-    prints = cut(fingerprints(docs, id_col, text_col, width, minhashes).where("doc_id is not null"))
-    nodes = cut(prints.groupBy("fp", "sig").agg(F.min("doc_id").alias("node")))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(minhashes // rows - 1)), lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * (4 * rows) + 1, F.lit(4 * rows))))
-    members = nodes.where("octet_length(sig) > 0").select(F.explode(bands).alias("bucket"), "node", "fp", "sig")
-    found = connected_components(bucket_links(members, radius, similarity))
-    named = nodes.join(found, "node", "left").select("fp", "sig", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, ["fp", "sig"]).select("doc_id", "component_id")
+    For similarities that SimHash pigeonholes can't reach: buckets are min-hash bands of ``rows``
+    values; members within ``radius`` SimHash bits (bit-sliced) whose signatures of ``minhashes`` values
+    come near the similarity are linked, a forest of the closest links is kept of each bucket, and each of
+    these is held against the exact Jaccard similarity of the texts' shingle sets. Documents of equal
+    signature and fingerprint are compared once. Documents without words form one group with each other;
+    rows with a null id are left out. Other columns are not read."""
+    prints = cut(fingerprints(docs, id_col, text_col, width, minhashes, bands, rows).where("doc_id is not null"))
+    nodes = cut(prints.groupBy("fp", "sig", "bands").agg(F.min("doc_id").alias("node")))
+    members = nodes.select(F.explode("bands").alias("bucket"), "node", "fp", "sig")
+    near_links = cut(bucket_links(members, radius, similarity - MARGIN).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = connected_components(cut(exact_links(docs, near_links, id_col, text_col, width, similarity)))
+    named = nodes.join(found, "node", "left").select("fp", "sig", "bands", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, ["fp", "sig", "bands"]).select("doc_id", "component_id")
