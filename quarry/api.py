@@ -64,6 +64,19 @@ def embed_rows(rows: DataFrame, body: str, embedder: Embedder, batch: int = C.IN
     return rows.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", embedding array<float>")
 
 
+def embed_and_persist(rows: DataFrame, body: str, embedder: Embedder, path: str, batch: int = C.EMBED_BATCH) -> None:
+    """Vectors of ``chunk_id, repo_id`` rows as JSON lines, a directory for each repository."""
+    embed_rows(rows, body, embedder, batch).select("chunk_id", "repo_id", "embedding").write.mode("overwrite").partitionBy("repo_id").json(path)
+
+
+def model_text(content: object) -> str:
+    """Plain text of a model's answer: a text, or the text parts of a list; empty for anything else."""
+    if isinstance(content, str):
+        return content
+    parts = content if isinstance(content, list) else []
+    return "".join(p if isinstance(p, str) else p.get("text", "") for p in parts if isinstance(p, str) or (isinstance(p, dict) and isinstance(p.get("text", ""), str)))
+
+
 class Engine:
     def __init__(self, spark: SparkSession, path: str, cfg: C.Config = C.Config(), embedder: Embedder | None = None, answerer: Callable[[str], str] | None = None):
         self.spark, self.cfg, self.store = spark, cfg, store.Store(spark, path)
@@ -106,6 +119,24 @@ class Engine:
 
         return envelope(call)
 
+    def ensure_files(self, repo_id: str) -> bool:
+        """Whether the repository's files are at hand; read again if they are missing. Never raises."""
+        try:
+            repo = self._repo(repo_id)
+            held = self.store.read("files")
+            if held.where(F.col("repo_id") == repo_id).limit(1).count():
+                return True
+            found = files.source_files(self.spark, repo["path"], repo_id, C.REPO_MAX_SIZE_MB)
+            self.store.write("files", held.unionByName(found))
+            return self.store.read("files").where(F.col("repo_id") == repo_id).limit(1).count() > 0
+        except Exception:  # a missing tree is an answer here
+            return False
+
+    def indexed(self) -> tuple[DataFrame, DataFrame]:
+        """Repositories that can be asked, and the others."""
+        rows = self.store.read("repos")
+        return rows.where("status = 'indexed'"), rows.where("status <> 'indexed'")
+
     def repos(self) -> dict:
         return envelope(lambda: tables.list_repos(self.store.read("repos")))
 

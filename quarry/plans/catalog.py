@@ -442,6 +442,18 @@ def status_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(polled, "id", "left").select("id", F.col("status").alias("shown"), now.alias("now"), (now != F.col("status")).alias("changed"))
 
 
+@query(f"WITH {REPOS} SELECT CASE WHEN status = 'indexed' THEN 'ready' ELSE 'waiting' END AS side, type, count(*) AS n FROM repos GROUP BY 1, 2")
+def repo_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = F.when(F.col("status") == "indexed", "ready").otherwise("waiting")
+    return repos(spark, sf_dir).groupBy(side.alias("side"), "type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN starts_with(trim(source), 'https://') OR starts_with(trim(source), 'git@') THEN 'git' ELSE 'local' END AS kind, len(string_split(text, chr(10)))::INT AS lines, length(text) AS chars FROM documents")
+def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", T.source_kind(F.col("source")).alias("kind"), T.line_count(F.col("text")).alias("lines"), F.length("text").cast("long").alias("chars"))
+
+
 @query(f"WITH {CHUNKS} SELECT chunk_id, file_path, coalesce(start_line, 0) AS start_line, coalesce(end_line, 0) AS end_line, row_number() OVER (ORDER BY file_path, coalesce(start_line, 0), chunk_id)::INT AS place FROM chunks WHERE repo_id = 'src7'")
 def repo_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.chunks_of(chunks(spark, sf_dir).withColumnRenamed("chunk_id", "id"), "src7")

@@ -44,7 +44,11 @@ def test_engine(spark, tree, tmp_path):
     assert e.import_repo("/no/such/dir")["code"] == 1001
     q = spark.createDataFrame([(1, repo, "where is login user handled")], "question_id int, repo_id string, question string")
     assert e.ask(q)["code"] == 2001
+    e.store.write("files", e.store.read("files").where("false"))
+    assert e.ensure_files(repo)
+    assert not e.ensure_files("none")
     assert e.build_index(repo)["data"]["status"] == "indexed"
+    assert [df.count() for df in e.indexed()] == [1, 0]
     assert e.build_index(repo)["code"] == 2002
     got = e.ask(q, 2)
     row = got["data"].first()
@@ -113,3 +117,12 @@ def test_event_stream(spark, tmp_path):
     q.awaitTermination()
     batch = indexing.event_stages(spark.read.parquet(f"{SF}/events.parquet").where("ts is not null"))
     assert spark.table("stages").count() == batch.count()
+
+
+def test_model_edge(spark, tmp_path):
+    from quarry.api import embed_and_persist, hashing_embedder, model_text
+
+    assert [model_text(x) for x in ("a", ["a", {"type": "text", "text": "b"}, {"type": "image"}], None, 3)] == ["a", "ab", "", ""]
+    rows = spark.createDataFrame([("c1", "r", "x y"), ("c2", "s", "z")], "chunk_id string, repo_id string, body string")
+    embed_and_persist(rows, "body", hashing_embedder(8), str(tmp_path / "v"))
+    assert spark.read.json(str(tmp_path / "v")).count() == 2
