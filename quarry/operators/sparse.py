@@ -16,8 +16,9 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def postings(chunks: DataFrame, body: Column) -> DataFrame:
-    """``(chunk_id, term, pos)``, a row per term occurrence."""
-    return chunks.select("chunk_id", F.posexplode(T.fts_terms(body)).alias("pos", "term"))
+    """``(chunk_id, length, term, pos)``, a row per term occurrence; the chunk's length in terms comes along."""
+    terms = chunks.select("chunk_id", T.fts_terms(body).alias("terms"))
+    return terms.select("chunk_id", F.size("terms").alias("length"), F.posexplode("terms").alias("pos", "term"))
 
 
 def lengths(chunks: DataFrame, body: Column) -> DataFrame:
@@ -45,11 +46,11 @@ def phrases(questions: DataFrame, tokens: Column) -> DataFrame:
 
 
 def phrase_frequency(chunks: DataFrame, body: Column, wanted: DataFrame) -> DataFrame:
-    """``(phrase, chunk_id, tf)``: how often each distinct phrase occurs in each chunk."""
+    """``(phrase, chunk_id, length, tf)``: how often each distinct phrase occurs in each chunk."""
     terms = wanted.select("phrase", "width", "off", "term").distinct()
     met = postings(chunks, body).join(terms, "term").withColumn("start", F.col("pos") - F.col("off"))
-    whole = met.groupBy("phrase", "width", "chunk_id", "start").agg(F.count("*").alias("n")).where("n = width")
-    return whole.groupBy("phrase", "chunk_id").agg(F.count("*").alias("tf"))
+    whole = met.groupBy("phrase", "width", "chunk_id", "length", "start").agg(F.count("*").alias("n")).where("n = width")
+    return whole.groupBy("phrase", "chunk_id", "length").agg(F.count("*").alias("tf"))
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, tokens: Column, limit: int | str = 20, body: Column | None = None, repo: bool = False, match_all: bool = False, whitelist: DataFrame | None = None) -> DataFrame:
@@ -66,7 +67,6 @@ def bm25(chunks: DataFrame, questions: DataFrame, tokens: Column, limit: int | s
     raw = F.log((F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.select("phrase", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
     hits = wanted.select("question_id", "phrase").distinct().join(tf, "phrase").join(idf, "phrase")
-    hits = hits.join(lengths(chunks, body), "chunk_id")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(avg or 1))))
     scored = hits.groupBy("question_id", "chunk_id").agg(F.round(-F.sum(part), 6).alias("bm25"), F.count("*").alias("n_phrases"))
     if match_all:
