@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, licenses
+from quarry.llm import chat, licenses, suffixes, windows
 from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.mixing import score
 
     return score(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_windows"] = windows.SQL
+ORACLES["op10_suffixes"] = suffixes.SQL

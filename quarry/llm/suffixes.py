@@ -473,3 +473,16 @@ def drop_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop_cut(third(4))
     settle(spark)
     return X.per_block(bodies, answers, _remove(length), "doc_id long, kept binary, n_bytes long, n_removed long, removed array<struct<first: long, after: long>>")
+
+
+#: DuckDB's version of the query: every 50-byte string, in hex.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, unnest(range(length(x) // 2)) AS i, x FROM d),
+s AS (SELECT doc_id, i, substring(x, 2 * i + 1, 2) AS byte, CASE WHEN 2 * (i + 50) <= length(x) THEN substring(x, 2 * i + 1, 100) END AS s FROM b),
+r AS (SELECT doc_id, i, byte, s IS NOT NULL AND min(doc_id) OVER (PARTITION BY s) < doc_id AS again FROM s),
+c AS (SELECT doc_id, i, byte, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM r),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS m, count(*) FILTER (opens) AS spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(m, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
