@@ -1,8 +1,8 @@
 """Lexical scan: every chunk is scored against every question's tokens, without an index.
 
-The questions are a stated set and go to the workers in blocks. A token is looked for once in each
-chunk, however many questions hold it, and its pattern is compiled once in each task; a column
-expression would compile it anew for each row. A task keeps its best for each question."""
+The questions are a stated set and go to the workers in blocks. Tokens are looked for once in each
+chunk, however many questions hold them, and patterns are compiled once in each task; a column
+expression would compile them anew for each row. A task keeps its best for each question."""
 
 from __future__ import annotations
 
@@ -15,13 +15,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+try:
+    import ahocorasick
+except ImportError:  # it only saves time
+    ahocorasick = None
+
 #: Questions sent along with the chunks at once.
 BLOCK = 1024
 
 
-def _hits(pattern: re.Pattern[str], token: str, text: str) -> int:
+def _hits(pattern: re.Pattern[str], text: str) -> int:
     """Matches between characters that are no word characters; each such character belongs to one."""
-    return sum(1 for _ in pattern.finditer(text)) if token in text else 0
+    return sum(1 for _ in pattern.finditer(text))
+
+
+def _finder(tokens: list[str]):
+    """A function that names the tokens that occur in a text: one pass over it if an automaton is at
+    hand, else a look for each token."""
+    if not tokens or ahocorasick is None:
+        return lambda text: {t for t in tokens if t in text}
+    automaton = ahocorasick.Automaton()
+    for t in tokens:
+        automaton.add_word(t, t)
+    automaton.make_automaton()
+    return lambda text: {t for _, t in automaton.iter(text)}
 
 
 def _scan(asked: list[tuple], kinds: list[pa.DataType]):
@@ -32,20 +49,21 @@ def _scan(asked: list[tuple], kinds: list[pa.DataType]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = {t: re.compile(rf"(^|[^a-z0-9_]){re.escape(t)}([^a-z0-9_]|\Z)") for t in by_token}
+        found = _finder(list(by_token))
         best: dict[int, list[tuple]] = {}
         for batch in batches:
             for name, path, line, low_path, low_name, content, repo in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 score: dict[int, float] = {}
-                for token, users in by_token.items():
-                    points = 0.0
-                    if token in low_path:
-                        points += 4 * (_hits(patterns[token], token, low_path) or 1)
-                    if token in low_name:
-                        points += 3 * (_hits(patterns[token], token, low_name) or 1)
-                    points += 0.5 * _hits(patterns[token], token, content)
-                    if points:
-                        for k in users:
-                            score[k] = score.get(k, 0.0) + points
+                points: dict[str, float] = {}
+                for token in found(low_path):
+                    points[token] = 4.0 * (_hits(patterns[token], low_path) or 1)
+                for token in found(low_name):
+                    points[token] = points.get(token, 0.0) + 3 * (_hits(patterns[token], low_name) or 1)
+                for token in found(content):
+                    points[token] = points.get(token, 0.0) + 0.5 * _hits(patterns[token], content)
+                for token, n in points.items():
+                    for k in by_token[token] if n else ():
+                        score[k] = score.get(k, 0.0) + n
                 for k, s in score.items():
                     _, _, most, group = asked[k]
                     if group is None or group == repo:
