@@ -315,7 +315,7 @@ def exact_links(docs: DataFrame, links: DataFrame, id_col: str, text_col: str, w
     """The links whose documents' shingle sets have that Jaccard similarity. Only texts with links
     are joined."""
     ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = cut(texts(docs, id_col, text_col).join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    own = cut(texts(docs, id_col, text_col).join(ends.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     pairs = links.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
     return pairs.select("a", "b", "s", "t").mapInArrow(_similar(width, similarity), "a long, b long")
 
