@@ -183,17 +183,17 @@ def _linker(radius: int, agree: float):
     """Comparison of bucket cells. Rows come sorted by (key, i, j); side says whether a member is of
     chunk i (0) or chunk j (1); within a chunk all are 0."""
 
-    def links(side: np.ndarray, node: np.ndarray, fp: np.ndarray, sig: np.ndarray | None):
+    def links(side: np.ndarray, fp: np.ndarray, sig: np.ndarray | None, first: int):
         one, two = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
         q, m = near(fp[one], fp[two] if len(two) else fp[one], radius)
         a, b = one[q], (two if len(two) else one)[m]
         if not len(two):
             a, b = a[a < b], b[a < b]
-        return alike(a, b, sig, node)
+        return alike(a + first, b + first, sig)
 
-    def alike(a, b, sig, node):
+    def alike(a, b, sig):
         if sig is None:
-            return node[a], node[b], np.zeros(len(a), np.int64)
+            return a, b, np.zeros(len(a), np.int64)
         cost = np.zeros(len(a), np.int64)
         if len(a):
             # values that differ agree in two bits one time in four
@@ -201,7 +201,7 @@ def _linker(radius: int, agree: float):
             cost = np.concatenate([differing(sig[a[i : i + 4096]], sig[b[i : i + 4096]]) for i in range(0, len(a), 4096)]).astype(np.int64)
             keep = cost <= most
             a, b, cost = a[keep], b[keep], cost[keep]
-        return node[a], node[b], cost
+        return a, b, cost
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
@@ -231,7 +231,7 @@ def _linker(radius: int, agree: float):
             found = []
             for s, n in zip(starts[:-1][lens >= 24], lens[lens >= 24], strict=True):
                 own = slice(s, s + n)
-                found.append(links(side[own], node[own], fp[own], None if sig is None else sig[own]))
+                found.append(links(side[own], fp[own], sig, int(s)))
             small = np.repeat(lens < 24, lens)
             which = np.repeat(np.arange(len(lens)), lens)
             for d in range(1, 24):
@@ -239,10 +239,11 @@ def _linker(radius: int, agree: float):
                 if not len(i):
                     continue
                 i = i[near_lanes(fp[i], fp[i + d], radius)]
-                found.append(alike(i, i + d, sig, node))
+                found.append(alike(i, i + d, sig))
             a, b, cost = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
             if len(a):
-                a, b = stars(a, b) if sig is None else best_forest(a, b, cost)
+                # rows are of one cell each, so that the forests are the cells' own
+                a, b = stars(node[a], node[b]) if sig is None else (node[x] for x in best_forest(a, b, cost))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
