@@ -33,6 +33,8 @@ SEED = 42
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Members of a bucket that are compared with as many others in one task.
 CHUNK = 1024
+#: Bytes of texts that are held against as many others in one task.
+HELD_BYTES = 1 << 24
 #: How far a signature's estimate may fall short of the similarity before the exact check.
 MARGIN = 0.08
 
@@ -179,30 +181,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return texts(docs, id_col, text_col).mapInArrow(_fingerprints(width, minhashes, bands, rows), out)
 
 
+def _links(side: np.ndarray, fp: np.ndarray, sig: np.ndarray | None, first: int, radius: int, agree: float):
+    """Links within a cell whose first row is ``first``: ``(a, b, cost)``."""
+    one, two = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+    q, m = near(fp[one], fp[two] if len(two) else fp[one], radius)
+    a, b = one[q], (two if len(two) else one)[m]
+    if not len(two):
+        a, b = a[a < b], b[a < b]
+    return _alike(a + first, b + first, sig, agree)
+
+
+def _alike(a: np.ndarray, b: np.ndarray, sig: np.ndarray | None, agree: float):
+    if sig is None:
+        return a, b, np.zeros(len(a), np.int64)
+    cost = np.zeros(len(a), np.int64)
+    if len(a):
+        # values that differ agree in two bits one time in four
+        most = 0.75 * (1 - agree) * sig.shape[1] * 32
+        cost = np.concatenate([differing(sig[a[i : i + 4096]], sig[b[i : i + 4096]]) for i in range(0, len(a), 4096)]).astype(np.int64)
+        keep = cost <= most
+        a, b, cost = a[keep], b[keep], cost[keep]
+    return a, b, cost
+
+
 def _linker(radius: int, agree: float):
     """Comparison of bucket cells. Rows come sorted by (key, i, j); side says whether a member is of
     chunk i (0) or chunk j (1); within a chunk all are 0."""
 
-    def links(side: np.ndarray, fp: np.ndarray, sig: np.ndarray | None, first: int):
-        one, two = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-        q, m = near(fp[one], fp[two] if len(two) else fp[one], radius)
-        a, b = one[q], (two if len(two) else one)[m]
-        if not len(two):
-            a, b = a[a < b], b[a < b]
-        return alike(a + first, b + first, sig)
-
-    def alike(a, b, sig):
-        if sig is None:
-            return a, b, np.zeros(len(a), np.int64)
-        cost = np.zeros(len(a), np.int64)
-        if len(a):
-            # values that differ agree in two bits one time in four
-            most = 0.75 * (1 - agree) * sig.shape[1] * 32
-            cost = np.concatenate([differing(sig[a[i : i + 4096]], sig[b[i : i + 4096]]) for i in range(0, len(a), 4096)]).astype(np.int64)
-            keep = cost <= most
-            a, b, cost = a[keep], b[keep], cost[keep]
-        return a, b, cost
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
         for batch in _with_end(batches):
@@ -231,7 +236,7 @@ def _linker(radius: int, agree: float):
             found = []
             for s, n in zip(starts[:-1][lens >= 24], lens[lens >= 24], strict=True):
                 own = slice(s, s + n)
-                found.append(links(side[own], fp[own], sig, int(s)))
+                found.append(_links(side[own], fp[own], sig, int(s), radius, agree))
             small = np.repeat(lens < 24, lens)
             which = np.repeat(np.arange(len(lens)), lens)
             for d in range(1, 24):
@@ -239,12 +244,19 @@ def _linker(radius: int, agree: float):
                 if not len(i):
                     continue
                 i = i[near_lanes(fp[i], fp[i + d], radius)]
-                found.append(alike(i, i + d, sig))
+                found.append(_alike(i, i + d, sig, agree))
             a, b, cost = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
             if len(a):
                 # rows are of one cell each, so that the forests are the cells' own
-                a, b = stars(node[a], node[b]) if sig is None else (node[x] for x in best_forest(a, b, cost))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                if sig is None:
+                    a, b = stars(node[a], node[b])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    continue
+                a, b = best_forest(a, b, cost)
+                root = np.arange(len(node))
+                own, least = stars(a, b)
+                root[own] = least
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], part.column("cell").to_numpy()[a], node[root[a]])], ["a", "b", "cell", "tree"])
 
     return run
 
@@ -256,7 +268,8 @@ def _with_end(batches: Iterator) -> Iterator:
 
 def bucket_links(members: DataFrame, radius: int, agree: float = 0.0, chunk: int = CHUNK) -> DataFrame:
     """Links ``(a, b)`` between members ``(bucket, node, fp[, sig])`` of a bucket, a spanning forest of
-    each compared cell. A bucket of more than ``chunk`` members is dealt out as pairs of
+    each compared cell; with signatures ``(a, b, cell, tree)``, which tree of which cell they are of. A
+    bucket of more than ``chunk`` members is dealt out as pairs of
     chunks to different tasks, so no task holds more than two chunks."""
     wide_batches(members.sparkSession)
     sizes = members.groupBy("bucket").count().where("count > 1")
@@ -267,7 +280,7 @@ def bucket_links(members: DataFrame, radius: int, agree: float = 0.0, chunk: int
     cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     cols = ["node", "fp", *(["sig"] if "sig" in members.columns else [])]
     met = met.select(cell.alias("cell"), "side", *cols).repartition("cell").sortWithinPartitions("cell", "side")
-    return met.mapInArrow(_linker(radius, agree), "a long, b long")
+    return met.mapInArrow(_linker(radius, agree), "a long, b long" + ", cell long, tree long" * ("sig" in members.columns))
 
 
 def fingerprint_components(prints: DataFrame, radius: int) -> DataFrame:
@@ -321,19 +334,102 @@ def exact_links(docs: DataFrame, links: DataFrame, id_col: str, text_col: str, w
     return pairs.select("a", "b", "s", "t").mapInArrow(_similar(width, similarity), "a long, b long")
 
 
+def _shingle_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text, width)).tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return run
+
+
+def joining(a: np.ndarray, b: np.ndarray, label: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links a[i], b[i] those that have the Jaccard similarity and join nodes that no label and
+    no earlier link joins. A link is left unchecked only if its nodes are joined by then."""
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(x) for x in sets])
+    first = np.cumsum(size) - size
+    root = np.unique(label, return_inverse=True)[1]
+    mark = np.zeros(len(flat), bool)
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    edges = np.concatenate([[0], np.nonzero(a[1:] != a[:-1])[0] + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
+    out: list[tuple[int, int]] = []
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        x, ys = a[i], b[i:j]
+        ys = ys[root[ys] != root[x]]
+        if not len(ys):
+            continue
+        own, n = flat[first[x] : first[x] + size[x]], size[ys]
+        mark[own] = True
+        start = np.cumsum(n) - n
+        both = np.add.reduceat(mark[flat[np.arange(n.sum()) + np.repeat(first[ys] - start, n)]], start, dtype=np.int64)
+        mark[own] = False
+        for y in ys[both >= similarity * (size[x] + n - both)]:
+            if root[x] != root[y]:
+                root[root == root[y]] = root[x]
+                out.append((x, y))
+    return np.array([x for x, _ in out], np.int64), np.array([y for _, y in out], np.int64)
+
+
+def _join_tree(radius: int, agree: float, similarity: float):
+    def run(part: pa.Table) -> pa.Table:
+        node, fp = part.column("node").to_numpy(), part.column("fp").to_numpy().view(np.uint64)
+        sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint64).reshape(len(node), -1)
+        side, label = part.column("side").to_numpy(), part.column("label").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
+        a, b, _ = _links(side, fp, sig, 0, radius, agree)
+        a, b = joining(a, b, label, sets, similarity)
+        return pa.table({"a": node[a], "b": node[b]})
+
+    return run
+
+
+def open_links(docs: DataFrame, nodes: DataFrame, forest: DataFrame, found: DataFrame, id_col: str, text_col: str, width: int, similarity: float, radius: int, agree: float) -> DataFrame:
+    """The exact links ``(a, b)`` that ``forest`` leaves out and that join components of ``found``.
+
+    Where a forest's link failed the exact check, its tree may hold nodes of several components, and
+    links between them that the forest left out. In each such tree of three nodes or more (two
+    have no other link) every link between different components is checked. Trees of the same nodes
+    are taken once; one of much text is dealt out as pairs of chunks."""
+    ends = forest.select("cell", "tree", F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = ends.join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    key = [F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all")]
+    trees = ends.groupBy("cell", "tree").agg(*key, F.min("label").alias("low"), F.max("label").alias("high"))
+    trees = trees.where("n > 2 and low < high").groupBy("n", "all").agg(F.min(F.struct("cell", "tree")).alias("t")).select("t.cell", "t.tree")
+    ends = cut(ends.join(trees, ["cell", "tree"]).select("cell", "tree", "node", "label"))
+    wanted = ends.select(F.col("node").alias("doc_id")).distinct()
+    own = texts(docs, id_col, text_col).join(wanted.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = cut(own.mapInArrow(_shingle_sets(width), "node long, shingles binary"))
+    held = ends.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node")
+    chunks = held.groupBy("cell", "tree").agg(F.ceil(F.sum("bytes") / HELD_BYTES).cast("int").alias("n"))
+    met = ends.join(chunks, ["cell", "tree"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+    met = met.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    met = met.join(nodes.select("node", "fp", "sig"), "node").join(sets, "node")
+    return met.groupBy("cell", "tree", "i", "j").applyInArrow(_join_tree(radius, agree, similarity), "a long, b long")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 24, minhashes: int = 128, bands: int = 16, rows: int = 4) -> DataFrame:
     """``(doc_id, component_id)``: documents linked when their shingle sets are alike.
 
     For similarities that SimHash pigeonholes can't reach: buckets are min-hash bands of ``rows``
     values; members within ``radius`` SimHash bits (bit-sliced) whose signatures of ``minhashes`` values
     come near the similarity are linked, a forest of the closest links is kept of each bucket, and each of
-    these is held against the exact Jaccard similarity of the texts' shingle sets. Documents of equal
+    these is held against the exact Jaccard similarity of the texts' shingle sets. Where one fails, the
+    links that its tree left out are checked too (:func:`open_links`). Documents of equal
     signature and fingerprint are compared once. Documents without words form one group with each other;
     rows with a null id are left out. Other columns are not read."""
     prints = cut(fingerprints(docs, id_col, text_col, width, minhashes, bands, rows).where("doc_id is not null"))
     nodes = cut(prints.groupBy("fp", "sig", "bands").agg(F.min("doc_id").alias("node")))
     members = nodes.select(F.explode("bands").alias("bucket"), "node", "fp", "sig")
-    near_links = cut(bucket_links(members, radius, similarity - MARGIN).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = connected_components(cut(exact_links(docs, near_links, id_col, text_col, width, similarity)))
+    agree = similarity - MARGIN
+    forest = cut(bucket_links(members, radius, agree))
+    near_links = cut(forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    exact = cut(exact_links(docs, near_links, id_col, text_col, width, similarity))
+    found = cut(connected_components(exact))
+    more = cut(open_links(docs, nodes, forest, found, id_col, text_col, width, similarity, radius, agree))
+    if not more.isEmpty():
+        found = connected_components(exact.unionByName(more))
     named = nodes.join(found, "node", "left").select("fp", "sig", "bands", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, ["fp", "sig", "bands"]).select("doc_id", "component_id")

@@ -109,3 +109,38 @@ def test_similar(docs):
     rows = [(4, " ".join(words)), (2, " ".join(near)), (7, " ".join(far)), (6, " ".join(words)), (8, None), (9, "")]
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(rows)).collect()}
     assert got == {4: 2, 2: 2, 6: 2, 7: 7, 8: 8, 9: 8}
+
+
+def plain_similar(texts: dict[int, str], may=lambda i, j: True, width: int = 5, similarity: float = 0.8) -> dict[int, int]:
+    sets = {i: {tuple(t.lower().split()[k : k + width]) for k in range(len(t.split()) - width + 1)} for i, t in texts.items()}
+    label = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if i < j and label[i] != label[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and may(i, j):
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+def families() -> dict[int, str]:
+    """Variants whose similarities lie on both sides of the limit."""
+    rng = np.random.default_rng(5)
+    rows = {}
+    for family in range(4):
+        words = [f"f{family}w{k}" for k in range(150)]
+        for k in range(24):
+            own = words.copy()
+            for at in rng.choice(150, 2 + k % 2, replace=False):
+                own[at] = f"x{k}y{at}"
+            rows[family * 100 + k] = " ".join(own)
+    return rows
+
+
+@pytest.mark.parametrize("held", [2000, 1 << 24])
+def test_open_links(docs, monkeypatch, held):
+    monkeypatch.setattr(simhash, "HELD_BYTES", held, raising=False)
+    rows, scale = families(), simhash._permutations(128)
+    bands = {i: set(simhash.signature(simhash.shingle_hashes(t.encode(), 5), scale, 16, 4)[0]) for i, t in rows.items()}
+    monkeypatch.setattr(simhash, "MARGIN", 0.25)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(list(rows.items()))).collect()}
+    assert got == plain_similar(rows, lambda i, j: bool(bands[i] & bands[j]))
