@@ -144,3 +144,32 @@ def test_open_links(docs, monkeypatch, held):
     monkeypatch.setattr(simhash, "MARGIN", 0.25)
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(list(rows.items()))).collect()}
     assert got == plain_similar(rows, lambda i, j: bool(bands[i] & bands[j]))
+
+
+def test_similar_families(docs):
+    rows = families()
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(list(rows.items()))).collect()}
+    assert got == plain_similar(rows)
+
+
+def test_similar_repeated_line(docs):
+    words = [f"w{k}" for k in range(200)]
+    line = words[3:13]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:13] + line * 100 + words[13:]))]
+    h = [simhash.shingle_hashes(t.encode(), 5) for _, t in rows]
+    assert (simhash.fingerprint(h[0]) ^ simhash.fingerprint(h[1])).bit_count() > 24
+    assert {r.component_id for r in simhash.similar_groups(docs(rows)).collect()} == {1}
+
+
+def test_signatures_tell_similarity():
+    rng, scale = np.random.default_rng(7), simhash._permutations(128)
+    differ, met = [], 0
+    for _ in range(300):  # Jaccard 0.8: 80 of 100
+        h = rng.integers(0, 1 << 63, 100, np.uint64)
+        (one, x), (two, y) = (simhash.signature(h[at], scale, 16, 4) for at in (slice(0, 90), slice(10, 100)))
+        met += bool(set(one) & set(two))
+        differ.append(int(simhash.differing(np.frombuffer(x, np.uint64)[None], np.frombuffer(y, np.uint64)[None])[0]))
+    assert met >= 298
+    assert abs(np.mean(differ) - 19.2) < 2
+    most = 0.75 * (1 - (0.8 - simhash.MARGIN)) * 128
+    assert sum(d > most for d in differ) <= 1
