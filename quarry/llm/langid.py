@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import fold, keep_rows, small_batches
@@ -171,14 +171,18 @@ def _count(order: int):
 
 def train(rows: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> Model:
     """Trees of the ``(doc_id, lang, text binary)`` rows: of each language about ``sample_bytes`` bytes of
-    whole texts, those of the smallest hashes of id. More than ``languages`` labels are an error."""
+    whole texts, those of the smallest hashes of id until so many are reached, at least one. More than ``languages`` labels are an error."""
     rows = rows.where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("total"))
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("total"), F.count("*").alias("n"))
     if sizes.count() > languages:
         raise ValueError(f"more than {languages} languages")
-    share = F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest(F.col("total"), F.lit(1)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.join(F.broadcast(sizes), "lang").where(draw < share)  # sizes: a row per language
+    # several times the sample, and some dozens of texts at least: in these it is found, whatever the table's size
+    wide = F.greatest(F.lit(4.0 * sample_bytes) / F.greatest("total", F.lit(1)), F.lit(64.0) / F.col("n"))
+    first = rows.select("lang", draw.alias("draw"), F.octet_length("text").alias("bytes")).join(F.broadcast(sizes), "lang").where(F.col("draw") < wide)
+    before = F.sum("bytes").over(Window.partitionBy("lang").orderBy("draw").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("bytes")
+    upto = first.withColumn("before", before).where(F.col("before") < sample_bytes).groupBy("lang").agg(F.max("draw").alias("upto"))
+    picked = rows.join(F.broadcast(upto), "lang").where(draw <= F.col("upto"))  # a row per language
     counts = picked.select("lang", "text").mapInArrow(_count(order), "lang string, n int, gram long, count long")
     total = counts.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")).toArrow()
     lang, n = np.array(total.column("lang").to_pylist(), object), total.column("n").to_numpy()

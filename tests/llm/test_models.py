@@ -68,6 +68,12 @@ def test_language_edges(docs):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.lang_pred != "und" and r.score >= 0.5}
 
 
+def test_language_of_few_long_texts(docs):
+    rows = [(k, "the and of with house " * 100, "en") for k in range(20)] + [(k + 20, "der und die mit haus " * 100, "de") for k in range(20)]
+    got = langid.identify(docs(rows, ", lang string"), sample_bytes=200).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: lang for i, _, lang in rows}
+
+
 def test_scores(spark):
     texts = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     words = {i: [*(t or "").encode().lower().split(), b""] for i, t in texts}
