@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Where tests and single machines keep cut lineage when the cluster names no folder.
@@ -22,6 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, else a local one (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (named or LOCAL_SHARED.as_uri()).rstrip("/")
 
 
@@ -104,6 +106,24 @@ def fold(col: Column, remainder_of: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % remainder_of
 
 
+def sample_texts(rows: DataFrame, budget: int) -> list[bytes]:
+    """Of ``(doc_id, text binary)`` the texts of the smallest hashes until ``budget`` bytes are reached, the
+    last one cut there: the same ones however the table is dealt, at least one if there is any."""
+    n, total = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    if not n:
+        return []
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 40))
+    # several times the budget, and some dozens of texts at least: in these it is found, whatever the table's size
+    wide = min(1.0, max(4.0 * budget / max(1, total or 0), 64.0 / n)) * (1 << 40)
+    few = rows.select(draw.alias("draw"), F.substring("text", 1, budget).alias("text")).where(F.col("draw") < int(wide))
+    before = F.sum(F.octet_length("text")).over(Window.orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, -1))
+    out, left = [], budget
+    for r in few.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < budget).orderBy("draw", "text").collect():
+        out.append(bytes(r["text"])[:left])
+        left -= len(out[-1])
+    return out
+
+
 def signed(x: int) -> int:
     """A 64-bit pattern as a signed long."""
     return x - (1 << 64) if x >> 63 else x

@@ -21,14 +21,18 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, keep_rows, small_batches
-
-#: Longest context in bytes; training bytes of a language, about; languages at most.
-ORDER, SAMPLE_BYTES, LANGUAGES = 4, 1 << 20, 256
+from quarry.llm.common import fold, keep_rows, sample_texts, small_batches
+
+#: Longest context in bytes; training bytes of a language, about, and of all languages together: with more of
+#: them each has less, so that what is sent to the workers is bounded.
+ORDER, SAMPLE_BYTES, TOTAL_BYTES = 4, 1 << 20, 16 << 20
+#: Held-out bytes that tell what texts in a language cost; robust deviations over their median, and bits more
+#: for a text of any length, beyond which no language explains a text.
+CALIBRATION_BYTES, DEVIATIONS, SLACK_BITS = 1 << 18, 10.0, 256.0
 _LETTER = regex.compile(r"\p{L}").search
 _ASCII_LETTERS = bytes([*range(65, 91), *range(97, 123)])
-#: Grams whose costs a worker keeps: slots of a direct-mapped table.
-SLOTS = 1 << 18
+#: Costs that a worker keeps, of grams in all languages: a direct-mapped table.
+KEPT = 1 << 20
 
 
 def grams(data: np.ndarray, n: int) -> np.ndarray:
@@ -96,8 +100,9 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.keys = np.full(SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.kept = np.zeros((SLOTS, len(model.langs)))
+        self.bits = max(10, (KEPT // max(1, len(model.langs))).bit_length() - 1)
+        self.keys = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.kept = np.zeros((1 << self.bits, len(model.langs)))
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """(texts, languages): bits of each whole text. Sums run over each text alone and in its own
@@ -112,13 +117,13 @@ class Scorer:
 
     def _costs(self, full: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            slot = (full * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
+            slot = (full * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
         miss = self.keys[slot] != full
         if miss.any():
             new, at = np.unique(full[miss], return_inverse=True)
             costs = self.model.costs(new)
             with np.errstate(over="ignore"):
-                own = (new * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
+                own = (new * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
             found = self.kept[slot]
             found[miss] = costs[at]
             own, pick = np.unique(own, return_index=True)  # one of those that share a slot
@@ -169,20 +174,20 @@ def _count(order: int):
     return run
 
 
-def train(rows: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> Model:
-    """Trees of the ``(doc_id, lang, text binary)`` rows: of each language about ``sample_bytes`` bytes of
-    whole texts, those of the smallest hashes of id until so many are reached, at least one. More than ``languages`` labels are an error."""
+def train(rows: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> Model:
+    """Trees of the ``(doc_id, lang, text binary)`` rows: of each language the texts of the smallest hashes until
+    ``sample_bytes`` bytes are reached, or an equal share of ``total_bytes`` where there are many languages; at least
+    one text, and of a longer one so many bytes."""
     rows = rows.where("lang is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("total"), F.count("*").alias("n"))
-    if sizes.count() > languages:
-        raise ValueError(f"more than {languages} languages")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    budget = max(1, min(sample_bytes, total_bytes // max(1, sizes.count())))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # several times the sample, and some dozens of texts at least: in these it is found, whatever the table's size
-    wide = F.greatest(F.lit(4.0 * sample_bytes) / F.greatest("total", F.lit(1)), F.lit(64.0) / F.col("n"))
-    first = rows.select("lang", draw.alias("draw"), F.octet_length("text").alias("bytes")).join(F.broadcast(sizes), "lang").where(F.col("draw") < wide)
+    wide = F.greatest(F.lit(4.0 * budget) / F.greatest("total", F.lit(1)), F.lit(64.0) / F.col("n"))
+    first = rows.select("lang", draw.alias("draw"), F.least(F.octet_length("text"), F.lit(budget)).alias("bytes")).join(sizes, "lang").where(F.col("draw") < wide)
     before = F.sum("bytes").over(Window.partitionBy("lang").orderBy("draw").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("bytes")
-    upto = first.withColumn("before", before).where(F.col("before") < sample_bytes).groupBy("lang").agg(F.max("draw").alias("upto"))
-    picked = rows.join(F.broadcast(upto), "lang").where(draw <= F.col("upto"))  # a row per language
+    upto = first.withColumn("before", before).where(F.col("before") < budget).groupBy("lang").agg(F.max("draw").alias("upto"))
+    picked = rows.join(upto, "lang").where(draw <= F.col("upto")).withColumn("text", F.substring("text", 1, budget))
     counts = picked.select("lang", "text").mapInArrow(_count(order), "lang string, n int, gram long, count long")
     total = counts.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")).toArrow()
     lang, n = np.array(total.column("lang").to_pylist(), object), total.column("n").to_numpy()
@@ -235,13 +240,27 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.select("doc_id", "text", "held_out").mapInArrow(_predict(*shared), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """The rows, with all their columns, whose text a learned language explains: texts that are null or
-    have no letter go, and those whose best language has a score under ``least``. Learns as
-    :func:`identify` does."""
+def usual_cost(model: Model, texts: list[bytes]) -> float:
+    """Bits a byte beyond which a text is none of the languages': DEVIATIONS robust deviations over the median of
+    texts in them; no bound without such texts."""
+    known = [t for t in texts if model.langs and has_letter(t)]
+    if not known:
+        return float("inf")
+    each = Scorer(model).lengths(known).min(axis=1) / np.array([len(t) for t in known])
+    low, middle, high = np.percentile(each, [25, 50, 75])
+    return float(middle + DEVIATIONS * max((high - low) / 1.349, 0.01 * middle))
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """The rows, with all their columns, whose text a learned language explains. Texts go that are null or have no
+    letter, and those whose shortest code is longer than SLACK_BITS and, for each byte, what held-out texts
+    with a label hardly ever cost (:func:`usual_cost`, on CALIBRATION_BYTES of them). Learns as :func:`identify`
+    does; with nothing to learn from all rows go."""
     small_batches(docs.sparkSession)
-    rows = docs.where(~_default_fold(F.col(id_col))).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    shared = _share(docs.sparkSession, train(rows, order, sample_bytes))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"), _default_fold(F.col(id_col)).alias("held"))
+    model = train(rows.where("not held"), order, sample_bytes)
+    most = usual_cost(model, sample_texts(rows.where("held and lang is not null and text is not null").select("doc_id", "text"), CALIBRATION_BYTES))
+    shared = _share(docs.sparkSession, model)
 
     def judge():
         scorer = _scorer(*shared)
@@ -249,7 +268,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def keeps(texts: list[bytes | None]) -> list[bool]:
             known = [bool(t) and bool(scorer.model.langs) and has_letter(t) for t in texts]
             lengths = scorer.lengths([t if k else b"" for t, k in zip(texts, known, strict=True)])
-            return [k and float(1 / np.exp2(np.maximum(row.min() - row, -1000.0)).sum()) >= least for k, row in zip(known, lengths, strict=True)]
+            return [k and float(row.min()) <= most * len(t) + SLACK_BITS for t, k, row in zip(texts, known, lengths, strict=True)]
 
         return keeps
 

@@ -23,6 +23,8 @@ from quarry.llm.common import cut, texts
 
 #: Tokens of a sequence, id that ends a document, pieces of a shard, vocabulary.
 CAPACITY, END, SHARD, VOCABULARY = 2048, 0, 4096, "word_bpe_49k.json"
+#: The search ends with a round after which the underfull bins are fewer by less than this share.
+GAIN = 0.005
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -88,12 +90,17 @@ class Search:
         """What bin k can give in exchange: nothing (a move), one piece, or two."""
         own = self.bins[k]
         out: dict[int, tuple[int, ...]] = {0: ()}
+        by_length: dict[int, list[int]] = {}
         for i in own:
-            out.setdefault(self.lengths[i], (i,))
-        few = own[:24] if len(own) > 24 else own  # pairs of the longest of many short pieces
-        for x, i in enumerate(few):
-            for j in few[x + 1 :]:
-                out.setdefault(self.lengths[i] + self.lengths[j], (i, j))
+            by_length.setdefault(self.lengths[i], []).append(i)
+        for n, items in by_length.items():
+            out.setdefault(n, (items[0],))
+        several = list(by_length.items())  # different lengths in one bin are few: they add up to no more than it
+        for x, (n, items) in enumerate(several):
+            if len(items) > 1:
+                out.setdefault(2 * n, (items[0], items[1]))
+            for m, others in several[x + 1 :]:
+                out.setdefault(n + m, (items[0], others[0]))
         return out
 
     def step(self, k: int) -> bool:
@@ -186,7 +193,7 @@ def _pack_shard(capacity: int, turn: int):
             items.sort()
             at = 0
             for i in items:
-                sequence[i], offset[i] = turn << 56 | shard << 24 | k, at
+                sequence[i], offset[i] = turn << 52 | shard << 24 | k, at
                 at += lengths[i]
             for i in items:
                 short[i] = at < capacity
@@ -205,18 +212,18 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sequence and offset gives the training rows."""
     now = cut(pieces(docs, id_col, text_col, vocabulary, capacity, end, with_ids).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "short": F.lit(True)}))
     cols = [c for c in now.columns if c != "short"]
-    n, turn, done = now.count(), 0, []
+    n, turn, done, before = now.count(), 0, [], None
     schema = ", ".join(f"{c} {t}" for c, t in now.dtypes)
     while n:
         shards = -(-n // shard)
         key = F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(shards))
         packed = cut(now.withColumn("shard", key).groupBy("shard").applyInArrow(_pack_shard(capacity, turn), schema))
-        left = packed.where("short").count()
-        if shards == 1 or left > 0.7 * n or turn == 30:
+        left, bins = packed.where("short").agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
+        if shards == 1 or before is not None and bins > (1 - GAIN) * before:
             done.append(packed)
             break
         done.append(packed.where("not short"))
-        now, n, turn = packed.where("short"), left, turn + 1
+        now, n, turn, before = packed.where("short"), left, turn + 1, bins
     if not done:
         return now.select(*cols)
     out = done[0]

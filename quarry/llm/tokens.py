@@ -6,17 +6,18 @@ of its words, one after the other. Workers keep the ids of the words they met la
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from functools import cache
 
-import numpy as np
 
 #: A worker has one core; threads of its own would only add memory.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words whose ids a worker keeps in each of two generations.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 250_000
 
 
 @cache
@@ -67,25 +68,43 @@ class Memory:
                 rest.append(w)
                 continue
             letters, marks = plain.groups()
-            ids = [t.id for t in one(letters if letters.isascii() else letters.translate(_AS_BYTES))]
+            ids = array("I", [t.id for t in one(letters if letters.isascii() else letters.translate(_AS_BYTES))])
             if marks:
-                ids += [t.id for t in one(marks)]
-            young[w] = np.array(ids, "<u4").tobytes()
+                ids.extend([t.id for t in one(marks)])
+            young[w] = ids.tobytes()
         for k in range(0, len(rest), 4096):
             part = rest[k : k + 4096]
             found = tokens.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            young.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+            young.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
         return young
 
 
 _memory: dict[str, Memory] = {}
 
+#: How the word-level vocabularies normalize and split.
+_NORMALIZER = ("NFC", "Replace", "Lowercase")
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+@cache
+def by_words(path: str) -> bool:
+    """Whether the tokenizer lower-cases, drops white space and never joins pieces across it."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    normal = (made.get("normalizer") or {}).get("normalizers") or []
+    split = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return tuple(x["type"] for x in normal) == _NORMALIZER and (split.get("pattern") or {}).get("Regex") == _SPLIT and split.get("behavior") == "Removed" and bool(split.get("invert"))
+
 
 def encode(docs: list[bytes], path: str) -> list[bytes]:
     """The ids of each UTF-8 text, as little-endian unsigned 32-bit values.
 
-    Words are split at bytes 9 to 13 and 32. The tokenizer lower-cases, so A-Z are lowered first
-    unless a text may hold the name of a special token, which counts only as written."""
+    Of a word-level vocabulary words are encoded once, split at bytes 9 to 13 and 32; it lower-cases, so A-Z are
+    lowered first unless a text may hold the name of a special token, which counts only as written. Any
+    other vocabulary encodes whole texts."""
+    if not by_words(path):
+        found = tokenizer(path).encode_batch_fast([x.decode() for x in docs], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
     memory = _memory.setdefault(path, Memory())
     out: list[bytes] = []
     for i in range(0, len(docs), 64):
