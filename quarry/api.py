@@ -6,18 +6,22 @@ answerer are callables given by the caller; without a model, a hashing embedder
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from datetime import UTC, datetime
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import config as C
 from quarry.functions import text as T
 from quarry.functions.imports import summary
-from quarry.operators import chunking, context, dense, retrieve, store
+from quarry.operators import chunking, context, dense, retrieve, sparse, store
 from quarry.sources import files, tables
 
 # Codes and their messages.
@@ -77,23 +81,66 @@ def model_text(content: object) -> str:
     return "".join(p if isinstance(p, str) else p.get("text", "") for p in parts if isinstance(p, str) or (isinstance(p, dict) and isinstance(p.get("text", ""), str)))
 
 
+# What a repository's status is called and how its badge looks.
+STATUS_LABELS = {"idle": "未加载", "loaded": "已加载", "indexing": "索引中", "indexed": "已索引", "failed": "失败"}
+
+
+class Chunker(Protocol):
+    """Splits files ``(repo_id, path, content)`` into chunk rows."""
+
+    def __call__(self, files: DataFrame, cfg: C.Config) -> DataFrame: ...
+
+
+class DenseSearch(Protocol):
+    """Ranks stored vectors for each question, as :func:`quarry.operators.dense.top_k` does."""
+
+    def __call__(self, vectors: DataFrame, questions: DataFrame, k: int | str, *, repo_col: str | None, whitelist: DataFrame | None) -> DataFrame: ...
+
+
+class SparseSearch(Protocol):
+    """Ranks chunks of a full-text index, as :func:`quarry.operators.sparse.bm25` does."""
+
+    def __call__(self, index: sparse.Index, questions: DataFrame, tokens: Column, limit: int | str, *, repo: bool, whitelist: DataFrame | None) -> DataFrame: ...
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, path: str, cfg: C.Config = C.Config(), embedder: Embedder | None = None, answerer: Callable[[str], str] | None = None):
+    """``chunker``, ``dense_search`` and ``sparse_search`` may be replaced by others of the same form."""
+
+    def __init__(self, spark: SparkSession, path: str, cfg: C.Config = C.Config(), embedder: Embedder | None = None, answerer: Callable[[str], str] | None = None, chunker: Chunker = chunking.chunk_files, dense_search: DenseSearch = dense.top_k, sparse_search: SparseSearch = sparse.bm25):
         self.spark, self.cfg, self.store = spark, cfg, store.Store(spark, path)
         self.embedder, self.answerer = embedder or hashing_embedder(), answerer
+        self.chunker, self.dense_search, self.sparse_search = chunker, dense_search, sparse_search
+        self.timings: list[dict] = []
+
+    @contextmanager
+    def _timed(self, stage: str, repo_id: str | None = None) -> Iterator[None]:
+        """Keep how long a stage took on the driver; :meth:`stage_log` gives them as a table."""
+        begin = time.time()
+        try:
+            yield
+        finally:
+            self.timings.append({"event_type": stage, "repo_id": repo_id, "ts": datetime.fromtimestamp(begin, UTC), "value": 1000 * (time.time() - begin)})
+
+    def stage_log(self) -> DataFrame:
+        """``(event_type, repo_id, ts, value)``: milliseconds of the stages run so far, for ``event_stages``."""
+        return self.spark.createDataFrame(self.timings, "event_type string, repo_id string, ts timestamp, value double")
 
     def health(self) -> dict:
         return envelope(lambda: {"status": "ok", "spark": self.spark.version})
 
     def _repo(self, repo_id: str) -> dict:
-        row = tables.lookup(self.store.read("repos"), id=repo_id).first()
+        row = self.store.read("repos", repo_id).first()
         if row is None:
             raise Failed(1003)
         return row.asDict()
 
-    def _set(self, repo_id: str, **values) -> None:
+    def _changed(self, repo_id: str, **values) -> tuple[str, str, str, DataFrame]:
+        """A change of a repository's row, for a commit."""
         new = {k: F.lit(v) for k, v in values.items()} | {"updated_at": F.current_timestamp()}
-        self.store.write("repos", store.update(self.store.read("repos"), F.col("id") == repo_id, **new))
+        return "repos", repo_id, "replace", store.update(self.store.read("repos", repo_id), F.col("id") == repo_id, **new)
+
+    def _set(self, repo_id: str, **values) -> None:
+        self.store.commit([self._changed(repo_id, **values)])
 
     def import_repo(self, path: str, kind: str = "local") -> dict:
         """Register a source tree and keep its files."""
@@ -101,20 +148,20 @@ class Engine:
         def call() -> dict:
             row = self.spark.createDataFrame([(path, kind)], "path string, type string").select(T.normalize_source(F.col("type"), F.col("path")).alias("path"), "type")
             place = row.first()["path"]
-            if not place or kind == "git":
-                raise Failed(1001, "a local path is needed")
+            if not place or (kind == "git") != place.startswith(("https://", "git@", "file://")):
+                raise Failed(1001, "no such source")
             if store.duplicates(self.store.read("repos"), row).count():
                 raise Failed(1002)
             repo_id = uuid.uuid5(uuid.NAMESPACE_URL, f"{kind}:{place}").hex
             try:
-                found = files.source_files(self.spark, place, repo_id, C.REPO_MAX_SIZE_MB)
-                self.store.write("files", store.delete(self.store.read("files"), repo_id).unionByName(found))
+                root = files.clone_source(place) if kind == "git" else place
+                with self._timed("import", repo_id):
+                    n = self.store.commit([("files", repo_id, "replace", files.source_files(self.spark, root, repo_id, C.REPO_MAX_SIZE_MB))])["files"]
             except Exception as e:
                 raise Failed(1001, str(e)[:200]) from e
-            n = self.store.read("files").where(F.col("repo_id") == repo_id).count()
             now = F.current_timestamp()
             new = row.select(F.lit(repo_id).alias("id"), "path", "type", F.lit("loaded").alias("status"), F.lit(n).cast("long").alias("file_count"), F.lit(0).cast("long").alias("chunk_count"), now.alias("created_at"), now.alias("updated_at"), F.lit(None).cast("string").alias("embedding_model_id"), F.lit(None).cast("int").alias("embedding_dimension"))
-            self.store.write("repos", store.upsert(self.store.read("repos"), new))
+            self.store.commit([("repos", repo_id, "replace", new)])
             return {"repo_id": repo_id, "file_count": n}
 
         return envelope(call)
@@ -123,15 +170,17 @@ class Engine:
         """Whether the repository's files are at hand; read again if they are missing. Never raises."""
         try:
             repo = self._repo(repo_id)
-            held = self.store.read("files")
-            if held.where(F.col("repo_id") == repo_id).limit(1).count():
+            if self.store.read("files", repo_id).limit(1).count():
                 return True
             found = files.source_files(self.spark, repo["path"], repo_id, C.REPO_MAX_SIZE_MB)
-            self.store.write("files", held.unionByName(found))
-            return self.store.read("files").where(F.col("repo_id") == repo_id).limit(1).count() > 0
+            return self.store.commit([("files", repo_id, "replace", found)])["files"] > 0
         except Exception:  # a missing tree is an answer here
             return False
 
+    def forget_files(self, repo_id: str) -> int:
+        """Drop the kept files of a repository; how many there were."""
+        return self.store.commit([("files", repo_id, "drop", None)]).get("files", 0)
+
     def indexed(self) -> tuple[DataFrame, DataFrame]:
         """Repositories that can be asked, and the others."""
         rows = self.store.read("repos")
@@ -154,19 +203,29 @@ class Engine:
                 raise Failed(2002)
             self._set(repo_id, status="indexing")
             try:
-                own = self.store.read("files").where(F.col("repo_id") == repo_id)
-                chunks = chunking.chunk_files(own, self.cfg).persist()
+                with self._timed("chunk", repo_id):
+                    chunks = self.chunker(self.store.read("files", repo_id), self.cfg).persist()
+                    n = chunks.count()
                 body = T.index_body(F.col("file_path"), F.col("import_summary"), F.col("chunk_type"), F.col("chunk_name"), F.col("content"))
-                vectors = embed_rows(chunks.select(F.col("id").alias("chunk_id"), "repo_id", body.alias("body")), "body", self.embedder).persist()
-                sizes = [r[0] for r in vectors.select(F.size("embedding")).distinct().collect()]
+                bodies = chunks.select(F.col("id").alias("chunk_id"), "repo_id", body.alias("body"))
+                with self._timed("embed", repo_id):
+                    vectors = embed_rows(bodies, "body", self.embedder).persist()
+                    sizes = [r[0] for r in vectors.select(F.size("embedding")).distinct().collect()]
                 if len(sizes) > 1 or (sizes and self.cfg.embedding_dimension not in (None, sizes[0])):
                     raise Failed(4001)
                 now = F.current_timestamp()
-                self.store.write("chunks", store.delete(self.store.read("chunks"), repo_id).unionByName(chunks.drop("import_summary").withColumn("created_at", now)))
                 kept = vectors.select(F.col("chunk_id").alias("id"), "chunk_id", "repo_id", "embedding", F.lit(self.cfg.embedding_model).alias("model"), now.alias("created_at"))
-                self.store.write("embeddings", store.delete(self.store.read("embeddings"), repo_id).unionByName(kept))
-                n = chunks.count()
-                self._set(repo_id, status="indexed", chunk_count=n, embedding_model_id=self.cfg.embedding_model, embedding_dimension=sizes[0] if sizes else None)
+                index = sparse.Index.of(bodies, F.col("body"))
+                with self._timed("store", repo_id):
+                    self.store.commit(
+                        [
+                            ("chunks", repo_id, "replace", chunks.drop("import_summary").withColumn("created_at", now)),
+                            ("embeddings", repo_id, "replace", kept),
+                            ("postings", repo_id, "replace", index.postings.sortWithinPartitions("term")),
+                            ("fts_stats", repo_id, "replace", index.stats.select(F.lit(repo_id).alias("repo_id"), "n_chunks", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))),
+                            self._changed(repo_id, status="indexed", chunk_count=n, embedding_model_id=self.cfg.embedding_model, embedding_dimension=sizes[0] if sizes else None),
+                        ]
+                    )
                 vectors.unpersist()
                 chunks.unpersist()
                 return {"chunk_count": n, "status": "indexed"}
@@ -176,6 +235,10 @@ class Engine:
 
         return envelope(call)
 
+    def fts_index(self) -> sparse.Index:
+        """The stored full-text index of all repositories."""
+        return sparse.Index(self.store.read("postings"), self.store.read("fts_stats"))
+
     def reload(self, repo_id: str) -> dict:
         """Read the tree again and rebuild the index."""
 
@@ -184,11 +247,11 @@ class Engine:
             if repo["status"] == "indexing":
                 raise Failed(1004)
             try:
-                found = files.source_files(self.spark, repo["path"], repo_id, C.REPO_MAX_SIZE_MB)
-                self.store.write("files", store.delete(self.store.read("files"), repo_id).unionByName(found))
+                root = files.clone_source(repo["path"]) if repo["type"] == "git" else repo["path"]
+                found = files.source_files(self.spark, root, repo_id, C.REPO_MAX_SIZE_MB)
+                n = self.store.commit([("files", repo_id, "replace", found)])["files"]
             except Exception as e:
                 raise Failed(1001, str(e)[:200]) from e
-            n = self.store.read("files").where(F.col("repo_id") == repo_id).count()
             self._set(repo_id, status="loaded", file_count=n)
             built = self.build_index(repo_id, rebuild=True)
             if built["code"]:
@@ -198,19 +261,18 @@ class Engine:
         return envelope(call)
 
     def delete_repo(self, repo_id: str) -> dict:
+        """The repository and all that hangs on it, as one change; data: rows that went, by table."""
+
         def call() -> dict:
             self._repo(repo_id)
-            names = ("embeddings", "chunks", "files", "chat_history", "repos")
-            ids = self.spark.createDataFrame([(repo_id,)], "repo_id string")
-            for name, rows in store.cascade({n: self.store.read(n) for n in names}, ids).items():
-                self.store.write(name, rows)
-            return {"repo_id": repo_id}
+            names = ("embeddings", "postings", "fts_stats", "chunks", "files", "chat_history", "repos")
+            return {"repo_id": repo_id, "deleted": self.store.commit([(n, repo_id, "drop", None) for n in names])}
 
         return envelope(call)
 
     def guard(self, repo_id: str) -> dict | None:
         """The indexed space of a repository; none without vectors. Another model is an error (4003)."""
-        row = dense.fingerprint(self.store.read("embeddings").where(F.col("repo_id") == repo_id)).first()
+        row = dense.fingerprint(self.store.read("embeddings", repo_id)).first()
         if row is None:
             return None
         if not row["uniform"]:
@@ -233,9 +295,10 @@ class Engine:
                 self.guard(r["repo_id"])
             asked = embed_rows(questions, "question", self.embedder).withColumnRenamed("embedding", "vector")
             chunks = self.store.read("chunks").withColumnRenamed("id", "chunk_id")
-            found = retrieve.hybrid(chunks, self.store.read("embeddings"), asked, top_k, self.cfg, repo=True, whitelist=chunk_ids).persist()
-            if not found.limit(1).count():
-                raise Failed(3001)
+            found = retrieve.hybrid(chunks, self.store.read("embeddings"), asked, top_k, self.cfg, repo=True, whitelist=chunk_ids, index=self.fts_index(), dense_search=self.dense_search, sparse_search=self.sparse_search).persist()
+            with self._timed("retrieve"):
+                if not found.limit(1).count():
+                    raise Failed(3001)
             own = questions.select("question_id", "repo_id").join(self.store.read("files").withColumn("key", T.normalize_path(F.col("path"))), "repo_id")
             with_files = found.withColumn("key", T.normalize_path(F.col("file_path"))).join(own.select("question_id", "key", summary(F.col("content"), F.col("path")).alias("import_summary")).dropDuplicates(["question_id", "key"]), ["question_id", "key"], "left")
             packed = context.pack_results(with_files, self.cfg.max_context_tokens)
@@ -244,18 +307,25 @@ class Engine:
                 return out.select("question_id", "context", "references")
             prompts = out.withColumn("prompt", context.prompt(F.col("question"), F.col("context")))
             answerer = self.answerer
-            return prompts.select("question_id", "context", "references", F.udf(answerer, "string")("prompt").alias("answer"))
+
+            @F.pandas_udf("string")
+            def answer(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+                for part in parts:
+                    yield part.map(answerer)
+
+            return prompts.select("question_id", "context", "references", answer("prompt").alias("answer"))
 
         return envelope(call)
 
     def history(self, repo_id: str) -> dict:
-        return envelope(lambda: self._repo(repo_id) and tables.history_of(self.store.read("chat_history"), repo_id).withColumn("parsed", store.parse_references(F.col("references_json"))))
+        return envelope(lambda: self._repo(repo_id) and tables.history_of(self.store.read("chat_history", repo_id), repo_id).withColumn("parsed", store.parse_references(F.col("references_json"))))
 
     def save_message(self, repo_id: str, role: str, content: str, references_json: str | None = None) -> dict:
         def call() -> dict:
             self._repo(repo_id)
             new = self.spark.createDataFrame([(uuid.uuid4().hex, repo_id, 0, role, content, references_json)], "id string, repo_id string, seq long, role string, content string, references_json string")
-            self.store.write("chat_history", store.append_message(self.store.read("chat_history"), new.withColumn("created_at", F.current_timestamp())))
+            held = self.store.read("chat_history", repo_id)
+            self.store.commit([("chat_history", repo_id, "append", store.next_messages(held, new.withColumn("created_at", F.current_timestamp())))])
             return {"id": new.first()["id"]}
 
         return envelope(call)
@@ -263,7 +333,6 @@ class Engine:
     def clear_history(self, repo_id: str) -> dict:
         def call() -> dict:
             self._repo(repo_id)
-            self.store.write("chat_history", store.delete(self.store.read("chat_history"), repo_id))
-            return {}
+            return {"deleted": self.store.commit([("chat_history", repo_id, "drop", None)]).get("chat_history", 0)}
 
         return envelope(call)

@@ -74,25 +74,6 @@ def detect_intent(question: Column) -> Column:
     return F.when(F.lower(question).rlike(LOCATE), "locate").otherwise("explain")
 
 
-def boundary_hits(text: Column, token: Column) -> Column:
-    """Non-overlapping matches of the token between characters that are no word characters; a boundary
-    character belongs to one match only. Texts without the token skip the pattern."""
-    pattern = F.concat(F.lit("(^|[^a-z0-9_])"), F.replace(token, F.lit("."), F.lit("\\.")), F.lit(r"([^a-z0-9_]|\z)"))
-    return F.when(F.contains(text, token), F.regexp_count(text, pattern)).otherwise(0)
-
-
-def lexical_score(tokens: Column, path: Column, name: Column, content: Column) -> Column:
-    """4 a path hit, 3 a name hit, half a content hit, summed over tokens; a path or name that merely
-    contains the token counts one hit. Arguments are lower-cased columns; a null name is empty."""
-
-    def one(t: Column) -> Column:
-        p, n = boundary_hits(path, t), boundary_hits(name, t)
-        loose_p, loose_n = F.contains(path, t).cast("int"), F.contains(name, t).cast("int")
-        return F.when(p > 0, p).otherwise(loose_p) * 4.0 + F.when(n > 0, n).otherwise(loose_n) * 3.0 + boundary_hits(content, t) * 0.5
-
-    return F.aggregate(tokens, F.lit(0.0), lambda s, t: s + one(t))
-
-
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)\z", 1))
 
@@ -103,11 +84,6 @@ def source_language(path: Column) -> Column:
     return F.when(ext.isin(".ts", ".tsx", ".js", ".jsx"), "js").when(ext == ".py", "python")
 
 
-def grammar(path: Column) -> Column:
-    ext = extension(path)
-    return F.when(ext == ".ts", "typescript").when(ext == ".tsx", "tsx").when(ext.isin(".js", ".jsx"), "javascript").when(ext == ".py", "python")
-
-
 def wanted_file(path: Column) -> Column:
     """Whether a relative path passes the directory, extension and file-name rules."""
     name = F.regexp_extract(path, r"([^/]*)\z", 1)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -42,10 +43,11 @@ def _best(ids: list, unit: np.ndarray, groups: list, depth: np.ndarray, kinds: l
             if not batch.num_rows:
                 continue
             names, own = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if len(flat) != batch.num_rows * unit.shape[1]:
+            flat = batch.column(1).flatten()
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            if (sizes != unit.shape[1]).any() or flat.null_count:
                 raise DimensionMismatch(f"4001: vectors are not of dimension {unit.shape[1]}")
-            vectors = flat.reshape(batch.num_rows, -1)
+            vectors = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             norm = np.sqrt((vectors * vectors).sum(axis=1))
             vectors = np.divide(vectors, norm[:, None], out=np.zeros_like(vectors), where=norm[:, None] > 0)
             members = {g: [r for r, x in enumerate(own) if g is None or x == g] for g in by_group}
@@ -74,8 +76,8 @@ def top_k(vectors: DataFrame, questions: DataFrame, k: int | str = 5, id_col: st
     """``(question_id, chunk_id, score, rank)``: the k best of each question by cosine (rounded to 6
     places), ties by chunk id. ``questions`` has ``question_id, vector``, with ``repo_id`` if ``repo_col``
     restricts each to its repository, and a depth column if ``k`` names one. ``whitelist`` holds the ids
-    that may be found; an empty one finds nothing. A vector of another dimension is an error; null
-    vectors are left out."""
+    that may be found; an empty one finds nothing. A vector of another dimension, or with a
+    null in it, is an error; null vectors are left out."""
     data = vectors.where(F.col(vector_col).isNotNull())
     if whitelist is not None:
         data = data.join(whitelist.select(F.col(whitelist.columns[0]).alias(id_col)).distinct(), id_col, "left_semi")

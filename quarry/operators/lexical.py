@@ -1,15 +1,16 @@
 """Lexical scan: every chunk is scored against every question's tokens, without an index.
 
-The questions are a stated set and go to the workers in blocks. Tokens are looked for once in each
-chunk, however many questions hold them, and patterns are compiled once in each task; a column
-expression would compile them anew for each row. A task keeps its best for each question."""
+The questions are a stated set and go to the workers in blocks. A chunk's text is passed over once,
+however many questions there are: tokens that are words are looked up among its words, others are found
+by one automaton. A batch's points are a matrix of chunks and tokens; times the matrix of tokens and
+questions it gives all scores at once. A task keeps its best for each question."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from heapq import nsmallest
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,69 +21,113 @@ try:
 except ImportError:  # it only saves time
     ahocorasick = None
 
-#: Questions sent along with the chunks at once.
-BLOCK = 1024
+#: Questions sent along with the chunks at once; chunks scored at once.
+BLOCK, BATCH = 1024, 256
+_WORD = re.compile("[a-z0-9_]+")
+_WORD_CHARS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_")
 
 
-def _hits(pattern: re.Pattern[str], text: str) -> int:
-    """Matches between characters that are no word characters; each such character belongs to one."""
-    return sum(1 for _ in pattern.finditer(text))
+def _finder(tokens: list[str]) -> Callable[[str], Iterator[tuple[int, str]]]:
+    """A function that gives the last place and the token of every occurrence in a text, also overlapping ones,
+    those of one token from left to right."""
+    if not tokens:
+        return lambda text: iter(())
+    if ahocorasick is None:
 
+        def every(text: str) -> Iterator[tuple[int, str]]:
+            for t in tokens:
+                at = text.find(t)
+                while at >= 0:
+                    yield at + len(t) - 1, t
+                    at = text.find(t, at + 1)
 
-def _finder(tokens: list[str]):
-    """A function that names the tokens that occur in a text: one pass over it if an automaton is at
-    hand, else a look for each token."""
-    if not tokens or ahocorasick is None:
-        return lambda text: {t for t in tokens if t in text}
+        return every
     automaton = ahocorasick.Automaton()
     for t in tokens:
         automaton.add_word(t, t)
     automaton.make_automaton()
-    return lambda text: {t for _, t in automaton.iter(text)}
+    return automaton.iter
+
+
+class Counter:
+    """Counts of tokens in texts: matches between characters that are no word characters, where each such
+    character belongs to one match of a token only."""
+
+    def __init__(self, tokens: list[str]):
+        self.place = {t: k for k, t in enumerate(tokens)}
+        self.words = {t: k for t, k in self.place.items() if _WORD.fullmatch(t)}
+        self.marked = _finder([t for t in tokens if t not in self.words])
+        self.any = _finder(tokens)
+
+    def _add(self, counts: dict[int, int], after: dict[int, int], k: int, start: int, end: int) -> None:
+        if after.get(k, -1) < start:  # the character before is not the one after the last match
+            counts[k] = counts.get(k, 0) + 1
+            after[k] = end + 1
+
+    def hits(self, text: str) -> dict[int, int]:
+        counts: dict[int, int] = {}
+        after: dict[int, int] = {}
+        words = self.words
+        for m in _WORD.finditer(text):
+            k = words.get(m.group())
+            if k is not None:
+                self._add(counts, after, k, m.start(), m.end())
+        self._marks(text, counts, after)
+        return counts
+
+    def _marks(self, text: str, counts: dict[int, int], after: dict[int, int]) -> None:
+        n = len(text)
+        for last, t in self.marked(text):
+            start, end = last - len(t) + 1, last + 1
+            if (start == 0 or text[start - 1] not in _WORD_CHARS) and (end == n or text[end] not in _WORD_CHARS):
+                self._add(counts, after, self.place[t], start, end)
+
+    def contained(self, text: str) -> dict[int, int]:
+        """Counts of all tokens that occur anywhere, one at least."""
+        counts = self.hits(text)
+        return {k: counts.get(k, 1) for k in {self.place[t] for _, t in self.any(text)}}
 
 
 def _scan(asked: list[tuple], kinds: list[pa.DataType]):
-    by_token: dict[str, list[int]] = {}
-    for k, (_, tokens, _, _) in enumerate(asked):
-        for t in dict.fromkeys(tokens or ()):
-            by_token.setdefault(t, []).append(k)
+    tokens = list(dict.fromkeys(t for _, own, _, _ in asked for t in own or ()))
+    groups = [g for _, _, _, g in asked]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = {t: re.compile(rf"(^|[^a-z0-9_]){re.escape(t)}([^a-z0-9_]|\Z)") for t in by_token}
-        found = _finder(list(by_token))
+        counter = Counter(tokens)
+        holds = np.zeros((len(tokens), len(asked)))
+        for q, (_, own, _, _) in enumerate(asked):
+            holds[[counter.place[t] for t in own or ()], q] = 1
         best: dict[int, list[tuple]] = {}
         for batch in batches:
-            for name, path, line, low_path, low_name, content, repo in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                score: dict[int, float] = {}
-                points: dict[str, float] = {}
-                for token in found(low_path):
-                    points[token] = 4.0 * (_hits(patterns[token], low_path) or 1)
-                for token in found(low_name):
-                    points[token] = points.get(token, 0.0) + 3 * (_hits(patterns[token], low_name) or 1)
-                for token in found(content):
-                    points[token] = points.get(token, 0.0) + 0.5 * _hits(patterns[token], content)
-                for token, n in points.items():
-                    for k in by_token[token] if n else ():
-                        score[k] = score.get(k, 0.0) + n
-                for k, s in score.items():
-                    _, _, most, group = asked[k]
-                    if group is None or group == repo:
-                        held = best.setdefault(k, [])
-                        held.append((-s, path, line, name))
-                        if len(held) > 4 * most + 64:
-                            best[k] = nsmallest(most, held)
-        rows = [(asked[k][0], x[3], -x[0], x[1], x[2]) for k, held in best.items() for x in nsmallest(asked[k][2], held)]
+            for at in range(0, batch.num_rows, BATCH):
+                name, path, line, low_path, low_name, content, repo = (c.to_pylist() for c in batch.slice(at, BATCH).columns)
+                points = np.zeros((len(name), len(tokens)))
+                for r in range(len(name)):
+                    for text, worth, find in ((low_path[r], 4.0, counter.contained), (low_name[r], 3.0, counter.contained), (content[r], 0.5, counter.hits)):
+                        for k, n in find(text).items():
+                            points[r, k] += worth * n
+                scores = points @ holds
+                for q, (_, _, most, group) in enumerate(asked):
+                    own = scores[:, q]
+                    rows = np.nonzero(own > 0)[0]
+                    if group is not None:
+                        rows = np.array([r for r in rows if repo[r] == group], np.int64)
+                    if len(rows) > most:  # all that tie with the last stay until the order decides
+                        rows = rows[own[rows] >= -np.partition(-own[rows], most - 1)[most - 1]]
+                    if len(rows):
+                        best[q] = sorted([*best.get(q, []), *((-own[r], path[r], line[r], name[r]) for r in rows)])[:most]
+        rows = [(asked[q][0], x[3], float(-x[0]), x[1], x[2]) for q, held in best.items() for x in held]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*kinds, pa.float64(), pa.string(), pa.int32()], strict=True)], ["question_id", "chunk_id", "score", "file_path", "line"])
 
-    return run
+    return run if groups else lambda batches: iter(())
 
 
 def scan(chunks: DataFrame, questions: DataFrame, limit: int | str = 20, repo: bool = False, whitelist: DataFrame | None = None) -> DataFrame:
     """``(question_id, chunk_id, score, rank)`` of chunks that score above 0, best first, ties by path,
     start line (null is 0) and id. 4 a path hit, 3 a name hit, half a content hit; a path or name that
     merely contains a token counts one hit. ``questions`` has ``question_id, tokens``, with ``repo_id`` if
-    ``repo``."""
+    ``repo``. An empty whitelist finds nothing."""
     data = chunks.where(F.coalesce(F.col("chunk_id").cast("string"), F.lit("")) != "")
     if whitelist is not None:
         data = data.join(whitelist.select(F.col(whitelist.columns[0]).alias("chunk_id")).distinct(), "chunk_id", "left_semi")

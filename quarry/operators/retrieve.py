@@ -9,19 +9,20 @@ from quarry import config as C
 from quarry.operators import classify, dense, fusion, lexical, sparse
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = C.DEFAULT_TOP_K, cfg: C.Config = C.Config(), repo: bool = False, whitelist: DataFrame | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = C.DEFAULT_TOP_K, cfg: C.Config = C.Config(), repo: bool = False, whitelist: DataFrame | None = None, index: sparse.Index | None = None, dense_search=dense.top_k, sparse_search=sparse.bm25) -> DataFrame:
     """``(question_id, rank, chunk_id, score, fusion)`` with the chunk's payload columns.
 
     ``chunks``: ``chunk_id, [repo_id,] file_path, content, chunk_type, chunk_name, start_line``; ``vectors``:
     ``chunk_id, embedding[, repo_id]``; ``questions``: ``question_id, question, vector[, repo_id]``. An empty
-    whitelist finds nothing, none at all restricts nothing. Scores come first; payload is joined
+    whitelist finds nothing, none at all restricts nothing. ``index`` is the chunks' stored full-text index; without
+    one their contents are indexed for this query. Scores come first; payload is joined
     after the cut, so that only hits carry text."""
     asked = classify.classify(questions, k, cfg)
-    d = dense.top_k(vectors, asked, "dense_depth", repo_col="repo_id" if repo else None, whitelist=whitelist)
+    d = dense_search(vectors, asked, "dense_depth", repo_col="repo_id" if repo else None, whitelist=whitelist)
     if cfg.sparse_mode == "full_table":
         s = lexical.scan(chunks, asked, "lexical_depth", repo, whitelist)
     else:
-        s = sparse.to_lexical(sparse.bm25(chunks, asked, F.col("tokens"), "bm25_depth", repo=repo, whitelist=whitelist))
+        s = sparse.to_lexical(sparse_search(index or sparse.Index.of(chunks), asked, F.col("tokens"), "bm25_depth", repo=repo, whitelist=whitelist))
     if cfg.fusion == "rrf":
         best = fusion.fuse_rrf(d, s, asked, k, cfg.rrf_k)
     else:

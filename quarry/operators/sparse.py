@@ -1,24 +1,38 @@
-"""Full-text search: postings, corpus statistics and BM25 over phrases.
+"""Full-text search: a stored index of postings, corpus statistics and BM25 over phrases.
 
-Every query token is a phrase: its terms must follow each other. Phrases meet postings by term and
-place in one equi-join, whatever their length. Statistics cover the whole table; filters restrict
-results only."""
+The index holds a row for each term and chunk, with the term's places in it, in shards by term: a query
+reads the shards and row groups of its own terms only. Every query token is a phrase: its terms must
+follow each other; phrases of one term need no places. Which phrase occurs how often in which chunk is
+one equi-join on terms, dealt out by chunk; the questions, a stated set, go to the workers, where a
+task scores its chunks for all of them and keeps its best for each. Statistics cover the whole
+table; filters restrict results only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions import text as T
 
 # The usual BM25 constants, and what stands for an idf that isn't positive.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Shards of a stored index; terms that are pushed down as a list; rows scored at once; questions scored at once.
+SHARDS, TERMS, ROWS, BLOCK = 16, 4096, 500_000, 1024
 
 
-def postings(chunks: DataFrame, body: Column) -> DataFrame:
-    """``(chunk_id, length, term, pos)``, a row per term occurrence; the chunk's length in terms comes along."""
-    terms = chunks.select("chunk_id", T.fts_terms(body).alias("terms"))
-    return terms.select("chunk_id", F.size("terms").alias("length"), F.posexplode("terms").alias("pos", "term"))
+def terms_of(chunks: DataFrame, body: Column) -> DataFrame:
+    """``(chunk_id, [repo_id,] length, term, positions array<int>)``, a row per term of a chunk; the chunk's length
+    in terms comes along."""
+    own = ["chunk_id", *(["repo_id"] if "repo_id" in chunks.columns else [])]
+    terms = chunks.select(*own, T.fts_terms(body).alias("terms"))
+    each = terms.select(*own, F.size("terms").alias("length"), F.posexplode("terms").alias("pos", "term"))
+    return each.groupBy(*own, "length", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def lengths(chunks: DataFrame, body: Column) -> DataFrame:
@@ -37,6 +51,47 @@ def document_frequency(chunks: DataFrame, body: Column) -> DataFrame:
     return per_chunk.groupBy("term").agg(F.count("*").alias("df"), F.sum("count").alias("cf"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """Postings ``(term, chunk_id, [repo_id,] length, positions[, shard])`` and rows of ``(n_chunks, n_terms)``
+    that add up to the whole."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+    @staticmethod
+    def of(chunks: DataFrame, body: Column | None = None) -> Index:
+        """An index that is worked out anew by each query."""
+        body = F.col("content") if body is None else body
+        return Index(terms_of(chunks, body), corpus_stats(chunks, body).select("n_chunks", "n_terms"))
+
+    def write(self, path: str, shards: int = SHARDS) -> Index:
+        """Store the index, sorted by term within shards, and read it back."""
+        dealt = self.postings.withColumn("shard", shard_of(F.col("term"), shards)).repartition(shards, "shard").sortWithinPartitions("shard", "term")
+        dealt.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        return Index.read(self.postings.sparkSession, path)
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Index:
+        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+
+    def of_terms(self, wanted: DataFrame, shards: int = SHARDS) -> DataFrame:
+        """The postings of the terms, read alone where they are few enough for a list."""
+        terms = [r[0] for r in wanted.select("term").distinct().limit(TERMS + 1).collect()]
+        if len(terms) > TERMS:
+            return self.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+        own = self.postings.where(F.col("term").isin(terms))
+        if "shard" in self.postings.columns:
+            found = [r[0] for r in self.postings.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(shard_of(F.col("term"), shards)).distinct().collect()]
+            own = own.where(F.col("shard").isin(found))
+        return own
+
+
+def shard_of(term: Column, shards: int = SHARDS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
+
+
 def phrases(questions: DataFrame, tokens: Column) -> DataFrame:
     """``(question_id, phrase, off, term, width)``: the terms of each query token; a token without terms
     contributes nothing."""
@@ -45,39 +100,105 @@ def phrases(questions: DataFrame, tokens: Column) -> DataFrame:
     return each
 
 
-def phrase_frequency(chunks: DataFrame, body: Column, wanted: DataFrame) -> DataFrame:
-    """``(phrase, chunk_id, length, tf)``: how often each distinct phrase occurs in each chunk."""
+def phrase_frequency(index: Index, wanted: DataFrame) -> DataFrame:
+    """``(phrase, chunk_id, [repo_id,] length, tf)``: how often each distinct phrase occurs in each chunk."""
     terms = wanted.select("phrase", "width", "off", "term").distinct()
-    met = postings(chunks, body).join(terms, "term").withColumn("start", F.col("pos") - F.col("off"))
-    whole = met.groupBy("phrase", "width", "chunk_id", "length", "start").agg(F.count("*").alias("n")).where("n = width")
-    return whole.groupBy("phrase", "chunk_id", "length").agg(F.count("*").alias("tf"))
-
-
-def bm25(chunks: DataFrame, questions: DataFrame, tokens: Column, limit: int | str = 20, body: Column | None = None, repo: bool = False, match_all: bool = False, whitelist: DataFrame | None = None) -> DataFrame:
+    own = ["chunk_id", *(["repo_id"] if "repo_id" in index.postings.columns else []), "length"]
+    met = index.of_terms(wanted).join(terms, "term")
+    single = met.where("width = 1").select("phrase", *own, F.size("positions").cast("long").alias("tf"))
+    places = met.where("width > 1").select("phrase", "width", *own, F.explode(F.transform("positions", lambda p: p - F.col("off"))).alias("start"))
+    whole = places.groupBy("phrase", "width", *own, "start").agg(F.count("*").alias("n")).where("n = width")
+    return single.unionByName(whole.groupBy("phrase", *own).agg(F.count("*").alias("tf")))
+
+
+def _score(asked: list[tuple], number: dict[str, int], idf: np.ndarray, avg: float, match_all: bool, kinds: list[pa.DataType]):
+    """Rows ``(phrase, chunk_id, repo_id, length, tf)`` come sorted by chunk; a task's best of each question go."""
+
+    def best_of(part: pa.Table, best: dict[int, list[tuple]]) -> None:
+        phrase = np.fromiter((number[p] for p in part.column("phrase").to_pylist()), np.int64, part.num_rows)
+        names, at = np.unique(part.column("chunk_id").to_numpy(zero_copy_only=False), return_inverse=True)
+        tf, length = part.column("tf").to_numpy().astype(np.float64), part.column("length").to_numpy().astype(np.float64)
+        weight = idf[phrase] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
+        home = np.empty(len(names), object)
+        home[at] = part.column("repo_id").to_pylist()
+        order = np.argsort(phrase, kind="stable")
+        cuts = np.searchsorted(phrase[order], np.arange(len(idf) + 1))
+        for q, (_, own, most, repo) in enumerate(asked):
+            rows = [order[cuts[p] : cuts[p + 1]] for p in own]
+            rows = np.concatenate(rows) if rows else order[:0]
+            if not len(rows):
+                continue
+            score = np.round(-np.bincount(at[rows], weight[rows], len(names)), 6)
+            met = np.bincount(at[rows], minlength=len(names))
+            keep = np.nonzero(met == len(own) if match_all else met > 0)[0]
+            if repo is not None:
+                keep = keep[home[keep] == repo]
+            if len(keep) > most:  # all that tie with the last stay until the ids decide
+                keep = keep[score[keep] <= np.partition(score[keep], most - 1)[most - 1]]
+            if len(keep):
+                best[q] = sorted([*best.get(q, []), *zip(score[keep].tolist(), names[keep].tolist(), strict=True)])[:most]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple]] = {}
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n < ROWS:
+                continue
+            every = pa.Table.from_batches(held).combine_chunks()
+            ids = every.column("chunk_id").to_numpy(zero_copy_only=False)
+            upto = int(np.nonzero(ids != ids[-1])[0][-1]) + 1 if (ids != ids[-1]).any() else 0  # the last chunk may go on
+            if upto:
+                best_of(every.slice(0, upto), best)
+                held = every.slice(upto).to_batches()
+                n = every.num_rows - upto
+        if held:
+            best_of(pa.Table.from_batches(held), best)
+        rows = [(asked[q][0], name, score + 0.0) for q, found in best.items() for score, name in found]
+        if rows:
+            q, name, score = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(q, kinds[0]), pa.array(name, kinds[1]), pa.array(score, pa.float64())], ["question_id", "chunk_id", "bm25"])
+
+    return run
+
+
+def bm25(index: Index, questions: DataFrame, tokens: Column, limit: int | str = 20, repo: bool = False, match_all: bool = False, whitelist: DataFrame | None = None) -> DataFrame:
     """``(question_id, chunk_id, bm25, rank)``: smaller is better; ties by chunk id.
 
-    ``chunks`` has ``chunk_id``, the body and, with ``repo``, ``repo_id`` that must equal the question's.
-    ``match_all`` asks for every phrase, else any will do. ``limit`` is a number or a column of
-    ``questions``. Scores are rounded to 6 places before they are ranked."""
-    body = F.col("content") if body is None else body
-    n, avg = lengths(chunks, body).agg(F.count("*"), F.avg("length")).first()
+    With ``repo`` a chunk's ``repo_id`` must equal the question's. ``match_all`` asks for every phrase, else any
+    will do. ``limit`` is a number or a column of ``questions``. ``whitelist`` holds the ids that may be found; an
+    empty one finds nothing. Scores are rounded to 6 places before they are ranked."""
+    spark = index.postings.sparkSession
+    n, total = index.stats.agg(F.sum("n_chunks"), F.sum("n_terms")).first()
     wanted = phrases(questions, tokens)
-    tf = phrase_frequency(chunks, body, wanted)
+    tf = phrase_frequency(index, wanted)
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
     raw = F.log((F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.select("phrase", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
-    hits = wanted.select("question_id", "phrase").distinct().join(tf, "phrase").join(idf, "phrase")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(avg or 1))))
-    scored = hits.groupBy("question_id", "chunk_id").agg(F.round(-F.sum(part), 6).alias("bm25"), F.count("*").alias("n_phrases"))
+    known = {r[0]: r[1] for r in df.select("phrase", F.when(raw > 0, raw).otherwise(LEAST_IDF)).collect()}  # the questions' phrases
+    number = {p: k for k, p in enumerate(known)}
+    depth = F.col(limit) if isinstance(limit, str) else F.lit(limit)
+    group = F.col("repo_id") if repo else F.lit(None).cast("string")
+    asked = questions.select("question_id", depth.cast("int").alias("most"), group.alias("g")).join(wanted.groupBy("question_id").agg(F.collect_set("phrase").alias("phrases")), "question_id")
+    types = [questions.schema["question_id"].dataType, index.postings.schema["chunk_id"].dataType]
+    schema = f"question_id {types[0].simpleString()}, chunk_id {types[1].simpleString()}, bm25 double"
+    data = tf if whitelist is None else tf.join(whitelist.select(F.col(whitelist.columns[0]).alias("chunk_id")).distinct(), "chunk_id", "left_semi")
+    home = F.col("repo_id").cast("string") if "repo_id" in data.columns else F.lit(None).cast("string")
+    data = data.select("phrase", "chunk_id", home.alias("repo_id"), "length", "tf").repartition("chunk_id").sortWithinPartitions("chunk_id")
+    rows = [(r["question_id"], r["phrases"], r["most"], r["g"]) for r in asked.toLocalIterator()]
     if match_all:
-        need = wanted.select("question_id", "phrase").distinct().groupBy("question_id").agg(F.count("*").alias("need"))
-        scored = scored.join(need, "question_id").where("n_phrases = need").drop("need")
-    if repo:
-        asked = questions.select("question_id", F.col("repo_id").alias("asked"))
-        scored = scored.join(chunks.select("chunk_id", "repo_id"), "chunk_id").join(asked, "question_id").where("asked = repo_id").drop("asked", "repo_id")
-    if whitelist is not None:
-        scored = scored.join(whitelist.select(F.col(whitelist.columns[0]).alias("chunk_id")).distinct(), "chunk_id", "left_semi")
-    ranked = scored.select("question_id", "chunk_id", "bm25", F.row_number().over(Window.partitionBy("question_id").orderBy("bm25", "chunk_id")).alias("rank"))
+        rows = [r for r in rows if all(p in number for p in r[1])]
+    asked_rows = [(q, [number[p] for p in own if p in number], most, g) for q, own, most, g in rows]
+    idf, avg = np.array(list(known.values()), np.float64), float(total or 0) / n if n and total else 1.0
+    out = None
+    for i in range(0, max(1, len(asked_rows)), BLOCK):
+        part = asked_rows[i : i + BLOCK]
+        found = data.mapInArrow(_score(part, number, idf, avg, match_all, [to_arrow_type(t) for t in types]), schema) if part else spark.createDataFrame([], schema)
+        out = found if out is None else out.unionByName(found)
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("bm25", "chunk_id")))
     if isinstance(limit, str):
         return ranked.join(questions.select("question_id", F.col(limit).alias("most")), "question_id").where("rank <= most").drop("most")
     return ranked.where(F.col("rank") <= limit)

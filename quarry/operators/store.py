@@ -1,10 +1,11 @@
-"""Mutations as new versions of tables: upsert, delete, cascade, and a store that swaps directories.
+"""Mutations as new versions of tables: upsert, delete, cascade, and a store that commits them.
 
-Every function takes tables and gives the table after the change; :class:`Store` writes a version
-beside the current one and only then points to it, so that a failed write leaves the old one."""
+Every function takes tables and gives the table after the change; :class:`Store` keeps tables in parts by
+repository and changes any number of parts at once."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -60,13 +61,19 @@ def duplicates(repos: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(repos.select("type", "path").distinct(), ["type", "path"], "left_semi").select(*new.columns)
 
 
-def append_message(history: DataFrame, messages: DataFrame) -> DataFrame:
-    """Messages in the order of their ``seq`` after each repository's last; errors carry no references."""
+def next_messages(history: DataFrame, messages: DataFrame) -> DataFrame:
+    """The messages as rows of the history: in the order of their ``seq`` after each repository's last; errors
+    carry no references."""
     last = history.groupBy("repo_id").agg(F.max("seq").alias("last"))
     place = F.row_number().over(Window.partitionBy("repo_id").orderBy("seq"))
     new = messages.withColumn("n", place).join(last, "repo_id", "left").withColumn("seq", F.col("n") + F.coalesce("last", F.lit(-1)))
     new = new.withColumn("references_json", F.when(F.col("role") == "error", F.lit(None)).otherwise(F.col("references_json")))
-    return history.unionByName(new.select(*history.columns))
+    return new.select(*history.columns)
+
+
+def append_message(history: DataFrame, messages: DataFrame) -> DataFrame:
+    """The history with the messages after it."""
+    return history.unionByName(next_messages(history, messages))
 
 
 _REFERENCE = "array<struct<chunk_id: string, file_path: string, snippet: string, score: double>>"
@@ -87,34 +94,86 @@ def serialize_references(references: Column, mode: Column) -> Column:
     return F.when(mode.isNull(), F.to_json(references)).otherwise(F.to_json(F.struct(references.alias("references"), mode.alias("retrieval_fusion"))))
 
 
+class Conflict(RuntimeError):
+    """Another writer committed first; nothing of this commit took effect."""
+
+
 class Store:
-    """Tables as versioned Parquet directories under one path."""
+    """Tables in parts, a part for each repository, each of them a list of Parquet directories.
+
+    A log of numbered states says which directories make up which part. A commit writes its directories,
+    checks them and then creates the next state, which only one writer can: so a change of several tables takes
+    effect as a whole or not at all, and a change of one repository rewrites its own parts only."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _files(self):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def _at(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
 
-    def read(self, name: str) -> DataFrame:
-        files, at = self._files(), self._at(name)
-        versions = sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []
-        done = [v for v in versions if files.exists(self._at(name, v, "_SUCCESS"))]
-        if not done:
+    def _files(self):
+        return self._at().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _state(self) -> tuple[int, dict]:
+        """Number and content of the latest state: ``{"version", "parts": {table: {repo: [dirs]}}, "gone": [dirs]}``."""
+        files, log = self._files(), self._at("log")
+        names = sorted(s.getPath().getName() for s in files.listStatus(log)) if files.exists(log) else []
+        names = [x for x in names if x.endswith(".json")]
+        if not names:
+            return -1, {"version": schemas.VERSION, "parts": {}, "gone": []}
+        stream = files.open(self._at("log", names[-1]))
+        try:
+            state = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        if state["version"] != schemas.VERSION:
+            raise ValueError(f"the store has schema version {state['version']}, not {schemas.VERSION}")
+        return int(names[-1].split(".")[0]), state
+
+    def read(self, name: str, repo_id: str | None = None) -> DataFrame:
+        """A table, or one repository's part of it."""
+        parts = self._state()[1]["parts"].get(name, {})
+        dirs = [d for r, own in parts.items() if repo_id is None or r == repo_id for d in own]
+        if not dirs:
             return self.spark.createDataFrame([], schemas.TABLES[name])
-        return self.spark.read.schema(schemas.TABLES[name]).parquet(f"{self.path}/{name}/{done[-1]}")
-
-    def write(self, name: str, rows: DataFrame) -> None:
-        """A new version; the one before stays until the next write, for readers that began on it."""
-        if schemas.violations(name, rows).limit(1).count():
-            raise ValueError(f"rows of {name} break its constraints")
-        files, at = self._files(), self._at(name)
-        versions = sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []
-        number = int(versions[-1].split("-")[0]) + 1 if versions else 0
-        rows.select(*(c.split()[0] for c in schemas.TABLES[name].split(", "))).write.parquet(f"{self.path}/{name}/{number:012d}-{uuid.uuid4().hex}")
-        for v in versions[:-1]:
-            files.delete(self._at(name, v), True)
+        return self.spark.read.schema(schemas.TABLES[name]).parquet(*(f"{self.path}/{d}" for d in dirs))
+
+    def commit(self, changes: list[tuple[str, str, str, DataFrame | None]]) -> dict[str, int]:
+        """Apply ``(table, repo_id, how, rows)`` as one change: ``replace`` a part, ``append`` to it or ``drop`` it.
+        Returns the rows that each table gained or lost."""
+        number, state = self._state()
+        parts, gone, counts = state["parts"], [], {}
+        for table, repo_id, how, rows in changes:
+            own = parts.setdefault(table, {})
+            if how == "append":
+                dirs = list(own.get(repo_id, []))
+            else:
+                gone += own.get(repo_id, [])
+                dirs = []
+            if how == "drop":
+                if repo_id in own:
+                    counts[table] = counts.get(table, 0) + self.read(table, repo_id).count()
+                    del own[repo_id]
+                continue
+            place = f"data/{table}/{uuid.uuid4().hex}"
+            rows.select(*(c.split()[0] for c in schemas.TABLES[table].split(", "))).write.parquet(f"{self.path}/{place}")
+            written = self.spark.read.schema(schemas.TABLES[table]).parquet(f"{self.path}/{place}")
+            if schemas.violations(table, written).limit(1).count():
+                self._files().delete(self._at(place), True)
+                raise ValueError(f"rows of {table} break its constraints")
+            counts[table] = counts.get(table, 0) + written.count()
+            own[repo_id] = [*dirs, place]
+        self._create(number + 1, {"version": schemas.VERSION, "parts": parts, "gone": gone})
+        for d in state["gone"]:  # of the commit before: readers that began on it had until now
+            self._files().delete(self._at(d), True)
+        return counts
+
+    def _create(self, number: int, state: dict) -> None:
+        try:
+            out = self._files().create(self._at("log", f"{number:012d}.json"), False)
+        except Exception as e:
+            raise Conflict(f"state {number} is there already") from e
+        try:
+            out.write(bytearray(json.dumps(state).encode()))
+        finally:
+            out.close()

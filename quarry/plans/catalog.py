@@ -7,7 +7,10 @@ their path, events are the log."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,6 +70,23 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").cast("string").alias("repo_id"))
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def fts_index(spark: SparkSession, sf_dir: str) -> sparse.Index:
+    """The full-text index of the documents, stored by the first query of a session that needs it. It lies in the
+    folder that ``spark.checkpoint.dir`` names; on a single machine that names none, in a temporary one."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = f"{shared or Path(tempfile.mkdtemp(prefix='spark-')).as_uri()}/fts-{uuid.uuid4().hex}"
+        sparse.Index.of(chunks(spark, sf_dir)).write(path)
+        _indexes[key] = path
+    return sparse.Index.read(spark, _indexes[key])
+
+
 # --- dense -------------------------------------------------------------------------------------------
 
 
@@ -145,7 +165,7 @@ _RANK = "row_number() OVER (PARTITION BY question_id ORDER BY bm25, chunk_id)::I
 @query(f"WITH {_Q}, {_bm25_cte('text', 'doc_id', 'documents')} SELECT question_id, chunk_id, bm25, {_RANK} FROM scored QUALIFY rank <= 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark, sf_dir).withColumn("tokens", T.question_tokens(F.col("question")))
-    return sparse.bm25(chunks(spark, sf_dir), q, F.col("tokens"), 20)
+    return sparse.bm25(fts_index(spark, sf_dir), q, F.col("tokens"), 20)
 
 
 @query(
@@ -155,7 +175,7 @@ SELECT question_id, chunk_id, bm25, {_RANK} FROM m QUALIFY rank <= 20"""
 def bm25_by_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark, sf_dir).withColumn("tokens", T.question_tokens(F.col("question")))
     q = q.withColumn("repo_id", F.concat(F.lit("src"), (F.col("question_id") % 20).cast("string")))
-    return sparse.bm25(chunks(spark, sf_dir), q, F.col("tokens"), 20, repo=True)
+    return sparse.bm25(fts_index(spark, sf_dir), q, F.col("tokens"), 20, repo=True)
 
 
 _PAGE_Q = r"pq AS (SELECT page_id AS question_id, regexp_extract(url, '^https?://([^/]+/[^/]+)', 1) AS token FROM pages)"
@@ -166,18 +186,18 @@ def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host and first directory of each page as one phrase, against all URLs."""
     p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("chunk_id"), F.col("url").alias("content"))
     q = p.select(F.col("chunk_id").alias("question_id"), F.array(F.regexp_extract("content", "^https?://([^/]+/[^/]+)", 1)).alias("tokens"))
-    return sparse.bm25(p, q, F.col("tokens"), 5)
+    return sparse.bm25(sparse.Index.of(p), q, F.col("tokens"), 5)
 
 
 @query(
-    f"""WITH aq AS (SELECT item_id AS question_id, unnest(list_slice({T.sql_fts_terms('text')}, 1, 3)) AS token FROM benchmark), au AS (SELECT DISTINCT * FROM aq),
+    f"""WITH aq AS (SELECT item_id AS question_id, unnest({T.sql_fts_terms('text')}) AS token FROM benchmark), au AS (SELECT DISTINCT * FROM aq),
 {_bm25_cte('text', 'doc_id', 'documents', 'au')}, need AS (SELECT question_id, count(*) AS need FROM au GROUP BY 1), m AS (SELECT s.* FROM scored s JOIN need USING (question_id) WHERE n_phrases = need)
 SELECT question_id, chunk_id, bm25, {_RANK} FROM m QUALIFY rank <= 20"""
 )
 def bm25_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of each question's first three terms must occur."""
-    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array_distinct(F.slice(T.fts_terms(F.col("text")), 1, 3)).alias("tokens"))
-    return sparse.bm25(chunks(spark, sf_dir), q, F.col("tokens"), 20, match_all=True)
+    """All terms of a question must occur."""
+    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array_distinct(T.fts_terms(F.col("text"))).alias("tokens"))
+    return sparse.bm25(fts_index(spark, sf_dir), q, F.col("tokens"), 20, match_all=True)
 
 
 def _hits(text: str) -> str:
@@ -273,7 +293,7 @@ weighted AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY quest
 def _channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked = classify.classify(questions(spark, sf_dir))
     d = dense.top_k(vectors(spark, sf_dir), asked, "dense_depth")
-    return asked, d, sparse.to_lexical(sparse.bm25(chunks(spark, sf_dir), asked, F.col("tokens"), "bm25_depth"))
+    return asked, d, sparse.to_lexical(sparse.bm25(fts_index(spark, sf_dir), asked, F.col("tokens"), "bm25_depth"))
 
 
 @query(f"WITH {_CHANNELS}, {_RRF} SELECT question_id, chunk_id, rank, score FROM rrf")
@@ -302,7 +322,7 @@ _HYBRID = f"WITH {CHUNKS}, {_CHANNELS}, {_WEIGHTED} SELECT question_id, rank, w.
 
 @query(_HYBRID)
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieve.hybrid(chunks(spark, sf_dir), vectors(spark, sf_dir), questions(spark, sf_dir))
+    out = retrieve.hybrid(chunks(spark, sf_dir), vectors(spark, sf_dir), questions(spark, sf_dir), index=fts_index(spark, sf_dir))
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -326,7 +346,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieve.hybrid(chunks(spark, sf_dir), vectors(spark, sf_dir), questions(spark, sf_dir))
+    out = retrieve.hybrid(chunks(spark, sf_dir), vectors(spark, sf_dir), questions(spark, sf_dir), index=fts_index(spark, sf_dir))
     packed = context.pack_results(out, 500).join(questions(spark, sf_dir).select("question_id", "question"), "question_id")
     return packed.select("question_id", "n_results", "context", context.prompt(F.col("question"), F.col("context")).alias("prompt"))
 

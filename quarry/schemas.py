@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VERSION = 4
+VERSION = 5
 TABLES = {
     "repos": "id string, path string, type string, status string, file_count long, chunk_count long, created_at timestamp, updated_at timestamp, embedding_model_id string, embedding_dimension int",
     "files": "repo_id string, path string, content string",
     "chunks": "id string, repo_id string, file_path string, content string, chunk_type string, chunk_name string, start_line int, end_line int, created_at timestamp",
     "embeddings": "id string, chunk_id string, repo_id string, embedding array<float>, model string, created_at timestamp",
-    "postings": "chunk_id string, repo_id string, term string, pos int",
+    "postings": "term string, chunk_id string, repo_id string, length int, positions array<int>",
+    "fts_stats": "repo_id string, n_chunks long, n_terms long",
     "chat_history": "id string, repo_id string, seq long, role string, content string, references_json string, created_at timestamp",
 }
-KEYS = {"repos": "id", "chunks": "id", "embeddings": "chunk_id", "chat_history": "id"}
+KEYS = {"repos": "id", "chunks": "id", "embeddings": "chunk_id", "chat_history": "id", "fts_stats": "repo_id"}
 DOMAINS = {("repos", "type"): ("local", "git"), ("repos", "status"): ("idle", "loaded", "indexing", "indexed", "failed"), ("chunks", "chunk_type"): ("function", "class", "generic")}
 
 
 def violations(name: str, rows: DataFrame) -> DataFrame:
-    """Rows that break a domain or have no key."""
+    """Rows that break a domain, have no key or share it with another."""
     bad = F.lit(False)
     for (table, column), values in DOMAINS.items():
         if table == name:
             bad = bad | ~F.coalesce(F.col(column).isin(*values), F.lit(False))
     if name in KEYS:
         bad = bad | F.col(KEYS[name]).isNull()
-    return rows.where(bad)
+    found = rows.where(bad).select(F.lit(name).alias("table"))
+    if name in KEYS:
+        found = found.unionByName(rows.groupBy(KEYS[name]).count().where("count > 1").select(F.lit(name).alias("table")))
+    return found

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import shutil
+import subprocess
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry import config as C
 from quarry.functions import text as T
 
+#: Seconds that a clone may take.
+CLONE_TIMEOUT_S = 120
+
 
 class TooLarge(ValueError):
     """Code 1001: a tree over the size limit."""
@@ -38,9 +44,15 @@ def source_files(spark: SparkSession, root: str, repo_id: str, most_mb: int | No
     return found.select(F.lit(repo_id).alias("repo_id"), rel.alias("path"), F.decode("content", "UTF-8").alias("content"))
 
 
-def clone_source(url: str) -> str:
-    """Remote repositories need a network; give a local path instead."""
-    raise NotImplementedError(f"cannot clone {url}: limit {C.REPO_MAX_SIZE_MB} MB; pass a local path")
+def clone_source(url: str, timeout: int = CLONE_TIMEOUT_S) -> str:
+    """A shallow clone of a remote repository in a fresh folder, which goes again if cloning fails."""
+    place = tempfile.mkdtemp(prefix="clone-")
+    try:
+        subprocess.run(["git", "clone", "--quiet", "--depth", "1", "--", url, place], check=True, capture_output=True, timeout=timeout)
+    except (OSError, subprocess.SubprocessError):
+        shutil.rmtree(place, ignore_errors=True)
+        raise
+    return place
 
 
 def question_set(spark: SparkSession, path: str) -> DataFrame:

@@ -8,11 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quarry import config as C
 from quarry.functions import text as T
-from quarry.operators import chunking
+from quarry.operators import chunking, sparse
 
 
 def index_new_files(spark: SparkSession, source: str, target: str, checkpoint: str, cfg: C.Config = C.Config()) -> StreamingQuery:
-    """Chunks and postings of Parquet files tables ``(repo_id, path, content)`` that arrive under ``source``:
+    """Chunks and postings (as of a full-text index) of Parquet files tables ``(repo_id, path, content)`` that arrive under ``source``:
     all there is now, each once, partitioned by repository. A batch that is run again writes the
     same directories again."""
     files = spark.readStream.schema("repo_id string, path string, content string").parquet(source)
@@ -21,8 +21,8 @@ def index_new_files(spark: SparkSession, source: str, target: str, checkpoint: s
         chunks = chunking.chunk_files(batch, cfg).persist()
         body = T.index_body(F.col("file_path"), F.col("import_summary"), F.col("chunk_type"), F.col("chunk_name"), F.col("content"))
         chunks.write.mode("overwrite").partitionBy("repo_id").parquet(f"{target}/chunks/batch={n}")
-        terms = chunks.select(F.col("id").alias("chunk_id"), "repo_id", F.posexplode(T.fts_terms(body)).alias("pos", "term"))
-        terms.write.mode("overwrite").partitionBy("repo_id").parquet(f"{target}/postings/batch={n}")
+        terms = sparse.terms_of(chunks.withColumnRenamed("id", "chunk_id"), body)
+        terms.sortWithinPartitions("term").write.mode("overwrite").partitionBy("repo_id").parquet(f"{target}/postings/batch={n}")
         chunks.unpersist()
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -37,11 +37,6 @@ def test_tokens_and_matches(spark):
     assert [r[0] for r in got] == ['"a" OR "b""c"', None]
 
 
-def test_boundary_hits_consume(spark):
-    df = spark.createDataFrame([("tok tok tok", "tok"), ("xtok tok.", "tok"), ("a.b axb", "a.b"), ("", "tok")], "t string, k string")
-    assert [r[0] for r in df.select(T.boundary_hits(F.col("t"), F.col("k"))).collect()] == [2, 1, 1, 0]
-
-
 def test_paths(spark):
     df = spark.createDataFrame([("local", " /a/b// "), ("local", "///"), ("git", "https://x/y.git/"), ("local", " ")], "k string, v string")
     assert [r[0] for r in df.select(T.normalize_source(F.col("k"), F.col("v"))).collect()] == ["/a/b", "/", "https://x/y.git", ""]

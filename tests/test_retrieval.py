@@ -65,15 +65,15 @@ def test_bm25_as_sqlite(spark, tokens):
     expected = [(i, round(s, 6)) for i, s in con.execute("SELECT rowid, bm25(f) AS s FROM f WHERE f MATCH ? ORDER BY s, rowid", (match,))]
     docs = spark.createDataFrame(list(enumerate(DOCS, 1)), "chunk_id long, content string")
     q = spark.createDataFrame([(1, tokens)], "question_id int, tokens array<string>")
-    got = sparse.bm25(docs, q, F.col("tokens"), 20).orderBy("rank").collect()
+    got = sparse.bm25(sparse.Index.of(docs), q, F.col("tokens"), 20).orderBy("rank").collect()
     assert sorted((r.chunk_id, round(r.bm25, 5)) for r in got) == sorted((i, round(s, 5)) for i, s in expected)
 
 
 def test_bm25_statistics_are_global(spark):
     docs = spark.createDataFrame([(k, "r1" if k % 2 else "r2", "probe" if k < 3 else "other") for k in range(9)], "chunk_id long, repo_id string, content string")
     q = spark.createDataFrame([(1, "r1", ["probe"])], "question_id int, repo_id string, tokens array<string>")
-    own = sparse.bm25(docs, q, F.col("tokens"), 9, repo=True).collect()
-    every = {r.chunk_id: r.bm25 for r in sparse.bm25(docs, q, F.col("tokens"), 9).collect()}
+    own = sparse.bm25(sparse.Index.of(docs), q, F.col("tokens"), 9, repo=True).collect()
+    every = {r.chunk_id: r.bm25 for r in sparse.bm25(sparse.Index.of(docs), q, F.col("tokens"), 9).collect()}
     assert [(r.chunk_id, r.bm25) for r in own] == [(1, every[1])]
 
 
@@ -96,3 +96,34 @@ def test_hybrid_agrees(spark, mode, sparse_mode):
     got = retrieve.hybrid(c, v, q, 2, Config(fusion=mode, sparse_mode=sparse_mode)).orderBy("rank").collect()
     assert got[0].chunk_id == "c1"
     assert got[0].fusion == mode
+
+
+def test_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(DOCS, 1)), "chunk_id long, content string")
+    stored = sparse.Index.of(docs).write(str(tmp_path / "fts"), shards=sparse.SHARDS)
+    q = spark.createDataFrame([(1, ["probe", "a_b.c"]), (2, ["nowhere"]), (3, [])], "question_id int, tokens array<string>")
+    for match_all in (False, True):
+        own = sparse.bm25(sparse.Index.of(docs), q, F.col("tokens"), 3, match_all=match_all)
+        assert sorted(map(tuple, sparse.bm25(stored, q, F.col("tokens"), 3, match_all=match_all).collect())) == sorted(map(tuple, own.collect()))
+    plan = sparse.bm25(stored, q, F.col("tokens"), 3)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [shard" in plan or "shard#" in plan
+
+
+def test_dimensions_are_each_rows(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "question_id int, vector array<float>")
+    for bad in ([[1.0], [1.0, 2.0, 3.0]], [[1.0, None], [1.0, 0.0]]):
+        v = spark.createDataFrame([(k, x) for k, x in enumerate(bad)], "chunk_id int, embedding array<float>")
+        with pytest.raises(Exception, match="4001"):
+            dense.top_k(v.coalesce(1), q, 1).collect()
+
+
+@pytest.mark.parametrize("engine", [True, False])
+def test_token_counts(engine, monkeypatch):
+    if not engine:
+        monkeypatch.setattr(lexical, "ahocorasick", None)
+    c = lexical.Counter(["tok", "a.b", "b.", "x/y"])
+    assert c.hits("tok tok tok") == {0: 2}
+    assert c.hits("xtok tok.") == {0: 1}
+    assert c.hits("a.b axb a.b. a.b") == {1: 3}
+    assert c.hits("b. b.") == {2: 1}
+    assert c.contained("atokb/x/yz") == {0: 1, 3: 1}

@@ -44,7 +44,7 @@ def test_engine(spark, tree, tmp_path):
     assert e.import_repo("/no/such/dir")["code"] == 1001
     q = spark.createDataFrame([(1, repo, "where is login user handled")], "question_id int, repo_id string, question string")
     assert e.ask(q)["code"] == 2001
-    e.store.write("files", e.store.read("files").where("false"))
+    assert e.forget_files(repo) == 2
     assert e.ensure_files(repo)
     assert not e.ensure_files("none")
     assert e.build_index(repo)["data"]["status"] == "indexed"
@@ -65,7 +65,12 @@ def test_engine(spark, tree, tmp_path):
     assert Engine(spark, str(tmp_path / "store"), e.cfg.__class__(embedding_model="other")).ask(q)["code"] == 4003
     assert e.clear_history(repo)["code"] == 0
     assert e.history(repo)["data"].count() == 0
-    assert e.delete_repo(repo)["code"] == 0
+    gone = e.delete_repo(repo)
+    assert gone["code"] == 0
+    assert gone["data"]["deleted"]["files"] == 2
+    assert gone["data"]["deleted"]["repos"] == 1
+    assert e.store.read("postings").count() == 0
+    assert {"import", "chunk", "embed", "store", "retrieve"} <= {r.event_type for r in e.stage_log().collect()}
     assert e.repos()["data"].count() == 0
     assert e.status(repo)["code"] == 1003
 
@@ -85,8 +90,27 @@ def test_constraints(spark, tmp_path):
     row = spark.createDataFrame([("1", "p", "odd")], "id string, path string, type string").selectExpr("*", "'idle' status", "0L file_count", "0L chunk_count", "current_timestamp() created_at", "current_timestamp() updated_at", "cast(null as string) embedding_model_id", "cast(null as int) embedding_dimension")
     assert schemas.violations("repos", row).count() == 1
     with pytest.raises(ValueError, match="constraints"):
-        s.write("repos", row)
+        s.commit([("repos", "1", "replace", row)])
     assert s.read("repos").count() == 0
+    fine = row.withColumn("type", F.lit("local"))
+    with pytest.raises(ValueError, match="constraints"):
+        s.commit([("repos", "1", "replace", fine.unionByName(fine))])
+
+
+def test_commits(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    files_of = lambda repo, *names: spark.createDataFrame([(repo, n, "x") for n in names], "repo_id string, path string, content string")
+    assert s.commit([("files", "a", "replace", files_of("a", "1", "2")), ("files", "b", "replace", files_of("b", "1"))]) == {"files": 3}
+    assert s.commit([("files", "a", "append", files_of("a", "3"))]) == {"files": 1}
+    before = s.read("files", "b").inputFiles()
+    assert s.commit([("files", "a", "replace", files_of("a", "4"))]) == {"files": 1}
+    assert s.read("files", "b").inputFiles() == before  # other parts stay as they are
+    number, state = s._state()
+    s._create(number + 1, state)  # another writer
+    with pytest.raises(store.Conflict):
+        s._create(number + 1, state)
+    assert s.commit([("files", "a", "drop", None), ("files", "none", "drop", None)]) == {"files": 1}
+    assert s.read("files").count() == 1
 
 
 def test_evaluation(spark):
