@@ -4,7 +4,8 @@ A payload is stored as an 8-bit mono PCM WAVE file, which keeps every byte. Its
 from the stored samples: polyphase resampling by a ratio of small numbers, log energies of an
 overlapped mel filterbank, and segments by hysteresis, a segment starting where the energy
 passes an upper threshold and lasting until it falls below a lower one. Log-mel frames are cut
-into tensors of one shape, padded at the end, each with its time span.
+into tensors of one shape, padded at the end; a sound's tensors are a fixed-shape Arrow tensor column with
+their time spans, stored as an Arrow stream. Long sounds are worked on in slices of frames.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from quarry.llm.common import texts
 #: Samples a second; resampling up and down; taps of the low-pass filter for each phase; samples of a
 #: frame and of a hop; mel bands; frames of a tensor; segments open above and close below these many
 #: decibels over the mean.
-RATE, UP, DOWN, TAPS, FRAME, HOP, BANDS, SHAPE_FRAMES, OPEN_DB, CLOSE_DB = 8000, 1, 2, 16, 256, 128, 24, 64, 1.0, -0.5
-#: Samples that are worked on at once.
-SLICE = 1 << 18
+RATE, UP, DOWN, TAPS, FRAME, HOP, BANDS, SHAPE_FRAMES, OPEN_DB, CLOSE_DB = 8000, 3, 4, 16, 256, 128, 24, 16, 1.0, -0.5
+#: Frames that are worked on at once.
+SLICE = 2048
 
 
 def payload(text: bytes, unit: int = 64) -> bytes:
@@ -67,17 +68,28 @@ def _phases(up: int, down: int, taps: int) -> np.ndarray:
     return (h / h.sum() * up).reshape(taps, up).T[:, ::-1].astype(np.float32).copy()
 
 
-def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
-    """Polyphase resampling by up / down: each output sample takes the one phase of the filter that
-    its place between the input samples needs; zeros lie before and after."""
+def resampled(n: int, up: int = UP, down: int = DOWN) -> int:
+    """Samples that ``n`` of them become."""
+    return -(-n * up // down)
+
+
+def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS, first: int = 0, after: int | None = None) -> np.ndarray:
+    """Polyphase resampling by up / down: output samples ``first`` to ``after``. Each takes the one phase of the
+    filter that its place between the input samples needs; zeros lie before and after the input."""
     phases = _phases(up, down, taps)
-    n = -(-len(x) * up // down)
-    wide = np.concatenate([np.zeros(taps // 2, np.float32), x, np.zeros(taps, np.float32)])
-    seen = np.lib.stride_tricks.sliding_window_view(wide, taps)
-    out = np.empty(n, np.float32)
-    for first in range(min(up, n)):  # outputs first, first + up, ... share a phase
-        own = np.arange(first, n, up, dtype=np.int64) * down
-        out[first::up] = seen[own // up] @ phases[first * down % up]
+    after = resampled(len(x), up, down) if after is None else after
+    out = np.empty(max(0, after - first), np.float32)
+    low = first * down // up - taps // 2  # of the inputs that are seen
+    high = max(0, after - 1) * down // up + taps
+    wide = np.zeros(max(0, high - low), np.float32)
+    own = x[max(0, low) : max(0, high)]
+    wide[max(0, -low) : max(0, -low) + len(own)] = own
+    for k in range(min(up, len(out))):  # outputs k, k + up, ... share a phase, and their inputs are evenly spaced
+        at = (first + k) * down
+        start = at // up - taps // 2 - low
+        n = len(range(k, len(out), up))
+        seen = np.lib.stride_tricks.as_strided(wide[start:], (n, taps), (down * wide.itemsize, wide.itemsize), writeable=False)
+        out[k::up] = seen @ phases[at % up]
     return out
 
 
@@ -92,22 +104,21 @@ def _mel(frame: int, bands: int, rate: float) -> np.ndarray:
     return np.maximum(0, np.minimum(up, fall)).astype(np.float32)
 
 
-def log_mel(x: np.ndarray, rate: float, frame: int = FRAME, hop: int = HOP, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
+def n_frames(samples: int, frame: int = FRAME, hop: int = HOP) -> int:
+    return max(1, 1 + -(-(samples - frame) // hop))
+
+
+def log_mel(part: np.ndarray, rate: float, frame: int = FRAME, hop: int = HOP, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
     """(frames, bands) log10 mel energies and each frame's energy in decibels; the last frame is
     padded with zeros."""
-    n = max(1, 1 + -(-(len(x) - frame) // hop))
+    n = n_frames(len(part), frame, hop)
     padded = np.zeros((n - 1) * hop + frame, np.float32)
-    padded[: len(x)] = x[: len(padded)]
-    frames = np.lib.stride_tricks.sliding_window_view(padded, frame)[::hop]
-    window, weights = np.hanning(frame).astype(np.float32), _mel(frame, bands, rate)
-    mels, power = np.empty((n, bands), np.float32), np.empty(n, np.float32)
-    for i in range(0, n, 2048):
-        part = frames[i : i + 2048] * window
-        spectrum = np.fft.rfft(part, axis=1)
-        energy = spectrum.real**2 + spectrum.imag**2
-        mels[i : i + 2048] = np.log10(energy.astype(np.float32) @ weights + 1e-6)
-        power[i : i + 2048] = 10 * np.log10((part * part).mean(axis=1) + 1e-9)
-    return mels, power
+    padded[: len(part)] = part[: len(padded)]
+    seen = np.lib.stride_tricks.sliding_window_view(padded, frame)[::hop] * np.hanning(frame).astype(np.float32)
+    spectrum = np.fft.rfft(seen, axis=1)
+    energy = spectrum.real**2 + spectrum.imag**2
+    mels = np.log10(energy.astype(np.float32) @ _mel(frame, bands, rate) + 1e-6)
+    return mels.astype(np.float32), (10 * np.log10((seen * seen).mean(axis=1) + 1e-9)).astype(np.float32)
 
 
 def segments(power: np.ndarray, open_db: float = OPEN_DB, close_db: float = CLOSE_DB) -> list[tuple[int, int]]:
@@ -123,31 +134,53 @@ def segments(power: np.ndarray, open_db: float = OPEN_DB, close_db: float = CLOS
 
 
 def features(samples: bytes, rate: int = RATE) -> tuple[np.ndarray, np.ndarray, float]:
-    """Log-mel frames, their level and the seconds of a hop, of 8-bit samples."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    mels, power = log_mel(resample(x), rate * UP / DOWN)
-    return mels, power, HOP / (rate * UP / DOWN)
+    """Log-mel frames, their level and the seconds of a hop, of 8-bit samples, a slice of frames at a time."""
+    raw = np.frombuffer(samples, np.uint8)
+    total, own_rate = resampled(len(raw)), rate * UP / DOWN
+    frames = n_frames(total)
+    found = []
+    for i in range(0, frames, SLICE):
+        first, after = i * HOP, min(total, (min(frames, i + SLICE) - 1) * HOP + FRAME)
+        low, high = max(0, first * DOWN // UP - TAPS) // DOWN * DOWN, after * DOWN // UP + 2 * TAPS
+        x = (raw[low:high].astype(np.float32) - 128) / 128
+        shift = low // DOWN * UP  # outputs before the slice's first input
+        found.append(log_mel(resample(x, first=first - shift, after=after - shift), own_rate))
+    mels, power = (np.concatenate(v) for v in zip(*found, strict=True))
+    return mels, power, HOP / own_rate
 
 
-_TENSOR = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("values", pa.list_(pa.float32(), SHAPE_FRAMES * BANDS))])
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (SHAPE_FRAMES, BANDS))
+_TENSORS = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("values", TENSOR)])
 
 
-def tensors(mels: np.ndarray, hop_s: float) -> list[tuple[float, float, int, np.ndarray]]:
-    """Tensors of (SHAPE_FRAMES, BANDS) with the span and the number of frames that are no padding."""
-    out = []
-    for i in range(0, len(mels), SHAPE_FRAMES):
-        part = mels[i : i + SHAPE_FRAMES]
-        full = np.zeros((SHAPE_FRAMES, BANDS), np.float32)
-        full[: len(part)] = part
-        out.append((i * hop_s, (i + len(part)) * hop_s, len(part), full))
-    return out
+def tensors(mels: np.ndarray, hop_s: float) -> pa.RecordBatch:
+    """Tensors of (SHAPE_FRAMES, BANDS) with their time spans and the number of frames that are no padding."""
+    n = -(-len(mels) // SHAPE_FRAMES)
+    full = np.zeros((n * SHAPE_FRAMES, BANDS), np.float32)
+    full[: len(mels)] = mels
+    first = np.arange(n) * SHAPE_FRAMES
+    after = np.minimum(first + SHAPE_FRAMES, len(mels))
+    values = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), SHAPE_FRAMES * BANDS))
+    return pa.RecordBatch.from_arrays([pa.array(first * hop_s), pa.array(after * hop_s), pa.array(after - first, pa.int32()), values], schema=_TENSORS)
+
 
+def store_tensors(batch: pa.RecordBatch) -> bytes:
+    """The tensors as an Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-def tensor_array(parts: list[np.ndarray]) -> pa.Array:
-    """The tensors as an Arrow fixed-shape tensor column."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (SHAPE_FRAMES, BANDS))
-    flat = np.concatenate([p.ravel() for p in parts]) if parts else np.zeros(0, np.float32)
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(flat), SHAPE_FRAMES * BANDS))
+
+def read_tensors(stored: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(stored).read_next_batch()
+
+
+def frames_of(stored: pa.RecordBatch) -> np.ndarray:
+    """The log-mel frames, without padding, of stored tensors."""
+    flat = stored.column("values").storage.flatten().to_numpy().reshape(-1, BANDS)
+    kept = np.arange(SHAPE_FRAMES)[None, :] < stored.column("frames").to_numpy()[:, None]
+    return flat[kept.ravel()]
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,44 +199,45 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return texts(docs, id_col, text_col).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
-_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, segments array<struct<start_s: double, end_s: double>>, feature string"
+_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, segments array<struct<start_s: double, end_s: double>>, feature string, tensors binary"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spans = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), spans, pa.string(), pa.binary()]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "segments", "feature", "tensors"]
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part, rows = batch.slice(at, 256), []
+        for at in range(0, batch.num_rows, 64):
+            part, rows = batch.slice(at, 64), []
             for media in part.column(2).to_pylist():
                 samples, rate = decode_wave(media)
                 mels, power, hop_s = features(samples, rate)
                 found = segments(power)
+                stored = store_tensors(tensors(mels, hop_s))
+                mels = frames_of(read_tensors(stored))  # what is described is what was stored
                 digest = hashlib.md5(np.round(mels * 64).astype("<i2").tobytes()).hexdigest()
                 mean = ",".join(f"{x:.2f}" for x in mels.mean(axis=0, dtype=np.float64))
                 text = f"frames={len(mels)};segments={len(found)};voiced={sum(b - a for a, b in found)};mel={mean};digest={digest}"
-                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), len(mels), [{"start_s": a * hop_s, "end_s": b * hop_s} for a, b in found], text))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), spans, pa.string()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], [x.split()[0] for x in _FEATURES.split(", ") if "end_s" not in x])
+                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), len(mels), [{"start_s": a * hop_s, "end_s": b * hop_s} for a, b in found], text, stored))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
 
 def describe(media: DataFrame) -> DataFrame:
     """Read stored sounds ``(doc_id, n_bytes, media)`` back: what was stored, the time spans of the
-    segments and a text of the features (frames, segments, mean log-mel bands, a digest of all frames
-    in steps of 1/64)."""
+    segments, the log-mel ``tensors`` (an Arrow stream of ``start_s, end_s, frames`` and fixed-shape tensors), and a text of
+    the features (frames, segments, mean log-mel bands, a digest of all frames in steps of 1/64)."""
     return media.mapInArrow(_describe, _FEATURES)
 
 
 def _tensor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for name, media in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            mels, _, hop_s = features(*decode_wave(media))
-            cut = tensors(mels, hop_s)
-            column = tensor_array([x[3] for x in cut]).storage.cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(cut), pa.int64()), pa.array(range(len(cut)), pa.int32()), pa.array([x[0] for x in cut]), pa.array([x[1] for x in cut]), pa.array([x[2] for x in cut], pa.int32()), column], ["doc_id", "part", "start_s", "end_s", "frames", "values"])
-
-
-def mel_tensors(media: DataFrame) -> DataFrame:
-    """``(doc_id, part int, start_s, end_s, frames int, values array<float>)``: the log-mel frames as
-    tensors of (SHAPE_FRAMES, BANDS) in row order, a row each; ``frames`` of them are no padding. Every
-    array has the same length, so the column is an Arrow fixed-shape tensor (``tensor_array``)."""
-    return media.mapInArrow(_tensor_rows, "doc_id long, part int, start_s double, end_s double, frames int, values array<float>")
+        for name, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = read_tensors(stored)
+            n = found.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array(range(n), pa.int32()), *found.columns[:3], found.column("values").storage.cast(pa.list_(pa.float32()))], ["doc_id", "part", "start_s", "end_s", "frames", "values"])
+
+
+def tensor_rows(described: DataFrame) -> DataFrame:
+    """``(doc_id, part int, start_s, end_s, frames int, values array<float>)``: stored tensors, a row each, in row
+    order; every array has the same length."""
+    return described.select("doc_id", "tensors").mapInArrow(_tensor_rows, "doc_id long, part int, start_s double, end_s double, frames int, values array<float>")

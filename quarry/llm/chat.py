@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import cut
+
 #: Turns of a segment of the running hash, and of a rendered part.
 SEGMENT, PART = 64, 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -67,7 +69,7 @@ def format_chats(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     first; rows with a null conversation id belong to no conversation and are left out. An
     empty table gives no rows. Other columns are not read."""
     turns = chats.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    rows = prefixes(turns.where("conv_id is not null").distinct())
+    rows = cut(prefixes(turns.where("conv_id is not null").distinct()))  # compared and rendered
     kept = rows.join(maximal(rows), "conv_id")
     pieces = kept.select("conv_id", "n_turns", F.floor((F.col("pos") - 1) / part).cast("int").alias("part"), F.struct("pos", render(F.col("role"), F.col("text")).alias("t")).alias("piece"))
     whole = pieces.groupBy("conv_id", "n_turns", "part").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))

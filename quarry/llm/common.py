@@ -32,7 +32,7 @@ def cut(df: DataFrame) -> DataFrame:
     survives a lost executor. The table's folder is a fresh one each time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

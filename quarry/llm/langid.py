@@ -248,7 +248,7 @@ def usual_cost(model: Model, texts: list[bytes]) -> float:
         return float("inf")
     each = Scorer(model).lengths(known).min(axis=1) / np.array([len(t) for t in known])
     low, middle, high = np.percentile(each, [25, 50, 75])
-    return float(middle + DEVIATIONS * max((high - low) / 1.349, 0.01 * middle))
+    return float(middle + DEVIATIONS * max((high - low) / 1.349, 0.08 * middle))
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import chat, licenses, suffixes, windows
-from quarry.llm.common import table
+from quarry.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,7 +82,7 @@ def op3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.audio import describe, store
 
-    return describe(store(table(spark, sf_dir, "documents")))
+    return describe(cut(store(table(spark, sf_dir, "documents"))))
 
 
 @query

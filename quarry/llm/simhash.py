@@ -7,7 +7,8 @@ abandoned as soon as every distance in it exceeds the radius.
 
 Fingerprints meet in buckets. With a small radius r, masks over r + 2 bit ranges, two of
 which two close fingerprints must share (pigeonhole), lose no link; fingerprints are
-distinct there, so copies cost nothing. Large buckets are dealt out as pairs of chunks, and
+distinct there, so copies cost nothing; with more fingerprints the bits are cut into more ranges, of which
+more must be shared, so that buckets stay small. Large buckets are dealt out as pairs of chunks, and
 each comparison returns a spanning forest of its links, never all pairs.
 
 For similarity joins on shingles (a radius too wide for pigeonholes) buckets come from
@@ -17,7 +18,7 @@ min-hash signatures.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -76,40 +77,60 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
 
 
-def _count(diffs: Iterator[np.ndarray], radius: int) -> np.ndarray:
-    """Lanes whose count of set bits over all planes is within the radius. Counters are held as
-    bit planes; a lane whose counter passes the radius is marked and stays so."""
+def _over(counter: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose counters are over the radius, compared from the highest plane."""
+    beyond, level = np.zeros_like(counter[0]), np.full_like(counter[0], ONES)
+    for w in range(len(counter) - 1, -1, -1):
+        if radius >> w & 1:
+            level &= counter[w]
+        else:
+            beyond |= level & counter[w]
+            level &= ~counter[w]
+    return beyond
+
+
+def count_within(diff: Callable[[int, np.ndarray], np.ndarray], over: np.ndarray, radius: int) -> tuple[np.ndarray, int]:
+    """Lanes whose count of set bits over 64 planes is within the radius, and how many blocks' planes were read.
+
+    ``diff(k, blocks)`` is plane k of the blocks (machine words of 64 lanes) that are still open; ``over`` marks the
+    lanes that don't count, such as padding. Counters are held as bit planes that each plane updates at once;
+    a block in which every lane is over the radius is abandoned."""
     width = max(1, radius.bit_length())
-    counter: list[np.ndarray] = []
-    over = None
-    for k, diff in enumerate(diffs):
-        if over is None:
-            over = np.zeros_like(diff)
-            counter = [np.zeros_like(diff) for _ in range(width)]
-        carry = diff
+    out = np.zeros_like(over)
+    blocks = np.nonzero(over != ONES)[0]
+    counter, over = np.zeros((width, len(blocks)), np.uint64), over[blocks].copy()
+    read = 0
+    for k in range(64):
+        if not len(blocks):
+            break
+        carry = diff(k, blocks)
+        read += len(blocks)
         for plane in counter:  # half adders, lowest plane first
             carry, plane[...] = plane & carry, plane ^ carry
         over |= carry
         if k >= radius:
-            beyond, level = np.zeros_like(over), np.full_like(over, ONES)
-            for w in range(width - 1, -1, -1):  # counter > radius, from the highest plane
-                if radius >> w & 1:
-                    level &= counter[w]
-                else:
-                    beyond |= level & counter[w]
-                    level &= ~counter[w]
-            over |= beyond
-            if k % 4 == 3 and (over == ONES).all():
-                break
-    return ~over
-
-
-def near(queries: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, fingerprint) at most ``radius`` bits apart, by bit-sliced comparison."""
+            over |= _over(counter, radius)
+            if k % 4 == 3:
+                live = over != ONES
+                if not live.all():
+                    blocks, over, counter = blocks[live], over[live], np.ascontiguousarray(counter[:, live])
+    out[blocks] = ~over
+    return out, read
+
+
+def near(queries: np.ndarray, fps: np.ndarray, radius: int, upper: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (query, fingerprint) at most ``radius`` bits apart, by bit-sliced comparison. With ``upper`` the
+    queries are the fingerprints themselves and only pairs with the smaller index first count."""
     cols = planes(fps)
+    words = cols.shape[1]
     bits = np.unpackbits(queries.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-    ok = _count((cols[k][None, :] ^ np.where(bits[:, k, None], ONES, np.uint64(0)) for k in range(64)), radius)
-    hits = np.unpackbits(ok.view(np.uint8), axis=1, bitorder="little")[:, : len(fps)]
+    flip = [np.where(bits[:, k], ONES, np.uint64(0)) for k in range(64)]
+    lanes = np.arange(words * 64)
+    closed = lanes[None, :] >= len(fps) if not upper else (lanes[None, :] >= len(fps)) | (lanes[None, :] <= np.arange(len(queries))[:, None])
+    closed = np.broadcast_to(closed, (len(queries), words * 64))
+    over = np.packbits(closed, axis=1, bitorder="little").view(np.uint64).ravel()
+    ok, _ = count_within(lambda k, blocks: cols[k][blocks % words] ^ flip[k][blocks // words], over, radius)
+    hits = np.unpackbits(ok.reshape(len(queries), words).view(np.uint8), axis=1, bitorder="little")[:, : len(fps)]
     return np.nonzero(hits)
 
 
@@ -118,16 +139,31 @@ def near_lanes(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     if not len(a):
         return np.zeros(0, bool)
     cols = planes(a ^ b)
-    ok = _count((cols[k] for k in range(64)), radius)
+    padding = np.packbits(np.arange(cols.shape[1] * 64) >= len(a), bitorder="little").view(np.uint64)
+    ok, _ = count_within(lambda k, blocks: cols[k][blocks], padding, radius)
     return np.unpackbits(ok.view(np.uint8), bitorder="little")[: len(a)].astype(bool)
 
 
-def masks(radius: int) -> list[int]:
-    """Masks such that two fingerprints within the radius agree on all bits of at least one: two of
-    radius + 2 bit ranges."""
-    edges = [round(64 * k / (radius + 2)) for k in range(radius + 3)]
-    ranges = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(radius + 2)]
-    return [x | y for x, y in combinations(ranges, 2)]
+#: Fingerprints of a bucket, on average and if they were random, beyond which buckets take more bits.
+PER_BUCKET = 64
+
+
+def ranges_for(radius: int, n: int) -> int:
+    """Into how many ranges the bits are cut: those on which two close fingerprints agree have bits enough to
+    tell ``n`` fingerprints apart."""
+    parts = radius + 2
+    while parts < 2 * radius and n > PER_BUCKET << (64 * (parts - radius) // parts):
+        parts += 1
+    return parts
+
+
+def masks(radius: int, parts: int | None = None) -> list[int]:
+    """Masks such that two fingerprints within the radius agree on all bits of at least one: all but ``radius``
+    of the ``parts`` ranges (two more than the radius, if not given)."""
+    parts = parts or radius + 2
+    edges = [round(64 * k / parts) for k in range(parts + 1)]
+    ranges = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(parts)]
+    return [sum(x) for x in combinations(ranges, parts - radius)]
 
 
 def _fingerprints(width: int, minhashes: int, bands: int, rows: int):
@@ -190,10 +226,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _links(side: np.ndarray, fp: np.ndarray, sig: np.ndarray | None, first: int, radius: int, agree: float):
     """Links within a cell whose first row is ``first``: ``(a, b, cost)``."""
     one, two = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-    q, m = near(fp[one], fp[two] if len(two) else fp[one], radius)
+    q, m = near(fp[one], fp[two] if len(two) else fp[one], radius, upper=not len(two))
     a, b = one[q], (two if len(two) else one)[m]
-    if not len(two):
-        a, b = a[a < b], b[a < b]
     return _alike(a + first, b + first, sig, agree)
 
 
@@ -294,7 +328,7 @@ def fingerprint_components(prints: DataFrame, radius: int) -> DataFrame:
     apart. Only distinct fingerprints are compared. A null id can't be a component's name;
     such a row takes the smallest id that it reaches, or null."""
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.lit(0).alias("z")).select("fp", F.coalesce("node", "fp").alias("node"), F.col("node").isNull().alias("nameless")))
-    keys = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks(radius))))
+    keys = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks(radius, ranges_for(radius, nodes.count())))))
     members = nodes.where("not nameless").select(F.explode(keys).alias("bucket"), "node", "fp")
     found = connected_components(bucket_links(members, radius))
     named = nodes.join(found, "node", "left").select("fp", F.when(~F.col("nameless"), F.coalesce("component", "node")).alias("component_id"))
@@ -335,7 +369,7 @@ def exact_links(docs: DataFrame, links: DataFrame, id_col: str, text_col: str, w
     """The links whose documents' shingle sets have that Jaccard similarity. Only texts with links
     are joined."""
     ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = cut(texts(docs, id_col, text_col).join(ends.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    own = cut(texts(docs, id_col, text_col).join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     pairs = links.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
     return pairs.select("a", "b", "s", "t").mapInArrow(_similar(width, similarity), "a long, b long")
 
@@ -405,7 +439,7 @@ def open_links(docs: DataFrame, nodes: DataFrame, forest: DataFrame, found: Data
     trees = trees.where("n > 2 and low < high").groupBy("n", "all").agg(F.min(F.struct("cell", "tree")).alias("t")).select("t.cell", "t.tree")
     ends = cut(ends.join(trees, ["cell", "tree"]).select("cell", "tree", "node", "label"))
     wanted = ends.select(F.col("node").alias("doc_id")).distinct()
-    own = texts(docs, id_col, text_col).join(wanted.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    own = texts(docs, id_col, text_col).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = cut(own.mapInArrow(_shingle_sets(width), "node long, shingles binary"))
     held = ends.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node")
     chunks = held.groupBy("cell", "tree").agg(F.ceil(F.sum("bytes") / HELD_BYTES).cast("int").alias("n"))

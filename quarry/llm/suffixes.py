@@ -29,65 +29,74 @@ from pyspark.sql import functions as F
 from quarry.llm import exchange as X
 from quarry.llm.common import cut, drop_cut, settle, texts
 from quarry.llm.exchange import stored
-from quarry.llm.windows import _bits, _power, mixed
+from quarry.llm.windows import LAST, _bits, _ids, _power, mixed
 
 #: Bytes of a window and of a gram; cells for each segment; bytes of text to a bucket; different
 #: segments of one key that are sorted together.
 LENGTH, GRAM, CELLS, BUCKET_BYTES, MOST = 50, 20, 64, 8 << 20, 4096
-#: Stands for a null id: after all others.
-LAST = (1 << 63) - 1
-
 
 def suffix_array(s: list[int]) -> list[int]:
-    """The suffixes of ``s`` in order. ``s`` ends with a value smaller than all others."""
+    """The suffixes of ``s`` in order, in time linear in its length. ``s`` ends with a value smaller than all others."""
     n = len(s)
+    slot, place = [0] * n, [0] * n  # the suffix of each slot, the slot of each suffix
     group = [0] * n  # of each suffix: the first slot of its group
-    members: dict[int, list[int]] = {}
-    start_at: dict[int, int] = {}  # end slot of a group -> its first slot
+    size = [0] * (n + 1)  # of the group that starts at a slot
     by_first: dict[int, list[int]] = {}
     for i, c in enumerate(s):
         by_first.setdefault(c, []).append(i)
+    starts_at_end = [0] * (n + 1)  # end slot of a group -> its first slot
     at = 0
     for c in sorted(by_first):
         own = by_first[c]
-        members[at] = own
-        for i in own:
-            group[i] = at
-        start_at[at + len(own)] = at
+        for k, i in enumerate(own, at):
+            slot[k], place[i], group[i] = i, k, at
+        size[at] = len(own)
+        starts_at_end[at + len(own)] = at
         at += len(own)
     prev = [-1] * n
     end = n
     while end > 0:
-        g = start_at[end]
-        times: dict[int, int] = {}
-        for i in sorted(members[g]):
+        g = starts_at_end[end]
+        members = slot[g:end]
+        for i in members:  # to the left over all that is processed
             j = i - 1
-            while j >= 0 and group[j] >= g:  # processed, or of this group and to the left
+            while j >= 0 and group[j] > g:
                 j = prev[j]
             prev[i] = j
-            if j >= 0:
+        for i in members:  # and over members of this group, whose own pointers then lead out of it
+            j = prev[i]
+            if j >= 0 and group[j] == g:
+                path = [i]
+                while j >= 0 and group[j] == g:
+                    path.append(j)
+                    j = prev[j]
+                for k in path:
+                    prev[k] = j
+        times: dict[int, int] = {}
+        for i in members:
+            if (j := prev[i]) >= 0:
                 times[j] = times.get(j, 0) + 1
-        if times:
-            moving: dict[int, dict[int, list[int]]] = {}
-            for j, k in times.items():
-                moving.setdefault(group[j], {}).setdefault(k, []).append(j)
-            for o, parts in moving.items():
-                old = members[o]
-                total = sum(map(len, parts.values()))
-                left = len(old) - total
-                top = o + len(old)
-                if left:
-                    members[o] = [j for j in old if j not in times]
-                    start_at[o + left] = o
-                at = o + left
-                for k in sorted(parts):  # more repeats of this group's prefix are greater
-                    own = parts[k]
-                    members[at] = own
-                    for j in own:
-                        group[j] = at
-                    start_at[at + len(own)] = at
-                    at += len(own)
-                assert at == top
+        alike: dict[int, list[int]] = {}
+        for j, k in times.items():
+            alike.setdefault(k, []).append(j)
+        touched = {group[j] for j in times}
+        for k in sorted(alike, reverse=True):  # more repeats of this group's prefix are greater
+            own = alike[k]
+            for j in own:  # to the end of its group, by a swap
+                o = group[j]
+                size[o] -= 1
+                last = o + size[o]
+                other = slot[last]
+                slot[place[j]], place[other] = other, place[j]
+                slot[last], place[j] = j, last
+            for j, new in zip(own, [group[j] + size[group[j]] for j in own], strict=True):
+                group[j] = new
+                size[new] += 1
+            for j in own:
+                starts_at_end[group[j] + size[group[j]]] = group[j]
+        for o in touched:  # what stays of a group
+            if size[o]:
+                starts_at_end[o + size[o]] = o
         end = g
     order = [0] * n
     free = list(range(n))  # next slot of the group that starts there
@@ -220,10 +229,6 @@ def _distinct(key: np.ndarray, digest: np.ndarray, doc_id: np.ndarray) -> tuple[
     return order[new], where
 
 
-def _ids(head: pa.RecordBatch) -> np.ndarray:
-    return np.array([LAST if x is None else x for x in head.column("doc_id").to_pylist()], np.int64)
-
-
 def _meet(block: int, key, digest, doc_id, doc, first, after, buckets: int, kind: int) -> list[tuple]:
     """A block's segments as asks (key, digest, smallest id) and where each is (``kind`` + 1)."""
     pick, where = _distinct(key, digest, doc_id)

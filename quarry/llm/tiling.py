@@ -51,21 +51,17 @@ def _scan(text: np.ndarray, item: np.ndarray, used: np.ndarray, told: np.ndarray
     """Maximal matches (length, place in text, place in item) of at least ``width`` unmarked tokens."""
     if width > min(len(text), len(item)):
         return []
-    starts = _free(told, width)
-    places: dict[int, list[int]] = defaultdict(list)
-    own = _windows(item, width)
-    for p in starts.tolist():
-        places[int(own[p])].append(p)
-    if not places:
-        return []
-    there = _windows(text, width)
-    at = _free(used, width)
-    at = at[np.isin(there[at], np.fromiter(places, np.uint64, len(places)))]
+    starts, at = _free(told, width), _free(used, width)
+    own, there = _windows(item, width)[starts], _windows(text, width)[at]
+    order = np.argsort(there, kind="stable")
+    low, high = np.searchsorted(there[order], own), np.searchsorted(there[order], own, "right")
     found = []
-    for t in at.tolist():
-        for p in places[int(there[t])]:
-            if t and p and text[t - 1] == item[p - 1] and not used[t - 1] and not told[p - 1]:
-                continue  # part of a longer match
+    for p, i, j in zip(starts.tolist(), low.tolist(), high.tolist(), strict=True):  # places of an item are few
+        ts = at[order[i:j]]
+        if p and not told[p - 1]:  # part of a longer match
+            before = np.maximum(ts - 1, 0)
+            ts = ts[(ts == 0) | (text[before] != item[p - 1]) | used[before]]
+        for t in ts.tolist():
             n = min(len(text) - t, len(item) - p)
             stop = np.nonzero((text[t : t + n] != item[p : p + n]) | used[t : t + n] | told[p : p + n])[0]
             n = int(stop[0]) if len(stop) else n
@@ -154,8 +150,9 @@ class Seeds:
                 yield d, item_id, len(item), n, sorted(tiles)
 
 
-def _find(seeds: Seeds, coverage: float):
+def _find(shared, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -186,14 +183,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def _slices(benchmark: DataFrame, item_col: str, item_text_col: str, least: int, slice_bytes: int) -> Iterator[Seeds]:
-    """The benchmark's items in slices of about ``slice_bytes``, however many there are."""
+def _slices(benchmark: DataFrame, item_col: str, item_text_col: str, least: int, slice_bytes: int) -> Iterator:
+    """The benchmark's items in broadcast slices of about ``slice_bytes``, however many there are: the driver builds one
+    at a time."""
     items = texts(benchmark, item_col, item_text_col)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-int(total) // slice_bytes))
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)) == k)
-        yield Seeds([(r[0], bytes(r[1])) for r in part.collect()], least)
+        yield benchmark.sparkSession.sparkContext.broadcast(Seeds([(r[0], bytes(r[1])) for r in part.collect()], least))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE, slice_bytes: int = SLICE) -> DataFrame:
@@ -201,7 +199,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     as by :func:`contaminated`; null and empty ones stay."""
     for seeds in _slices(benchmark, item_col, item_text_col, least, slice_bytes):
 
-        def judge(seeds: Seeds = seeds):
+        def judge(shared=seeds):
+            seeds = shared.value
+
             def keeps(texts: list[bytes | None]) -> list[bool]:
                 hit = {d for d, *_ in seeds.tiled([t or b"" for t in texts], coverage)}
                 return [k not in hit for k in range(len(texts))]

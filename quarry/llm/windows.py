@@ -23,6 +23,9 @@ from quarry.llm.common import cut, drop_cut, settle, texts
 #: Rows of the sketch; cells of a row for each window, at least; keys that a bucket judges at once.
 DEPTH, CELLS, BUCKET_KEYS = 2, 8, 1 << 20
 
+#: Stands for a null id: after all others.
+LAST = (1 << 63) - 1
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -151,9 +154,18 @@ def _digest_keys(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return seen[new], where, np.diff(np.append(np.nonzero(new)[0], len(raw)))
 
 
-def _exact(window: int, width: int, depth: int, buckets: int, exact_buckets: int):
+def _ids(head: pa.RecordBatch) -> np.ndarray:
+    return np.array([LAST if x is None else x for x in head.column("doc_id").to_pylist()], np.int64)
+
+
+def _home(words: Words, which: np.ndarray) -> np.ndarray:
+    """The documents of the windows, by number."""
+    return np.searchsorted(words.first, words.at[which], "right") - 1
+
+
+def _exact(window: int, width: int, depth: int, buckets: int, exact_buckets: int, first: bool):
     def work(answers: list[dict], body: dict) -> Iterator[pa.RecordBatch]:
-        _, docs = X.unbody(body["more"], body["data"])
+        head, docs = X.unbody(body["more"], body["data"])
         words = Words(docs, window)
         which = _estimated(words, answers, width, depth, buckets)
         if not len(which):
@@ -161,7 +173,10 @@ def _exact(window: int, width: int, depth: int, buckets: int, exact_buckets: int
         keys, where, count = _digest_keys(words, which)
         bucket = keys[:, 0] // np.uint64(-(-(1 << 64) // exact_buckets)) if exact_buckets > 1 else np.zeros(len(keys), np.uint64)
         cuts = np.searchsorted(bucket, np.arange(exact_buckets + 1, dtype=np.uint64))
-        asks = [(1, body["block"], k, int(j - i), keys[i:j].tobytes(), X.pack_bits(count[i:j] > 1)) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+        least = np.full(len(keys) if first else 0, LAST)
+        if first:
+            np.minimum.at(least, where, _ids(head)[_home(words, which)])
+        asks = [(1, body["block"], k, int(j - i), keys[i:j].tobytes() + least[i:j].tobytes(), X.pack_bits(count[i:j] > 1)) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
         spots = np.diff(which, prepend=0).astype(np.int32).tobytes() + where.astype(np.int32).tobytes()
         yield X.rows([*asks, (2, body["block"], exact_buckets, len(which), X.squeeze(spots), b"")])
 
@@ -169,8 +184,9 @@ def _exact(window: int, width: int, depth: int, buckets: int, exact_buckets: int
 
 
 def judge_exact(group: list[dict]) -> list[tuple]:
-    """Which digests of each ask occur more than once in all."""
-    keys = np.concatenate([np.frombuffer(r["data"], np.uint64).reshape(-1, 2) for r in group])
+    """Which digests of each ask occur more than once in all; of those the smallest id, if the asks name ids."""
+    keys = np.concatenate([np.frombuffer(r["data"], np.uint64, 2 * r["n"]).reshape(-1, 2) for r in group])
+    least = np.concatenate([np.frombuffer(r["data"], np.int64, offset=16 * r["n"]) for r in group])
     own = np.concatenate([X.unpack_bits(r["more"], r["n"]) for r in group])
     order = np.lexsort((keys[:, 1], keys[:, 0]))
     seen = keys[order]
@@ -179,11 +195,27 @@ def judge_exact(group: list[dict]) -> list[tuple]:
     again[order[1:][same]] = True
     again[order[:-1][same]] = True
     again |= own
+    if len(least):
+        start = np.nonzero(np.concatenate([[True], ~same]))[0]
+        low = np.minimum.reduceat(least[order], start)
+        least = np.empty_like(least)
+        least[order] = np.repeat(low, np.diff(np.append(start, len(order))))
     cuts = np.cumsum([0, *(r["n"] for r in group)])
-    return [(1, r["block"], r["bucket"], r["n"], X.pack_bits(again[i:j]), b"") for r, i, j in zip(group, cuts[:-1], cuts[1:], strict=True)]
+    return [(1, r["block"], r["bucket"], r["n"], X.pack_bits(again[i:j]), X.squeeze(least[i:j][again[i:j]].tobytes()) if len(least) else b"") for r, i, j in zip(group, cuts[:-1], cuts[1:], strict=True)]
+
+
+def _spared(words: Words, which: np.ndarray, where: np.ndarray, hit: np.ndarray, least: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of the windows are the first of their kind: in the document of the smallest id, at its first place."""
+    low = np.full(len(hit), LAST)
+    low[hit] = least
+    mine = np.nonzero(hit[where] & (low[where] == ids[_home(words, which)]))[0]
+    _, first = np.unique(where[mine], return_index=True)
+    out = np.zeros(len(which), bool)
+    out[mine[first]] = True
+    return out
 
 
-def _remove(window: int, verbatim: bool):
+def _remove(window: int, verbatim: bool, first: bool):
     def work(answers: list[dict], body: dict) -> Iterator[pa.RecordBatch]:
         ids, docs = X.unbody(body["more"], body["data"])
         words = Words(docs, window)
@@ -191,7 +223,15 @@ def _remove(window: int, verbatim: bool):
         if spots := [r for r in answers if r["kind"] == 2]:
             raw = np.frombuffer(X.unsqueeze(spots[0]["data"]), np.int32)
             which, where = np.cumsum(raw[: len(raw) // 2], dtype=np.int64), raw[len(raw) // 2 :]
-            gone = words.covered(which[_bits([r for r in answers if r["kind"] == 1])[where]])
+            told = [r for r in answers if r["kind"] == 1]
+            hit = _bits(told)
+            again = hit[where]
+            if first:
+                least = np.concatenate([np.frombuffer(X.unsqueeze(r["more"]), np.int64) for r in told])
+                spared = _spared(words, which, where, hit, least, _ids(ids))
+                gone = words.covered(which[again & ~spared]) & ~words.covered(which[spared])
+            else:
+                gone = words.covered(which[again])
         texts, spans, removed = [], [], []
         for k, joined in enumerate(words.joined):
             i, j = words.first[k], words.first[k + 1]
@@ -214,7 +254,7 @@ def _remove(window: int, verbatim: bool):
     return work
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, depth: int = DEPTH, cells: int = CELLS, carry: list[str] | None = None, verbatim: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, depth: int = DEPTH, cells: int = CELLS, carry: list[str] | None = None, verbatim: bool = False, keep_first: bool = False) -> DataFrame:
     """Remove each word that a repeated window of ``window`` words covers.
 
     Returns ``(doc_id, kept string, n_words, n_removed, removed array<struct<first, after>>)``, a row
@@ -223,7 +263,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     starts anywhere else, in the same document or another; windows are judged on the input.
     Null and empty texts have no words; repeated rows (also of one id) repeat each other's
     windows; null ids are kept as they are. Other columns are not read; those in ``carry`` come
-    along in a struct ``row``. With ``verbatim`` a text that loses no word is given as it was,
+    along in a struct ``row``. With ``keep_first`` the first of equal windows stays, with all its words: that of
+    the smallest id, null ids last, and there of the first place; rows of one id in different blocks may each
+    keep theirs. With ``verbatim`` a text that loses no word is given as it was,
     white space and all."""
     spark = docs.sparkSession
     data = texts(docs, id_col, text_col, carry)
@@ -238,13 +280,13 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     estimates = cut(X.answered(asks, X.judge_repeats))
     drop_cut(asks)
     settle(spark)
-    found = cut(X.per_block(bodies, estimates, _exact(window, width, depth, buckets, buckets), X.ROWS))
+    found = cut(X.per_block(bodies, estimates, _exact(window, width, depth, buckets, buckets, keep_first), X.ROWS))
     drop_cut(estimates)
     settle(spark)
     marks = cut(X.answered(found.where("kind = 1"), judge_exact))
     settle(spark)
     answers = marks.unionByName(found.where("kind = 2"))
-    return X.per_block(bodies, answers, _remove(window, verbatim), f"doc_id long, {row}kept string, n_words long, n_removed long, removed array<struct<first: long, after: long>>")
+    return X.per_block(bodies, answers, _remove(window, verbatim, keep_first), f"doc_id long, {row}kept string, n_words long, n_removed long, removed array<struct<first: long, after: long>>")
 
 
 

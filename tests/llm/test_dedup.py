@@ -52,6 +52,36 @@ def corpus(seed):
     return rows + [(100, None), (101, ""), (None, passages[0]), (3, passages[1]), (3, passages[1]), (None, None), (102, "q" * 5000)]
 
 
+def plain_kept(rows, window):
+    """Of equal windows the first stays, in order of ids (null last) and places, with its words."""
+    words = [((windows.LAST if i is None else i), (t or "").encode().split()) for i, t in rows]
+    first: dict = {}
+    count: Counter = Counter()
+    for n, (i, w) in enumerate(words):
+        for k in range(len(w) - window + 1):
+            key = tuple(w[k : k + window])
+            count[key] += 1
+            first[key] = min(first.get(key, (i, n, k)), (i, n, k))
+    out = []
+    for n, ((i, _), (rank, w)) in enumerate(zip(rows, words, strict=True)):
+        gone, stays = [False] * len(w), [False] * len(w)
+        for k in range(len(w) - window + 1):
+            key = tuple(w[k : k + window])
+            if count[key] > 1:
+                side = stays if first[key] == (rank, n, k) else gone
+                side[k : k + window] = [True] * window
+        kept = [x for x, g, s in zip(w, gone, stays, strict=True) if s or not g]
+        out.append((i, len(w) - len(kept), b" ".join(kept).decode()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_first_windows_stay(docs, seed):
+    rows = corpus(seed)
+    got = windows.drop_repeats(docs([(*r, 0) for r in rows], ", kept int").coalesce(1), window=7, keep_first=True).collect()
+    assert sorted(((r.doc_id, r.n_removed, r.kept) for r in got), key=repr) == plain_kept(rows, 7)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_windows(docs, seed):
     rows = corpus(seed)

@@ -111,9 +111,42 @@ def test_resample_and_segments():
     assert len(z) == 12000
     level = np.array([0, 0, 5, 4.5, 4.2, 0, 0, 0, 5, 0], np.float32)
     assert audio.segments(level - 0, 1.0, -1.0) == [(2, 5), (8, 9)]
-    cut = audio.tensors(np.ones((70, audio.BANDS), np.float32), 0.5)
-    assert [(a, b, n) for a, b, n, _ in cut] == [(0.0, 32.0, 64), (32.0, 35.0, 6)]
-    assert audio.tensor_array([c[3] for c in cut]).to_numpy_ndarray().shape == (2, 64, audio.BANDS)
+    frames = np.arange(35 * audio.BANDS, dtype=np.float32).reshape(35, -1)
+    stored = audio.read_tensors(audio.store_tensors(audio.tensors(frames, 0.5)))
+    assert list(zip(*(stored.column(k).to_pylist() for k in range(3)), strict=True)) == [(0.0, 8.0, 16), (8.0, 16.0, 16), (16.0, 17.5, 3)]
+    assert stored.column("values").to_numpy_ndarray().shape == (3, 16, audio.BANDS)
+    assert (audio.frames_of(stored) == frames).all()
+
+
+def test_features_by_hand():
+    """Resampling, windows and bands, sample by sample."""
+    rng = np.random.default_rng(3)
+    raw = rng.integers(0, 256, 1500, np.uint8)
+    x, taps, up, down = (raw.astype(float) - 128) / 128, audio.TAPS, audio.UP, audio.DOWN
+    t = np.arange(up * taps) - (up * taps - 1) / 2
+    h = np.sinc(t / max(up, down)) * np.hanning(up * taps + 2)[1:-1]
+    h = h / h.sum() * up
+    y = []
+    for o in range(-(-len(x) * up // down)):
+        at, phase = o * down // up, o * down % up
+        y.append(sum(x[at - taps // 2 + k] * h[(taps - 1 - k) * up + phase] for k in range(taps) if 0 <= at - taps // 2 + k < len(x)))
+    n = max(1, 1 + -(-(len(y) - audio.FRAME) // audio.HOP))
+    y = np.pad(y, (0, (n - 1) * audio.HOP + audio.FRAME - len(y)))
+    spectrum = np.array([[abs(sum(y[i * audio.HOP + k] * np.hanning(audio.FRAME)[k] * np.exp(-2j * np.pi * f * k / audio.FRAME) for k in range(audio.FRAME))) ** 2 for f in (5, 40)] for i in range(2)])
+    mels, _, _ = audio.features(raw.tobytes())
+    assert mels.shape == (n, audio.BANDS)
+    full = np.abs(np.fft.rfft(np.stack([y[i * audio.HOP : i * audio.HOP + audio.FRAME] for i in range(n)]) * np.hanning(audio.FRAME), axis=1)) ** 2
+    assert np.allclose(full[:2][:, [5, 40]], spectrum, rtol=1e-6)
+    assert np.allclose(mels, np.log10(full @ audio._mel(audio.FRAME, audio.BANDS, audio.RATE * up / down) + 1e-6), atol=1e-3)
+
+
+def test_long_sound_in_slices(monkeypatch):
+    raw = np.random.default_rng(4).integers(0, 256, 30_000, np.uint8).tobytes()
+    whole = audio.features(raw)
+    monkeypatch.setattr(audio, "SLICE", 7)
+    sliced = audio.features(raw)
+    assert np.allclose(whole[0], sliced[0], atol=1e-5)
+    assert np.allclose(whole[1], sliced[1], atol=1e-4)
 
 
 def test_audio(docs):
@@ -125,10 +158,75 @@ def test_audio(docs):
     assert (got[2].n_bytes, got[2].payload_bytes, got[None].n_bytes, got[None].payload_bytes) == (0, 64, 200, 256)
     assert got[1].feature == got[4].feature
     assert got[2].feature == got[3].feature
-    assert audio.mel_tensors(stored).where("doc_id = 5").count() == -(-got[5].n_frames // 64)
+    assert audio.tensor_rows(audio.describe(stored)).where("doc_id = 5").count() == -(-got[5].n_frames // audio.SHAPE_FRAMES)
     assert audio.store(docs([])).count() == 0
 
 
+def test_audio_query(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op5_audio"](spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        full = t.ljust(max(64, -(-len(t) // 64) * 64), b"\0")
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+        media = audio.encode_wave(full)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert audio.read_tensors(bytes(r.tensors)).schema.field("values").type == audio.TENSOR
+
+
+def test_packing_query(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    whole = tokens.tokenizer(tokens.vocabulary_path(packing.VOCABULARY))
+    got = QUERIES["op7_packing"](spark, SF).toPandas()
+    lengths = []
+    by_doc = {i: p.sort_values("piece") for i, p in got.groupby("doc_id")}
+    assert by_doc.keys() == texts.keys()
+    for i, t in texts.items():
+        ids = [*whole.encode(t, add_special_tokens=False).ids, 0]
+        cut = [ids[k : k + 2048] for k in range(0, len(ids), 2048)]
+        lengths += map(len, cut)
+        own = by_doc[i]
+        assert own.piece.tolist() == list(range(len(cut)))
+        assert own.start.tolist() == [2048 * k for k in range(len(cut))]
+        assert own.length.tolist() == [len(x) for x in cut]
+        assert own.ids_crc32.tolist() == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in cut]
+    for _, part in got.sort_values("offset").groupby("sequence_id"):
+        assert (part.offset == part.length.cumsum() - part.length).all()
+        assert part.length.sum() <= 2048
+    assert -(-sum(lengths) // 2048) <= got.sequence_id.nunique() <= len(packing.best_fit(lengths, 2048))
+
+
+def test_offers_are_whole():
+    """Every pair of lengths of a bin with many pieces can be given."""
+    search = packing.Search([list(range(40))], list(range(1, 41)), 2048)
+    assert set(search._offers(0)) == {0, *range(1, 41), *(a + b for a in range(1, 41) for b in range(a + 1, 41))}
+
+
+def test_other_vocabularies(spark):
+    import public_tokenizers
+
+    path = next(p for n in sorted(public_tokenizers.names() if hasattr(public_tokenizers, "names") else ["word_bpe_49k.json"]) if n.endswith(".json") and not tokens.by_words(p := public_tokenizers.path(n)))
+    texts = ["Hello  World\n\tIf x:", "", "é  ẞ"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode([t.encode() for t in texts], path)] == [tokens.tokenizer(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_contamination_query(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    items = {r.item_id: tiling.fold((r.text or "").encode()).split() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    expected = []
+    for i, t in texts.items():
+        words = tiling.fold(t.encode()).split()
+        grams = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        for j, item in items.items():
+            if len(item) >= 5 and any(tuple(item[k : k + 5]) in grams for k in range(len(item) - 4)):
+                ids = {w: k for k, w in enumerate(dict.fromkeys(item))}
+                n = sum(x for *_, x in plain_tiles([ids.get(w, -1 - k) for k, w in enumerate(words)], [ids[w] for w in item], 5))
+                if n >= 0.6 * len(item):
+                    expected.append((i, j, len(item), n))
+    assert sorted((r.doc_id, r.item_id, r.n_tokens, r.n_tiled) for r in QUERIES["op2_tiling"](spark, SF).collect()) == sorted(expected)
+
+
 def test_licenses(spark):
     rows = [
         ("a/LICENSE", "Released under the MIT License.", 1),
