@@ -1,7 +1,6 @@
 """Chunking: syntax nodes where a grammar is at hand, else recursive splits with overlap.
 
-Python is parsed by its own grammar. Other languages with braces are scanned for declarations and
-matching braces, a heuristic. Lengths are in code points. Ids are hashes of where a chunk is."""
+Python is parsed by its own grammar, JavaScript and TypeScript by :mod:`quarry.operators.syntax`. Lengths are in code points. Ids are hashes of where a chunk is."""
 
 from __future__ import annotations
 
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from quarry import config as C
 from quarry.functions.imports import import_summary
+from quarry.operators import syntax
 
 # Where texts are split, in order of preference.
 SEPARATORS = {
@@ -22,12 +22,6 @@ SEPARATORS = {
     "js": ("\nfunction ", "\nconst ", "\nlet ", "\nvar ", "\nclass ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\ndefault ", "\n\n", "\n", " ", ""),
 }
 GRAMMARS = {".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "javascript", ".py": "python"}
-_DECLARED = re.compile(
-    r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:(class)\s+(\w+)[^{;]*|(?:async\s+)?function\s*\*?\s*(\w+)\s*\([^{;]*|(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*(\w+)\s*\([^;{}]*\)\s*(?::[^{;=]+)?)\{", re.MULTILINE
-)
-_NOT_METHODS = {"if", "for", "while", "switch", "catch", "function", "return", "with", "constructor_call"}
-
-
 def _extension(path: str) -> str:
     name = path.rsplit("/", 1)[-1]
     return "." + name.rsplit(".", 1)[1].lower() if "." in name[1:] else ""
@@ -83,32 +77,10 @@ def _python_nodes(content: str) -> list[dict]:
     return found
 
 
-def _blank_literals(text: str) -> str:
-    """Strings and comments as spaces, so that their braces don't count."""
-    return re.sub(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.DOTALL)
-
-
-def _brace_nodes(content: str) -> list[dict]:
-    bare, found = _blank_literals(content), []
-    for m in _DECLARED.finditer(bare):
-        name = m[2] or m[3] or m[4]
-        if m[4] in _NOT_METHODS:
-            continue
-        depth, end = 0, len(bare)
-        for k in range(m.end() - 1, len(bare)):
-            depth += (bare[k] == "{") - (bare[k] == "}")
-            if not depth:
-                end = k + 1
-                break
-        begin = m.start() + len(m[0]) - len(m[0].lstrip())
-        found.append({"type": "class" if m[1] else "function", "name": name, "content": content[begin:end], "start": content.count("\n", 0, begin) + 1, "end": content.count("\n", 0, end) + 1})
-    return found
-
-
 def semantic_nodes(path: str, content: str) -> list[dict]:
     """Classes and functions at every depth by start line; none for other languages."""
     kind = GRAMMARS.get(_extension(path))
-    nodes = [] if kind is None else _python_nodes(content) if kind == "python" else _brace_nodes(content)
+    nodes = [] if kind is None else _python_nodes(content) if kind == "python" else syntax.nodes(content)
     return sorted(nodes, key=lambda n: n["start"])
 
 

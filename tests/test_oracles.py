@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from testdata import SF
 
-from quarry.plans import catalog
+from quarry.plans import catalog, surface  # noqa: F401
 
 
 def plain(v):
