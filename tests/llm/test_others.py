@@ -247,6 +247,18 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_wrapped_and_long_licenses(spark):
+    texts = {name: text for name, text in licenses.TEMPLATES if len(text) > 250}
+    wrapped = lambda t: "# " + "\n# ".join(" ".join(t.split()[k : k + 7]).title() for k in range(0, len(t.split()), 7))
+    prose = " ".join(f"word{k} and the of" for k in range(400))
+    rows = [(f"{name}/{k}.py", f"{prose}\n{wrapped(text)}\n{prose}" if k else text) for name, text in texts.items() for k in (0, 1)]
+    rows += [("plain.py", prose * 20), ("near.py", "a license is a thing that one may have")]
+    got = {r.path: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for name in texts:
+        assert [(got[f"{name}/{k}.py"].license, got[f"{name}/{k}.py"].origin) for k in (0, 1)] == [(name, "own")] * 2
+    assert got["plain.py"].origin == got["near.py"].origin == "none"
+
+
 def test_chats(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", "other"), (5, 0, None, None), (None, 0, "user", "x"), (1, 1, "assistant", "yo")]
     turns += [(6, k, "user", f"t{k}") for k in range(200)] + [(7, k + 1, "user", f"t{k}") for k in range(150)] + [(8, 0, "user", "<|im_end|>")]
