@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -23,16 +24,33 @@ from quarry.functions import text as T
 # The usual BM25 constants, and what stands for an idf that isn't positive.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Shards of a stored index; terms that are pushed down as a list; rows scored at once; questions scored at once.
-SHARDS, TERMS, ROWS, BLOCK = 16, 4096, 500_000, 1024
+SHARDS, TERMS, ROWS, BLOCK = 16, 200, 500_000, 1024
+
+
+def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("terms")
+        size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), size)
+        pos = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        coded = lists.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        order = np.lexsort((pos, code, row))
+        r, c = row[order], code[order]
+        first = np.nonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])]))[0] if len(r) else r
+        offsets = pa.array(np.append(first, len(r)).astype(np.int32))
+        own = [batch.column(k).take(pa.array(r[first])) for k in range(batch.num_columns - 1)]
+        names = batch.schema.names[:-1]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(size[r[first]].astype(np.int32)), coded.dictionary.take(pa.array(c[first])), pa.ListArray.from_arrays(offsets, pa.array(pos[order]))], [*names, "length", "term", "positions"])
 
 
 def terms_of(chunks: DataFrame, body: Column) -> DataFrame:
     """``(chunk_id, [repo_id,] length, term, positions array<int>)``, a row per term of a chunk; the chunk's length
-    in terms comes along."""
+    in terms comes along. A narrow pass: all of a chunk's terms are in its row."""
     own = ["chunk_id", *(["repo_id"] if "repo_id" in chunks.columns else [])]
     terms = chunks.select(*own, T.fts_terms(body).alias("terms"))
-    each = terms.select(*own, F.size("terms").alias("length"), F.posexplode("terms").alias("pos", "term"))
-    return each.groupBy(*own, "length", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    schema = ", ".join(f"{c} {terms.schema[c].dataType.simpleString()}" for c in own)
+    return terms.mapInArrow(_invert, f"{schema}, length int, term string, positions array<int>")
 
 
 def lengths(chunks: DataFrame, body: Column) -> DataFrame:
@@ -76,15 +94,15 @@ class Index:
     def read(spark: SparkSession, path: str) -> Index:
         return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
 
-    def of_terms(self, wanted: DataFrame, shards: int = SHARDS) -> DataFrame:
+    def of_terms(self, terms: list[str], shards: int = SHARDS) -> DataFrame:
         """The postings of the terms, read alone where they are few enough for a list."""
-        terms = [r[0] for r in wanted.select("term").distinct().limit(TERMS + 1).collect()]
+        spark = self.postings.sparkSession
+        wanted = spark.createDataFrame([(t,) for t in terms], "term string")
         if len(terms) > TERMS:
-            return self.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+            return self.postings.join(wanted, "term", "left_semi")
         own = self.postings.where(F.col("term").isin(terms))
         if "shard" in self.postings.columns:
-            found = [r[0] for r in self.postings.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(shard_of(F.col("term"), shards)).distinct().collect()]
-            own = own.where(F.col("shard").isin(found))
+            own = own.where(F.col("shard").isin([r[0] for r in wanted.select(shard_of(F.col("term"), shards)).distinct().collect()]))
         return own
 
 
@@ -93,29 +111,33 @@ def shard_of(term: Column, shards: int = SHARDS) -> Column:
 
 
 def phrases(questions: DataFrame, tokens: Column) -> DataFrame:
-    """``(question_id, phrase, off, term, width)``: the terms of each query token; a token without terms
-    contributes nothing."""
-    each = questions.select("question_id", F.explode(tokens).alias("token")).select("question_id", T.fts_terms(F.col("token")).alias("terms"), "token")
-    each = each.where(F.size("terms") > 0).select("question_id", F.col("token").alias("phrase"), F.size("terms").alias("width"), F.posexplode("terms").alias("off", "term"))
-    return each
+    """``(question_id, phrase, terms)``: each query token with its terms; a token without terms contributes nothing."""
+    each = questions.select("question_id", F.explode(F.array_distinct(tokens)).alias("phrase"))
+    return each.withColumn("terms", T.fts_terms(F.col("phrase"))).where(F.size("terms") > 0)
 
 
-def phrase_frequency(index: Index, wanted: DataFrame) -> DataFrame:
-    """``(phrase, chunk_id, [repo_id,] length, tf)``: how often each distinct phrase occurs in each chunk."""
-    terms = wanted.select("phrase", "width", "off", "term").distinct()
+def phrase_frequency(index: Index, wanted: list[list[str]]) -> tuple[DataFrame, DataFrame]:
+    """``(phrase int, chunk_id, [repo_id,] length, tf)``, how often each phrase, a list of terms, occurs in each chunk;
+    and ``(phrase, df)``, in how many chunks."""
+    rows = [(k, len(terms), off, t) for k, terms in enumerate(wanted) for off, t in enumerate(terms)]
+    places = index.postings.sparkSession.createDataFrame(rows, "phrase int, width int, off int, term string")
     own = ["chunk_id", *(["repo_id"] if "repo_id" in index.postings.columns else []), "length"]
-    met = index.of_terms(wanted).join(terms, "term")
-    single = met.where("width = 1").select("phrase", *own, F.size("positions").cast("long").alias("tf"))
-    places = met.where("width > 1").select("phrase", "width", *own, F.explode(F.transform("positions", lambda p: p - F.col("off"))).alias("start"))
-    whole = places.groupBy("phrase", "width", *own, "start").agg(F.count("*").alias("n")).where("n = width")
-    return single.unionByName(whole.groupBy("phrase", *own).agg(F.count("*").alias("tf")))
-
-
-def _score(asked: list[tuple], number: dict[str, int], idf: np.ndarray, avg: float, match_all: bool, kinds: list[pa.DataType]):
+    met = index.of_terms(sorted({t for terms in wanted for t in terms})).join(places, "term")
+    single, parts = met.where("width = 1"), met.where("width > 1")
+    starts = parts.select("phrase", "width", *own, F.explode(F.transform("positions", lambda p: p - F.col("off"))).alias("start"))
+    whole = starts.groupBy("phrase", "width", *own, "start").agg(F.count("*").alias("n")).where("n = width").groupBy("phrase", *own).agg(F.count("*").alias("tf"))
+    df = single.groupBy("phrase").agg(F.count("*").alias("df"))
+    tf = single.select("phrase", *own, F.size("positions").cast("long").alias("tf"))
+    if all(len(terms) == 1 for terms in wanted):
+        return tf, df
+    return tf.unionByName(whole), df.unionByName(whole.groupBy("phrase").agg(F.count("*").alias("df")))
+
+
+def _score(asked: list[tuple], idf: np.ndarray, avg: float, match_all: bool, kinds: list[pa.DataType]):
     """Rows ``(phrase, chunk_id, repo_id, length, tf)`` come sorted by chunk; a task's best of each question go."""
 
     def best_of(part: pa.Table, best: dict[int, list[tuple]]) -> None:
-        phrase = np.fromiter((number[p] for p in part.column("phrase").to_pylist()), np.int64, part.num_rows)
+        phrase = part.column("phrase").to_numpy()
         names, at = np.unique(part.column("chunk_id").to_numpy(zero_copy_only=False), return_inverse=True)
         tf, length = part.column("tf").to_numpy().astype(np.float64), part.column("length").to_numpy().astype(np.float64)
         weight = idf[phrase] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
@@ -174,29 +196,32 @@ def bm25(index: Index, questions: DataFrame, tokens: Column, limit: int | str =
     empty one finds nothing. Scores are rounded to 6 places before they are ranked."""
     spark = index.postings.sparkSession
     n, total = index.stats.agg(F.sum("n_chunks"), F.sum("n_terms")).first()
-    wanted = phrases(questions, tokens)
-    tf = phrase_frequency(index, wanted)
-    df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
-    raw = F.log((F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = {r[0]: r[1] for r in df.select("phrase", F.when(raw > 0, raw).otherwise(LEAST_IDF)).collect()}  # the questions' phrases
-    number = {p: k for k, p in enumerate(known)}
     depth = F.col(limit) if isinstance(limit, str) else F.lit(limit)
     group = F.col("repo_id") if repo else F.lit(None).cast("string")
-    asked = questions.select("question_id", depth.cast("int").alias("most"), group.alias("g")).join(wanted.groupBy("question_id").agg(F.collect_set("phrase").alias("phrases")), "question_id")
+    wanted = phrases(questions, tokens).groupBy("question_id").agg(F.collect_list(F.struct("phrase", "terms")).alias("phrases"))
+    asked = questions.select("question_id", depth.cast("int").alias("most"), group.alias("g")).join(wanted, "question_id").collect()  # a stated set
+    number: dict[str, int] = {}
+    lists: list[list[str]] = []
+    for r in asked:
+        for p in r["phrases"]:
+            if number.setdefault(p["phrase"], len(number)) == len(lists):
+                lists.append(p["terms"])
+    tf, df = phrase_frequency(index, lists)
+    raw = F.log((F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = np.zeros(len(lists))
+    for r in df.select("phrase", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf")).collect():
+        idf[r["phrase"]] = r["idf"]
     types = [questions.schema["question_id"].dataType, index.postings.schema["chunk_id"].dataType]
     schema = f"question_id {types[0].simpleString()}, chunk_id {types[1].simpleString()}, bm25 double"
     data = tf if whitelist is None else tf.join(whitelist.select(F.col(whitelist.columns[0]).alias("chunk_id")).distinct(), "chunk_id", "left_semi")
     home = F.col("repo_id").cast("string") if "repo_id" in data.columns else F.lit(None).cast("string")
     data = data.select("phrase", "chunk_id", home.alias("repo_id"), "length", "tf").repartition("chunk_id").sortWithinPartitions("chunk_id")
-    rows = [(r["question_id"], r["phrases"], r["most"], r["g"]) for r in asked.toLocalIterator()]
-    if match_all:
-        rows = [r for r in rows if all(p in number for p in r[1])]
-    asked_rows = [(q, [number[p] for p in own if p in number], most, g) for q, own, most, g in rows]
-    idf, avg = np.array(list(known.values()), np.float64), float(total or 0) / n if n and total else 1.0
+    asked_rows = [(r["question_id"], [number[p["phrase"]] for p in r["phrases"]], r["most"], r["g"]) for r in asked]
+    avg = float(total or 0) / n if n and total else 1.0
     out = None
     for i in range(0, max(1, len(asked_rows)), BLOCK):
         part = asked_rows[i : i + BLOCK]
-        found = data.mapInArrow(_score(part, number, idf, avg, match_all, [to_arrow_type(t) for t in types]), schema) if part else spark.createDataFrame([], schema)
+        found = data.mapInArrow(_score(part, idf, avg, match_all, [to_arrow_type(t) for t in types]), schema) if part else spark.createDataFrame([], schema)
         out = found if out is None else out.unionByName(found)
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("bm25", "chunk_id")))
     if isinstance(limit, str):
