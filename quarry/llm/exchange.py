@@ -110,6 +110,12 @@ def blocks_of(batches: Iterator[pa.RecordBatch], limit: int = BLOCK) -> Iterator
         yield block()
 
 
+def n_buckets(size: int, unit: int) -> int:
+    """How many buckets so much is dealt into: of ``unit`` each, of up to eight times as much in large tables, so that a
+    block's blob for a bucket keeps holding several keys."""
+    return max(1, -(-size // int(unit * min(8.0, max(1.0, (size / unit / 4096) ** 0.5)))))
+
+
 #: Rows between blocks and buckets. kind 0 is a block's body (data: texts, more: ids), kind 1 an
 #: ask or answer (bucket, n keys, data, more).
 ROWS = "kind int, block long, bucket long, n long, data binary, more binary"

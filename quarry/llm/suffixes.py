@@ -458,7 +458,7 @@ def drop_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = int(data.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     per_segment = max(1, (length - gram + 2) // 2)
     width = CELLS * max(total // per_segment, 1 << 16)
-    buckets = max(1, -(-total // BUCKET_BYTES))
+    buckets = X.n_buckets(total, BUCKET_BYTES)
     cells = max(1, buckets // 2)
     first = stored(data.mapInArrow(_ask_cells(length, gram, width, cells), X.ROWS))
     bodies = first(0)

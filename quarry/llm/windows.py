@@ -272,7 +272,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = int(data.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     windows = max(1, total // 6)  # about; only sizes depend on it
     width = cells * max(windows, 1 << 16)
-    buckets = max(1, -(-windows // BUCKET_KEYS))
+    buckets = X.n_buckets(windows, BUCKET_KEYS)
     row = f"row {data.schema['row'].dataType.simpleString()}, " if carry else ""
     first = data.mapInArrow(_sketch(window, width, depth, buckets), X.ROWS)
     kinds = X.stored(first)
