@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quarry import config as C
 from quarry.functions import text as T
 from quarry.functions.imports import summary
-from quarry.operators import chunking, context, dense, retrieve, sparse, store
+from quarry.operators import chunking, context, dense, evaluate, retrieve, sparse, store
 from quarry.sources import files, tables
 
 # Codes and their messages.
@@ -333,6 +333,26 @@ class Engine:
 
         return envelope(call)
 
+    def ensure_indexed(self, repo_id: str) -> dict:
+        """Build the index unless there is one."""
+        got = self.build_index(repo_id)
+        return envelope(lambda: {"status": "indexed"}) if got["code"] == 2002 else got
+
+    def acceptance(self, repo_id: str, question_file: str, top_k: int = 4) -> dict:
+        """Ask a question file's questions, hold the answers against what is expected; data: ``results``, one row of
+        ``summary``, and the Markdown ``report``. A question without any reference counts as missed."""
+
+        def call() -> dict:
+            asked = files.question_set(self.spark, question_file)
+            got = self.ask(asked.select("question_id", F.lit(repo_id).alias("repo_id"), "question"), top_k)
+            if got["code"]:
+                raise Failed(got["code"])
+            answers = got["data"].select("question_id", F.col("answer") if self.answerer else F.lit(None).cast("string").alias("answer"), F.col("references.file_path").alias("paths"))
+            results = evaluate.hits(asked.join(answers, "question_id", "left")).persist()
+            return {"results": results, "summary": evaluate.summary(results).first().asDict(), "report": evaluate.report(results, "Acceptance")}
+
+        return envelope(call)
+
     def history(self, repo_id: str) -> dict:
         return envelope(lambda: self._repo(repo_id) and tables.history_of(self.store.read("chat_history", repo_id), repo_id).withColumn("parsed", store.parse_references(F.col("references_json"))))
 

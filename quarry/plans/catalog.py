@@ -119,11 +119,14 @@ def dense_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT label::VARCHAR AS repo_id, count(*) AS n_vectors, count(DISTINCT 'hashing') AS n_models, count(DISTINCT len(embedding)) AS n_dimensions, 'hashing' AS model,
-  min(len(embedding))::INT AS dimension, count(DISTINCT len(embedding)) = 1 AS uniform FROM embeddings GROUP BY label"""
+    """WITH e AS (SELECT *, CASE WHEN label % 3 = 1 AND vec_id % 2 = 0 THEN 'other' ELSE 'hashing' END AS model FROM embeddings)
+SELECT label::VARCHAR AS repo_id, count(*) AS n_vectors, count(DISTINCT model) AS n_models, count(DISTINCT len(embedding)) AS n_dimensions, min(model) AS model,
+  min(len(embedding))::INT AS dimension, count(DISTINCT len(embedding)) = 1 AND count(DISTINCT model) = 1 AS uniform FROM e GROUP BY label"""
 )
 def embedding_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.fingerprint(vectors(spark, sf_dir).withColumn("model", F.lit("hashing")))
+    """Every third repository has vectors of two models."""
+    two = (F.col("repo_id").cast("int") % 3 == 1) & (F.col("chunk_id") % 2 == 0)
+    return dense.fingerprint(vectors(spark, sf_dir).withColumn("model", F.when(two, "other").otherwise("hashing")))
 
 
 # --- sparse ------------------------------------------------------------------------------------------
@@ -457,9 +460,8 @@ def duplicate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def status_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list shown joined with what a poll of those still indexing brought."""
     r = repos(spark, sf_dir)
-    polled = r.where("status = 'indexing'").select("id", F.when(F.col("id").isin("src5", "src10"), "indexed").otherwise("indexing").alias("polled"))
-    now = F.coalesce("polled", "status")
-    return r.join(polled, "id", "left").select("id", F.col("status").alias("shown"), now.alias("now"), (now != F.col("status")).alias("changed"))
+    polled = r.where("status = 'indexing'").select("id", F.when(F.col("id").isin("src5", "src10"), "indexed").otherwise("indexing").alias("status"))
+    return tables.polled(r, polled)
 
 
 @query(f"WITH {REPOS} SELECT CASE WHEN status = 'indexed' THEN 'ready' ELSE 'waiting' END AS side, type, count(*) AS n FROM repos GROUP BY 1, 2")

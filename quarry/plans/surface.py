@@ -6,6 +6,7 @@ that must come out."""
 
 from __future__ import annotations
 
+import json
 import tempfile
 from pathlib import Path
 
@@ -340,3 +341,16 @@ def engine_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e.build_index(repo)
     e.ask(_rows(spark, [(1, repo, "name of nation")], "question_id int, repo_id string, question string"))
     return e.stage_log().where("value >= 0").groupBy("event_type").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT item_id AS question_id, item_id % 2 = 0 AS keyword_hit, item_id % 5 = 1 AS file_hit, item_id % 2 = 0 OR item_id % 5 = 1 AS matched FROM (SELECT unnest(range(12)) AS item_id)")
+def acceptance_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a question file to results: answers hold the expected word of every second question, references a file
+    that every fifth expects."""
+    e = Engine(spark, tempfile.mkdtemp(prefix="spark-store-"), answerer=lambda prompt: "An answer with KEYWORD.")
+    repo = e.import_repo(nation_tree(spark, sf_dir))["data"]["repo_id"]
+    e.ensure_indexed(repo)
+    items = [{"id": str(k), "category": "c", "question": "which region and name has this nation", "expectedFiles": [".ts", ".PY"] if k % 5 == 1 else ["none.go"], "expectedKeywords": ["keyword" if k % 2 == 0 else "absent"]} for k in range(12)]
+    place = Path(tempfile.mkdtemp(prefix="spark-questions-")) / "questions.json"
+    place.write_text(json.dumps({"questions": items}))
+    return e.acceptance(repo, str(place))["data"]["results"].withColumn("question_id", F.col("question_id").cast("long"))

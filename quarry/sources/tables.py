@@ -18,6 +18,13 @@ def list_repos(repos: DataFrame) -> DataFrame:
     return repos.orderBy(F.desc("created_at"), F.desc("id"))
 
 
+def polled(shown: DataFrame, polled: DataFrame) -> DataFrame:
+    """``(id, shown, now, changed)``: repositories as shown, with the status that a poll of some of them brought."""
+    now = F.coalesce("polled", "status")
+    met = shown.join(polled.select("id", F.col("status").alias("polled")), "id", "left")
+    return met.select("id", F.col("status").alias("shown"), now.alias("now"), (now != F.col("status")).alias("changed"))
+
+
 def history_of(history: DataFrame, repo_id: str) -> DataFrame:
     """A repository's messages, oldest first."""
     return history.where(F.col("repo_id") == repo_id).orderBy("created_at", "seq")
