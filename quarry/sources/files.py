@@ -34,13 +34,32 @@ def tree_size(spark: SparkSession, root: str) -> DataFrame:
     return _binary(spark, root).select("length").agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files"))
 
 
+def kept_files(spark: SparkSession, root: str) -> list[str]:
+    """The files below ``root``, without those in ignored directories, which are not even listed. One source tree,
+    whose size is limited."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, left = [], [place]
+    while left:
+        for status in system.listStatus(left.pop()):
+            path = status.getPath()
+            if not status.isDirectory():
+                out.append(path.toString())
+            elif path.getName() not in T.IGNORED_DIRECTORIES:
+                left.append(path)
+    return out
+
+
 def source_files(spark: SparkSession, root: str, repo_id: str, most_mb: int | None = None) -> DataFrame:
     """``(repo_id, path, content)`` of the source files below ``root``: path rules are applied before contents
     are read; UTF-8, malformed bytes replaced. With ``most_mb`` a larger tree is an error."""
     if most_mb is not None and tree_size(spark, root).first()["bytes"] > most_mb << 20:
         raise TooLarge(f"1001: more than {most_mb} MB")
     rel = _relative(spark, root)
-    found = _binary(spark, root).where(T.wanted_file(rel))
+    listed = kept_files(spark, root)
+    if not listed:
+        return spark.createDataFrame([], "repo_id string, path string, content string")
+    found = spark.read.format("binaryFile").load(listed).where(T.wanted_file(rel))
     return found.select(F.lit(repo_id).alias("repo_id"), rel.alias("path"), F.decode("content", "UTF-8").alias("content"))
 
 
