@@ -173,3 +173,26 @@ def test_signatures_tell_similarity():
     assert abs(np.mean(differ) - 19.2) < 2
     most = 0.75 * (1 - (0.8 - simhash.MARGIN)) * 128
     assert sum(d > most for d in differ) <= 1
+
+
+def test_far_blocks_are_abandoned():
+    """Random fingerprints are far apart: their blocks are left long before the last plane, padding or not."""
+    fps = np.random.default_rng(5).integers(0, 1 << 63, 100, np.uint64)
+    cols = simhash.planes(fps)
+    lanes = np.arange(cols.shape[1] * 64)
+    over = np.packbits(np.broadcast_to((lanes[None, :] >= 100) | (lanes[None, :] <= np.arange(100)[:, None]), (100, len(lanes))), axis=1, bitorder="little").view(np.uint64).ravel()
+    flip = [np.where(fps >> np.uint64(k) & np.uint64(1), simhash.ONES, np.uint64(0)) for k in range(64)]
+    words = cols.shape[1]
+    ok, read = simhash.count_within(lambda k, blocks: cols[k][blocks % words] ^ flip[k][blocks // words], over, 4)
+    assert not ok.any()
+    assert read < 30 * 100 * words
+
+
+@pytest.mark.parametrize("parts", [6, 7, 8])
+def test_more_ranges_lose_no_link(parts):
+    rng = np.random.default_rng(parts)
+    for _ in range(200):
+        flips = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+        assert any(not flips & m for m in simhash.masks(4, parts))
+    assert simhash.ranges_for(4, 1000) == 6
+    assert simhash.ranges_for(4, 1 << 40) == 8
