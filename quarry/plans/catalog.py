@@ -347,7 +347,16 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_files(files)
 
 
-@query()
+_RULES = "Answer from the given code only. Name the files that you rely on. Say so if the context doesn''t tell."
+
+
+@query(
+    f"""WITH {CHUNKS}, {_CHANNELS}, {_WEIGHTED}, ch AS (SELECT question_id, rank, 'Path: ' || file_path || chr(10) || chunk_type || ': ' || coalesce(chunk_name, 'anonymous') AS header, content FROM weighted w JOIN chunks USING (chunk_id)),
+cr AS (SELECT *, 2000 - 7 * (count(*) OVER pq - 1) - sum(length(header) + 9) OVER pq AS room, coalesce(sum(length(content)) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM ch WINDOW pq AS (PARTITION BY question_id)),
+cs AS (SELECT question_id, rank, header || chr(10) || '```' || chr(10) || left(content, greatest(0, room - used)::BIGINT) || chr(10) || '```' AS section FROM cr),
+cc AS (SELECT question_id, count(*)::INT AS n_results, string_agg(section, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM cs GROUP BY 1)
+SELECT question_id, n_results, context, '[system]' || chr(10) || '{_RULES}' || chr(10) || chr(10) || '[context]' || chr(10) || context || chr(10) || chr(10) || '[question]' || chr(10) || question AS prompt FROM cc JOIN q USING (question_id)"""
+)
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = retrieve.hybrid(chunks(spark, sf_dir), vectors(spark, sf_dir), questions(spark, sf_dir), index=fts_index(spark, sf_dir))
     packed = context.pack_results(out, 500).join(questions(spark, sf_dir).select("question_id", "question"), "question_id")
