@@ -68,6 +68,12 @@ def embed_rows(rows: DataFrame, body: str, embedder: Embedder, batch: int = C.IN
     return rows.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", embedding array<float>")
 
 
+def add_documents(vectors: DataFrame, rows: DataFrame, body: str, embedder: Embedder) -> DataFrame:
+    """The vectors table ``(chunk_id, repo_id, embedding)`` with those of ``rows`` (``chunk_id, repo_id``, a text column
+    ``body``) added; the same chunk's are replaced."""
+    return store.add_vectors(vectors, embed_rows(rows, body, embedder).select("chunk_id", "repo_id", "embedding"))
+
+
 def embed_and_persist(rows: DataFrame, body: str, embedder: Embedder, path: str, batch: int = C.EMBED_BATCH) -> None:
     """Vectors of ``chunk_id, repo_id`` rows as JSON lines, a directory for each repository."""
     embed_rows(rows, body, embedder, batch).select("chunk_id", "repo_id", "embedding").write.mode("overwrite").partitionBy("repo_id").json(path)

@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import config as C
-from quarry.api import CODES, MESSAGES_ZH, STATUS_BADGES, STATUS_LABELS, Engine, model_text
+from quarry.api import CODES, MESSAGES_ZH, STATUS_BADGES, STATUS_LABELS, Engine, add_documents, embed_and_persist, hashing_embedder, model_text
 from quarry.functions import text as T
 from quarry.functions.imports import summary
 from quarry.operators import chunking, classify, dense, evaluate, fusion, lexical, sparse, store
 from quarry.plans.catalog import _ALL_Q, _CLASS, _EVAL, _Q, _RANK, _asked, _bm25_cte, _dense_sql, _evaluated, all_questions, chunks, fts_index, query, questions, read, vectors
 from quarry.sources import files
+from quarry.streaming import indexing
 
 
 def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -354,3 +355,47 @@ def acceptance_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = Path(tempfile.mkdtemp(prefix="spark-questions-")) / "questions.json"
     place.write_text(json.dumps({"questions": items}))
     return e.acceptance(repo, str(place))["data"]["results"].withColumn("question_id", F.col("question_id").cast("long"))
+
+
+# --- vectors and increments --------------------------------------------------------------------------
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, i = read(spark, sf_dir, "benchmark"), F.col("item_id")
+    return b.select(F.concat(F.lit("b"), i.cast("string")).alias("chunk_id"), F.concat(F.lit("r"), (i % 3).cast("string")).alias("repo_id"), F.col("text").alias("body"))
+
+
+@query("SELECT 'r' || item_id % 3 AS repo_id, count(*) AS n, 16 AS dimension FROM benchmark GROUP BY 1")
+def persisted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as JSON lines by repository, read back."""
+    place = tempfile.mkdtemp(prefix="spark-vectors-")
+    embed_and_persist(_bodies(spark, sf_dir), "body", hashing_embedder(16), f"{place}/v")
+    v = spark.read.schema("chunk_id string, embedding array<float>, repo_id string").json(f"{place}/v")
+    return v.groupBy("repo_id").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dimension"))
+
+
+@query("SELECT 'b' || item_id AS chunk_id, 'r' || item_id % 3 AS repo_id, CASE WHEN item_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM benchmark UNION ALL SELECT 'old', 'r9', 0.0")
+def added_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second chunk embedded anew: its vector of length one replaces the zeros there were."""
+    rows = _bodies(spark, sf_dir)
+    old = rows.select("chunk_id", "repo_id", F.array(F.lit(0.0).cast("float")).alias("embedding")).unionByName(_rows(spark, [("old", "r9", [0.0])], "chunk_id string, repo_id string, embedding array<float>"))
+    new = rows.where(F.substring("chunk_id", 2, 20).cast("long") % 2 == 0)
+    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
+    return add_documents(old, new, "body", hashing_embedder(16)).select("chunk_id", "repo_id", F.round(norm, 5).alias("norm"))
+
+
+_STREAMED = T.sql_fts_terms("'File: ' || item_id || '.txt' || chr(10) || 'generic: generic_1' || chr(10) || chr(10) || text")
+
+
+@query(f"WITH t AS (SELECT 'r' || item_id % 3 AS repo_id, item_id, {_STREAMED} AS t FROM benchmark) SELECT repo_id, count(*) AS chunks, sum(len(list_distinct(t)))::BIGINT AS postings, sum(len(t))::BIGINT AS places FROM t GROUP BY 1")
+def streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that arrive in two batches, indexed as they come: each once."""
+    place = tempfile.mkdtemp(prefix="spark-stream-")
+    b, i = read(spark, sf_dir, "benchmark"), F.col("item_id")
+    arriving = b.select(F.concat(F.lit("r"), (i % 3).cast("string")).alias("repo_id"), F.concat(i.cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"), (i % 2).alias("batch"))
+    for n in (0, 1):
+        arriving.where(F.col("batch") == n).drop("batch").write.mode("append").parquet(f"{place}/in")
+        indexing.index_new_files(spark, f"{place}/in", f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    chunks_ = spark.read.parquet(f"{place}/out/chunks").groupBy("repo_id").agg(F.count("*").alias("chunks"))
+    terms = spark.read.parquet(f"{place}/out/postings").groupBy("repo_id").agg(F.count("*").alias("postings"), F.sum(F.size("positions")).alias("places"))
+    return chunks_.join(terms, "repo_id")
