@@ -26,6 +26,8 @@ from quarry.llm.common import fold, keep_rows, sample_texts, small_batches
 #: Longest context in bytes; training bytes of a language, about, and of all languages together: with more of
 #: them each has less, so that what is sent to the workers is bounded.
 ORDER, SAMPLE_BYTES, TOTAL_BYTES = 4, 1 << 20, 16 << 20
+#: Languages up to which tables of a row for each are broadcast; beyond, they are joined by a shuffle.
+FEW = 1 << 16
 #: Held-out bytes that tell what texts in a language cost; robust deviations over their median, and bits more
 #: for a text of any length, beyond which no language explains a text.
 CALIBRATION_BYTES, DEVIATIONS, SLACK_BITS = 1 << 18, 10.0, 256.0
@@ -180,14 +182,16 @@ def train(rows: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES,
     one text, and of a longer one so many bytes."""
     rows = rows.where("lang is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("total"), F.count("*").alias("n"))
-    budget = max(1, min(sample_bytes, total_bytes // max(1, sizes.count())))
+    n = sizes.count()
+    budget = max(1, min(sample_bytes, total_bytes // max(1, n)))
+    small = F.broadcast if n <= FEW else lambda df: df  # a row per language
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # several times the sample, and some dozens of texts at least: in these it is found, whatever the table's size
     wide = F.greatest(F.lit(4.0 * budget) / F.greatest("total", F.lit(1)), F.lit(64.0) / F.col("n"))
-    first = rows.select("lang", draw.alias("draw"), F.least(F.octet_length("text"), F.lit(budget)).alias("bytes")).join(sizes, "lang").where(F.col("draw") < wide)
+    first = rows.select("lang", draw.alias("draw"), F.least(F.octet_length("text"), F.lit(budget)).alias("bytes")).join(small(sizes), "lang").where(F.col("draw") < wide)
     before = F.sum("bytes").over(Window.partitionBy("lang").orderBy("draw").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("bytes")
     upto = first.withColumn("before", before).where(F.col("before") < budget).groupBy("lang").agg(F.max("draw").alias("upto"))
-    picked = rows.join(upto, "lang").where(draw <= F.col("upto")).withColumn("text", F.substring("text", 1, budget))
+    picked = rows.join(small(upto), "lang").where(draw <= F.col("upto")).withColumn("text", F.substring("text", 1, budget))
     counts = picked.select("lang", "text").mapInArrow(_count(order), "lang string, n int, gram long, count long")
     total = counts.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")).toArrow()
     lang, n = np.array(total.column("lang").to_pylist(), object), total.column("n").to_numpy()

@@ -365,13 +365,14 @@ def _similar(width: int, similarity: float):
     return run
 
 
-def exact_links(docs: DataFrame, links: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """The links whose documents' shingle sets have that Jaccard similarity. Only texts with links
-    are joined."""
+def exact_links(docs: DataFrame, links: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The texts ``(doc_id, text)`` of documents with links, a row an id, and the links whose documents' shingle sets
+    have that Jaccard similarity."""
     ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = cut(texts(docs, id_col, text_col).join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    # the ids grow with the table: a merge join at every size
+    own = cut(texts(docs, id_col, text_col).join(ends.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     pairs = links.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
-    return pairs.select("a", "b", "s", "t").mapInArrow(_similar(width, similarity), "a long, b long")
+    return own, pairs.select("a", "b", "s", "t").mapInArrow(_similar(width, similarity), "a long, b long")
 
 
 def _shingle_sets(width: int):
@@ -425,7 +426,7 @@ def _join_tree(radius: int, agree: float, similarity: float):
     return run
 
 
-def open_links(docs: DataFrame, nodes: DataFrame, forest: DataFrame, found: DataFrame, id_col: str, text_col: str, width: int, similarity: float, radius: int, agree: float) -> DataFrame:
+def open_links(linked: DataFrame, nodes: DataFrame, forest: DataFrame, found: DataFrame, width: int, similarity: float, radius: int, agree: float) -> DataFrame:
     """The exact links ``(a, b)`` that ``forest`` leaves out and that join components of ``found``.
 
     Where a forest's link failed the exact check, its tree may hold nodes of several components, and
@@ -439,7 +440,7 @@ def open_links(docs: DataFrame, nodes: DataFrame, forest: DataFrame, found: Data
     trees = trees.where("n > 2 and low < high").groupBy("n", "all").agg(F.min(F.struct("cell", "tree")).alias("t")).select("t.cell", "t.tree")
     ends = cut(ends.join(trees, ["cell", "tree"]).select("cell", "tree", "node", "label"))
     wanted = ends.select(F.col("node").alias("doc_id")).distinct()
-    own = texts(docs, id_col, text_col).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    own = linked.join(wanted.hint("merge"), "doc_id", "left_semi")  # of the linked documents' texts only
     sets = cut(own.mapInArrow(_shingle_sets(width), "node long, shingles binary"))
     held = ends.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node")
     chunks = held.groupBy("cell", "tree").agg(F.ceil(F.sum("bytes") / HELD_BYTES).cast("int").alias("n"))
@@ -466,9 +467,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     agree = similarity - MARGIN
     forest = cut(bucket_links(members, radius, agree))
     near_links = cut(forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    exact = cut(exact_links(docs, near_links, id_col, text_col, width, similarity))
+    linked, exact = exact_links(docs, near_links, id_col, text_col, width, similarity)
+    exact = cut(exact)
     found = cut(connected_components(exact))
-    more = cut(open_links(docs, nodes, forest, found, id_col, text_col, width, similarity, radius, agree))
+    more = cut(open_links(linked, nodes, forest, found, width, similarity, radius, agree))
     if not more.isEmpty():
         found = connected_components(exact.unionByName(more))
     named = nodes.join(found, "node", "left").select("fp", "sig", "bands", F.coalesce("component", "node").alias("component_id"))
