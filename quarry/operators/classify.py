@@ -34,12 +34,12 @@ RULES = (
 _PUNCTUATION = r"[()\[\]{};:,<>=]|=>|::|->"
 _BRACKETS = r"[()\[\]{}]"
 _IDENTIFIER = r"^[A-Za-z_.][\w.]*\z"
-_PARTS = (r"[._]", r"[A-Za-z]", r"[a-z][A-Z]", r"^[A-Z][a-zA-Z0-9]*\z")
+_SEPARATOR, _LETTER, _HUMP, _CAPITALIZED = r"[._]", r"[A-Za-z]", r"[a-z][A-Z]", r"^[A-Z][a-zA-Z0-9]*\z"
 
 
 def single_identifier(q: Column) -> Column:
     """One identifier or dotted path of three or more characters."""
-    shape = q.rlike(_PATHY) | (q.rlike(_PARTS[0]) & q.rlike(_PARTS[1])) | q.rlike(_PARTS[2]) | q.rlike(_PARTS[3])
+    shape = q.rlike(_PATHY) | (q.rlike(_SEPARATOR) & q.rlike(_LETTER)) | q.rlike(_HUMP) | q.rlike(_CAPITALIZED)
     return ~q.rlike(r"\s") & (F.length(q) >= 3) & q.rlike(_IDENTIFIER) & shape
 
 
@@ -73,7 +73,7 @@ def sql_modality(question: str) -> str:
     solid = rf"regexp_replace({q}, '\s', '', 'g')"
     ratio = f"(CASE WHEN length({solid}) = 0 THEN 0 ELSE len(regexp_extract_all({solid}, {T.quoted(_PUNCTUATION)})) / length({solid})::DOUBLE END)"
     brackets = f"len(regexp_extract_all({q}, {T.quoted(_BRACKETS)}))"
-    one = rf"(NOT regexp_matches({q}, '\s') AND length({q}) >= 3 AND {hits(_IDENTIFIER)} AND ({hits(_PATHY)} OR ({hits(_PARTS[0])} AND {hits(_PARTS[1])}) OR {hits(_PARTS[2])} OR {hits(_PARTS[3])}))"
+    one = rf"(NOT regexp_matches({q}, '\s') AND length({q}) >= 3 AND {hits(_IDENTIFIER)} AND ({hits(_PATHY)} OR ({hits(_SEPARATOR)} AND {hits(_LETTER)}) OR {hits(_HUMP)} OR {hits(_CAPITALIZED)}))"
     pl += f" + CASE WHEN {brackets} >= 4 AND length({q}) <= 500 THEN least(4, 1 + {brackets} // 4) ELSE 0 END + CASE WHEN {ratio} >= 0.11 THEN 3 ELSE 0 END + CASE WHEN {one} THEN 3 ELSE 0 END"
     nl += f" + CASE WHEN {ratio} < 0.04 AND length({q}) >= 36 THEN 1 ELSE 0 END"
     return f"CASE WHEN coalesce({q}, '') = '' THEN 'nl' WHEN ({pl}) > ({nl}) THEN 'pl' ELSE 'nl' END"

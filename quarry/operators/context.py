@@ -58,6 +58,7 @@ def _headers(items: list[dict], limit: int) -> list[str] | None:
 
 def _one_header(item: dict, limit: int) -> str:
     """For a single section: path and name shrink together, then a stub."""
+    # fixed values: where the widths begin and end, and by how much they fall
     room = max(0, limit - FRAME)
     for path in range(min(len(item["file_path"]) + 120, max(280, room)), 11, -16):
         for symbol in range(min(len(_name(item, None)) + 100, max(16, room)), 3, -10):
