@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, licenses, suffixes, windows
+from quarry.llm import chat, licenses, runs, suffixes, windows
 from quarry.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op6_windows"] = windows.SQL
 ORACLES["op10_suffixes"] = suffixes.SQL
+
+
+@query
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return runs.digests(runs.periodic_runs(docs.select("doc_id", runs.with_loops(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
+ORACLES["op11_runs"] = runs.SQL
