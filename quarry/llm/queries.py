@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, licenses, runs, suffixes, windows
+from quarry.llm import chat, licenses, runs, suffixes, trie, windows
 from quarry.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,18 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_runs"] = runs.SQL
+
+
+@query
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"), family=100)
+
+
+ORACLES["op12_trie"] = trie.SQL
+
+
+@query
+def op13_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.histogram import pack_by_lengths
+
+    return pack_by_lengths(table(spark, sf_dir, "documents"))
