@@ -179,7 +179,7 @@ def _count(order: int):
 def train(rows: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> Model:
     """Trees of the ``(doc_id, lang, text binary)`` rows: of each language the texts of the smallest hashes until
     ``sample_bytes`` bytes are reached, or an equal share of ``total_bytes`` where there are many languages; at least
-    one text, and of a longer one so many bytes."""
+    one text, and of a longer one so many bytes. Rows of one id and text count once."""
     rows = rows.where("lang is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("total"), F.count("*").alias("n"))
     n = sizes.count()
@@ -188,10 +188,11 @@ def train(rows: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES,
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # several times the sample, and some dozens of texts at least: in these it is found, whatever the table's size
     wide = F.greatest(F.lit(4.0 * budget) / F.greatest("total", F.lit(1)), F.lit(64.0) / F.col("n"))
-    first = rows.select("lang", draw.alias("draw"), F.least(F.octet_length("text"), F.lit(budget)).alias("bytes")).join(small(sizes), "lang").where(F.col("draw") < wide)
+    first = rows.select("lang", draw.alias("draw"), F.least(F.octet_length("text"), F.lit(budget)).alias("bytes")).join(small(sizes), "lang").where(F.col("draw") < wide).select("lang", "draw", "bytes").distinct()
     before = F.sum("bytes").over(Window.partitionBy("lang").orderBy("draw").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("bytes")
     upto = first.withColumn("before", before).where(F.col("before") < budget).groupBy("lang").agg(F.max("draw").alias("upto"))
-    picked = rows.join(small(upto), "lang").where(draw <= F.col("upto")).withColumn("text", F.substring("text", 1, budget))
+    picked = rows.join(small(upto), "lang").where(draw <= F.col("upto")).select("lang", draw.alias("draw"), F.substring("text", 1, budget).alias("text"))
+    picked = picked.dropDuplicates(["lang", "draw"])
     counts = picked.select("lang", "text").mapInArrow(_count(order), "lang string, n int, gram long, count long")
     total = counts.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")).toArrow()
     lang, n = np.array(total.column("lang").to_pylist(), object), total.column("n").to_numpy()

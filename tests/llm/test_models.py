@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 from testdata import SF
 
 from quarry.llm import langid, mixing
@@ -202,3 +203,11 @@ def test_rejected_texts(docs):
     assert len(kept) == len(rows) - 2
     assert (1000, "the garden") in kept
     assert (1001, "A.") in kept
+
+
+def test_a_language_of_repeated_rows_is_learnt(docs):
+    """Copies of one row are one text of the sample, also if they fill its budget many times."""
+    english, german = "the quick brown fox jumps over the lazy dog and runs away from the farm again " * 2, "der schnelle braune fuchs springt über den faulen hund und läuft wieder vom hof weg "
+    rows = [(1, english, "en")] * 5 + [(k, german + str(k), "de") for k in (4, 5, 9, 12)]
+    got = langid.identify(docs(rows, ", lang string"), held_out=F.lit(False), sample_bytes=200).collect()
+    assert {(r.doc_id, r.lang_pred) for r in got} == {(1, "en"), *((k, "de") for k in (4, 5, 9, 12))}
