@@ -1,117 +1,97 @@
-"""Context packing: ranked results into one text of at most four characters a token."""
+"""Context packing: ranked results into one text of at most four characters a token.
 
-from __future__ import annotations
+Each way to write headers is a row of a ladder, from the fullest to the narrowest. How long the headers of a question's first
+results are under each way follows from lengths alone, so the choice is an aggregate over small rows: as many results as
+fit in any way, written in the first way that fits. Texts are joined to the choice afterwards."""
 
-import math
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import config as C
 
-# The frame of a section and what is tried when headers are too long.
-SEPARATOR, OPEN, CLOSE, IMPORT_CAP = "\n\n---\n\n", "```\n", "\n```", 800
-PATH_STEPS = (10_000, *range(240, 47, -24), *range(40, 21, -6))
-SYMBOL_STEPS = tuple((p, n) for p in range(120, 21, -24) for n in range(min(200, p + 80), 7, -14))
+# The frame of a section, the cap of imports, and the widths of paths and names that are tried in turn.
+SEPARATOR, OPEN, CLOSE, IMPORT_CAP, ELLIPSIS = "\n\n---\n\n", "```\n", "\n```", 800, "…"
+PATH_WIDTHS = (10_000, *range(240, 47, -24), *range(40, 21, -6))
+BOTH_WIDTHS = (*((p, n) for p in range(120, 21, -24) for n in range(min(200, p + 80), 7, -14)), (22, 8))
+#: (with imports, width of the path, width of the name), in the order of preference.
+LADDER: tuple[tuple[bool, int | None, int | None], ...] = ((True, None, None), (False, None, None), *((False, p, None) for p in PATH_WIDTHS), *((False, p, n) for p, n in BOTH_WIDTHS))
 FRAME = 1 + len(OPEN) + len(CLOSE)
+#: Room of a lone section whose header is cut to fit: characters more than its path and name have, and the least width of both.
+LONE_PATH, LONE_NAME, LEAST_PATH, LEAST_NAME = 120, 100, 280, 16
 
 
-def _left(text: str, most: int) -> str:
-    return text if most <= 1 or len(text) <= most else "…" + text[1 - most :]
-
-
-def _name(item: dict, most: int | None) -> str:
-    name = item["chunk_name"] if item["chunk_name"] is not None else "anonymous"
-    if most is None or len(name) <= most:
-        return name
-    return name[: most - 1] + "…" if most > 2 else name[:most]
-
-
-def _header(item: dict, path: int | None = None, symbol: int | None = None, imports: str = "") -> str:
-    shown = item["file_path"] if path is None else _left(item["file_path"], path)
-    tail = f"\nImports:\n{imports}" if imports else ""
-    return f"Path: {shown}\n{item['chunk_type']}: {_name(item, symbol)}{tail}"
-
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
 
-def _imports(item: dict) -> str:
-    text = (item.get("import_summary") or "").strip()
-    return text[:IMPORT_CAP].rstrip() + "…" if len(text) > IMPORT_CAP else text
 
+def _imports(summary: Column) -> Column:
+    text = _stripped(F.coalesce(summary, F.lit("")))
+    return F.when(F.length(text) > IMPORT_CAP, F.concat(F.regexp_replace(F.left(text, F.lit(IMPORT_CAP)), r"\s+\z", ""), F.lit(ELLIPSIS))).otherwise(text)
 
-def _size(headers: list[str]) -> int:
-    return len(SEPARATOR) * (len(headers) - 1) + sum(len(h) + FRAME for h in headers)
 
+def _header(path_width: Column, name_width: Column, imports: Column) -> Column:
+    """The header of a row, its path's end and its name's beginning shown in so many characters, null for all."""
+    path, name = F.col("path"), F.col("name")
+    shown = F.when(F.length(path) > path_width, F.concat(F.lit(ELLIPSIS), F.right(path, path_width - 1))).otherwise(path)
+    called = F.when(F.length(name) > name_width, F.concat(F.left(name, name_width - 1), F.lit(ELLIPSIS))).otherwise(name)
+    return F.concat(F.lit("Path: "), shown, F.lit("\n"), F.col("kind"), F.lit(": "), called, F.when(imports != "", F.concat(F.lit("\nImports:\n"), imports)).otherwise(""))
 
-def _headers(items: list[dict], limit: int) -> list[str] | None:
-    """The fullest headers whose empty sections fit, or none."""
-    tries = [[_header(i, imports=_imports(i)) for i in items], [_header(i) for i in items]]
-    for headers in tries:
-        if _size(headers) <= limit:
-            return headers
-    for path, symbol in [*((p, None) for p in PATH_STEPS), *SYMBOL_STEPS, (22, 8)]:
-        headers = [_header(i, path, symbol) for i in items]
-        if _size(headers) <= limit:
-            return headers
-    return None
 
-
-def _one_header(item: dict, limit: int) -> str:
-    """For a single section: path and name shrink together, then a stub."""
-    # fixed values: where the widths begin and end, and by how much they fall
+def _lone(limit: int) -> Column:
+    """The header of a single section that no step of the ladder makes short enough: cut off, or where not even that has
+    room, the type alone."""
     room = max(0, limit - FRAME)
-    for path in range(min(len(item["file_path"]) + 120, max(280, room)), 11, -16):
-        for symbol in range(min(len(_name(item, None)) + 100, max(16, room)), 3, -10):
-            h = _header(item, path, symbol)
-            h = h if len(h) <= max(4, room) else h[: max(4, room)].rstrip()
-            if len(h) <= room:
-                return h
-    stub = f"Path:\n{item['chunk_type']}:…" if room >= 12 else f"{item['chunk_type']}:…"
-    return stub if len(stub) <= room else stub[: max(1, room)].rstrip()
-
-
-def pack(items: list[dict], max_tokens: int = C.MAX_CONTEXT_TOKENS) -> str:
-    """As many sections as have room for their headers, bodies filled in rank order."""
-    limit = max(1, 4 * max_tokens)
-    for take in range(len(items), 0, -1):
-        part = items[:take]
-        headers = _headers(part, limit)
-        if headers is None and take == 1:
-            headers = [_one_header(part[0], limit)]
-        if headers is None or _size(headers) > limit:
-            continue
-        room, sections = limit - _size(headers), []
-        for item, header in zip(part, headers, strict=True):
-            text = (item["content"] or "")[:room]
-            room -= len(text)
-            sections.append(f"{header}\n{OPEN}{text}{CLOSE}")
-        return SEPARATOR.join(sections)
-    return ""
+    wide = _header(F.least(F.length("path") + LONE_PATH, F.lit(max(LEAST_PATH, room))), F.least(F.length("name") + LONE_NAME, F.lit(max(LEAST_NAME, room))), F.lit(""))
+    text = wide if room >= 4 else F.concat(F.col("kind"), F.lit(f":{ELLIPSIS}"))
+    return F.regexp_replace(F.left(text, F.lit(max(1, room))), r"\s+\z", "")
 
 
 def pack_results(results: DataFrame, max_tokens: int = C.MAX_CONTEXT_TOKENS) -> DataFrame:
-    """``(question_id, n_results, context)``; results carry ``rank`` and their payload, ``import_summary`` if
-    wanted. A group is a question's top-k, at most 20 rows."""
-    if "import_summary" not in results.columns:
-        results = results.withColumn("import_summary", F.lit(None).cast("string"))
-    kind = results.schema["question_id"].dataType.simpleString()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("rank").to_dict("records")
-        for r in rows:
-            r |= {k: None if isinstance(v, float) and math.isnan(v) else v for k, v in r.items()}
-        return pd.DataFrame({"question_id": [rows[0]["question_id"]], "n_results": [len(rows)], "context": [pack(rows, max_tokens)]})
+    """``(question_id, n_results, context)``; results carry ``rank`` and their payload, ``import_summary`` if wanted.
 
-    cols = ["question_id", "rank", "file_path", "chunk_type", "chunk_name", "content", "import_summary"]
-    return results.select(*cols).groupBy("question_id").applyInPandas(run, f"question_id {kind}, n_results int, context string")
-
-
-def body_budget(results: DataFrame, budget: int, keys: list[str], order: list[str]) -> DataFrame:
+    Sections follow the ranks; their bodies are filled in that order until the budget is used up. A question for whose first
+    result there is no room has an empty context. Null paths, types and contents are empty, a chunk without a name is anonymous."""
+    limit = max(1, 4 * max_tokens)
+    summary = F.col("import_summary") if "import_summary" in results.columns else F.lit(None).cast("string")
+    own = Window.partitionBy("question_id")
+    items = results.select(
+        "question_id",
+        F.row_number().over(own.orderBy("rank")).alias("pos"),
+        F.count("*").over(own).cast("int").alias("n_results"),
+        F.coalesce("file_path", F.lit("")).alias("path"),
+        F.coalesce("chunk_type", F.lit("")).alias("kind"),
+        F.coalesce("chunk_name", F.lit("anonymous")).alias("name"),
+        F.coalesce("content", F.lit("")).alias("content"),
+        _imports(summary).alias("imports"),
+    )
+    steps = F.array(*(F.struct(F.lit(k).alias("step"), F.lit(i).alias("full"), F.lit(p).cast("int").alias("path_width"), F.lit(n).cast("int").alias("name_width")) for k, (i, p, n) in enumerate(LADDER)))
+    short = lambda text, width: F.least(F.length(text), F.coalesce(width, F.length(text)))
+    tried = items.select("question_id", "pos", "path", "kind", "name", "imports", F.explode(steps).alias("s"))
+    size = 9 + short("path", F.col("s.path_width")) + F.length("kind") + short("name", F.col("s.name_width")) + F.when(F.col("s.full") & (F.col("imports") != ""), 10 + F.length("imports")).otherwise(0)
+    upto = Window.partitionBy("question_id", "s.step").orderBy("pos")
+    tried = tried.select("question_id", "pos", "s", (F.sum(size + FRAME + len(SEPARATOR)).over(upto) - len(SEPARATOR)).alias("size")).where(F.col("size") <= limit)
+    chosen = tried.groupBy("question_id").agg(F.max_by(F.struct("pos", "s", "size"), F.struct("pos", -F.col("s.step"))).alias("best"))
+    placed = items.join(chosen, "question_id", "left").where(F.col("pos") <= F.coalesce("best.pos", F.lit(1)))
+    fits = F.col("best").isNotNull()
+    written = _header(F.col("best.s.path_width"), F.col("best.s.name_width"), F.when(F.col("best.s.full"), F.col("imports")).otherwise(""))
+    placed = placed.withColumn("header", F.when(fits, written).otherwise(_lone(limit)))
+    placed = placed.withColumn("room", limit - F.when(fits, F.col("best.size")).otherwise(F.length("header") + FRAME))
+    body = F.left(F.col("content"), F.col("taken").cast("int"))
+    section = F.concat(F.col("header"), F.lit(f"\n{OPEN}"), body, F.lit(CLOSE))
+    sections = body_budget(placed, F.col("room"), ["question_id"], ["pos"]).select("question_id", "n_results", "room", F.struct("pos", section.alias("text")).alias("section"))
+    packed = sections.groupBy("question_id", "n_results").agg(F.min("room").alias("room"), F.sort_array(F.collect_list("section")).alias("sections"))
+    return packed.select("question_id", "n_results", F.when(F.col("room") >= 0, F.array_join("sections.text", SEPARATOR)).otherwise("").alias("context"))
+
+
+def body_budget(results: DataFrame, budget: int | Column, keys: list[str], order: list[str]) -> DataFrame:
     """Results with ``taken``, the characters of their content that a greedy fill in order takes."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     size = F.length(F.coalesce("content", F.lit("")))
     used = F.coalesce(F.sum(size).over(w), F.lit(0))
-    return results.withColumn("taken", F.greatest(F.lit(0), F.least(size, F.lit(budget) - used)).cast("long"))
+    most = budget if isinstance(budget, Column) else F.lit(budget)
+    return results.withColumn("taken", F.greatest(F.lit(0), F.least(size, most - used)).cast("long"))
 
 
 def prompt(question: Column, context: Column) -> Column:

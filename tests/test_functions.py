@@ -96,20 +96,38 @@ def test_long_chunks():
 
 
 def item(n, **more):
-    return {"file_path": f"src/very/long/path/number/{n}/file.ts", "chunk_type": "function", "chunk_name": f"name{n}", "content": "x" * 300, "import_summary": None} | more
-
-
-def test_context():
-    assert context.pack([]) == ""
-    one = context.pack([item(1)], 1000)
-    assert one == "Path: src/very/long/path/number/1/file.ts\nfunction: name1\n```\n" + "x" * 300 + "\n```"
-    assert "Imports:\nimport a\n```" in context.pack([item(1, import_summary="import a")], 1000)
-    assert context.pack([item(1), item(2)], 1000).count("\n\n---\n\n") == 1
-    many = [item(k) for k in range(30)]
-    for tokens in (1, 4, 16, 120, 320, 8000):
-        assert len(context.pack(many, tokens)) <= 4 * tokens or tokens < 4
-    first = context.pack([item(1), item(2)], 120)
+    return {"question_id": 1, "rank": n, "file_path": f"src/very/long/path/number/{n}/file.ts", "chunk_type": "function", "chunk_name": f"name{n}", "content": "x" * 300, "import_summary": None} | more
+
+
+def packed(spark, items, tokens):
+    schema = "question_id int, rank int, file_path string, chunk_type string, chunk_name string, content string, import_summary string"
+    rows = context.pack_results(spark.createDataFrame([tuple(i.values()) for i in items], schema), tokens).collect()
+    return rows[0].context if rows else None
+
+
+def test_context(spark):
+    assert packed(spark, [], 10) is None
+    assert packed(spark, [item(1)], 1000) == "Path: src/very/long/path/number/1/file.ts\nfunction: name1\n```\n" + "x" * 300 + "\n```"
+    assert "Imports:\nimport a\n```" in packed(spark, [item(1, import_summary=" import a\n")], 1000)
+    first = packed(spark, [item(2), item(1)], 120)
+    assert first.count("\n\n---\n\n") == 1
     assert first.index("name1") < first.index("name2")
+    nulls = packed(spark, [item(1, file_path=None, chunk_type=None, chunk_name=None, content=None)], 100)
+    assert nulls == "Path: \n: anonymous\n```\n\n```"
+
+
+def test_context_of_little_room(spark):
+    many = [item(k, content=f"{k}" * 300) for k in range(12)]
+    for tokens in (1, 4, 16, 40, 120, 320, 2000):
+        text = packed(spark, many, tokens)
+        assert len(text) <= 4 * tokens
+        shown = [k for k in range(12) if f"number/{k}/file.ts" in text]
+        assert shown == list(range(len(shown)))
+    # with narrower paths more results have room: 120 tokens hold 480 characters, a full header and its frame 58
+    assert packed(spark, many, 120).count("Path: ") > 480 // (58 + 7)
+    assert packed(spark, [item(1)], 3) == "fun\n```\n\n```"  # no room for a header
+    assert packed(spark, [item(1)], 2) == ""
+    assert packed(spark, [item(1)], 5) == "Path: src/v\n```\n\n```"
 
 
 def test_config():
