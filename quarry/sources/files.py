@@ -2,81 +2,36 @@
 
 from __future__ import annotations
 
-import shutil
-import subprocess
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import text as T
-
-#: Seconds that a clone may take.
-CLONE_TIMEOUT_S = 120
-
-
-class TooLarge(ValueError):
-    """Code 1001: a tree over the size limit."""
-
+from quarry.sources.trees import SourceTree, TooLarge  # noqa: F401
 
-def _relative(spark: SparkSession, root: str) -> Column:
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
-    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
-    return F.substring("path", len(whole) + 2, 1 << 20)
 
-
-def _binary(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def tree(spark: SparkSession, root: str, **options: object) -> DataFrame:
+    """``(path, length, content)`` of a source tree, see :class:`quarry.sources.trees.SourceTree`."""
+    spark.dataSource.register(SourceTree)
+    return spark.read.format("source_tree").options(**{k: str(v) for k, v in options.items()}).load(root)
 
 
 def tree_size(spark: SparkSession, root: str) -> DataFrame:
     """``(bytes, files)`` of everything below ``root``; contents are not read."""
-    return _binary(spark, root).select("length").agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files"))
-
-
-def kept_files(spark: SparkSession, root: str) -> list[str]:
-    """The files below ``root``, without those in ignored directories, which are not even listed. One source tree,
-    whose size is limited."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
-    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    out, left = [], [place]
-    while left:
-        for status in system.listStatus(left.pop()):
-            path = status.getPath()
-            if not status.isDirectory():
-                out.append(path.toString())
-            elif path.getName() not in T.IGNORED_DIRECTORIES:
-                left.append(path)
-    return out
+    return tree(spark, root, prune=False, content=False).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files"))
 
 
-def source_files(spark: SparkSession, root: str, repo_id: str, most_mb: int | None = None) -> DataFrame:
-    """``(repo_id, path, content)`` of the source files below ``root``: path rules are applied before contents
-    are read; UTF-8, malformed bytes replaced. With ``most_mb`` a larger tree is an error."""
-    if most_mb is not None and tree_size(spark, root).first()["bytes"] > most_mb << 20:
+def source_files(spark: SparkSession, root: str, repo_id: str, most_mb: int | None = None, git: bool = False) -> DataFrame:
+    """``(repo_id, path, content)`` of the source files below ``root``, or, with ``git``, of a shallow clone of that
+    repository, which is gone when it has been read. With ``most_mb`` a larger tree is an error."""
+    if most_mb is not None and not git and tree_size(spark, root).first()["bytes"] > most_mb << 20:
         raise TooLarge(f"1001: more than {most_mb} MB")
-    rel = _relative(spark, root)
-    listed = kept_files(spark, root)
-    if not listed:
-        return spark.createDataFrame([], "repo_id string, path string, content string")
-    found = spark.read.format("binaryFile").load(listed).where(T.wanted_file(rel))
-    return found.select(F.lit(repo_id).alias("repo_id"), rel.alias("path"), F.decode("content", "UTF-8").alias("content"))
-
-
-def clone_source(url: str, timeout: int = CLONE_TIMEOUT_S) -> str:
-    """A shallow clone of a remote repository in a fresh folder, which goes again if cloning fails."""
-    place = tempfile.mkdtemp(prefix="clone-")
-    try:
-        subprocess.run(["git", "clone", "--quiet", "--depth", "1", "--", url, place], check=True, capture_output=True, timeout=timeout)
-    except (OSError, subprocess.SubprocessError):
-        shutil.rmtree(place, ignore_errors=True)
-        raise
-    return place
+    found = tree(spark, root, git=git, limit_bytes=(most_mb or 0) << 20)
+    return found.select(F.lit(repo_id).alias("repo_id"), "path", "content")
 
 
-def question_set(spark: SparkSession, path: str) -> DataFrame:
-    """``(question_id, category, question, expected_files, expected_keywords)`` of a JSON question file."""
+def question_set(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``(question_id, category, question, expected_files, expected_keywords)`` of a JSON question file, or of a folder of
+    files with such an object in each of their ``lines``."""
     item = "struct<id: string, category: string, question: string, expectedFiles: array<string>, expectedKeywords: array<string>>"
-    rows = spark.read.schema(f"questions array<{item}>").option("multiLine", True).json(path)
+    rows = spark.read.schema(f"questions array<{item}>").option("multiLine", not lines).json(path)
     q = rows.select(F.explode("questions").alias("q"))
     return q.select(F.col("q.id").alias("question_id"), "q.category", "q.question", F.col("q.expectedFiles").alias("expected_files"), F.col("q.expectedKeywords").alias("expected_keywords"))

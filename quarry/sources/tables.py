@@ -18,6 +18,12 @@ def list_repos(repos: DataFrame) -> DataFrame:
     return repos.orderBy(F.desc("created_at"), F.desc("id"))
 
 
+def by_readiness(repos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Repositories that can be asked, and the others."""
+    ready = F.coalesce(F.col("status") == "indexed", F.lit(False))
+    return repos.where(ready), repos.where(~ready)
+
+
 def polled(shown: DataFrame, polled: DataFrame) -> DataFrame:
     """``(id, shown, now, changed)``: repositories as shown, with the status that a poll of some of them brought."""
     now = F.coalesce("polled", "status")
