@@ -36,6 +36,9 @@ _BRACKETS = r"[()\[\]{}]"
 _IDENTIFIER = r"^[A-Za-z_.][\w.]*\z"
 _SEPARATOR, _LETTER, _HUMP, _CAPITALIZED = r"[._]", r"[A-Za-z]", r"[a-z][A-Z]", r"^[A-Z][a-zA-Z0-9]*\z"
 
+#: Least and most results of a question.
+TOP_K = (1, 20)
+
 
 def single_identifier(q: Column) -> Column:
     """One identifier or dotted path of three or more characters."""
@@ -107,10 +110,15 @@ def weights(intent: Column, mode: Column, cfg: C.Config = C.Config()) -> dict[st
     }
 
 
+def allowed(k: Column) -> Column:
+    """Whether so many results may be asked for."""
+    return k.between(*TOP_K)
+
+
 def classify(questions: DataFrame, k: int = C.DEFAULT_TOP_K, cfg: C.Config = C.Config(), text_col: str = "question") -> DataFrame:
     """Questions with ``intent, modality``, depths, weights and retrieval ``tokens``: one projection."""
-    if not 1 <= k <= 20:
-        raise ValueError("top_k must be between 1 and 20")
+    if not TOP_K[0] <= k <= TOP_K[1]:
+        raise ValueError(f"top_k must be between {TOP_K[0]} and {TOP_K[1]}")
     q = F.col(text_col)
     out = questions.withColumns({"intent": T.detect_intent(q), "modality": modality(q, cfg.query_modality), "tokens": T.question_tokens(q)})
     return out.withColumns(depths(F.col("modality"), k, cfg)).withColumns(weights(F.col("intent"), F.col("modality"), cfg))

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry import config as C
 from quarry.operators import classify, dense, fusion, lexical, sparse
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = C.DEFAULT_TOP_K, cfg: C.Config = C.Config(), repo: bool = False, whitelist: DataFrame | None = None, index: sparse.Index | None = None, dense_search=dense.top_k, sparse_search=sparse.bm25) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = C.DEFAULT_TOP_K, cfg: C.Config = C.Config(), repo: bool = False, whitelist: DataFrame | None = None, index: sparse.Index | None = None, dense_search=dense.top_k, sparse_search=sparse.bm25, seen: Observation | None = None) -> DataFrame:
     """``(question_id, rank, chunk_id, score, fusion)`` with the chunk's payload columns.
 
     ``chunks``: ``chunk_id, [repo_id,] file_path, content, chunk_type, chunk_name, start_line``; ``vectors``:
     ``chunk_id, embedding[, repo_id]``; ``questions``: ``question_id, question, vector[, repo_id]``. An empty
     whitelist finds nothing, none at all restricts nothing. ``index`` is the chunks' stored full-text index; without
     one their contents are indexed for this query. Scores come first; payload is joined
-    after the cut, so that only hits carry text."""
+    after the cut, so that only hits carry text. ``seen`` gets the channels' counts when the result is worked out."""
     asked = classify.classify(questions, k, cfg)
     d = dense_search(vectors, asked, "dense_depth", repo_col="repo_id" if repo else None, whitelist=whitelist)
     if cfg.sparse_mode == "full_table":
@@ -24,9 +24,9 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int =
     else:
         s = sparse.to_lexical(sparse_search(index or sparse.Index.of(chunks), asked, F.col("tokens"), "bm25_depth", repo=repo, whitelist=whitelist))
     if cfg.fusion == "rrf":
-        best = fusion.fuse_rrf(d, s, asked, k, cfg.rrf_k)
+        best = fusion.fuse_rrf(d, s, asked, k, cfg.rrf_k, seen)
     else:
-        best = fusion.fuse_weighted(d, s, asked, k)
+        best = fusion.fuse_weighted(d, s, asked, k, seen)
     payload = chunks.select("chunk_id", "file_path", "content", "chunk_type", "chunk_name")
     return best.join(payload, "chunk_id").select("question_id", "rank", "chunk_id", "score", "fusion", "file_path", "content", "chunk_type", "chunk_name")
 

@@ -1,20 +1,23 @@
-"""Full-text search: a stored index of postings, corpus statistics and BM25 over phrases.
+"""Full-text search: an index in segments by document, corpus statistics and BM25 over phrases.
 
-The index holds a row for each term and chunk, with the term's places in it, in shards by term: a query
-reads the shards and row groups of its own terms only. Every query token is a phrase: its terms must
-follow each other; phrases of one term need no places. Which phrase occurs how often in which chunk is
-one equi-join on terms, dealt out by chunk; the questions, a stated set, go to the workers, where a
-task scores its chunks for all of them and keeps its best for each. Statistics cover the whole
-table; filters restrict results only."""
+A segment is an inverted index of some thousand chunks, made by the task that read them: a row for each term with its
+chunks, counts and places, and a row that describes the chunks. Nothing is shuffled to write it, a frequent term is
+spread over all segments, and a query's terms are filters of the scan. All of a chunk's terms are in its segment, so a task
+scores its segments by itself: ranges of chunks come in the order of the most that they could score, until the bound falls
+below the k-th best so far. Only k rows a task and question are shuffled. Every query token is a phrase: its terms must follow each other.
+Statistics cover the whole table; filters restrict results only."""
 
 from __future__ import annotations
 
+import heapq
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -23,34 +26,97 @@ from quarry.functions import text as T
 
 # The usual BM25 constants, and what stands for an idf that isn't positive.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Shards of a stored index; terms that are pushed down as a list; rows scored at once; questions scored at once.
-SHARDS, TERMS, ROWS, BLOCK = 16, 200, 500_000, 1024
+#: Chunks and terms of a segment at most, chunks of a range with a bound of its own.
+SEGMENT_CHUNKS, SEGMENT_TERMS, RANGE = 1 << 15, 1 << 22, 256
+#: Terms that are a list in the filter; ids of a whitelist that are sent to the tasks; questions scored in one pass.
+TERMS, WHITELIST, BLOCK = 200, 1 << 22, 4096
+#: The row of a segment that describes its chunks.
+HEAD = ""
+#: ``df`` and ``total`` are chunks and places of the term; of the head row, all chunks and terms. ``tops`` has range, most places and
+#: least length for each range with the term.
+ROWS = "segment long, term string, df long, total long, docs binary, tfs binary, positions binary, tops binary, head binary"
 
 
-def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _blob(values: np.ndarray) -> bytes:
+    return values.astype(np.int32).tobytes()
+
+
+def _values(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.int32)
+
+
+class _Writer:
+    """A segment in the making."""
+
+    def __init__(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.parts: list[np.ndarray] = []
+        self.heads: list[pa.RecordBatch] = []
+        self.lengths: list[np.ndarray] = []
+        self.chunks = self.terms = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
         lists = batch.column("terms")
-        size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(batch.num_rows), size)
-        pos = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
         coded = lists.flatten().dictionary_encode()
-        code = coded.indices.to_numpy()
-        order = np.lexsort((pos, code, row))
-        r, c = row[order], code[order]
-        first = np.nonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])]))[0] if len(r) else r
-        offsets = pa.array(np.append(first, len(r)).astype(np.int32))
-        own = [batch.column(k).take(pa.array(r[first])) for k in range(batch.num_columns - 1)]
-        names = batch.schema.names[:-1]
-        yield pa.RecordBatch.from_arrays([*own, pa.array(size[r[first]].astype(np.int32)), coded.dictionary.take(pa.array(c[first])), pa.ListArray.from_arrays(offsets, pa.array(pos[order]))], [*names, "length", "term", "positions"])
+        own = np.array([self.codes.setdefault(t, len(self.codes)) for t in coded.dictionary.to_pylist()], np.int64)
+        self.parts.append(own[coded.indices.to_numpy()] if len(own) else np.empty(0, np.int64))
+        self.lengths.append(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        self.heads.append(batch.drop_columns(["terms"]))
+        self.chunks += batch.num_rows
+        self.terms += len(self.parts[-1])
+
+    def rows(self, segment: int) -> pa.RecordBatch:
+        length, code = np.concatenate(self.lengths), np.concatenate(self.parts)
+        doc = np.repeat(np.arange(len(length)), length)
+        pos = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
+        order = np.argsort(code, kind="stable")  # by chunk and place within a term
+        c, d, pos = code[order], doc[order], pos[order]
+        first = np.nonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])])[: len(c)])[0]
+        docs, tfs = d[first], np.diff(first, append=len(c))
+        upto = np.searchsorted(c[first], np.arange(len(self.codes) + 1))
+        places = np.append(first, len(c))
+        out = []
+        for term, k in sorted(self.codes.items()):
+            a, b = upto[k], upto[k + 1]
+            own, tf = docs[a:b], tfs[a:b]
+            edge = np.nonzero(np.concatenate([[True], own[1:] // RANGE != own[:-1] // RANGE]))[0]
+            tops = np.stack([own[edge] // RANGE, np.maximum.reduceat(tf, edge), np.minimum.reduceat(length[own], edge)])
+            out.append((segment, term, int(b - a), int(places[b] - places[a]), _blob(own), _blob(tf), _blob(pos[places[a] : places[b]]), _blob(tops), None))
+        table = pa.Table.from_batches(self.heads).combine_chunks()
+        table = table.append_column("length", pa.array(length.astype(np.int32)))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as stream:
+            stream.write_table(table)
+        out.insert(0, (segment, HEAD, self.chunks, self.terms, None, None, None, None, sink.getvalue().to_pybytes()))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in ROWS.split(", ")])
+
+
+def _invert(name: str, apart: bool):
+    """Segments of a task's chunks in the order they come; with ``apart`` none has chunks of two repositories."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, n = (zlib.crc32(name.encode()) >> 8) << 39 | TaskContext.get().partitionId() << 16, 0
+        own, home = _Writer(), None
 
-def terms_of(chunks: DataFrame, body: Column) -> DataFrame:
-    """``(chunk_id, [repo_id,] length, term, positions array<int>)``, a row per term of a chunk; the chunk's length
-    in terms comes along. A narrow pass: all of a chunk's terms are in its row."""
-    own = ["chunk_id", *(["repo_id"] if "repo_id" in chunks.columns else [])]
-    terms = chunks.select(*own, T.fts_terms(body).alias("terms"))
-    schema = ", ".join(f"{c} {terms.schema[c].dataType.simpleString()}" for c in own)
-    return terms.mapInArrow(_invert, f"{schema}, length int, term string, positions array<int>")
+        def done() -> pa.RecordBatch:
+            rows = own.rows(base | n)
+            return rows.append_column("repo_id", pa.array([home] * rows.num_rows, pa.string())) if apart else rows
+
+        for batch in batches:
+            homes = batch.column("repo_id").to_pylist() if apart else [None] * batch.num_rows
+            edges = [0, *(k for k in range(1, len(homes)) if homes[k] != homes[k - 1]), len(homes)]
+            for first, last in zip(edges[:-1], edges[1:], strict=True):
+                for at in range(first, last, 1024):
+                    if own.chunks and (own.chunks >= SEGMENT_CHUNKS or own.terms >= SEGMENT_TERMS or homes[at] != home):
+                        yield done()
+                        own, n = _Writer(), n + 1
+                    home = homes[at]
+                    own.add(batch.slice(at, min(1024, last - at)))
+        if own.chunks:
+            yield done()
+
+    return run
 
 
 def lengths(chunks: DataFrame, body: Column) -> DataFrame:
@@ -69,45 +135,212 @@ def document_frequency(chunks: DataFrame, body: Column) -> DataFrame:
     return per_chunk.groupBy("term").agg(F.count("*").alias("df"), F.sum("count").alias("cf"))
 
 
+class Segment:
+    """One segment's rows of some terms, at hand to be scored."""
+
+    def __init__(self, head: bytes, rows: dict[str, dict]):
+        self.table = pa.ipc.open_stream(head).read_all()
+        self.length = self.table.column("length").to_numpy()
+        self.rows, self._lists, self._ids, self._homes = rows, {}, None, None
+
+    def ids(self) -> list:
+        if self._ids is None:
+            self._ids = self.table.column("chunk_id").to_pylist()
+        return self._ids
+
+    def homes(self) -> np.ndarray:
+        if self._homes is None:
+            own = self.table.column("repo_id").to_pylist() if "repo_id" in self.table.column_names else [None] * len(self.length)
+            self._homes = np.array([None if x is None else str(x) for x in own], object)
+        return self._homes
+
+    def places(self, term: str) -> tuple[np.ndarray, np.ndarray]:
+        """Chunk and place of each occurrence."""
+        row = self.rows[term]
+        return np.repeat(_values(row["docs"]), _values(row["tfs"])), _values(row["positions"])
+
+    def occurrences(self, terms: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Chunks of a phrase, how often each has it, and the bounds ``tops``; nothing if there is none."""
+        if terms not in self._lists:
+            self._lists[terms] = self._occurrences(terms)
+        return self._lists[terms]
+
+    def _occurrences(self, terms: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        if any(t not in self.rows for t in terms):
+            return None
+        if len(terms) == 1:
+            row = self.rows[terms[0]]
+            return _values(row["docs"]), _values(row["tfs"]), _values(row["tops"]).reshape(3, -1)
+        starts = None
+        for off, t in enumerate(terms):
+            doc, pos = self.places(t)
+            at = (doc.astype(np.int64) << 32) + pos - off
+            starts = at if starts is None else np.intersect1d(starts, at, assume_unique=True)
+        starts = starts[(starts & 0xFFFFFFFF) < 1 << 31]
+        if not len(starts):
+            return None
+        doc, tf = np.unique(starts >> 32, return_counts=True)
+        edge = np.nonzero(np.concatenate([[True], doc[1:] // RANGE != doc[:-1] // RANGE]))[0]
+        return doc, tf, np.stack([doc[edge] // RANGE, np.maximum.reduceat(tf, edge), np.minimum.reduceat(self.length[doc], edge)])
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Segment, list | None]]:
+    """Whole segments, with the chunks that may be found if there is a column of them."""
+    now, head, allowed, rows = None, None, None, {}
+    for batch in batches:
+        names = batch.schema.names
+        for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            row = dict(zip(names, values, strict=True))
+            if row["segment"] != now:
+                if head is not None:
+                    yield Segment(head, rows), allowed
+                now, head, allowed, rows = row["segment"], None, None, {}
+            if row["term"] == HEAD:
+                head, allowed = row["head"], row.get("allowed")
+            else:
+                rows[row["term"]] = row
+    if head is not None:
+        yield Segment(head, rows), allowed
+
+
+def _weigh(tf: np.ndarray, length: np.ndarray, avg: float) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
+
+
+class Scorer:
+    """The best chunks of each question over the segments of a task; ``visited`` of ``ranges`` were scored."""
+
+    def __init__(self, asked: list[tuple], phrases: list[tuple[str, ...]], idf: np.ndarray, avg: float, match_all: bool):
+        self.asked, self.phrases, self.idf, self.avg, self.match_all = asked, phrases, idf, avg, match_all
+        self.best: dict[int, list[tuple]] = {}
+        self.visited = self.ranges = 0
+
+    def add(self, segment: Segment, allowed: list | None, listed: bool) -> None:
+        n = len(segment.length)
+        ranges = -(-n // RANGE)
+        edges = np.arange(ranges + 1) * RANGE
+        may = None
+        if listed:
+            may = np.zeros(n, bool)
+            may[allowed or []] = True
+        lists: dict[int, tuple] = {}  # phrase -> chunks, weights, edges of ranges, ranges, their bounds
+        for p, terms in enumerate(self.phrases):
+            if (found := segment.occurrences(terms)) is not None:
+                doc, tf, tops = found
+                weight = self.idf[p] * _weigh(tf, segment.length[doc], self.avg)
+                lists[p] = doc, weight, np.searchsorted(doc, edges).tolist(), tops[0], self.idf[p] * _weigh(tops[1], tops[2], self.avg)
+        for q, (_, own, most, repo) in enumerate(self.asked):
+            mine = [lists[p] for p in own if p in lists]
+            if not mine or most < 1 or (self.match_all and len(mine) < len(own)):
+                continue
+            free = may
+            if repo is not None:
+                free = segment.homes() == repo if may is None else may & (segment.homes() == repo)
+            if free is not None and not free.any():
+                continue
+            bound = np.zeros(ranges)
+            for *_, at, top in mine:
+                bound[at] += top
+            best = self.best.setdefault(q, [])
+            self.ranges += ranges
+            for r in np.argsort(-bound, kind="stable").tolist():
+                if bound[r] <= 0 or (len(best) == most and -bound[r] - 1e-6 > best[-1][0]):
+                    break  # no range from here on can reach the last of the best
+                self.visited += 1
+                self._range(segment, best, mine, r, most, len(own), free)
+
+    def _range(self, segment: Segment, best: list[tuple], mine: list[tuple], r: int, most: int, width: int, free: np.ndarray | None) -> None:
+        low, high = r * RANGE, min((r + 1) * RANGE, len(segment.length))
+        score, met = np.zeros(high - low), np.zeros(high - low, np.int32)
+        for doc, weight, edge, *_ in mine:
+            a, b = edge[r], edge[r + 1]
+            if b > a:
+                at = doc[a:b] - low
+                score[at] += weight[a:b]
+                met[at] += 1
+        keep = met == width if self.match_all else met > 0
+        if free is not None:
+            keep &= free[low:high]
+        score = np.round(-score, 6)
+        if len(best) == most:
+            keep &= score <= best[-1][0]
+        at = np.nonzero(keep)[0]
+        if len(at) > most:  # all that tie with the last stay until the ids decide
+            at = at[score[at] <= np.partition(score[at], most - 1)[most - 1]]
+        if len(at):
+            ids = segment.ids()
+            best[:] = heapq.nsmallest(most, [*best, *((s + 0.0, ids[low + k]) for s, k in zip(score[at].tolist(), at.tolist(), strict=True))])
+
+
 @dataclass(frozen=True)
 class Index:
-    """Postings ``(term, chunk_id, [repo_id,] length, positions[, shard])`` and rows of ``(n_chunks, n_terms)``
-    that add up to the whole."""
+    """Rows of segments (see ``ROWS``), with ``repo_id`` if segments are kept apart by repository."""
 
-    postings: DataFrame
-    stats: DataFrame
+    rows: DataFrame
 
     @staticmethod
-    def of(chunks: DataFrame, body: Column | None = None) -> Index:
-        """An index that is worked out anew by each query."""
+    def of(chunks: DataFrame, body: Column | None = None, name: str = "") -> Index:
+        """The index of ``(chunk_id[, repo_id], ...)``, in one narrow pass; ``name`` tells the segments of one write from others."""
         body = F.col("content") if body is None else body
-        return Index(terms_of(chunks, body), corpus_stats(chunks, body).select("n_chunks", "n_terms"))
+        own = ["chunk_id", *(["repo_id"] if "repo_id" in chunks.columns else [])]
+        return Index(chunks.select(*own, T.fts_terms(body).alias("terms")).mapInArrow(_invert(name, False), ROWS))
 
-    def write(self, path: str, shards: int = SHARDS) -> Index:
-        """Store the index, sorted by term within shards, and read it back."""
-        dealt = self.postings.withColumn("shard", shard_of(F.col("term"), shards)).repartition(shards, "shard").sortWithinPartitions("shard", "term")
-        dealt.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        return Index.read(self.postings.sparkSession, path)
+    @staticmethod
+    def by_repository(chunks: DataFrame, body: Column, name: str = "") -> Index:
+        """The same with segments of one repository each, and its ``repo_id`` in every row. Chunks that come in the order of
+        their repositories make the fewest segments."""
+        rows = chunks.select("chunk_id", F.col("repo_id").cast("string").alias("repo_id"), T.fts_terms(body).alias("terms"))
+        return Index(rows.mapInArrow(_invert(name, True), f"{ROWS}, repo_id string"))
+
+    def write(self, path: str) -> Index:
+        """Store the index, a file for each segment, and read it back."""
+        self.rows.sortWithinPartitions("segment", "term").write.mode("overwrite").partitionBy("segment").parquet(path)
+        return Index.read(self.rows.sparkSession, path)
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+        return Index(spark.read.schema(ROWS).parquet(path))
+
+    def stats(self) -> DataFrame:
+        """One row ``(n_chunks, n_terms)``."""
+        return self.rows.where(F.col("term") == HEAD).agg(F.sum("df").alias("n_chunks"), F.sum("total").alias("n_terms"))
+
+    def of_terms(self, terms: list[str]) -> DataFrame:
+        """The rows of the terms, and the heads."""
+        every = sorted({HEAD, *terms})
+        if len(every) <= TERMS:
+            return self.rows.where(F.col("term").isin(every))
+        wanted = self.rows.sparkSession.createDataFrame([(t,) for t in every], "term string")
+        return self.rows.join(F.broadcast(wanted), "term", "left_semi")  # of at most BLOCK questions
+
+    def postings(self, kind: str = "long") -> DataFrame:
+        """``(term, chunk_id, repo_id, length, positions)``: the index as rows of each term and chunk, ``kind`` being the ids' type."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for segment, _ in _segments(batches):
+                ids, home, length = segment.table.column("chunk_id").combine_chunks(), pa.array(segment.homes(), pa.string()), pa.array(segment.length)
+                for term, row in segment.rows.items():
+                    doc, tf = pa.array(_values(row["docs"])), _values(row["tfs"])
+                    places = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf)).astype(np.int32)), pa.array(_values(row["positions"])))
+                    yield pa.RecordBatch.from_arrays([pa.array([term] * len(doc), pa.string()), ids.take(doc), home.take(doc), length.take(doc), places], ["term", "chunk_id", "repo_id", "length", "positions"])
 
-    def of_terms(self, terms: list[str], shards: int = SHARDS) -> DataFrame:
-        """The postings of the terms, read alone where they are few enough for a list."""
-        spark = self.postings.sparkSession
-        wanted = spark.createDataFrame([(t,) for t in terms], "term string")
-        if len(terms) > TERMS:
-            return self.postings.join(wanted, "term", "left_semi")
-        own = self.postings.where(F.col("term").isin(terms))
-        if "shard" in self.postings.columns:
-            own = own.where(F.col("shard").isin([r[0] for r in wanted.select(shard_of(F.col("term"), shards)).distinct().collect()]))
-        return own
+        return _keyed(self.rows).mapInArrow(run, f"term string, chunk_id {kind}, repo_id string, length int, positions array<int>")
 
+    def chunks(self, kind: str = "long") -> DataFrame:
+        """``(segment, doc, chunk_id)``: the chunks by their number in their segment."""
 
-def shard_of(term: Column, shards: int = SHARDS) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for segment, head in zip(batch.column("segment").to_pylist(), batch.column("head").to_pylist(), strict=True):
+                    ids = pa.ipc.open_stream(head).read_all().column("chunk_id").combine_chunks()
+                    yield pa.RecordBatch.from_arrays([pa.array([segment] * len(ids), pa.int64()), pa.array(np.arange(len(ids), dtype=np.int32)), ids], ["segment", "doc", "chunk_id"])
+
+        return _keyed(self.rows.where(F.col("term") == HEAD)).select("segment", "head").mapInArrow(run, f"segment long, doc int, chunk_id {kind}")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows of segments whose numbers are told apart over repositories too."""
+    return rows.withColumn("segment", F.xxhash64("repo_id", "segment")).drop("repo_id") if "repo_id" in rows.columns else rows
 
 
 def phrases(questions: DataFrame, tokens: Column) -> DataFrame:
@@ -116,71 +349,39 @@ def phrases(questions: DataFrame, tokens: Column) -> DataFrame:
     return each.withColumn("terms", T.fts_terms(F.col("phrase"))).where(F.size("terms") > 0)
 
 
-def phrase_frequency(index: Index, wanted: list[list[str]]) -> tuple[DataFrame, DataFrame]:
-    """``(phrase int, chunk_id, [repo_id,] length, tf)``, how often each phrase, a list of terms, occurs in each chunk;
-    and ``(phrase, df)``, in how many chunks."""
-    rows = [(k, len(terms), off, t) for k, terms in enumerate(wanted) for off, t in enumerate(terms)]
-    places = index.postings.sparkSession.createDataFrame(rows, "phrase int, width int, off int, term string")
-    own = ["chunk_id", *(["repo_id"] if "repo_id" in index.postings.columns else []), "length"]
-    met = index.of_terms(sorted({t for terms in wanted for t in terms})).join(places, "term")
-    single, parts = met.where("width = 1"), met.where("width > 1")
-    starts = parts.select("phrase", "width", *own, F.explode(F.transform("positions", lambda p: p - F.col("off"))).alias("start"))
-    whole = starts.groupBy("phrase", "width", *own, "start").agg(F.count("*").alias("n")).where("n = width").groupBy("phrase", *own).agg(F.count("*").alias("tf"))
-    df = single.groupBy("phrase").agg(F.count("*").alias("df"))
-    tf = single.select("phrase", *own, F.size("positions").cast("long").alias("tf"))
-    if all(len(terms) == 1 for terms in wanted):
-        return tf, df
-    return tf.unionByName(whole), df.unionByName(whole.groupBy("phrase").agg(F.count("*").alias("df")))
-
-
-def _score(asked: list[tuple], idf: np.ndarray, avg: float, match_all: bool, kinds: list[pa.DataType]):
-    """Rows ``(phrase, chunk_id, repo_id, length, tf)`` come sorted by chunk; a task's best of each question go."""
-
-    def best_of(part: pa.Table, best: dict[int, list[tuple]]) -> None:
-        phrase = part.column("phrase").to_numpy()
-        names, at = np.unique(part.column("chunk_id").to_numpy(zero_copy_only=False), return_inverse=True)
-        tf, length = part.column("tf").to_numpy().astype(np.float64), part.column("length").to_numpy().astype(np.float64)
-        weight = idf[phrase] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
-        home = np.empty(len(names), object)
-        home[at] = part.column("repo_id").to_pylist()
-        order = np.argsort(phrase, kind="stable")
-        cuts = np.searchsorted(phrase[order], np.arange(len(idf) + 1))
-        for q, (_, own, most, repo) in enumerate(asked):
-            rows = [order[cuts[p] : cuts[p + 1]] for p in own]
-            rows = np.concatenate(rows) if rows else order[:0]
-            if not len(rows):
-                continue
-            score = np.round(-np.bincount(at[rows], weight[rows], len(names)), 6)
-            met = np.bincount(at[rows], minlength=len(names))
-            keep = np.nonzero(met == len(own) if match_all else met > 0)[0]
-            if repo is not None:
-                keep = keep[home[keep] == repo]
-            if len(keep) > most:  # all that tie with the last stay until the ids decide
-                keep = keep[score[keep] <= np.partition(score[keep], most - 1)[most - 1]]
-            if len(keep):
-                best[q] = sorted([*best.get(q, []), *zip(score[keep].tolist(), names[keep].tolist(), strict=True)])[:most]
-
+def phrase_df(index: Index, wanted: list[tuple[str, ...]]) -> np.ndarray:
+    """In how many chunks each phrase occurs: sums over the segments, of the stored counts where it is one term."""
+    out = np.zeros(len(wanted), np.int64)
+    single: dict[str, list[int]] = {}
+    for k, terms in enumerate(wanted):
+        if len(terms) == 1:
+            single.setdefault(terms[0], []).append(k)
+    if single:
+        for r in index.of_terms(list(single)).where(F.col("term") != HEAD).groupBy("term").agg(F.sum("df").alias("df")).collect():
+            out[single[r["term"]]] = r["df"]
+    several = {k: terms for k, terms in enumerate(wanted) if len(terms) > 1}
+    if several:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = dict.fromkeys(several, 0)
+            for segment, _ in _segments(batches):
+                for k, terms in several.items():
+                    if (found := segment.occurrences(terms)) is not None:
+                        total[k] += len(found[0])
+            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array(total.values(), pa.int64())], ["phrase", "df"])
+
+        rows = _keyed(index.of_terms(sorted({t for terms in several.values() for t in terms})))
+        for r in rows.mapInArrow(run, "phrase int, df long").groupBy("phrase").agg(F.sum("df").alias("df")).collect():
+            out[r["phrase"]] = r["df"]
+    return out
+
+
+def _score(asked: list[tuple], wanted: list[tuple[str, ...]], idf: np.ndarray, avg: float, match_all: bool, listed: bool, kinds: list[pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple]] = {}
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            n += batch.num_rows
-            if n < ROWS:
-                continue
-            every = pa.Table.from_batches(held).combine_chunks()
-            ids = every.column("chunk_id").to_numpy(zero_copy_only=False)
-            upto = int(np.nonzero(ids != ids[-1])[0][-1]) + 1 if (ids != ids[-1]).any() else 0  # the last chunk may go on
-            if upto:
-                best_of(every.slice(0, upto), best)
-                held = every.slice(upto).to_batches()
-                n = every.num_rows - upto
-        if held:
-            best_of(pa.Table.from_batches(held), best)
-        rows = [(asked[q][0], name, score + 0.0) for q, found in best.items() for score, name in found]
+        scorer = Scorer(asked, wanted, idf, avg, match_all)
+        for segment, allowed in _segments(batches):
+            scorer.add(segment, allowed, listed)
+        rows = [(asked[q][0], name, score) for q, found in scorer.best.items() for score, name in found]
         if rows:
             q, name, score = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(q, kinds[0]), pa.array(name, kinds[1]), pa.array(score, pa.float64())], ["question_id", "chunk_id", "bm25"])
@@ -188,41 +389,59 @@ def _score(asked: list[tuple], idf: np.ndarray, avg: float, match_all: bool, kin
     return run
 
 
+def _restricted(rows: DataFrame, index: Index, whitelist: DataFrame, kind: str) -> DataFrame:
+    """Rows whose heads carry the numbers of the chunks that may be found."""
+    ids = whitelist.select(F.col(whitelist.columns[0]).cast(kind).alias("chunk_id")).distinct()
+    own = index.chunks(kind).join(ids, "chunk_id", "left_semi").groupBy("segment").agg(F.collect_list("doc").alias("allowed"))  # of one segment
+    own = own.withColumn("term", F.lit(HEAD))
+    if ids.limit(WHITELIST + 1).count() <= WHITELIST:
+        return rows.join(F.broadcast(own), ["segment", "term"], "left")
+    return rows.join(own, ["segment", "term"], "left").repartition("segment").sortWithinPartitions("segment")
+
+
 def bm25(index: Index, questions: DataFrame, tokens: Column, limit: int | str = 20, repo: bool = False, match_all: bool = False, whitelist: DataFrame | None = None) -> DataFrame:
     """``(question_id, chunk_id, bm25, rank)``: smaller is better; ties by chunk id.
 
-    With ``repo`` a chunk's ``repo_id`` must equal the question's. ``match_all`` asks for every phrase, else any
-    will do. ``limit`` is a number or a column of ``questions``. ``whitelist`` holds the ids that may be found; an
-    empty one finds nothing. Scores are rounded to 6 places before they are ranked."""
-    spark = index.postings.sparkSession
-    n, total = index.stats.agg(F.sum("n_chunks"), F.sum("n_terms")).first()
-    depth = F.col(limit) if isinstance(limit, str) else F.lit(limit)
-    group = F.col("repo_id") if repo else F.lit(None).cast("string")
-    wanted = phrases(questions, tokens).groupBy("question_id").agg(F.collect_list(F.struct("phrase", "terms")).alias("phrases"))
-    asked = questions.select("question_id", depth.cast("int").alias("most"), group.alias("g")).join(wanted, "question_id").collect()  # a stated set
-    number: dict[str, int] = {}
-    lists: list[list[str]] = []
-    for r in asked:
-        for p in r["phrases"]:
-            if number.setdefault(p["phrase"], len(number)) == len(lists):
-                lists.append(p["terms"])
-    tf, df = phrase_frequency(index, lists)
-    raw = F.log((F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = np.zeros(len(lists))
-    for r in df.select("phrase", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf")).collect():
-        idf[r["phrase"]] = r["idf"]
-    types = [questions.schema["question_id"].dataType, index.postings.schema["chunk_id"].dataType]
-    schema = f"question_id {types[0].simpleString()}, chunk_id {types[1].simpleString()}, bm25 double"
-    data = tf if whitelist is None else tf.join(whitelist.select(F.col(whitelist.columns[0]).alias("chunk_id")).distinct(), "chunk_id", "left_semi")
-    home = F.col("repo_id").cast("string") if "repo_id" in data.columns else F.lit(None).cast("string")
-    data = data.select("phrase", "chunk_id", home.alias("repo_id"), "length", "tf").repartition("chunk_id").sortWithinPartitions("chunk_id")
-    asked_rows = [(r["question_id"], [number[p["phrase"]] for p in r["phrases"]], r["most"], r["g"]) for r in asked]
+    With ``repo`` a chunk's ``repo_id`` must equal the question's; of an index that is stored by repository only the asked ones
+    are read. ``match_all`` asks for every phrase, else any will do. ``limit`` is a number or a column of ``questions``.
+    ``whitelist`` holds the ids that may be found; an empty one finds nothing. Scores are rounded to 6 places before they are
+    ranked. Questions, a stated set, go to the tasks in blocks, each with its own terms; ids are of the questions' kind unless the index says otherwise."""
+    spark = index.rows.sparkSession
+    n, total = index.stats().first()
     avg = float(total or 0) / n if n and total else 1.0
+    depth = F.col(limit) if isinstance(limit, str) else F.lit(limit)
+    group = F.col("repo_id").cast("string") if repo else F.lit(None).cast("string")
+    heads = index.rows.where(F.col("term") == HEAD).select("head").first()
+    id_type = pa.ipc.open_stream(heads["head"]).schema.field("chunk_id").type if heads else pa.int64()
+    kind = "string" if pa.types.is_string(id_type) or pa.types.is_large_string(id_type) else "int" if pa.types.is_int32(id_type) else "long"
+    kinds = [to_arrow_type(questions.schema["question_id"].dataType), id_type]
+    schema = f"question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id {kind}, bm25 double"
+    wanted = phrases(questions, tokens).groupBy("question_id").agg(F.collect_list("terms").alias("phrases"))
+    asked = questions.select("question_id", depth.cast("int").alias("most"), group.alias("g")).join(wanted, "question_id")
+    blocks = max(1, -(-asked.count() // BLOCK))
     out = None
-    for i in range(0, max(1, len(asked_rows)), BLOCK):
-        part = asked_rows[i : i + BLOCK]
-        found = data.mapInArrow(_score(part, idf, avg, match_all, [to_arrow_type(t) for t in types]), schema) if part else spark.createDataFrame([], schema)
+    for i in range(blocks):
+        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i)
+        number: dict[tuple[str, ...], int] = {}
+        rows = [(r["question_id"], [number.setdefault(tuple(p), len(number)) for p in r["phrases"]], r["most"], r["g"]) for r in own.collect()]
+        if not rows:
+            continue
+        lists = list(number)
+        df = phrase_df(index, lists)
+        raw = np.log(((n or 0) - df + 0.5) / (df + 0.5))
+        idf = np.where(raw > 0, raw, LEAST_IDF)
+        data = index.of_terms(sorted({t for terms in lists for t in terms}))
+        if repo and "repo_id" in data.columns:  # partitions of the asked repositories only
+            data = data.join(F.broadcast(spark.createDataFrame([(g,) for g in {r[3] for r in rows}], "repo_id string")), "repo_id", "left_semi")
+        if all(len(terms) == 1 for terms in lists):
+            data = data.drop("positions")
+        data = _keyed(data)
+        if whitelist is not None:
+            data = _restricted(data, index, whitelist, kind)
+        found = data.mapInArrow(_score(rows, lists, idf, avg, match_all, whitelist is not None, kinds), schema)
         out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], schema)
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("bm25", "chunk_id")))
     if isinstance(limit, str):
         return ranked.join(questions.select("question_id", F.col(limit).alias("most")), "question_id").where("rank <= most").drop("most")

@@ -1,14 +1,11 @@
-"""Mutations as new versions of tables: upsert, delete, cascade, and a store that commits them.
+"""Mutations as new versions of tables: upsert, delete, cascade, and a store that writes them.
 
-Every function takes tables and gives the table after the change; :class:`Store` keeps tables in parts by
-repository and changes any number of parts at once."""
+Every function takes tables and gives the table after the change; :class:`Store` keeps tables in partitions by
+repository and overwrites those that a change touches."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import schemas
@@ -94,19 +91,26 @@ def serialize_references(references: Column, mode: Column) -> Column:
     return F.when(mode.isNull(), F.to_json(references)).otherwise(F.to_json(F.struct(references.alias("references"), mode.alias("retrieval_fusion"))))
 
 
-class Conflict(RuntimeError):
-    """Another writer committed first; nothing of this commit took effect."""
+#: Partitions that a change may name in its filter.
+NAMED = 1000
 
 
 class Store:
-    """Tables in parts, a part for each repository, each of them a list of Parquet directories.
+    """Tables of the service as Parquet, in partitions by repository.
 
-    A log of numbered states says which directories make up which part. A commit writes its directories,
-    checks them and then creates the next state, which only one writer can: so a change of several tables takes
-    effect as a whole or not at all, and a change of one repository rewrites its own parts only."""
+    A change overwrites the partitions it has rows for (``partitionOverwriteMode=dynamic``) and leaves all others' files
+    alone. Spark writes a partition's new files first and puts them in place when the job commits, so a partition may be
+    read while it is replaced; a frame that was made before must be evaluated before. One change is of one table: the
+    service's status column tells whether a repository's tables belong together."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        mark = self._at(f"version={schemas.VERSION}")
+        files = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+        others = [s.getPath().getName() for s in files.globStatus(self._at("version=*")) or []]
+        if others not in ([], [mark.getName()]):
+            raise ValueError(f"the store has schema {others[0]}, not {mark.getName()}")
+        files.mkdirs(mark)
 
     def _at(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
@@ -114,66 +118,101 @@ class Store:
     def _files(self):
         return self._at().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _state(self) -> tuple[int, dict]:
-        """Number and content of the latest state: ``{"version", "parts": {table: {repo: [dirs]}}, "gone": [dirs]}``."""
-        files, log = self._files(), self._at("log")
-        names = sorted(s.getPath().getName() for s in files.listStatus(log)) if files.exists(log) else []
-        names = [x for x in names if x.endswith(".json")]
-        if not names:
-            return -1, {"version": schemas.VERSION, "parts": {}, "gone": []}
-        stream = files.open(self._at("log", names[-1]))
-        try:
-            state = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-        if state["version"] != schemas.VERSION:
-            raise ValueError(f"the store has schema version {state['version']}, not {schemas.VERSION}")
-        return int(names[-1].split(".")[0]), state
+    def _part(self, name: str, repo_id: str):
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        return self._at(name, f"{schemas.PARTITIONS[name][0]}={escape(repo_id)}")
 
     def read(self, name: str, repo_id: str | None = None) -> DataFrame:
-        """A table, or one repository's part of it."""
-        parts = self._state()[1]["parts"].get(name, {})
-        dirs = [d for r, own in parts.items() if repo_id is None or r == repo_id for d in own]
-        if not dirs:
+        """A table, or one repository's partition of it."""
+        place = self._at(name) if repo_id is None else self._part(name, repo_id)
+        if not self._files().exists(place):
             return self.spark.createDataFrame([], schemas.TABLES[name])
-        return self.spark.read.schema(schemas.TABLES[name]).parquet(*(f"{self.path}/{d}" for d in dirs))
-
-    def commit(self, changes: list[tuple[str, str, str, DataFrame | None]]) -> dict[str, int]:
-        """Apply ``(table, repo_id, how, rows)`` as one change: ``replace`` a part, ``append`` to it or ``drop`` it.
-        Returns the rows that each table gained or lost."""
-        number, state = self._state()
-        parts, gone, counts = state["parts"], [], {}
-        for table, repo_id, how, rows in changes:
-            own = parts.setdefault(table, {})
-            if how == "append":
-                dirs = list(own.get(repo_id, []))
-            else:
-                gone += own.get(repo_id, [])
-                dirs = []
-            if how == "drop":
-                if repo_id in own:
-                    counts[table] = counts.get(table, 0) + self.read(table, repo_id).count()
-                    del own[repo_id]
-                continue
-            place = f"data/{table}/{uuid.uuid4().hex}"
-            rows.select(*(c.split()[0] for c in schemas.TABLES[table].split(", "))).write.parquet(f"{self.path}/{place}")
-            written = self.spark.read.schema(schemas.TABLES[table]).parquet(f"{self.path}/{place}")
-            if schemas.violations(table, written).limit(1).count():
-                self._files().delete(self._at(place), True)
-                raise ValueError(f"rows of {table} break its constraints")
-            counts[table] = counts.get(table, 0) + written.count()
-            own[repo_id] = [*dirs, place]
-        self._create(number + 1, {"version": schemas.VERSION, "parts": parts, "gone": gone})
-        for d in state["gone"]:  # of the commit before: readers that began on it had until now
-            self._files().delete(self._at(d), True)
-        return counts
-
-    def _create(self, number: int, state: dict) -> None:
+        rows = self.spark.read.schema(schemas.TABLES[name]).option("basePath", f"{self.path}/{name}").parquet(place.toString())
+        return rows.select(*schemas.columns(name))
+
+    def of(self, name: str, repo_ids: DataFrame) -> DataFrame:
+        """The partitions of the repositories, a small set whose first column they are: the scan is pruned when it runs."""
+        key = schemas.PARTITIONS[name][0]
+        own = repo_ids.select(F.col(repo_ids.columns[0]).alias(key)).where(F.col(key) > "").distinct()  # a comparison makes it worth a subquery
+        return self.read(name).join(F.broadcast(own), key, "left_semi").select(*schemas.columns(name))
+
+    def _touched(self, name: str, keys: DataFrame) -> DataFrame:
+        """The table's partitions that the keys name: in the filter if they are few."""
+        key = schemas.PARTITIONS[name][0]
+        own = keys.select(key).distinct()
+        few = [r[0] for r in own.limit(NAMED + 1).collect()]
+        rows = self.read(name)
+        return rows.where(F.col(key).isin(few)) if len(few) <= NAMED else rows.join(own, key, "left_semi")
+
+    def _write(self, name: str, rows: DataFrame, mode: str) -> int:
+        """Write rows into their partitions; how many, counted as they are written."""
+        wrong = schemas.broken(name)
+        checked = rows.select(*schemas.columns(name)).where(F.when(wrong, F.raise_error(F.lit(f"rows of {name} break its constraints")).cast("boolean")).otherwise(True))
+        if name in schemas.KEYS:
+            key = schemas.KEYS[name]
+            twice = rows.groupBy(key).count().where("count > 1")
+            if twice.limit(1).count():
+                raise ValueError(f"rows of {name} break its constraints: {key} is not unique")
+        seen = Observation()
+        checked = checked.observe(seen, F.count(F.lit(1)).alias("n"))
+        if name == "segments":
+            checked = checked.sortWithinPartitions("repo_id", "segment", "term")
+        out = checked.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*schemas.PARTITIONS[name])
+        out.parquet(f"{self.path}/{name}")
+        return seen.get["n"]
+
+    def replace(self, name: str, repo_id: str, rows: DataFrame) -> int:
+        """A repository's rows of a table, instead of those there were; how many."""
+        n = self._write(name, rows, "overwrite")
+        if not n:  # nothing was written, so nothing was overwritten
+            self._files().delete(self._part(name, repo_id), True)
+        return n
+
+    def append(self, name: str, rows: DataFrame) -> int:
+        return self._write(name, rows, "append")
+
+    def upsert(self, name: str, rows: DataFrame) -> int:
+        """Rows replace those of the same key; only partitions that rows name are read and written. How many rows came."""
+        rows = rows.persist()
         try:
-            out = self._files().create(self._at("log", f"{number:012d}.json"), False)
-        except Exception as e:
-            raise Conflict(f"state {number} is there already") from e
+            n = rows.count()
+            if n:
+                whole = upsert(self._touched(name, rows), rows, schemas.KEYS[name])
+                self._write(name, whole, "overwrite")
+            return n
+        finally:
+            rows.unpersist()
+
+    def drop(self, name: str, repo_id: str) -> int:
+        """A repository's partition goes; how many rows it had."""
+        part = self._part(name, repo_id)
+        if not self._files().exists(part):
+            return 0
+        n = self.read(name, repo_id).count()
+        self._files().delete(part, True)
+        return n
+
+    def delete(self, name: str, ids: DataFrame, repo_id: str | None = None) -> int:
+        """The rows of the ids, of one repository if it is given; how many went. Partitions without any of them stay as they
+        are, those of which nothing is left go."""
+        key, part = schemas.KEYS[name], schemas.PARTITIONS[name][0]
+        gone = ids.select(F.col(ids.columns[0]).alias(key)).distinct()
+        hit = self.read(name, repo_id).join(gone, key, "left_semi").groupBy(part).count().persist()
         try:
-            out.write(bytearray(json.dumps(state).encode()))
+            n = hit.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+            if n:
+                before = self._touched(name, hit)
+                left = before.join(gone, key, "left_anti").persist()
+                emptied = [r[0] for r in hit.join(left.select(part).distinct(), part, "left_anti").select(part).collect()]
+                if not left.isEmpty():
+                    self._write(name, left, "overwrite")
+                left.unpersist()
+                for repo in emptied:
+                    self._files().delete(self._part(name, repo), True)
+            return n
         finally:
-            out.close()
+            hit.unpersist()
+
+    def compact(self, name: str, repo_id: str) -> None:
+        """One file for a repository's rows, which may have come one by one."""
+        self._write(name, self.read(name, repo_id).coalesce(1), "overwrite")

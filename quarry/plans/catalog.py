@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -70,19 +71,28 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").cast("string").alias("repo_id"))
 
 
-_indexes: dict[tuple[str, str], str] = {}
+_indexes: dict[tuple[str, str, str], str] = {}
 
 
-def fts_index(spark: SparkSession, sf_dir: str) -> sparse.Index:
-    """The full-text index of the documents, stored by the first query of a session that needs it. It lies in the
-    folder that ``spark.checkpoint.dir`` names; on a single machine that names none, in a temporary one."""
-    key = spark.sparkContext.applicationId, sf_dir
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the one that ``spark.checkpoint.dir`` names; on a single machine that names none, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared.rstrip('/') if shared else Path(tempfile.mkdtemp(prefix='spark-')).as_uri()}/{name}-{uuid.uuid4().hex}"
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as chunks, their URLs being what is searched."""
+    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("chunk_id"), F.col("url").alias("content"))
+
+
+def fts_index(spark: SparkSession, sf_dir: str, of: Callable[[SparkSession, str], DataFrame] = chunks) -> sparse.Index:
+    """The full-text index of the documents, or of others, stored by the first query of a session that needs it."""
+    key = spark.sparkContext.applicationId, sf_dir, of.__name__
     if key not in _indexes:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = f"{shared or Path(tempfile.mkdtemp(prefix='spark-')).as_uri()}/fts-{uuid.uuid4().hex}"
-        sparse.Index.of(chunks(spark, sf_dir)).write(path)
+        path = shared_folder(spark, "fts")
+        sparse.Index.of(of(spark, sf_dir)).write(path)
         _indexes[key] = path
     return sparse.Index.read(spark, _indexes[key])
 
@@ -187,9 +197,8 @@ _PAGE_Q = r"pq AS (SELECT page_id AS question_id, regexp_extract(url, '^https?:/
 @query(f"WITH {_PAGE_Q}, {_bm25_cte('url', 'page_id', 'pages', 'pq')} SELECT question_id, chunk_id, bm25, {_RANK} FROM scored QUALIFY rank <= 5")
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host and first directory of each page as one phrase, against all URLs."""
-    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("chunk_id"), F.col("url").alias("content"))
-    q = p.select(F.col("chunk_id").alias("question_id"), F.array(F.regexp_extract("content", "^https?://([^/]+/[^/]+)", 1)).alias("tokens"))
-    return sparse.bm25(sparse.Index.of(p), q, F.col("tokens"), 5)
+    q = pages(spark, sf_dir).select(F.col("chunk_id").alias("question_id"), F.array(F.regexp_extract("content", "^https?://([^/]+/[^/]+)", 1)).alias("tokens"))
+    return sparse.bm25(fts_index(spark, sf_dir, pages), q, F.col("tokens"), 5)
 
 
 @query(
@@ -363,6 +372,49 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("question_id", "n_results", "context", context.prompt(F.col("question"), F.col("context")).alias("prompt"))
 
 
+#: Token budgets from one that has no room for a header to one that has room for all.
+_BUDGETS = (2, 3, 5, 12, 20, 60, 120, 500, 2000)
+_LADDER_ROWS = ", ".join(f"({k}, {str(i).lower()}, {1 << 30 if p is None else p}, {1 << 30 if n is None else n})" for k, (i, p, n) in enumerate(context.LADDER))
+
+
+def _sql_header(p: str, n: str, imports: str) -> str:
+    return f"""'Path: ' || CASE WHEN length(path) > {p} THEN '…' || right(path, {p} - 1) ELSE path END || chr(10) || kind || ': ' || CASE WHEN length(name) > {n} THEN left(name, {n} - 1) || '…' ELSE name END
+  || CASE WHEN {imports} AND imports <> '' THEN chr(10) || 'Imports:' || chr(10) || imports ELSE '' END"""
+
+
+@query(
+    f"""WITH l(step, full_, p, n) AS (VALUES {_LADDER_ROWS}), t AS (SELECT unnest([{', '.join(map(str, _BUDGETS))}]) AS tokens),
+it AS (SELECT doc_id // 5 AS g, doc_id % 5 + 1 AS pos, repeat(source || '/', (doc_id % 40)::INT) || lang || '.txt' AS path, CASE WHEN doc_id % 2 = 0 THEN 'function' ELSE 'class' END AS kind, repeat('name', (doc_id % 60)::INT) || 'x' AS name, text AS content,
+  CASE WHEN doc_id % 3 = 0 THEN 'import ' || repeat('a, ', (doc_id % 400)::INT) || 'z' ELSE '' END AS imp FROM documents),
+i AS (SELECT *, CASE WHEN length(imp) > 800 THEN regexp_replace(left(imp, 800), '\s+$', '') || '…' ELSE imp END AS imports FROM it),
+h AS (SELECT tokens, g, pos, step, {_sql_header('p', 'n', 'full_')} AS header FROM i, l, t),
+c AS (SELECT *, sum(length(header) + 16) OVER (PARTITION BY tokens, g, step ORDER BY pos) - 7 AS size FROM h),
+b AS (SELECT tokens, g, pos, step, size FROM c WHERE size <= greatest(1, 4 * tokens) QUALIFY row_number() OVER (PARTITION BY tokens, g ORDER BY pos DESC, step) = 1),
+lone AS (SELECT tokens, g, {_sql_header('least(length(path) + 120, greatest(280, 4 * tokens - 9))', 'least(length(name) + 100, greatest(16, 4 * tokens - 9))', 'false')} AS wide, kind FROM i, t WHERE pos = 1),
+cut AS (SELECT tokens, g, regexp_replace(left(CASE WHEN 4 * tokens - 9 >= 4 THEN wide ELSE kind || ':…' END, greatest(1, 4 * tokens - 9)), '\s+$', '') AS header FROM lone),
+s AS (SELECT tokens, g, i.pos, coalesce(h.header, cut.header) AS header, content, 4 * tokens - coalesce(b.size, length(cut.header) + 9) AS room,
+  coalesce(sum(length(content)) OVER (PARTITION BY tokens, g ORDER BY i.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
+  FROM i CROSS JOIN t LEFT JOIN b USING (tokens, g) LEFT JOIN h ON h.tokens = t.tokens AND h.g = i.g AND h.pos = i.pos AND h.step = b.step JOIN cut USING (tokens, g) WHERE i.pos <= coalesce(b.pos, 1))
+SELECT tokens::INT AS tokens, g AS question_id, n::INT AS n_results, CASE WHEN min(room) >= 0 THEN string_agg(header || chr(10) || '```' || chr(10) || left(content, greatest(0, room - used)::BIGINT) || chr(10) || '```', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) ELSE '' END AS context
+FROM s JOIN (SELECT g, count(*) AS n FROM i GROUP BY g) USING (g) GROUP BY tokens, g, n"""
+)
+def context_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every five documents as the results of a question, with long paths, names and imports, packed for many budgets."""
+    d, i = read(spark, sf_dir, "documents"), F.col("doc_id")
+    times = lambda text, n: F.repeat(text, (i % n).cast("int"))
+    rows = d.select(
+        F.floor(i / 5).alias("question_id"),
+        (i % 5 + 1).alias("rank"),
+        F.concat(times(F.concat("source", F.lit("/")), 40), "lang", F.lit(".txt")).alias("file_path"),
+        F.when(i % 2 == 0, "function").otherwise("class").alias("chunk_type"),
+        F.concat(times(F.lit("name"), 60), F.lit("x")).alias("chunk_name"),
+        F.col("text").alias("content"),
+        F.when(i % 3 == 0, F.concat(F.lit("import "), times(F.lit("a, "), 400), F.lit("z"))).alias("import_summary"),
+    )
+    out = [context.pack_results(rows, n).select(F.lit(n).alias("tokens"), "question_id", "n_results", "context") for n in _BUDGETS]
+    return reduce(DataFrame.unionByName, out)
+
+
 @query(
     """SELECT conv_id, turn, greatest(0, least(length(coalesce(text, '')), 1000 - coalesce(sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS taken
 FROM conversations"""
@@ -407,8 +459,13 @@ def _changed(c: DataFrame) -> DataFrame:
 SELECT chunk_id, repo_id, md5(content) AS md5 FROM (SELECT chunk_id, repo_id, content FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM n) UNION ALL SELECT * FROM n)"""
 )
 def chunk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through a stored table: partitions that the new rows name are read and written again."""
+    s = store.Store(spark, shared_folder(spark, "store"))
+    rows = lambda df: df.withColumns({"id": F.col("chunk_id").cast("string"), "created_at": F.current_timestamp()})
     c = chunks(spark, sf_dir)
-    return store.upsert(c, _changed(c), "chunk_id").select("chunk_id", "repo_id", F.md5(F.col("content").cast("binary")).alias("md5"))
+    s.upsert("chunks", rows(c))
+    s.upsert("chunks", rows(_changed(c)))
+    return s.read("chunks").select(F.col("id").cast("long").alias("chunk_id"), "repo_id", F.md5(F.col("content").cast("binary")).alias("md5"))
 
 
 @query("SELECT vec_id AS chunk_id, label::VARCHAR AS repo_id, CASE WHEN vec_id % 3 = 0 THEN -embedding[1] ELSE embedding[1] END::DOUBLE AS first FROM embeddings")
@@ -420,17 +477,34 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'repo' AS how, count(*) AS n FROM embeddings WHERE label <> 3 UNION ALL SELECT 'ids', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'both', count(*) FROM embeddings WHERE NOT (label = 3 AND vec_id IN (SELECT doc_id FROM labels)) UNION ALL SELECT 'all', 0")
 def vector_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, ids = vectors(spark, sf_dir), read(spark, sf_dir, "labels").select("doc_id")
-    kept = {"repo": store.delete(v, "3"), "ids": store.delete(v, ids=ids, id_col="chunk_id"), "both": store.delete(v, "3", ids, "chunk_id"), "all": store.delete(v)}
+    """By repository, by ids and by both through stored tables, each of which tells how many went."""
+    ids = read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("chunk_id"))
+    v = vectors(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("id"), F.col("chunk_id").cast("string").alias("chunk_id"), "repo_id", "embedding", F.lit("m").alias("model"), F.current_timestamp().alias("created_at"))
+    kept = {"all": store.delete(v)}
+    for how in ("repo", "ids", "both"):
+        s = store.Store(spark, shared_folder(spark, "store"))
+        before = s.append("embeddings", v)
+        gone = s.drop("embeddings", "3") if how == "repo" else s.delete("embeddings", ids, "3" if how == "both" else None)
+        kept[how] = s.read("embeddings")
+        assert before - gone == kept[how].count()
     counts = [df.agg(F.lit(how).alias("how"), F.count("*").alias("n")) for how, df in kept.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
 @query(f"WITH {CHUNKS} SELECT 'repos' AS name, count(DISTINCT repo_id) AS n FROM chunks WHERE repo_id NOT IN ('src1', 'src2') UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE repo_id NOT IN ('src1', 'src2') UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE 'src' || label NOT IN ('src1', 'src2')")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two repositories' partitions of stored tables go."""
     c = chunks(spark, sf_dir)
-    held = {"repos": c.select(F.col("repo_id").alias("id")).distinct(), "chunks": c, "embeddings": vectors(spark, sf_dir).withColumn("repo_id", F.concat(F.lit("src"), "repo_id"))}
-    left = store.cascade(held, spark.createDataFrame([("src1",), ("src2",)], "repo_id string"))
+    s = store.Store(spark, shared_folder(spark, "store"))
+    now = F.current_timestamp()
+    s.append("repos", repos(spark, sf_dir).withColumns({"updated_at": now, "embedding_model_id": F.lit("m"), "embedding_dimension": F.lit(64)}))
+    s.append("chunks", c.withColumns({"id": F.col("chunk_id").cast("string"), "created_at": now}))
+    v = vectors(spark, sf_dir).withColumns({"id": F.col("chunk_id").cast("string"), "chunk_id": F.col("chunk_id").cast("string"), "repo_id": F.concat(F.lit("src"), "repo_id"), "model": F.lit("m"), "created_at": now})
+    s.append("embeddings", v)
+    for repo in ("src1", "src2"):
+        for name in ("embeddings", "chunks", "repos"):
+            s.drop(name, repo)
+    left = {name: s.read(name) for name in ("repos", "chunks", "embeddings")}
     counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in left.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
@@ -475,8 +549,9 @@ def status_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {REPOS} SELECT CASE WHEN status = 'indexed' THEN 'ready' ELSE 'waiting' END AS side, type, count(*) AS n FROM repos GROUP BY 1, 2")
 def repo_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = F.when(F.col("status") == "indexed", "ready").otherwise("waiting")
-    return repos(spark, sf_dir).groupBy(side.alias("side"), "type").agg(F.count("*").alias("n"))
+    ready, waiting = tables.by_readiness(repos(spark, sf_dir))
+    sides = ready.withColumn("side", F.lit("ready")).unionByName(waiting.withColumn("side", F.lit("waiting")))
+    return sides.groupBy("side", "type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, CASE WHEN starts_with(trim(source), 'https://') OR starts_with(trim(source), 'git@') THEN 'git' ELSE 'local' END AS kind, len(string_split(text, chr(10)))::INT AS lines, length(text) AS chars FROM documents")

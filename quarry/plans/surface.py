@@ -1,25 +1,25 @@
 """Registered queries of the parts around retrieval: source trees, syntax chunks, summaries, configuration,
 stored references, filters, and the service from import to delete.
 
-Each has SQL that says the same of the test tables, or, where its input is a handful of cases, the values
-that must come out."""
+Each has SQL that says the same of the test tables."""
 
 from __future__ import annotations
 
 import json
-import tempfile
-from pathlib import Path
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import config as C
-from quarry.api import CODES, MESSAGES_ZH, STATUS_BADGES, STATUS_LABELS, Engine, add_documents, embed_and_persist, hashing_embedder, model_text
+from quarry.api import ADVICE, CODES, STATUS_LABELS, Engine, add_documents, answer_text, embed_and_persist, hashing_embedder
 from quarry.functions import text as T
 from quarry.functions.imports import summary
 from quarry.operators import chunking, classify, dense, evaluate, fusion, lexical, sparse, store
-from quarry.plans.catalog import _ALL_Q, _CLASS, _EVAL, _Q, _RANK, _asked, _bm25_cte, _dense_sql, _evaluated, all_questions, chunks, fts_index, query, questions, read, vectors
-from quarry.sources import files
+from quarry.plans.catalog import _ALL_Q, _CLASS, _EVAL, _Q, _RANK, REPOS, _asked, _bm25_cte, _dense_sql, _evaluated, all_questions, chunks, fts_index, query, questions, read, repos, shared_folder, vectors
+from quarry.sources import files, trees
 from quarry.streaming import indexing
 
 
@@ -27,15 +27,6 @@ def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _values(rows: list[tuple], columns: str) -> str:
-    """The rows as SQL: what a query over a handful of cases must give."""
-
-    def one(v: object) -> str:
-        return "NULL" if v is None else T.quoted(v) if isinstance(v, str) else str(v)
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) v({columns})"
-
-
 # --- filters of both channels ------------------------------------------------------------------------
 
 
@@ -70,7 +61,7 @@ def bm25_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH t AS (SELECT doc_id, {T.sql_fts_terms('text')} AS t FROM documents), u AS (SELECT doc_id, len(t) AS length, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM t) SELECT term, doc_id AS chunk_id, length::INT AS length, count(*)::INT AS tf, min(pos)::INT AS first, max(pos)::INT AS last FROM u GROUP BY ALL")
 def fts_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored index: every term of every chunk."""
-    p = fts_index(spark, sf_dir).postings
+    p = fts_index(spark, sf_dir).postings()
     return p.select("term", "chunk_id", "length", F.size("positions").alias("tf"), F.col("positions")[0].alias("first"), F.element_at("positions", -1).alias("last"))
 
 
@@ -108,35 +99,43 @@ def forced_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, "force_pl")
 
 
-@query("SELECT k, k BETWEEN 1 AND 20 AS allowed FROM (SELECT unnest([-1, 0, 1, 5, 20, 21]) AS k)")
+@query("SELECT l_orderkey, l_linenumber, l_quantity::INT - 10 AS k, l_quantity::INT - 10 BETWEEN 1 AND 20 AS allowed FROM lineitem")
 def top_k_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def allowed(k: int) -> bool:
-        try:
-            classify.classify(_rows(spark, [("q",)], "question string"), k)
-        except ValueError:
-            return False
-        return True
-
-    return _rows(spark, [(k, allowed(k)) for k in (-1, 0, 1, 5, 20, 21)], "k int, allowed boolean")
-
-
-_SETTINGS = (
-    ({}, "weighted", "fts", 1500, 200, 5, 20, None, 60, 0.35, "auto", "hashing"),
-    ({"RETRIEVAL_FUSION": " RRF ", "RETRIEVAL_SPARSE_MODE": "full_table", "CHUNK_MAX_LENGTH": "900.7", "CHUNK_OVERLAP": "-1", "DEFAULT_TOP_K": "8"}, "rrf", "full_table", 900, 200, 8, 20, None, 60, 0.35, "auto", "hashing"),
-    ({"RETRIEVAL_FUSION": "sum", "RETRIEVAL_SPARSE_MODE": "other", "CHUNK_MAX_LENGTH": "x", "RETRIEVAL_BM25_TOP_N": "33", "RETRIEVAL_DENSE_TOP_N": "40", "RETRIEVAL_RRF_K": "7"}, "weighted", "fts", 1500, 200, 5, 33, 40, 7, 0.35, "auto", "hashing"),
-    ({"RETRIEVAL_RRF_EXPLAIN_BM25_WEIGHT": "2.5", "RETRIEVAL_QUERY_MODALITY": "force_nl", "EMBEDDING_MODEL": "owner/name"}, "weighted", "fts", 1500, 200, 5, 20, None, 60, 0.35, "force_nl", "owner/name"),
-    ({"RETRIEVAL_RRF_EXPLAIN_BM25_WEIGHT": "0", "RETRIEVAL_QUERY_MODALITY": "odd", "EMBEDDING_MODEL": " local:/a/b/ "}, "weighted", "fts", 1500, 200, 5, 20, None, 60, 0.0, "auto", "local:a/b"),
-    ({"RETRIEVAL_RRF_EXPLAIN_BM25_WEIGHT": "nan", "EMBEDDING_MODEL": "/models/m", "DEFAULT_TOP_K": "0"}, "weighted", "fts", 1500, 200, 5, 20, None, 60, 0.35, "auto", "file:/models/m"),
-)
-_CONFIG = "fusion, sparse_mode, chunk_max_length, chunk_overlap, top_k, bm25_top_n, dense_top_n, rrf_k, rrf_explain_bm25_weight, query_modality, embedding_model"
+    k = F.col("l_quantity").cast("int") - 10
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", k.alias("k"), classify.allowed(k).alias("allowed"))
+
+
+_CONFIG = "fusion, sparse_mode, chunk_max_length, top_k, dense_top_n, rrf_explain_bm25_weight, query_modality, embedding_model"
+_CONFIG_TYPES = "fusion string, sparse_mode string, chunk_max_length int, top_k int, dense_top_n int, rrf_explain_bm25_weight double, query_modality string, embedding_model string"
+
 
+def _parsed(settings: pd.Series) -> pd.DataFrame:
+    parsed = [C.Config.parse(json.loads(x)) for x in settings]
+    return pd.DataFrame({c: pd.Series([getattr(p, c) for p in parsed], dtype=object) for c in _CONFIG.split(", ")})
 
-@query(_values([(k, *s[1:]) for k, s in enumerate(_SETTINGS)], f"setting, {_CONFIG}"))
+
+@query(
+    """SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'rrf' ELSE 'weighted' END AS fusion, CASE WHEN p_partkey % 2 = 0 THEN 'full_table' ELSE 'fts' END AS sparse_mode,
+CASE WHEN p_partkey % 4 = 3 THEN 1500 ELSE p_size * 20 END::INT AS chunk_max_length, CASE WHEN p_size > 5 THEN p_size - 5 ELSE 5 END::INT AS top_k, CASE WHEN p_partkey % 5 = 0 THEN p_size END::INT AS dense_top_n,
+CASE WHEN p_size / 10.0 <= 2 THEN p_size / 10.0 ELSE 0.35 END::DOUBLE AS rrf_explain_bm25_weight, CASE p_partkey % 3 WHEN 0 THEN 'force_nl' WHEN 1 THEN 'force_pl' ELSE 'auto' END AS query_modality,
+CASE p_partkey % 4 WHEN 0 THEN 'hashing' WHEN 1 THEN 'local:a/b' WHEN 2 THEN 'file:/m/' || p_partkey ELSE 'owner/n' || p_partkey END AS embedding_model FROM part"""
+)
 def configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings as texts, parsed: what is missing or no good falls back to the default."""
-    parsed = [C.Config.parse(s[0]) for s in _SETTINGS]
-    schema = "setting int, fusion string, sparse_mode string, chunk_max_length int, chunk_overlap int, top_k int, bm25_top_n int, dense_top_n int, rrf_k int, rrf_explain_bm25_weight double, query_modality string, embedding_model string"
-    return _rows(spark, [(k, *(getattr(p, c) for c in _CONFIG.split(", "))) for k, p in enumerate(parsed)], schema)
+    """A set of settings as texts for each part, parsed: what is missing or no good falls back to the default."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    pick = lambda n, *values: F.element_at(F.array(*(v if isinstance(v, F.Column) else F.lit(v) for v in values)), (k % n + 1).cast("int"))
+    settings = F.struct(
+        pick(3, " RRF ", "sum", "").alias("RETRIEVAL_FUSION"),
+        pick(2, "full_table", "other").alias("RETRIEVAL_SPARSE_MODE"),
+        F.when(k % 4 == 3, "x").otherwise(F.concat((F.col("p_size") * 20).cast("string"), F.lit(".7"))).alias("CHUNK_MAX_LENGTH"),
+        (F.col("p_size") - 5).cast("string").alias("DEFAULT_TOP_K"),
+        F.when(k % 5 == 0, size).alias("RETRIEVAL_DENSE_TOP_N"),
+        (F.col("p_size") / 10).cast("string").alias("RETRIEVAL_RRF_EXPLAIN_BM25_WEIGHT"),
+        pick(3, "force_nl", " FORCE_PL", "odd").alias("RETRIEVAL_QUERY_MODALITY"),
+        pick(4, " ", " local:/a/b/ ", F.concat(F.lit("/m/"), k.cast("string")), F.concat(F.lit("owner/n"), k.cast("string"))).alias("EMBEDDING_MODEL"),
+    )
+    parsed = F.pandas_udf(_parsed, _CONFIG_TYPES)
+    return read(spark, sf_dir, "part").select(k.alias("k"), parsed(F.to_json(settings)).alias("c")).select("k", "c.*")
 
 
 # --- sources and chunks ------------------------------------------------------------------------------
@@ -146,15 +145,17 @@ _TREE_WANTED = "SELECT path, content FROM t WHERE k % 5 < 2"
 
 
 def nation_tree(spark: SparkSession, sf_dir: str) -> str:
-    """A small source tree in a temporary folder, a file for each nation: two wanted kinds, three that the rules
+    """A small source tree in the shared folder, a file for each nation: two wanted kinds, three that the rules
     leave out."""
-    root = Path(tempfile.mkdtemp(prefix="spark-tree-"))
+    root = shared_folder(spark, "tree")
+    system, folder = trees.opened(root)
     for r in read(spark, sf_dir, "nation").collect():  # 25 rows at every size
         k = r.n_nationkey
-        place = root / (f"src/n{k}.ts", f"lib/sub/n{k}.PY", f"node_modules/n{k}.js", f"n{k}.min.js", f"docs/n{k}.md")[k % 5]
-        place.parent.mkdir(parents=True, exist_ok=True)
-        place.write_text(f"name {r.n_name}\nregion {r.n_regionkey}")
-    return str(root)
+        place = (f"src/n{k}.ts", f"lib/sub/n{k}.PY", f"node_modules/n{k}.js", f"n{k}.min.js", f"docs/n{k}.md")[k % 5]
+        system.create_dir(f"{folder}/{place}".rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(f"{folder}/{place}") as out:
+            out.write(f"name {r.n_name}\nregion {r.n_regionkey}".encode())
+    return root
 
 
 @query(f"WITH {_TREE} {_TREE_WANTED}")
@@ -167,14 +168,36 @@ def source_tree_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.tree_size(spark, nation_tree(spark, sf_dir))
 
 
+@query("SELECT source AS directory, lang || '/' || doc_id || '.py' AS name, strlen(text) AS bytes, md5(text) AS md5 FROM documents WHERE lang <> 'en' UNION ALL SELECT source, lang || '/' || doc_id || '.ts', strlen(text), md5(text) FROM documents WHERE lang = 'en'")
+def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files of a tree that Spark writes, and read back as one, a directory for each source."""
+    root = shared_folder(spark, "documents")
+    kind = F.when(F.col("lang") == "en", ".ts").otherwise(".py")
+    rows = read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), kind)).alias("path"), "text")
+
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, place = trees.opened(root)
+        for part in parts:
+            for path, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                system.create_dir(f"{place}/{path.rsplit('/', 1)[0]}", recursive=True)
+                with system.open_output_stream(f"{place}/{path}") as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int64())], ["n"])
+
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    found = files.tree(spark, root)
+    return found.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("directory"), F.regexp_extract("path", "^[^/]*/(.*)", 1).alias("name"), F.col("length").alias("bytes"), F.md5(F.col("content").cast("binary")).alias("md5"))
+
+
 @query("SELECT 'q' || item_id AS question_id, 'c' || item_id % 3 AS category, text AS question, ['f' || item_id || '.ts'] AS expected_files, ['k' || item_id, 'x'] AS expected_keywords FROM benchmark")
 def question_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question file written from the benchmark, read."""
     b, i = read(spark, sf_dir, "benchmark"), F.col("item_id").cast("string")
     item = F.struct(F.concat(F.lit("q"), i).alias("id"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), F.col("text").alias("question"), F.array(F.concat(F.lit("f"), i, F.lit(".ts"))).alias("expectedFiles"), F.array(F.concat(F.lit("k"), i), F.lit("x")).alias("expectedKeywords"))
-    place = Path(tempfile.mkdtemp(prefix="spark-questions-")) / "questions.json"
-    place.write_text(b.agg(F.to_json(F.struct(F.collect_list(item).alias("questions")))).first()[0])  # a question set is small
-    return files.question_set(spark, str(place))
+    place = shared_folder(spark, "questions")
+    one = b.groupBy((F.col("item_id") % 16).alias("file")).agg(F.to_json(F.struct(F.collect_list(item).alias("questions"))).alias("value"))
+    one.repartition(16, "file").drop("file").write.text(place)
+    return files.question_set(spark, place, lines=True)
 
 
 _CODE = {
@@ -253,23 +276,32 @@ def stored_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", store.serialize_references(F.array(one), mode).alias("json"))
 
 
-_ANSWERS = (("text", "text"), (["a", {"type": "text", "text": "b"}, {"type": "image"}, 3], "ab"), ([], ""), (None, ""), ({"text": "x"}, ""))
-
-
-@query(_values([(k, out) for k, (_, out) in enumerate(_ANSWERS)], "k, answer"))
+@query("SELECT conv_id, turn, md5(CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN text || '|' || role WHEN 2 THEN text ELSE '' END) AS md5 FROM conversations")
 def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, [(k, model_text(content)) for k, (content, _) in enumerate(_ANSWERS)], "k int, answer string")
+    """Each turn as a model's answer in one of five forms: a text, parts, parts of which some are no text, an object, nothing."""
+    t, r, k = F.col("text"), F.col("role"), F.col("turn") % 5
+    part = lambda text: F.to_json(F.struct(F.lit("text").alias("type"), text.alias("text")))
+    plain = lambda text: F.expr(f"substring(to_json(array({text})), 2, length(to_json(array({text}))) - 2)")
+    parts = F.concat(F.lit("["), plain("text"), F.lit(', "|", '), part(r), F.lit("]"))
+    odd = F.concat(F.lit('[{"type": "image"}, 3, '), part(t), F.lit("]"))
+    content = F.when(k == 0, plain("text")).when(k == 1, parts).when(k == 2, odd).when(k == 3, part(t)).otherwise("null")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(answer_text(content).cast("binary")).alias("md5"))
 
 
-@query(_values([("idle", "空闲", "secondary"), ("loaded", "已加载", "outline"), ("indexing", "索引中", "secondary"), ("indexed", "已索引", "default"), ("failed", "失败", "destructive")], "status, label, badge"))
+@query(f"WITH {REPOS} SELECT id, CASE status WHEN 'indexing' THEN '索引中' ELSE '已索引' END AS label FROM repos")
 def status_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, [(s, label, STATUS_BADGES[s]) for s, label in STATUS_LABELS.items()], "status string, label string, badge string")
+    labels = F.create_map(*(F.lit(x) for pair in STATUS_LABELS.items() for x in pair))
+    return repos(spark, sf_dir).select("id", labels[F.col("status")].alias("label"))
+
+
+_CODE_LIST = (0, 1001, 1002, 1003, 1004, 2001, 2002, 3001, 4001, 4002, 4003, 5000)
 
 
-@query(_values([(c, c in (1002, 1003, 1004, 2001, 3001, 4001, 4002, 4003)) for c in (0, 1001, 1002, 1003, 1004, 2001, 2002, 3001, 4001, 4002, 4003, 5000)], "code, friendly"))
+@query(f"WITH e AS (SELECT ([{', '.join(map(str, _CODE_LIST))}])[user_id % 12 + 1] AS code FROM events) SELECT code::INT AS code, count(*) AS n, code IN (1002, 1003, 1004, 2001, 3001, 4001, 4002, 4003) AS friendly FROM e GROUP BY code")
 def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All result codes, and whether a text for users is at hand."""
-    return _rows(spark, [(c, c in MESSAGES_ZH) for c in CODES], "code int, friendly boolean")
+    """How often the events' codes occur, and whether there is advice on them."""
+    code = F.element_at(F.array(*map(F.lit, CODES)), (F.col("user_id") % 12 + 1).cast("int"))
+    return read(spark, sf_dir, "events").groupBy(code.alias("code")).agg(F.count("*").alias("n")).withColumn("friendly", F.col("code").isin(*ADVICE))
 
 
 @query(
@@ -296,7 +328,7 @@ _STEPS = """steps AS (SELECT * FROM (VALUES
 def service_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A repository from import to delete through the service, each step with its code and a count."""
     root = nation_tree(spark, sf_dir)
-    place = tempfile.mkdtemp(prefix="spark-store-")
+    place = shared_folder(spark, "store")
     e = Engine(spark, place)
     out: list[tuple[str, int, int]] = []
 
@@ -330,31 +362,60 @@ def service_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     out.append(("dimension", 0, e.guard(repo)["dimension"]))
     step("delete", e.delete_repo(repo), lambda d: d["deleted"]["chunks"])
     step("status gone", e.status(repo))
-    out.append(("left", 0, sum(e.store.read(t, repo).count() for t in ("repos", "files", "chunks", "embeddings", "postings", "chat_history"))))
+    out.append(("left", 0, sum(e.store.read(t, repo).count() for t in ("repos", "files", "chunks", "embeddings", "segments", "chat_history"))))
     return _rows(spark, [(k, *x) for k, x in enumerate(out, 1)], "step int, what string, code int, n int")
 
 
-@query(f"WITH {_TREE} SELECT event_type, n FROM (VALUES ('import', 1), ('chunk', 1), ('embed', 1), ('store', 1), ('retrieve', 1)) v(event_type, n)")
+def _filled_engine(spark: SparkSession, sf_dir: str, answerer=None) -> tuple[Engine, str]:
+    """All documents as the files of one repository; each is one chunk."""
+    e = Engine(spark, shared_folder(spark, "store"), C.Config(chunk_max_length=1 << 30), answerer=answerer)
+    now = F.current_timestamp()
+    repo = _rows(spark, [("all", "/all", "local", "loaded", 0, 0, None, None)], "id string, path string, type string, status string, file_count long, chunk_count long, embedding_model_id string, embedding_dimension int")
+    e.store.append("repos", repo.withColumns({"created_at": now, "updated_at": now}))
+    e.store.append("files", chunks(spark, sf_dir).select(F.lit("all").alias("repo_id"), F.col("file_path").alias("path"), "content"))
+    return e, "all"
+
+
+@query(
+    f"""WITH {_Q}, aq AS (SELECT item_id AS question_id, text AS question FROM benchmark), {_CLASS}, k AS (SELECT question_id, {classify.SQL_DEPTHS} FROM c), n AS (SELECT count(*) AS docs FROM documents)
+SELECT 'chunk' AS event_type, 'chunks' AS name, docs::BIGINT AS n FROM n UNION ALL SELECT 'embed', 'vectors', docs FROM n UNION ALL SELECT 'store', 'chunks', docs FROM n UNION ALL SELECT 'store', 'embeddings', docs FROM n
+UNION ALL SELECT 'retrieve', 'dense', sum(dense_depth)::BIGINT FROM k UNION ALL SELECT 'retrieve', 'kept', 5 * count(*) FROM k"""
+)
 def engine_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stages that the engine timed itself while it imported, built and asked."""
-    e = Engine(spark, tempfile.mkdtemp(prefix="spark-store-"))
-    repo = e.import_repo(nation_tree(spark, sf_dir))["data"]["repo_id"]
+    """What the engine's stages counted themselves while it indexed all documents and answered all questions."""
+    e, repo = _filled_engine(spark, sf_dir)
     e.build_index(repo)
-    e.ask(_rows(spark, [(1, repo, "name of nation")], "question_id int, repo_id string, question string"))
-    return e.stage_log().where("value >= 0").groupBy("event_type").agg(F.count("*").cast("int").alias("n"))
+    e.ask(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.lit(repo).alias("repo_id"), F.col("text").alias("question")))
+    log = e.stage_log().select("event_type", F.explode("counts").alias("name", "n"))
+    return log.where("name in ('chunks', 'vectors', 'embeddings', 'dense', 'kept')")
 
 
-@query("SELECT item_id AS question_id, item_id % 2 = 0 AS keyword_hit, item_id % 5 = 1 AS file_hit, item_id % 2 = 0 OR item_id % 5 = 1 AS matched FROM (SELECT unnest(range(12)) AS item_id)")
+@query("SELECT item_id AS question_id, item_id % 2 = 0 AS keyword_hit, item_id % 5 = 1 AS file_hit, item_id % 2 = 0 OR item_id % 5 = 1 AS matched FROM benchmark")
 def acceptance_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From a question file to results: answers hold the expected word of every second question, references a file
-    that every fifth expects."""
-    e = Engine(spark, tempfile.mkdtemp(prefix="spark-store-"), answerer=lambda prompt: "An answer with KEYWORD.")
-    repo = e.import_repo(nation_tree(spark, sf_dir))["data"]["repo_id"]
+    """All documents asked the benchmark's questions: answers hold the expected word of every second question,
+    references a file that every fifth expects."""
+    e, repo = _filled_engine(spark, sf_dir, answerer=lambda prompt: "An answer with KEYWORD.")
     e.ensure_indexed(repo)
-    items = [{"id": str(k), "category": "c", "question": "which region and name has this nation", "expectedFiles": [".ts", ".PY"] if k % 5 == 1 else ["none.go"], "expectedKeywords": ["keyword" if k % 2 == 0 else "absent"]} for k in range(12)]
-    place = Path(tempfile.mkdtemp(prefix="spark-questions-")) / "questions.json"
-    place.write_text(json.dumps({"questions": items}))
-    return e.acceptance(repo, str(place))["data"]["results"].withColumn("question_id", F.col("question_id").cast("long"))
+    i = F.col("item_id")
+    item = F.struct(i.cast("string").alias("id"), F.lit("c").alias("category"), F.col("text").alias("question"), F.array(F.when(i % 5 == 1, ".txt").otherwise("none.go")).alias("expectedFiles"), F.array(F.when(i % 2 == 0, "keyword").otherwise("absent")).alias("expectedKeywords"))
+    place = shared_folder(spark, "questions")
+    read(spark, sf_dir, "benchmark").groupBy((i % 16).alias("file")).agg(F.to_json(F.struct(F.collect_list(item).alias("questions"))).alias("value")).drop("file").write.text(place)
+    return e.acceptance(repo, place, lines=True)["data"]["results"].withColumn("question_id", F.col("question_id").cast("long")).select("question_id", "keyword_hit", "file_hit", "matched")
+
+
+@query(
+    f"""WITH {_Q}, {_bm25_cte('text', 'doc_id', 'documents')}, m AS (SELECT s.* FROM scored s JOIN documents d ON d.doc_id = s.chunk_id WHERE d.source = CASE WHEN question_id % 2 = 0 THEN 'src3' ELSE 'src7' END)
+SELECT question_id, chunk_id, bm25, {_RANK} FROM m QUALIFY rank <= 20"""
+)
+def bm25_two_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions to two of many repositories, of segments stored by repository: those of the others are not scored, but
+    their counts are part of the statistics."""
+    s = store.Store(spark, shared_folder(spark, "store"))
+    c = chunks(spark, sf_dir).repartition("repo_id").sortWithinPartitions("repo_id", "chunk_id")
+    s.append("segments", sparse.Index.by_repository(c, F.col("content")).rows)
+    q = questions(spark, sf_dir).withColumn("tokens", T.question_tokens(F.col("question")))
+    q = q.withColumn("repo_id", F.when(F.col("question_id") % 2 == 0, "src3").otherwise("src7"))
+    return sparse.bm25(sparse.Index(s.read("segments")), q, F.col("tokens"), 20, repo=True)
 
 
 # --- vectors and increments --------------------------------------------------------------------------
@@ -368,7 +429,7 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'r' || item_id % 3 AS repo_id, count(*) AS n, 16 AS dimension FROM benchmark GROUP BY 1")
 def persisted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors written as JSON lines by repository, read back."""
-    place = tempfile.mkdtemp(prefix="spark-vectors-")
+    place = shared_folder(spark, "vectors")
     embed_and_persist(_bodies(spark, sf_dir), "body", hashing_embedder(16), f"{place}/v")
     v = spark.read.schema("chunk_id string, embedding array<float>, repo_id string").json(f"{place}/v")
     return v.groupBy("repo_id").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dimension"))
@@ -390,12 +451,13 @@ _STREAMED = T.sql_fts_terms("'File: ' || item_id || '.txt' || chr(10) || 'generi
 @query(f"WITH t AS (SELECT 'r' || item_id % 3 AS repo_id, item_id, {_STREAMED} AS t FROM benchmark) SELECT repo_id, count(*) AS chunks, sum(len(list_distinct(t)))::BIGINT AS postings, sum(len(t))::BIGINT AS places FROM t GROUP BY 1")
 def streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that arrive in two batches, indexed as they come: each once."""
-    place = tempfile.mkdtemp(prefix="spark-stream-")
+    place = shared_folder(spark, "stream")
     b, i = read(spark, sf_dir, "benchmark"), F.col("item_id")
     arriving = b.select(F.concat(F.lit("r"), (i % 3).cast("string")).alias("repo_id"), F.concat(i.cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"), (i % 2).alias("batch"))
     for n in (0, 1):
         arriving.where(F.col("batch") == n).drop("batch").write.mode("append").parquet(f"{place}/in")
         indexing.index_new_files(spark, f"{place}/in", f"{place}/out", f"{place}/checkpoint").awaitTermination()
     chunks_ = spark.read.parquet(f"{place}/out/chunks").groupBy("repo_id").agg(F.count("*").alias("chunks"))
-    terms = spark.read.parquet(f"{place}/out/postings").groupBy("repo_id").agg(F.count("*").alias("postings"), F.sum(F.size("positions")).alias("places"))
+    index = sparse.Index(spark.read.schema(f"{sparse.ROWS}, repo_id string, batch int").parquet(f"{place}/out/segments").drop("batch"))
+    terms = index.postings("string").groupBy("repo_id").agg(F.count("*").alias("postings"), F.sum(F.size("positions")).alias("places"))
     return chunks_.join(terms, "repo_id")

@@ -21,8 +21,8 @@ def index_new_files(spark: SparkSession, source: str, target: str, checkpoint: s
         chunks = chunking.chunk_files(batch, cfg).persist()
         body = T.index_body(F.col("file_path"), F.col("import_summary"), F.col("chunk_type"), F.col("chunk_name"), F.col("content"))
         chunks.write.mode("overwrite").partitionBy("repo_id").parquet(f"{target}/chunks/batch={n}")
-        terms = sparse.terms_of(chunks.withColumnRenamed("id", "chunk_id"), body)
-        terms.sortWithinPartitions("term").write.mode("overwrite").partitionBy("repo_id").parquet(f"{target}/postings/batch={n}")
+        rows = sparse.Index.by_repository(chunks.withColumnRenamed("id", "chunk_id").sortWithinPartitions("repo_id"), body, name=f"batch {n}").rows
+        rows.sortWithinPartitions("repo_id", "segment", "term").write.mode("overwrite").partitionBy("repo_id", "segment").parquet(f"{target}/segments/batch={n}")
         chunks.unpersist()
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

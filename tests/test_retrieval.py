@@ -1,7 +1,11 @@
 """Golden cases of search and fusion; BM25 against SQLite's full-text index."""
 
+import math
+import random
 import sqlite3
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,13 +104,77 @@ def test_hybrid_agrees(spark, mode, sparse_mode):
 
 def test_stored_index(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(DOCS, 1)), "chunk_id long, content string")
-    stored = sparse.Index.of(docs).write(str(tmp_path / "fts"), shards=sparse.SHARDS)
-    q = spark.createDataFrame([(1, ["probe", "a_b.c"]), (2, ["nowhere"]), (3, [])], "question_id int, tokens array<string>")
+    stored = sparse.Index.of(docs.repartition(3)).write(str(tmp_path / "fts"))
+    q = spark.createDataFrame([(1, ["probe", "a_b.c"]), (2, ["nowhere"]), (3, []), (4, ["b c"])], "question_id int, tokens array<string>")
+    some = spark.createDataFrame([(1,), (4,), (99,)], "id long")
     for match_all in (False, True):
-        own = sparse.bm25(sparse.Index.of(docs), q, F.col("tokens"), 3, match_all=match_all)
-        assert sorted(map(tuple, sparse.bm25(stored, q, F.col("tokens"), 3, match_all=match_all).collect())) == sorted(map(tuple, own.collect()))
+        for ids in (None, some, some.where("false")):
+            own = sparse.bm25(sparse.Index.of(docs.coalesce(1)), q, F.col("tokens"), 3, match_all=match_all, whitelist=ids)
+            got = sorted(map(tuple, sparse.bm25(stored, q, F.col("tokens"), 3, match_all=match_all, whitelist=ids).collect()))
+            assert got == sorted(map(tuple, own.collect()))
+            assert ids is None or {r[1] for r in got} <= {1, 4}
+    held = sparse.WHITELIST
+    sparse.WHITELIST = 0  # too many ids to send
+    try:
+        far = sorted(map(tuple, sparse.bm25(stored, q, F.col("tokens"), 3, whitelist=some).collect()))
+    finally:
+        sparse.WHITELIST = held
+    assert far == sorted(map(tuple, sparse.bm25(stored, q, F.col("tokens"), 3, whitelist=some).collect()))
     plan = sparse.bm25(stored, q, F.col("tokens"), 3)._jdf.queryExecution().toString()
-    assert "PartitionFilters: [shard" in plan or "shard#" in plan
+    physical = plan[plan.index("== Physical Plan") :]
+    assert physical.count("Exchange hashpartitioning") == 1  # of the best of each task
+    assert "PushedFilters: [IsNotNull(term), " in physical or "PushedFilters: [In(term" in physical
+    terms = {(r.term, r.chunk_id): (r.length, r.positions) for r in stored.postings().collect()}
+    assert terms["b", 3] == (5, [2])
+    assert terms["probe", 2] == (4, [0, 1, 2])
+
+
+def _all_rows(words, asked, k):
+    """BM25 of every text, by the formula."""
+    n, avg = len(words), sum(map(len, words)) / len(words)
+    out = {}
+    for q, tokens in asked:
+        found = []
+        for i, w in enumerate(words):
+            score, met = 0.0, False
+            for t in tokens:
+                tf = w.count(t)
+                df = sum(t in x for x in words)
+                raw = math.log((n - df + 0.5) / (df + 0.5)) if tf else 0
+                score -= (raw if raw > 0 else 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avg)) if tf else 0
+                met |= tf > 0
+            if met:
+                found.append((round(score, 6) + 0.0, i))
+        out[q] = sorted(found)[:k]
+    return out
+
+
+def test_ranges_are_skipped(spark, monkeypatch):
+    """Several segments, small ranges, rare and frequent terms: the same rows as by the formula, most ranges unseen."""
+    rng = random.Random(3)
+    words = [[rng.choice("abcdefgh") for _ in range(rng.randint(1, 30))] + (["rare"] * rng.randint(1, 3) if k % 97 == 5 else []) for k in range(1200)]
+    asked = [(1, ["rare", "a"]), (2, ["a", "b", "c"]), (3, ["rare"])]
+    batch = pa.RecordBatch.from_pydict({"chunk_id": pa.array(range(1200), pa.int64()), "terms": words})
+    monkeypatch.setattr(sparse, "RANGE", 16)
+    segments = []
+    for a in (0, 700):
+        w = sparse._Writer()
+        w.add(batch.slice(a, 700))
+        rows = w.rows(a).to_pylist()
+        segments.append(sparse.Segment(rows[0]["head"], {r["term"]: r for r in rows[1:]}))
+    lists = [("rare",), ("a",), ("b",), ("c",)]
+    number = {t[0]: k for k, t in enumerate(lists)}
+    df = np.array([sum(t[0] in w for w in words) for t in lists])
+    raw = np.log((1200 - df + 0.5) / (df + 0.5))
+    scorer = sparse.Scorer([(q, [number[t] for t in ts], 5, None) for q, ts in asked], lists, np.where(raw > 0, raw, sparse.LEAST_IDF), sum(map(len, words)) / 1200, False)
+    for s in segments:
+        scorer.add(s, None, False)
+    want = _all_rows(words, asked, 5)
+    got = {asked[q][0]: best for q, best in scorer.best.items()}
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [i for _, i in got[q]] == [i for _, i in want[q]]
+    assert scorer.visited < 0.6 * scorer.ranges
 
 
 def test_dimensions_are_each_rows(spark):
