@@ -168,6 +168,10 @@ class Store:
             self._files().delete(self._part(name, repo_id), True)
         return n
 
+    def overwrite(self, name: str, rows: DataFrame) -> int:
+        """The partitions that rows are of, instead of what these had; how many rows."""
+        return self._write(name, rows, "overwrite")
+
     def append(self, name: str, rows: DataFrame) -> int:
         return self._write(name, rows, "append")
 

@@ -445,19 +445,25 @@ def added_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_documents(old, new, "body", hashing_embedder(16)).select("chunk_id", "repo_id", F.round(norm, 5).alias("norm"))
 
 
-_STREAMED = T.sql_fts_terms("'File: ' || item_id || '.txt' || chr(10) || 'generic: generic_1' || chr(10) || chr(10) || text")
+_STREAMED = T.sql_fts_terms("'File: ' || item_id || '.txt' || chr(10) || 'generic: generic_1' || chr(10) || chr(10) || body")
 
 
-@query(f"WITH t AS (SELECT 'r' || item_id % 3 AS repo_id, item_id, {_STREAMED} AS t FROM benchmark) SELECT repo_id, count(*) AS chunks, sum(len(list_distinct(t)))::BIGINT AS postings, sum(len(t))::BIGINT AS places FROM t GROUP BY 1")
+@query(
+    f"""WITH b AS (SELECT item_id, CASE WHEN item_id % 4 = 1 THEN 'changed ' || text ELSE text END AS body FROM benchmark WHERE item_id % 4 <> 2), t AS (SELECT 'r' || item_id % 3 AS repo_id, item_id, {_STREAMED} AS t FROM b)
+SELECT repo_id, count(*) AS chunks, sum(len(list_distinct(t)))::BIGINT AS postings, sum(len(t))::BIGINT AS places FROM t GROUP BY 1"""
+)
 def streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that arrive in two batches, indexed as they come: each once."""
+    """Files that arrive in two batches, indexed as they come: of every four the second has changed and the third is gone in batch
+    two, the fourth comes then, and the first comes twice as it is."""
     place = shared_folder(spark, "stream")
     b, i = read(spark, sf_dir, "benchmark"), F.col("item_id")
-    arriving = b.select(F.concat(F.lit("r"), (i % 3).cast("string")).alias("repo_id"), F.concat(i.cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"), (i % 2).alias("batch"))
-    for n in (0, 1):
-        arriving.where(F.col("batch") == n).drop("batch").write.mode("append").parquet(f"{place}/in")
-        indexing.index_new_files(spark, f"{place}/in", f"{place}/out", f"{place}/checkpoint").awaitTermination()
-    chunks_ = spark.read.parquet(f"{place}/out/chunks").groupBy("repo_id").agg(F.count("*").alias("chunks"))
-    index = sparse.Index(spark.read.schema(f"{sparse.ROWS}, repo_id string, batch int").parquet(f"{place}/out/segments").drop("batch"))
-    terms = index.postings("string").groupBy("repo_id").agg(F.count("*").alias("postings"), F.sum(F.size("positions")).alias("places"))
+    rows = lambda version, content: b.select(F.concat(F.lit("r"), (i % 3).cast("string")).alias("repo_id"), F.concat(i.cast("string"), F.lit(".txt")).alias("path"), F.lit(version).cast("long").alias("version"), content.alias("content"), (i % 4).alias("part"))
+    first = rows(1, F.col("text")).where("part < 3").drop("part")
+    then = F.when(i % 4 == 1, F.concat(F.lit("changed "), "text")).when(i % 4 != 2, F.col("text"))
+    for arriving in (first, rows(2, then).drop("part")):
+        arriving.write.mode("append").parquet(f"{place}/in")
+        indexing.index_files(spark, f"{place}/in", f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    s = store.Store(spark, f"{place}/out")
+    chunks_ = s.read("chunks").groupBy("repo_id").agg(F.count("*").alias("chunks"))
+    terms = sparse.Index(s.read("segments")).postings("string").groupBy("repo_id").agg(F.count("*").alias("postings"), F.sum(F.size("positions")).alias("places"))
     return chunks_.join(terms, "repo_id")

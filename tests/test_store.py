@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry import schemas
 from quarry.api import Engine
 from quarry.functions import text as T
-from quarry.operators import chunking, evaluate, store
+from quarry.operators import chunking, evaluate, sparse, store
 from quarry.sources import files, trees
 from quarry.streaming import indexing
 
@@ -237,13 +237,24 @@ def test_evaluation(spark):
 
 def test_streams(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
-    files_ = spark.createDataFrame([("r", "a.py", "def f():\n    return 1\n")], "repo_id string, path string, content string")
-    for n in (1, 2):
-        files_.withColumn("path", F.lit(f"a{n}.py")).write.mode("append").parquet(src)
-        indexing.index_new_files(spark, src, out, ck).awaitTermination()
-        assert spark.read.parquet(f"{out}/chunks").count() == n
-    rows = spark.read.parquet(f"{out}/segments").where("term = 'return'")
-    assert rows.agg(F.sum("df")).first()[0] == 2
+    py = lambda *names: "".join(f"def {n}():\n    return 1\n" for n in names)
+    batches = [
+        [("r", "a.py", 1, py("old", "kept")), ("r", "b.py", 1, py("b")), ("s", "c.py", 1, py("c"))],
+        [("r", "a.py", 3, py("new")), ("r", "a.py", 2, py("never")), ("r", "b.py", 2, py("b"))],  # changed twice; again the same
+        [("r", "a.py", 1, py("late")), ("s", "c.py", 2, None)],  # late; gone
+    ]
+    want = [({"old", "kept", "b", "c"}, 4), ({"new", "b", "c"}, 3), ({"new", "b"}, 2)]
+    times = []
+    for rows, (names, n) in zip(batches, want, strict=True):
+        spark.createDataFrame(rows, indexing.FILES).coalesce(1).write.mode("append").parquet(src)
+        indexing.index_files(spark, src, out, ck).awaitTermination()
+        s = store.Store(spark, out)
+        assert {r.chunk_name for r in s.read("chunks").collect()} == names
+        assert sparse.Index(s.read("segments")).stats().first().n_chunks == n
+        assert s.read("segments").where("term = 'return'").agg(F.sum("df")).first()[0] == n
+        times.append(_times(tmp_path / "out" / "chunks" / "repo_id=s"))
+    assert times[0] == times[1]  # an untouched repository
+    assert times[2] == {}
 
 
 def test_event_stream(spark, tmp_path):
