@@ -26,11 +26,11 @@ from quarry import schemas
 from quarry.functions import text as T
 from quarry.functions.imports import summary
 from quarry.operators import chunking, context, dense, evaluate, retrieve, sparse, store
+from quarry.operators.embed import Embedder, Model, embed_rows
 from quarry.sources import files, tables
 
 # Codes and their messages.
 CODES = {0: "ok", 1001: "repository could not be loaded", 1002: "repository exists already", 1003: "no such repository", 1004: "repository is being indexed", 2001: "index is not built", 2002: "index exists already", 3001: "no relevant code", 4001: "embedding failed", 4002: "answering failed", 4003: "embedding model differs from the index", 5000: "internal error"}
-Embedder = Callable[[list[str]], np.ndarray]
 #: Files of one repository's messages before they become one.
 MESSAGE_FILES = 32
 
@@ -63,24 +63,13 @@ def hashing_embedder(dimension: int = 64) -> Embedder:
     return embed
 
 
-def embed_rows(rows: DataFrame, body: str, embedder: Embedder, batch: int = C.INFER_BATCH) -> DataFrame:
-    """``rows`` with ``embedding array<float>`` of the text column ``body``, in batches on the workers."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            vectors = [v for i in range(0, len(part), batch) for v in embedder(list(part[body].iloc[i : i + batch]))]
-            yield part.assign(embedding=[np.asarray(v, np.float32) for v in vectors])
-
-    return rows.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", embedding array<float>")
-
-
-def add_documents(vectors: DataFrame, rows: DataFrame, body: str, embedder: Embedder) -> DataFrame:
+def add_documents(vectors: DataFrame, rows: DataFrame, body: str, embedder: Embedder | Model) -> DataFrame:
     """The vectors table ``(chunk_id, repo_id, embedding)`` with those of ``rows`` (``chunk_id, repo_id``, a text column
     ``body``) added; the same chunk's are replaced."""
     return store.add_vectors(vectors, embed_rows(rows, body, embedder).select("chunk_id", "repo_id", "embedding"))
 
 
-def embed_and_persist(rows: DataFrame, body: str, embedder: Embedder, path: str, batch: int = C.EMBED_BATCH) -> None:
+def embed_and_persist(rows: DataFrame, body: str, embedder: Embedder | Model, path: str, batch: int = C.EMBED_BATCH) -> None:
     """Vectors of ``chunk_id, repo_id`` rows as JSON lines, a directory for each repository."""
     embed_rows(rows, body, embedder, batch).select("chunk_id", "repo_id", "embedding").write.mode("overwrite").partitionBy("repo_id").json(path)
 
@@ -168,7 +157,7 @@ class Build:
 class Engine:
     """``chunker``, ``dense_search`` and ``sparse_search`` may be replaced by others of the same form."""
 
-    def __init__(self, spark: SparkSession, path: str, cfg: C.Config = C.Config(), embedder: Embedder | None = None, answerer: Callable[[str], str] | None = None, chunker: Chunker = chunking.chunk_files, dense_search: DenseSearch = dense.top_k, sparse_search: SparseSearch = sparse.bm25):
+    def __init__(self, spark: SparkSession, path: str, cfg: C.Config = C.Config(), embedder: Embedder | Model | None = None, answerer: Callable[[str], str] | None = None, chunker: Chunker = chunking.chunk_files, dense_search: DenseSearch = dense.top_k, sparse_search: SparseSearch = sparse.bm25):
         self.spark, self.cfg, self.store = spark, cfg, store.Store(spark, path)
         self.embedder, self.answerer = embedder or hashing_embedder(), answerer
         self.chunker, self.dense_search, self.sparse_search = chunker, dense_search, sparse_search

@@ -17,7 +17,7 @@ from quarry import config as C
 from quarry.api import ADVICE, CODES, STATUS_LABELS, Engine, add_documents, answer_text, embed_and_persist, hashing_embedder
 from quarry.functions import text as T
 from quarry.functions.imports import summary
-from quarry.operators import chunking, classify, dense, evaluate, fusion, lexical, sparse, store
+from quarry.operators import chunking, classify, dense, embed, evaluate, fusion, lexical, sparse, store
 from quarry.plans.catalog import _ALL_Q, _CLASS, _EVAL, _Q, _RANK, REPOS, _asked, _bm25_cte, _dense_sql, _evaluated, all_questions, chunks, fts_index, query, questions, read, repos, shared_folder, vectors
 from quarry.sources import files, trees
 from quarry.streaming import indexing
@@ -445,6 +445,18 @@ def added_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_documents(old, new, "body", hashing_embedder(16)).select("chunk_id", "repo_id", F.round(norm, 5).alias("norm"))
 
 
+@query(
+    r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS w FROM documents),
+m AS (SELECT doc_id, avg(length(w)) AS a, avg(ascii(w)) AS b, avg(length(w) - length(translate(w, 'aeiou', ''))) AS c FROM w GROUP BY doc_id)
+SELECT doc_id AS chunk_id, round(a / sqrt(a * a + b * b + c * c + 1), 4)::DOUBLE AS length, round(b / sqrt(a * a + b * b + c * c + 1), 4)::DOUBLE AS first, round(c / sqrt(a * a + b * b + c * c + 1), 4)::DOUBLE AS vowels FROM m"""
+)
+def embedded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean-pooled vectors of length one, by a model that workers load."""
+    rows = chunks(spark, sf_dir).select("chunk_id", "content")
+    v = lambda k: F.round(F.col("embedding")[k].cast("double"), 4)
+    return embed.embed_rows(rows, "content", embed.WordShapes()).select("chunk_id", v(0).alias("length"), v(1).alias("first"), v(2).alias("vowels"))
+
+
 _STREAMED = T.sql_fts_terms("'File: ' || item_id || '.txt' || chr(10) || 'generic: generic_1' || chr(10) || chr(10) || body")
 
 

@@ -1,6 +1,7 @@
 """Golden cases of search and fusion; BM25 against SQLite's full-text index."""
 
 import math
+import os
 import random
 import sqlite3
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import dense, fusion, lexical, retrieve, sparse
+from quarry.operators import dense, embed, fusion, lexical, retrieve, sparse
 
 
 def ranked(spark, ids, scores=None):
@@ -195,3 +196,25 @@ def test_token_counts(engine, monkeypatch):
     assert c.hits("a.b axb a.b. a.b") == {1: 3, 2: 1}
     assert c.hits("b. b.") == {2: 1}
     assert c.contained("atokb/x/yz") == {0: 1, 3: 1}
+
+
+def test_models_are_loaded_once_a_worker(spark, tmp_path):
+    class Counting(embed.WordShapes):
+        def __init__(self, place):
+            self.place = place
+
+        def load(self):
+            with open(self.place, "a") as out:
+                out.write(f"{os.getpid()}\n")
+            return embed.WordShapes.load(self)
+
+    rows = spark.createDataFrame([(k, f"some words {k}" if k % 7 else None) for k in range(200)], "chunk_id long, body string").repartition(12)
+    got = embed.embed_rows(rows, "body", Counting(str(tmp_path / "loads")), 16).collect()
+    loads = (tmp_path / "loads").read_text().split()
+    assert len(loads) == len(set(loads)) <= 12
+    for r in got:
+        want = embed.pooled(embed.WordShapes().load()([r.body or ""]), 4)[0]
+        assert r.embedding == pytest.approx(want.tolist(), abs=1e-6)
+        assert sum(x * x for x in r.embedding) == pytest.approx(1 if r.body else 0, abs=1e-5)
+    with pytest.raises(Exception, match="4001"):
+        embed.embed_rows(rows, "body", lambda texts: np.zeros((len(texts), 2 + len(texts) % 3)), 16).collect()
