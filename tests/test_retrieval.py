@@ -218,3 +218,24 @@ def test_models_are_loaded_once_a_worker(spark, tmp_path):
         assert sum(x * x for x in r.embedding) == pytest.approx(1 if r.body else 0, abs=1e-5)
     with pytest.raises(Exception, match="4001"):
         embed.embed_rows(rows, "body", lambda texts: np.zeros((len(texts), 2 + len(texts) % 3)), 16).collect()
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+@pytest.mark.parametrize("grouped", [True, False])
+def test_blocks_are_skipped(clustered, grouped):
+    """The same rows as by comparing all; of vectors in clusters most are not compared."""
+    rng = np.random.default_rng(4)
+    homes = rng.normal(size=(40, 32))
+    vectors = homes[rng.integers(0, 40, 6000)] + 0.1 * rng.normal(size=(6000, 32)) if clustered else rng.normal(size=(6000, 32))
+    vectors[::500] = 0
+    vectors[1::700] = vectors[2]  # ties
+    asked = np.concatenate([vectors[3:200], homes[:5], np.zeros((1, 32))])
+    group = rng.integers(0, 2, 6000)
+    search = dense.Search(dense._units(asked), ["a" if grouped else None] * len(asked), np.full(len(asked), 7))
+    for at in range(0, 6000, 2000):
+        search.add(vectors[at : at + 2000], list(range(at, at + 2000)), group[at : at + 2000] if grouped else None, ["a", "b"])
+    scores = np.round(dense._units(asked) @ dense._units(vectors).T, 6) + 0.0
+    for q, best in enumerate(search.best):
+        every = sorted((-s, i) for i, s in enumerate(scores[q].tolist()) if not grouped or group[i] == 0)[:7]
+        assert [i for _, i in best] == [i for _, i in every]
+    assert search.compared < (0.45 if clustered else 1.01) * search.pairs
