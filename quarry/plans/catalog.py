@@ -350,10 +350,26 @@ def index_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("chunk_id", body.alias("body"))
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE f AS (SELECT doc_id, source AS repo_id, source || '/' || lang || '/' || doc_id || '.txt' AS file_path, text, length(text) > 1500 AS long, CASE WHEN contains(text, chr(10)) THEN chr(10) ELSE ' ' END AS sep FROM documents),
+p1 AS (SELECT doc_id, sep, generate_subscripts(parts, 1) AS i, unnest(parts) AS part FROM (SELECT doc_id, sep, string_split(text, sep) AS parts FROM f WHERE long)),
+p2 AS (SELECT doc_id, i, CASE WHEN i > 1 THEN sep ELSE '' END || part AS piece, sep = chr(10) AND length(piece) > 1500 AS big FROM p1),
+p3 AS (SELECT *, 2 * sum(big::INT) OVER (PARTITION BY doc_id ORDER BY i) + CASE WHEN big THEN -1 ELSE 0 END AS part FROM p2),
+p4 AS (SELECT doc_id, part, i, piece FROM p3 WHERE NOT big UNION ALL SELECT doc_id, part, generate_subscripts(ws, 1), CASE WHEN generate_subscripts(ws, 1) > 1 THEN ' ' ELSE '' END || unnest(ws) FROM (SELECT doc_id, part, string_split(piece, ' ') AS ws FROM p3 WHERE big)),
+c0 AS (SELECT doc_id, part, piece, length(piece) AS n, row_number() OVER w AS j, sum(length(piece)) OVER w AS upto, count(*) OVER (PARTITION BY doc_id, part) AS last FROM p4 WINDOW w AS (PARTITION BY doc_id, part ORDER BY i ROWS UNBOUNDED PRECEDING)),
+c1 AS (SELECT *, least(200, 1500 - coalesce(lead(n) OVER (PARTITION BY doc_id, part ORDER BY j), 0)) AS back FROM c0),
+c AS MATERIALIZED (SELECT *, max(j) OVER (PARTITION BY doc_id, part ORDER BY upto RANGE BETWEEN CURRENT ROW AND (1500 - n) FOLLOWING) AS fit, 1 + min(j) OVER (PARTITION BY doc_id, part ORDER BY upto RANGE BETWEEN back PRECEDING AND CURRENT ROW) AS next FROM c1),
+w AS (SELECT doc_id, part, j AS s, fit AS e FROM c WHERE j = 1 UNION ALL SELECT w.doc_id, w.part, y.j, y.fit FROM w JOIN c x ON x.doc_id = w.doc_id AND x.part = w.part AND x.j = w.e AND x.j < x.last JOIN c y ON y.doc_id = x.doc_id AND y.part = x.part AND y.j = x.next),
+t AS (SELECT w.doc_id, w.part, w.s, regexp_replace(string_agg(c.piece, '' ORDER BY c.j), '^\s+|\s+$', '', 'g') AS content FROM w JOIN c ON c.doc_id = w.doc_id AND c.part = w.part AND c.j BETWEEN w.s AND w.e GROUP BY ALL),
+parts AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, s) - 1 AS k, content FROM t WHERE content <> '' UNION ALL SELECT doc_id, 0, text FROM f WHERE NOT long)
+SELECT repo_id, file_path, k::INT AS part, content, 'generic' AS chunk_type, 'generic_1' AS chunk_name, 1::INT AS start_line, len(string_split(text, chr(10)))::INT AS end_line FROM parts JOIN f USING (doc_id)"""
+)
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long documents in parts of at most 1500 characters that overlap by up to 200."""
     files = chunks(spark, sf_dir).select("repo_id", F.col("file_path").alias("path"), "content")
-    return chunking.chunk_files(files)
+    out = chunking.chunk_files(files).withColumn("whole", F.monotonically_increasing_id())  # a file's parts come in their order, from one task
+    place = F.row_number().over(Window.partitionBy("repo_id", "file_path").orderBy("whole")) - 1
+    return out.select("repo_id", "file_path", place.alias("part"), "content", "chunk_type", "chunk_name", "start_line", "end_line")
 
 
 _RULES = "Answer from the given code only. Name the files that you rely on. Say so if the context doesn''t tell."
