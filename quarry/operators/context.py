@@ -1,8 +1,8 @@
 """Context packing: ranked results into one text of at most four characters a token.
 
-Each way to write headers is a row of a ladder, from the fullest to the narrowest. How long the headers of a question's first
-results are under each way follows from lengths alone, so the choice is an aggregate over small rows: as many results as
-fit in any way, written in the first way that fits. Texts are joined to the choice afterwards."""
+Each way to write headers is an entry of a ladder, from the fullest to the narrowest. How long the headers of a question's first
+results are under each follows from lengths alone, so the choice is an expression over a question's results: as many of them as
+fit in any way, written in the first way that fits. Results are shuffled once, by their question."""
 
 from __future__ import annotations
 
@@ -55,33 +55,36 @@ def pack_results(results: DataFrame, max_tokens: int = C.MAX_CONTEXT_TOKENS) ->
     result there is no room has an empty context. Null paths, types and contents are empty, a chunk without a name is anonymous."""
     limit = max(1, 4 * max_tokens)
     summary = F.col("import_summary") if "import_summary" in results.columns else F.lit(None).cast("string")
-    own = Window.partitionBy("question_id")
-    items = results.select(
-        "question_id",
-        F.row_number().over(own.orderBy("rank")).alias("pos"),
-        F.count("*").over(own).cast("int").alias("n_results"),
-        F.coalesce("file_path", F.lit("")).alias("path"),
-        F.coalesce("chunk_type", F.lit("")).alias("kind"),
-        F.coalesce("chunk_name", F.lit("anonymous")).alias("name"),
-        F.coalesce("content", F.lit("")).alias("content"),
-        _imports(summary).alias("imports"),
-    )
+    columns = {"path": F.coalesce("file_path", F.lit("")), "kind": F.coalesce("chunk_type", F.lit("")), "name": F.coalesce("chunk_name", F.lit("anonymous")), "content": F.coalesce("content", F.lit("")), "imports": _imports(summary)}
+    item = F.struct("rank", *(c.alias(k) for k, c in columns.items()))
+    grouped = results.select("question_id", item.alias("item")).groupBy("question_id").agg(F.sort_array(F.collect_list("item")).alias("items"))  # a question's top k
     steps = F.array(*(F.struct(F.lit(k).alias("step"), F.lit(i).alias("full"), F.lit(p).cast("int").alias("path_width"), F.lit(n).cast("int").alias("name_width")) for k, (i, p, n) in enumerate(LADDER)))
     short = lambda text, width: F.least(F.length(text), F.coalesce(width, F.length(text)))
-    tried = items.select("question_id", "pos", "path", "kind", "name", "imports", F.explode(steps).alias("s"))
-    size = 9 + short("path", F.col("s.path_width")) + F.length("kind") + short("name", F.col("s.name_width")) + F.when(F.col("s.full") & (F.col("imports") != ""), 10 + F.length("imports")).otherwise(0)
-    upto = Window.partitionBy("question_id", "s.step").orderBy("pos")
-    tried = tried.select("question_id", "pos", "s", (F.sum(size + FRAME + len(SEPARATOR)).over(upto) - len(SEPARATOR)).alias("size")).where(F.col("size") <= limit)
-    chosen = tried.groupBy("question_id").agg(F.max_by(F.struct("pos", "s", "size"), F.struct("pos", -F.col("s.step"))).alias("best"))
-    placed = items.join(chosen, "question_id", "left").where(F.col("pos") <= F.coalesce("best.pos", F.lit(1)))
-    fits = F.col("best").isNotNull()
+
+    def fitting(step: Column) -> Column:
+        """How many of the first items fit with headers of this step, and their size without bodies."""
+
+        def add(held: Column, x: Column) -> Column:
+            header = 9 + short(x["path"], step["path_width"]) + F.length(x["kind"]) + short(x["name"], step["name_width"]) + F.when(step["full"] & (x["imports"] != ""), 10 + F.length(x["imports"])).otherwise(0)
+            size = held["size"] + header + FRAME + F.when(held["n"] > 0, len(SEPARATOR)).otherwise(0)
+            more = F.struct((held["n"] + 1).alias("n"), size.alias("size"), held["open"].alias("open"))
+            return F.when(held["open"] & (size <= limit), more).otherwise(F.struct(held["n"].alias("n"), held["size"].alias("size"), F.lit(False).alias("open")))
+
+        return F.aggregate("items", F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit(True).alias("open")), add)
+
+    tried = grouped.withColumn("fits", F.transform(steps, lambda s: F.struct(fitting(s).alias("f"), (-s["step"]).alias("order"), s.alias("s"))))
+    best = F.array_max(F.transform("fits", lambda t: F.struct(t["f"]["n"].alias("n"), t["order"].alias("order"), t["f"]["size"].alias("size"), t["s"].alias("s"))))  # most items, then the first step
+    chosen = tried.select("question_id", F.size("items").alias("n_results"), "items", best.alias("best"))
+    kept = F.slice("items", F.lit(1), F.greatest(F.lit(1), F.col("best.n")))
+    placed = chosen.select("question_id", "n_results", "best", F.posexplode(kept).alias("pos", "item")).select("question_id", "n_results", "best", "pos", "item.*")
+    fits = F.col("best.n") > 0
     written = _header(F.col("best.s.path_width"), F.col("best.s.name_width"), F.when(F.col("best.s.full"), F.col("imports")).otherwise(""))
     placed = placed.withColumn("header", F.when(fits, written).otherwise(_lone(limit)))
     placed = placed.withColumn("room", limit - F.when(fits, F.col("best.size")).otherwise(F.length("header") + FRAME))
     body = F.left(F.col("content"), F.col("taken").cast("int"))
     section = F.concat(F.col("header"), F.lit(f"\n{OPEN}"), body, F.lit(CLOSE))
     sections = body_budget(placed, F.col("room"), ["question_id"], ["pos"]).select("question_id", "n_results", "room", F.struct("pos", section.alias("text")).alias("section"))
-    packed = sections.groupBy("question_id", "n_results").agg(F.min("room").alias("room"), F.sort_array(F.collect_list("section")).alias("sections"))
+    packed = sections.groupBy("question_id").agg(F.first("n_results").alias("n_results"), F.min("room").alias("room"), F.sort_array(F.collect_list("section")).alias("sections"))
     return packed.select("question_id", "n_results", F.when(F.col("room") >= 0, F.array_join("sections.text", SEPARATOR)).otherwise("").alias("context"))
 
 

@@ -20,6 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: Bytes of question vectors that go to the tasks at once; rows from which a batch is dealt into blocks, questions for each
 #: pivot at least; questions multiplied at once.
 PASS_BYTES, LEAST_ROWS, PER_PIVOT, BLOCK = 1 << 28, 256, 2, 512
+#: Questions that are taken to the driver before their size is asked.
+FEW = 10_000
 #: More than rounding to 6 places and the bounds' own errors can make.
 MARGIN = 3e-6
 
@@ -165,11 +167,13 @@ def top_k(vectors: DataFrame, questions: DataFrame, k: int | str = 5, id_col: st
     depth = F.col(k) if isinstance(k, str) else F.lit(k)
     asked = questions.where("vector is not null").select("question_id", F.col("vector").cast("array<double>"), (F.col("repo_id") if repo_col else F.lit(None)).alias("g"), depth.alias("depth"))
     spark = vectors.sparkSession
-    size = asked.agg(F.coalesce(F.sum(8 * F.size("vector")), F.lit(0))).first()[0]
+    few = asked.limit(FEW + 1).collect()
+    size = sum(8 * len(r["vector"]) for r in few) if len(few) <= FEW else asked.agg(F.sum(8 * F.size("vector"))).first()[0]
     passes = max(1, -(-size // pass_bytes))
     out = None
     for i in range(passes):
-        rows = (asked if passes == 1 else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(passes)) == i)).collect()
+        whole = passes == 1 and len(few) <= FEW
+        rows = few if whole else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(passes)) == i).collect()
         if not rows:
             continue
         if len({len(r["vector"]) for r in rows}) > 1:

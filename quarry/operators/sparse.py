@@ -26,14 +26,16 @@ from quarry.functions import text as T
 
 # The usual BM25 constants, and what stands for an idf that isn't positive.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Chunks and terms of a segment at most, chunks of a range with a bound of its own.
-SEGMENT_CHUNKS, SEGMENT_TERMS, RANGE = 1 << 15, 1 << 22, 256
+#: Chunks and terms of a segment at most, chunks of a range with a bound of its own, chunks added at once.
+SEGMENT_CHUNKS, SEGMENT_TERMS, RANGE, STEP = 1 << 15, 1 << 22, 256, 256
+#: Bytes that are worth a task.
+SPLIT = 1 << 22
 #: Terms that are a list in the filter; ids of a whitelist that are sent to the tasks; questions scored in one pass.
 TERMS, WHITELIST, BLOCK = 200, 1 << 22, 4096
 #: The row of a segment that describes its chunks.
 HEAD = ""
 #: ``df`` and ``total`` are chunks and places of the term; of the head row, all chunks and terms. ``tops`` has range, most places and
-#: least length for each range with the term.
+#: least length for each range with the term. In the head row ``docs`` is the name of the ids' type.
 ROWS = "segment long, term string, df long, total long, docs binary, tfs binary, positions binary, tops binary, head binary"
 
 
@@ -66,33 +68,61 @@ class _Writer:
         self.terms += len(self.parts[-1])
 
     def rows(self, segment: int) -> pa.RecordBatch:
-        length, code = np.concatenate(self.lengths), np.concatenate(self.parts)
+        """The head, then a row for each term in order: columns are slices of arrays over all postings."""
+        terms = sorted(self.codes)
+        place = np.empty(len(terms), np.int64)
+        place[[self.codes[t] for t in terms]] = np.arange(len(terms))
+        length, code = np.concatenate(self.lengths), place[np.concatenate(self.parts)]
         doc = np.repeat(np.arange(len(length)), length)
         pos = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
         order = np.argsort(code, kind="stable")  # by chunk and place within a term
         c, d, pos = code[order], doc[order], pos[order]
-        first = np.nonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])])[: len(c)])[0]
-        docs, tfs = d[first], np.diff(first, append=len(c))
-        upto = np.searchsorted(c[first], np.arange(len(self.codes) + 1))
-        places = np.append(first, len(c))
-        out = []
-        for term, k in sorted(self.codes.items()):
-            a, b = upto[k], upto[k + 1]
-            own, tf = docs[a:b], tfs[a:b]
-            edge = np.nonzero(np.concatenate([[True], own[1:] // RANGE != own[:-1] // RANGE]))[0]
-            tops = np.stack([own[edge] // RANGE, np.maximum.reduceat(tf, edge), np.minimum.reduceat(length[own], edge)])
-            out.append((segment, term, int(b - a), int(places[b] - places[a]), _blob(own), _blob(tf), _blob(pos[places[a] : places[b]]), _blob(tops), None))
+        new = lambda *keys: np.nonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])[: len(keys[0])])[0]
+        first = new(c, d)
+        docs, tfs, owner = d[first], np.diff(first, append=len(c)), c[first]
+        edge = new(owner, docs // RANGE)
+        upto = np.searchsorted(owner, np.arange(len(terms) + 1))
+        places, ranges = np.append(first, len(c))[upto], np.searchsorted(edge, upto)
+        tops = np.stack([docs[edge] // RANGE, np.maximum.reduceat(tfs, edge), np.minimum.reduceat(length[docs], edge)], 1) if len(edge) else np.empty((0, 3))
+
+        def column(values: np.ndarray, offsets: np.ndarray, head: bytes | None) -> pa.Array:
+            made = pa.Array.from_buffers(pa.binary(), len(terms), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(_blob(values))])
+            return pa.concat_arrays([pa.array([head], pa.binary()), made])
+
         table = pa.Table.from_batches(self.heads).combine_chunks()
         table = table.append_column("length", pa.array(length.astype(np.int32)))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as stream:
             stream.write_table(table)
-        out.insert(0, (segment, HEAD, self.chunks, self.terms, None, None, None, None, sink.getvalue().to_pybytes()))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in ROWS.split(", ")])
-
-
-def _invert(name: str, apart: bool):
+        kind = str(table.schema.field("chunk_id").type).encode()
+        columns = [
+            pa.array(np.full(len(terms) + 1, segment)),
+            pa.array([HEAD, *terms], pa.string()),
+            pa.array(np.append(self.chunks, np.diff(upto))),
+            pa.array(np.append(self.terms, np.diff(places))),
+            column(docs, 4 * upto, kind),
+            column(tfs, 4 * upto, None),
+            column(pos, 4 * places, None),
+            column(tops.ravel(), 12 * ranges, None),
+            pa.concat_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.nulls(len(terms), pa.binary())]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ROWS.split(", ")])
+
+
+def segment_terms(chunks: DataFrame) -> int:
+    """Terms of a segment such that small tables too have some segments for each core; by the size of what is read."""
+    size = int(chunks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(SEGMENT_TERMS, max(1 << 16, size // (6 * chunks.sparkSession.sparkContext.defaultParallelism)))
+
+
+def spread(chunks: DataFrame) -> DataFrame:
+    """A table too small to be split for all cores is dealt out to them first; larger ones are read as they are split."""
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    small = int(chunks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < cores * SPLIT
+    return chunks.repartition(cores) if small else chunks
+
+
+def _invert(name: str, apart: bool, most: int):
     """Segments of a task's chunks in the order they come; with ``apart`` none has chunks of two repositories."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,12 +137,12 @@ def _invert(name: str, apart: bool):
             homes = batch.column("repo_id").to_pylist() if apart else [None] * batch.num_rows
             edges = [0, *(k for k in range(1, len(homes)) if homes[k] != homes[k - 1]), len(homes)]
             for first, last in zip(edges[:-1], edges[1:], strict=True):
-                for at in range(first, last, 1024):
-                    if own.chunks and (own.chunks >= SEGMENT_CHUNKS or own.terms >= SEGMENT_TERMS or homes[at] != home):
+                for at in range(first, last, STEP):
+                    if own.chunks and (own.chunks >= SEGMENT_CHUNKS or own.terms >= most or homes[at] != home):
                         yield done()
                         own, n = _Writer(), n + 1
                     home = homes[at]
-                    own.add(batch.slice(at, min(1024, last - at)))
+                    own.add(batch.slice(at, min(STEP, last - at)))
         if own.chunks:
             yield done()
 
@@ -170,7 +200,7 @@ class Segment:
             return None
         if len(terms) == 1:
             row = self.rows[terms[0]]
-            return _values(row["docs"]), _values(row["tfs"]), _values(row["tops"]).reshape(3, -1)
+            return _values(row["docs"]), _values(row["tfs"]), _values(row["tops"]).reshape(-1, 3).T
         starts = None
         for off, t in enumerate(terms):
             doc, pos = self.places(t)
@@ -283,14 +313,14 @@ class Index:
         """The index of ``(chunk_id[, repo_id], ...)``, in one narrow pass; ``name`` tells the segments of one write from others."""
         body = F.col("content") if body is None else body
         own = ["chunk_id", *(["repo_id"] if "repo_id" in chunks.columns else [])]
-        return Index(chunks.select(*own, T.fts_terms(body).alias("terms")).mapInArrow(_invert(name, False), ROWS))
+        return Index(chunks.select(*own, T.fts_terms(body).alias("terms")).mapInArrow(_invert(name, False, segment_terms(chunks)), ROWS))
 
     @staticmethod
     def by_repository(chunks: DataFrame, body: Column, name: str = "") -> Index:
         """The same with segments of one repository each, and its ``repo_id`` in every row. Chunks that come in the order of
         their repositories make the fewest segments."""
         rows = chunks.select("chunk_id", F.col("repo_id").cast("string").alias("repo_id"), T.fts_terms(body).alias("terms"))
-        return Index(rows.mapInArrow(_invert(name, True), f"{ROWS}, repo_id string"))
+        return Index(rows.mapInArrow(_invert(name, True, segment_terms(chunks)), f"{ROWS}, repo_id string"))
 
     def write(self, path: str) -> Index:
         """Store the index, a file for each segment, and read it back."""
@@ -407,23 +437,23 @@ def bm25(index: Index, questions: DataFrame, tokens: Column, limit: int | str =
     ``whitelist`` holds the ids that may be found; an empty one finds nothing. Scores are rounded to 6 places before they are
     ranked. Questions, a stated set, go to the tasks in blocks, each with its own terms; ids are of the questions' kind unless the index says otherwise."""
     spark = index.rows.sparkSession
-    n, total = index.stats().first()
+    n, total, ids = index.rows.where(F.col("term") == HEAD).agg(F.sum("df"), F.sum("total"), F.max("docs")).first()
     avg = float(total or 0) / n if n and total else 1.0
     depth = F.col(limit) if isinstance(limit, str) else F.lit(limit)
     group = F.col("repo_id").cast("string") if repo else F.lit(None).cast("string")
-    heads = index.rows.where(F.col("term") == HEAD).select("head").first()
-    id_type = pa.ipc.open_stream(heads["head"]).schema.field("chunk_id").type if heads else pa.int64()
-    kind = "string" if pa.types.is_string(id_type) or pa.types.is_large_string(id_type) else "int" if pa.types.is_int32(id_type) else "long"
+    kind = {"string": "string", "large_string": "string", "int32": "int"}.get(bytes(ids or b"").decode(), "long")
+    id_type = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[kind]
     kinds = [to_arrow_type(questions.schema["question_id"].dataType), id_type]
     schema = f"question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id {kind}, bm25 double"
     wanted = phrases(questions, tokens).groupBy("question_id").agg(F.collect_list("terms").alias("phrases"))
     asked = questions.select("question_id", depth.cast("int").alias("most"), group.alias("g")).join(wanted, "question_id")
-    blocks = max(1, -(-asked.count() // BLOCK))
+    few = asked.limit(BLOCK + 1).collect()
+    blocks = 1 if len(few) <= BLOCK else -(-asked.count() // BLOCK)
     out = None
     for i in range(blocks):
-        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i)
+        own = few if blocks == 1 else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i).collect()
         number: dict[tuple[str, ...], int] = {}
-        rows = [(r["question_id"], [number.setdefault(tuple(p), len(number)) for p in r["phrases"]], r["most"], r["g"]) for r in own.collect()]
+        rows = [(r["question_id"], [number.setdefault(tuple(p), len(number)) for p in r["phrases"]], r["most"], r["g"]) for r in own]
         if not rows:
             continue
         lists = list(number)
@@ -433,8 +463,8 @@ def bm25(index: Index, questions: DataFrame, tokens: Column, limit: int | str =
         data = index.of_terms(sorted({t for terms in lists for t in terms}))
         if repo and "repo_id" in data.columns:  # partitions of the asked repositories only
             data = data.join(F.broadcast(spark.createDataFrame([(g,) for g in {r[3] for r in rows}], "repo_id string")), "repo_id", "left_semi")
-        if all(len(terms) == 1 for terms in lists):
-            data = data.drop("positions")
+        several = sorted({t for terms in lists if len(terms) > 1 for t in terms})
+        data = data.withColumn("positions", F.when(F.col("term").isin(several), F.col("positions"))) if several else data.drop("positions")
         data = _keyed(data)
         if whitelist is not None:
             data = _restricted(data, index, whitelist, kind)

@@ -92,7 +92,7 @@ def fts_index(spark: SparkSession, sf_dir: str, of: Callable[[SparkSession, str]
     key = spark.sparkContext.applicationId, sf_dir, of.__name__
     if key not in _indexes:
         path = shared_folder(spark, "fts")
-        sparse.Index.of(of(spark, sf_dir)).write(path)
+        sparse.Index.of(sparse.spread(of(spark, sf_dir))).write(path)
         _indexes[key] = path
     return sparse.Index.read(spark, _indexes[key])
 
@@ -402,12 +402,12 @@ def _sql_header(p: str, n: str, imports: str) -> str:
     f"""WITH l(step, full_, p, n) AS (VALUES {_LADDER_ROWS}), t AS (SELECT unnest([{', '.join(map(str, _BUDGETS))}]) AS tokens),
 it AS (SELECT doc_id // 5 AS g, doc_id % 5 + 1 AS pos, repeat(source || '/', (doc_id % 40)::INT) || lang || '.txt' AS path, CASE WHEN doc_id % 2 = 0 THEN 'function' ELSE 'class' END AS kind, repeat('name', (doc_id % 60)::INT) || 'x' AS name, text AS content,
   CASE WHEN doc_id % 3 = 0 THEN 'import ' || repeat('a, ', (doc_id % 400)::INT) || 'z' ELSE '' END AS imp FROM documents),
-i AS (SELECT *, CASE WHEN length(imp) > 800 THEN regexp_replace(left(imp, 800), '\s+$', '') || '…' ELSE imp END AS imports FROM it),
+i AS (SELECT *, CASE WHEN length(imp) > 800 THEN regexp_replace(left(imp, 800), '\\s+$', '') || '…' ELSE imp END AS imports FROM it),
 h AS (SELECT tokens, g, pos, step, {_sql_header('p', 'n', 'full_')} AS header FROM i, l, t),
 c AS (SELECT *, sum(length(header) + 16) OVER (PARTITION BY tokens, g, step ORDER BY pos) - 7 AS size FROM h),
 b AS (SELECT tokens, g, pos, step, size FROM c WHERE size <= greatest(1, 4 * tokens) QUALIFY row_number() OVER (PARTITION BY tokens, g ORDER BY pos DESC, step) = 1),
 lone AS (SELECT tokens, g, {_sql_header('least(length(path) + 120, greatest(280, 4 * tokens - 9))', 'least(length(name) + 100, greatest(16, 4 * tokens - 9))', 'false')} AS wide, kind FROM i, t WHERE pos = 1),
-cut AS (SELECT tokens, g, regexp_replace(left(CASE WHEN 4 * tokens - 9 >= 4 THEN wide ELSE kind || ':…' END, greatest(1, 4 * tokens - 9)), '\s+$', '') AS header FROM lone),
+cut AS (SELECT tokens, g, regexp_replace(left(CASE WHEN 4 * tokens - 9 >= 4 THEN wide ELSE kind || ':…' END, greatest(1, 4 * tokens - 9)), '\\s+$', '') AS header FROM lone),
 s AS (SELECT tokens, g, i.pos, coalesce(h.header, cut.header) AS header, content, 4 * tokens - coalesce(b.size, length(cut.header) + 9) AS room,
   coalesce(sum(length(content)) OVER (PARTITION BY tokens, g ORDER BY i.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
   FROM i CROSS JOIN t LEFT JOIN b USING (tokens, g) LEFT JOIN h ON h.tokens = t.tokens AND h.g = i.g AND h.pos = i.pos AND h.step = b.step JOIN cut USING (tokens, g) WHERE i.pos <= coalesce(b.pos, 1))
