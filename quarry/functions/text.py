@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,17 +58,24 @@ def or_match(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.array_join(F.transform(tokens, lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))), " OR "))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it, also in functions of elements."""
+    return F.transform(F.array(value), use)[0]
+
+
 def match_tokens(question: Column) -> Column:
     """Tokens of a free query: case kept, ASCII duplicates dropped whatever their case."""
     found = F.regexp_extract_all(F.trim(question), F.lit(MATCH_TOKEN), F.lit(0))
-    lowered = F.transform(found, lambda t: F.lower(t))
-    return F.filter(found, lambda t, k: F.array_position(lowered, F.lower(t)) == k + 1)
+    placed = F.array_sort(F.transform(found, lambda t, k: F.struct(F.lower(t).alias("low"), k.alias("k"), t.alias("token"))))  # equal ones side by side, the first of them first
+    first = bound(placed, lambda s: F.filter(s, lambda x, k: (k == 0) | (F.get(s, k - 1)["low"] != x["low"])))
+    ordered = F.array_sort(F.transform(first, lambda x: F.struct(x["k"].alias("k"), x["token"].alias("token"))))
+    return F.transform(ordered, lambda x: x["token"])
 
 
 def and_match(question: Column) -> Column:
     """Phrase-quoted tokens side by side (all must match); null if there are none."""
-    tokens = match_tokens(question)
-    return F.when(F.size(tokens) > 0, F.array_join(F.transform(tokens, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " "))
+    joined = F.array_join(F.transform(match_tokens(question), lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " ")
+    return bound(joined, lambda x: F.when(x != "", x))
 
 
 def detect_intent(question: Column) -> Column:
