@@ -10,7 +10,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -427,8 +426,7 @@ def context_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"),
         F.when(i % 3 == 0, F.concat(F.lit("import "), times(F.lit("a, "), 400), F.lit("z"))).alias("import_summary"),
     )
-    out = [context.pack_results(rows, n).select(F.lit(n).alias("tokens"), "question_id", "n_results", "context") for n in _BUDGETS]
-    return reduce(DataFrame.unionByName, out)
+    return context.pack_budgets(rows, _BUDGETS)
 
 
 @query(
