@@ -27,9 +27,9 @@ from quarry.functions import text as T
 # The usual BM25 constants, and what stands for an idf that isn't positive.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Chunks and terms of a segment at most, chunks of a range with a bound of its own, chunks added at once.
-SEGMENT_CHUNKS, SEGMENT_TERMS, RANGE, STEP = 1 << 15, 1 << 22, 256, 256
-#: Bytes that are worth a task.
-SPLIT = 1 << 22
+SEGMENT_CHUNKS, SEGMENT_TERMS, RANGE, STEP = 1 << 15, 1 << 20, 256, 256
+#: Bytes that are worth a task; bytes and rows that are sent to a Python worker at once.
+SPLIT, BATCH_BYTES, BATCH_ROWS = 1 << 22, 1 << 24, 4096
 #: Terms that are a list in the filter; ids of a whitelist that are sent to the tasks; questions scored in one pass.
 TERMS, WHITELIST, BLOCK = 200, 1 << 22, 4096
 #: The row of a segment that describes its chunks.
@@ -43,10 +43,20 @@ def _blob(values: np.ndarray) -> bytes:
     return values.astype(np.int32).tobytes()
 
 
-def _values(blob: bytes) -> np.ndarray:
+def _values(blob: bytes | pa.Buffer) -> np.ndarray:
     return np.frombuffer(blob, np.int32)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on what is sent to a Python worker at once is bounded in bytes too: rows here hold the terms or postings of many
+    chunks."""
+    for name, most in (("Bytes", BATCH_BYTES), ("Records", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        now = int(str(spark.conf.get(key)).lower().removesuffix("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 class _Writer:
     """A segment in the making."""
 
@@ -60,9 +70,9 @@ class _Writer:
     def add(self, batch: pa.RecordBatch) -> None:
         lists = batch.column("terms")
         coded = lists.flatten().dictionary_encode()
-        own = np.array([self.codes.setdefault(t, len(self.codes)) for t in coded.dictionary.to_pylist()], np.int64)
-        self.parts.append(own[coded.indices.to_numpy()] if len(own) else np.empty(0, np.int64))
-        self.lengths.append(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        own = np.array([self.codes.setdefault(t, len(self.codes)) for t in coded.dictionary.to_pylist()], np.int32)
+        self.parts.append(own[coded.indices.to_numpy()] if len(own) else np.empty(0, np.int32))
+        self.lengths.append(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32))
         self.heads.append(batch.drop_columns(["terms"]))
         self.chunks += batch.num_rows
         self.terms += len(self.parts[-1])
@@ -70,11 +80,11 @@ class _Writer:
     def rows(self, segment: int) -> pa.RecordBatch:
         """The head, then a row for each term in order: columns are slices of arrays over all postings."""
         terms = sorted(self.codes)
-        place = np.empty(len(terms), np.int64)
+        place = np.empty(len(terms), np.int32)
         place[[self.codes[t] for t in terms]] = np.arange(len(terms))
         length, code = np.concatenate(self.lengths), place[np.concatenate(self.parts)]
-        doc = np.repeat(np.arange(len(length)), length)
-        pos = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
+        doc = np.repeat(np.arange(len(length), dtype=np.int32), length)
+        pos = np.arange(len(doc), dtype=np.int32) - np.repeat(np.cumsum(length, dtype=np.int32) - length, length)
         order = np.argsort(code, kind="stable")  # by chunk and place within a term
         c, d, pos = code[order], doc[order], pos[order]
         new = lambda *keys: np.nonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])[: len(keys[0])])[0]
@@ -134,15 +144,20 @@ def _invert(name: str, apart: bool, most: int):
             return rows.append_column("repo_id", pa.array([home] * rows.num_rows, pa.string())) if apart else rows
 
         for batch in batches:
+            before = np.append(0, np.cumsum(pc.list_value_length(batch.column("terms")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64))
             homes = batch.column("repo_id").to_pylist() if apart else [None] * batch.num_rows
             edges = [0, *(k for k in range(1, len(homes)) if homes[k] != homes[k - 1]), len(homes)]
             for first, last in zip(edges[:-1], edges[1:], strict=True):
-                for at in range(first, last, STEP):
+                at = first
+                while at < last:
                     if own.chunks and (own.chunks >= SEGMENT_CHUNKS or own.terms >= most or homes[at] != home):
                         yield done()
                         own, n = _Writer(), n + 1
                     home = homes[at]
-                    own.add(batch.slice(at, min(STEP, last - at)))
+                    full = int(np.searchsorted(before, before[at] + most - own.terms, "right")) - 1  # of a long chunk, it alone
+                    upto = min(at + STEP, last, max(at + 1, full))
+                    own.add(batch.slice(at, upto - at))
+                    at = upto
         if own.chunks:
             yield done()
 
@@ -218,17 +233,17 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Segment, list
     """Whole segments, with the chunks that may be found if there is a column of them."""
     now, head, allowed, rows = None, None, None, {}
     for batch in batches:
-        names = batch.schema.names
-        for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            row = dict(zip(names, values, strict=True))
-            if row["segment"] != now:
+        blobs = {n: batch.column(n) for n in ("docs", "tfs", "positions", "tops") if n in batch.schema.names}
+        for k, (segment, term) in enumerate(zip(batch.column("segment").to_pylist(), batch.column("term").to_pylist(), strict=True)):
+            if segment != now:
                 if head is not None:
                     yield Segment(head, rows), allowed
-                now, head, allowed, rows = row["segment"], None, None, {}
-            if row["term"] == HEAD:
-                head, allowed = row["head"], row.get("allowed")
-            else:
-                rows[row["term"]] = row
+                now, head, allowed, rows = segment, None, None, {}
+            if term == HEAD:
+                head = batch.column("head")[k].as_py()
+                allowed = batch.column("allowed")[k].as_py() if "allowed" in batch.schema.names else None
+            else:  # views of the batch, no copies
+                rows[term] = {n: c[k].as_buffer() for n, c in blobs.items()}
     if head is not None:
         yield Segment(head, rows), allowed
 
@@ -312,6 +327,7 @@ class Index:
     def of(chunks: DataFrame, body: Column | None = None, name: str = "") -> Index:
         """The index of ``(chunk_id[, repo_id], ...)``, in one narrow pass; ``name`` tells the segments of one write from others."""
         body = F.col("content") if body is None else body
+        bounded_batches(chunks.sparkSession)
         own = ["chunk_id", *(["repo_id"] if "repo_id" in chunks.columns else [])]
         return Index(chunks.select(*own, T.fts_terms(body).alias("terms")).mapInArrow(_invert(name, False, segment_terms(chunks)), ROWS))
 
@@ -319,6 +335,7 @@ class Index:
     def by_repository(chunks: DataFrame, body: Column, name: str = "") -> Index:
         """The same with segments of one repository each, and its ``repo_id`` in every row. Chunks that come in the order of
         their repositories make the fewest segments."""
+        bounded_batches(chunks.sparkSession)
         rows = chunks.select("chunk_id", F.col("repo_id").cast("string").alias("repo_id"), T.fts_terms(body).alias("terms"))
         return Index(rows.mapInArrow(_invert(name, True, segment_terms(chunks)), f"{ROWS}, repo_id string"))
 
@@ -345,6 +362,7 @@ class Index:
 
     def postings(self, kind: str = "long") -> DataFrame:
         """``(term, chunk_id, repo_id, length, positions)``: the index as rows of each term and chunk, ``kind`` being the ids' type."""
+        bounded_batches(self.rows.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for segment, _ in _segments(batches):
@@ -437,6 +455,7 @@ def bm25(index: Index, questions: DataFrame, tokens: Column, limit: int | str =
     ``whitelist`` holds the ids that may be found; an empty one finds nothing. Scores are rounded to 6 places before they are
     ranked. Questions, a stated set, go to the tasks in blocks, each with its own terms; ids are of the questions' kind unless the index says otherwise."""
     spark = index.rows.sparkSession
+    bounded_batches(spark)
     n, total, ids = index.rows.where(F.col("term") == HEAD).agg(F.sum("df"), F.sum("total"), F.max("docs")).first()
     avg = float(total or 0) / n if n and total else 1.0
     depth = F.col(limit) if isinstance(limit, str) else F.lit(limit)
