@@ -28,8 +28,8 @@ from quarry.functions import text as T
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Chunks and terms of a segment at most, chunks of a range with a bound of its own, chunks added at once.
 SEGMENT_CHUNKS, SEGMENT_TERMS, RANGE, STEP = 1 << 15, 1 << 20, 256, 256
-#: Bytes that are worth a task; bytes and rows that are sent to a Python worker at once.
-SPLIT, BATCH_BYTES, BATCH_ROWS = 1 << 22, 1 << 24, 4096
+#: Bytes that are worth a task; bytes and rows that are sent to a Python worker at once; index rows that become postings at once.
+SPLIT, BATCH_BYTES, BATCH_ROWS, POSTED = 1 << 22, 1 << 24, 4096, 1024
 #: Terms that are a list in the filter; ids of a whitelist that are sent to the tasks; questions scored in one pass.
 TERMS, WHITELIST, BLOCK = 200, 1 << 22, 4096
 #: The row of a segment that describes its chunks.
@@ -47,6 +47,15 @@ def _values(blob: bytes | pa.Buffer) -> np.ndarray:
     return np.frombuffer(blob, np.int32)
 
 
+def _column(blobs: pa.Array) -> np.ndarray:
+    """The values of all blobs of a column without nulls, one after another, as they lie in its buffer."""
+    if not len(blobs):
+        return np.empty(0, np.int32)
+    _, ends, data = blobs.buffers()
+    low, high = np.frombuffer(ends, np.int32)[[blobs.offset, blobs.offset + len(blobs)]]
+    return np.frombuffer(data, np.int32)[low // 4 : high // 4] if high > low else np.empty(0, np.int32)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """From now on what is sent to a Python worker at once is bounded in bytes too: rows here hold the terms or postings of many
     chunks."""
@@ -365,12 +374,18 @@ class Index:
         bounded_batches(self.rows.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for segment, _ in _segments(batches):
-                ids, home, length = segment.table.column("chunk_id").combine_chunks(), pa.array(segment.homes(), pa.string()), pa.array(segment.length)
-                for term, row in segment.rows.items():
-                    doc, tf = pa.array(_values(row["docs"])), _values(row["tfs"])
-                    places = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf)).astype(np.int32)), pa.array(_values(row["positions"])))
-                    yield pa.RecordBatch.from_arrays([pa.array([term] * len(doc), pa.string()), ids.take(doc), home.take(doc), length.take(doc), places], ["term", "chunk_id", "repo_id", "length", "positions"])
+            now, ids, home, length = None, None, None, None
+            for batch in batches:
+                segments = batch.column("segment").to_numpy()
+                edges = [0, *(np.nonzero(segments[1:] != segments[:-1])[0] + 1).tolist(), len(segments)]
+                for first, last in zip(edges[:-1], edges[1:], strict=True):
+                    rows = batch.slice(first, last - first)
+                    if last > first and segments[first] != now:  # a segment's rows begin with its head
+                        segment = Segment(rows.column("head")[0].as_py(), {})
+                        now, ids, home, length = segments[first], segment.table.column("chunk_id").combine_chunks(), pa.array(segment.homes(), pa.string()), segment.length
+                    rows = rows.filter(pc.not_equal(rows.column("term"), HEAD))
+                    for at in range(0, rows.num_rows, POSTED):
+                        yield _posted(rows.slice(at, POSTED), ids, home, length)
 
         return _keyed(self.rows).mapInArrow(run, f"term string, chunk_id {kind}, repo_id string, length int, positions array<int>")
 
@@ -386,6 +401,15 @@ class Index:
         return _keyed(self.rows.where(F.col("term") == HEAD)).select("segment", "head").mapInArrow(run, f"segment long, doc int, chunk_id {kind}")
 
 
+def _posted(rows: pa.RecordBatch, ids: pa.Array, home: pa.Array, length: np.ndarray) -> pa.RecordBatch:
+    """The postings of some terms of one segment: arrays over all of them."""
+    doc, tf, places = (_column(rows.column(n)) for n in ("docs", "tfs", "positions"))
+    at = pa.array(doc)
+    term = rows.column("term").take(pa.array(np.repeat(np.arange(rows.num_rows), rows.column("df").to_numpy())))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf)).astype(np.int32)), pa.array(places))
+    return pa.RecordBatch.from_arrays([term, ids.take(at), home.take(at), pa.array(length[doc]), lists], ["term", "chunk_id", "repo_id", "length", "positions"])
+
+
 def _keyed(rows: DataFrame) -> DataFrame:
     """Rows of segments whose numbers are told apart over repositories too."""
     return rows.withColumn("segment", F.xxhash64("repo_id", "segment")).drop("repo_id") if "repo_id" in rows.columns else rows
