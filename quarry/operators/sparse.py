@@ -477,7 +477,8 @@ def bm25(index: Index, questions: DataFrame, tokens: Column, limit: int | str =
     With ``repo`` a chunk's ``repo_id`` must equal the question's; of an index that is stored by repository only the asked ones
     are read. ``match_all`` asks for every phrase, else any will do. ``limit`` is a number or a column of ``questions``.
     ``whitelist`` holds the ids that may be found; an empty one finds nothing. Scores are rounded to 6 places before they are
-    ranked. Questions, a stated set, go to the tasks in blocks, each with its own terms; ids are of the questions' kind unless the index says otherwise."""
+    ranked. Questions, a stated set, go to the tasks in blocks, each with its own terms; where they are many, those that ask
+    the same are one; ids are of the questions' kind unless the index says otherwise."""
     spark = index.rows.sparkSession
     bounded_batches(spark)
     n, total, ids = index.rows.where(F.col("term") == HEAD).agg(F.sum("df"), F.sum("total"), F.max("docs")).first()
@@ -491,7 +492,14 @@ def bm25(index: Index, questions: DataFrame, tokens: Column, limit: int | str =
     wanted = phrases(questions, tokens).groupBy("question_id").agg(F.collect_list("terms").alias("phrases"))
     asked = questions.select("question_id", depth.cast("int").alias("most"), group.alias("g")).join(wanted, "question_id")
     few = asked.limit(BLOCK + 1).collect()
-    blocks = 1 if len(few) <= BLOCK else -(-asked.count() // BLOCK)
+    blocks, same = 1, None
+    if len(few) > BLOCK:  # of those that ask the same one is looked up
+        same = asked.withColumn("asks", F.to_json(F.struct(F.array_sort("phrases").alias("p"), "most", "g"))).select("question_id", "most", "g", "phrases", "asks")
+        leads = same.groupBy("asks").agg(F.min("question_id").alias("lead"))
+        same = same.join(leads, "asks").persist()
+        asked = same.where("question_id = lead").select("question_id", "most", "g", "phrases")
+        few = asked.limit(BLOCK + 1).collect()
+        blocks = 1 if len(few) <= BLOCK else -(-asked.count() // BLOCK)
     out = None
     for i in range(blocks):
         own = few if blocks == 1 else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i).collect()
@@ -516,6 +524,9 @@ def bm25(index: Index, questions: DataFrame, tokens: Column, limit: int | str =
     if out is None:
         out = spark.createDataFrame([], schema)
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("bm25", "chunk_id")))
+    if same is not None:
+        deepest = ranked.where(F.col("rank") <= limit) if not isinstance(limit, str) else ranked
+        ranked = deepest.withColumnRenamed("question_id", "lead").join(same.select("question_id", "lead"), "lead").select("question_id", "chunk_id", "bm25", "rank")
     if isinstance(limit, str):
         return ranked.join(questions.select("question_id", F.col(limit).alias("most")), "question_id").where("rank <= most").drop("most")
     return ranked.where(F.col("rank") <= limit)
