@@ -405,8 +405,11 @@ class Engine:
                     counts |= seen.get | {"kept": n, "dropped": seen.get["fused"] - n}
             if not n:
                 raise Failed(3001)
-            own = questions.select("question_id", "repo_id").join(self.store.of("files", repos).withColumn("key", T.normalize_path(F.col("path"))), "repo_id")
-            with_files = best.withColumn("key", T.normalize_path(F.col("file_path"))).join(own.select("question_id", "key", summary(F.col("content"), F.col("path")).alias("import_summary")).dropDuplicates(["question_id", "key"]), ["question_id", "key"], "left")
+            hits = best.withColumn("key", T.normalize_path(F.col("file_path"))).join(questions.select("question_id", "repo_id"), "question_id")
+            files_ = self.store.of("files", repos).withColumn("key", T.normalize_path(F.col("path")))
+            hit = files_.join(F.broadcast(hits.select("repo_id", "key").distinct()), ["repo_id", "key"], "left_semi")  # at most top_k files a question
+            first = hit.groupBy("repo_id", "key").agg(F.min_by(F.struct("content", "path"), "path").alias("f"))
+            with_files = hits.join(first.select("repo_id", "key", summary(F.col("f.content"), F.col("f.path")).alias("import_summary")), ["repo_id", "key"], "left")
             packed = context.pack_results(with_files, self.cfg.max_context_tokens)
             out = packed.join(retrieve.references(best), "question_id").join(questions.select("question_id", "question"), "question_id")
             if self.answerer is None:
