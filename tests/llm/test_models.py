@@ -211,3 +211,42 @@ def test_a_language_of_repeated_rows_is_learnt(docs):
     rows = [(1, english, "en")] * 5 + [(k, german + str(k), "de") for k in (4, 5, 9, 12)]
     got = langid.identify(docs(rows, ", lang string"), held_out=F.lit(False), sample_bytes=200).collect()
     assert {(r.doc_id, r.lang_pred) for r in got} == {(1, "en"), *((k, "de") for k in (4, 5, 9, 12))}
+
+
+def labelled(docs, rows):
+    return docs(rows, ", lang string").select("doc_id", "lang", F.col("text").cast("binary").alias("text"))
+
+
+def test_every_training_text_is_learnt(docs):
+    """More than the bytes of the sample of before, and a byte that one text alone has."""
+    rows = [(k, f"word{k % 7} of the house " * 4000, "en") for k in range(16)] + [(99, "only here: Ω", "en"), (99, "only here: Ω", "en")]
+    model = langid.train(labelled(docs, rows))
+    keys, counts = model.trees[0].levels[0][:2]
+    every = b"".join(t.encode() for _, t, _ in rows)
+    assert len(every) > langid.SAMPLE_BYTES
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == Counter(every)
+    plain = langid.Tree(langid.ORDER, langid.count_grams([t.encode() for _, t, _ in rows], langid.ORDER))
+    for found, true in zip(model.trees[0].levels, plain.levels, strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(found, true, strict=True))
+
+
+def test_many_contexts_share_slots_but_lose_no_count(docs):
+    rows = [(k, " ".join(f"{k * k * j % 9973}{w}" for j in range(300) for w in ("the", "house")), "en") for k in range(9)]
+    rows += [(k, " ".join(f"{k * j % 9973}{w}" for j in range(300) for w in ("das", "haus")), "de") for k in range(9)]
+    model = langid.train(labelled(docs, rows), most=6000)
+    size = {lang: sum(len(t) for _, t, x in rows if x == lang) for lang in ("de", "en")}
+    assert model.trees[0].bits < langid.SLOT_BITS[0]
+    for lang, tree in zip(model.langs, model.trees, strict=True):
+        assert [int(level[1].sum()) for level in tree.levels] == [size[lang]] * (langid.ORDER + 1)
+    assert sum(len(level[0]) for tree in model.trees for level in tree.levels) <= 6000
+    lengths = langid.Scorer(model).lengths([b"the house in the 99house", b"das haus und 77das"])
+    assert lengths.argmin(axis=1).tolist() == [1, 0]
+
+
+def test_bound_by_all_held_out_texts(spark):
+    """The quartiles of all costs, not of the first 256 KB of them."""
+    costs = [(k * 37 % 4001) / 1000 for k in range(4001)]
+    got = langid.usual_cost(spark.createDataFrame([(x,) for x in costs], "bits_per_byte double"))
+    low, middle, high = np.percentile(costs, [25, 50, 75])
+    assert math.isclose(got, middle + langid.DEVIATIONS * max((high - low) / 1.349, 0.08 * middle), abs_tol=0.01)
+    assert langid.usual_cost(spark.createDataFrame([], "bits_per_byte double")) == float("inf")
