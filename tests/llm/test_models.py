@@ -250,3 +250,48 @@ def test_bound_by_all_held_out_texts(spark):
     low, middle, high = np.percentile(costs, [25, 50, 75])
     assert math.isclose(got, middle + langid.DEVIATIONS * max((high - low) / 1.349, 0.08 * middle), abs_tol=0.01)
     assert langid.usual_cost(spark.createDataFrame([], "bits_per_byte double")) == float("inf")
+
+
+def test_every_bit_of_training_text_is_an_example():
+    """Byte contexts and words of buckets together show each byte once, with the inputs that it has in its text; the
+    weights are best for all of them."""
+    texts = [f"the cat{k * k % 97} sat on the interesting mat, extraordinarily {'né à la mer ' * (k % 5)}" for k in range(400)]
+    words = [t.encode().lower().split() for t in texts]
+    spelled = [mixing.spelling(w) for w in words]
+    tables = [mixing.new_table(o) for o in range(mixing.TABLES)]
+    whole = list(mixing.contexts(spelled))
+    for context, word, byte in whole:
+        for o, table in enumerate(tables):
+            mixing.add_counts(table, o, mixing._hash(o, context, word), byte, np.ones(len(byte)))
+    apart = [mixing.apart_odds(t.T) for t in tables]
+    plain = mixing.examples(apart, iter([(c, w, b, np.ones(len(b), np.int64)) for c, w, b in whole]))
+    keys, counts = mixing._byte_keys(spelled)
+    own = mixing._begins((keys >> np.uint64(8) << np.uint64(24)).byteswap())
+    long = Counter(w for ws in words for w in ws if len(w) >= 5)
+    group = [
+        {"kind": 5, "data": mixing.X.pack(keys[own]), "more": mixing.X.squeeze(counts[own].tobytes())},
+        {"kind": 6, "data": mixing.X.squeeze(b"\n".join(long)), "more": mixing.X.squeeze(np.array([*long.values()], np.int64).tobytes())},
+    ]
+    found = mixing.examples(apart, mixing._parts(group))
+    for k in range(8):
+        assert int(found[k][1].sum()) == sum(map(len, spelled))
+        assert all(np.array_equal(x, y) for x, y in zip(found[k], plain[k], strict=True))
+    weights = mixing.first_weights()
+    cost = []
+    for _ in range(mixing.ROUNDS):
+        sums = np.stack([mixing.slopes(k, *found[k], weights) for k in range(8)], 1).reshape(mixing.GATES, mixing.INPUTS, -1)
+        weights = mixing.stepped(weights, sums)
+        seen = sum(mixing.followed(k, *found[k], weights) for k in range(8))
+        assert seen.sum() == 8 * sum(map(len, spelled))
+        cost.append(float(mixing.Mixer([t.T for t in tables], weights, seen).both(spelled, np.ones(sum(map(len, spelled)), bool))[1].sum()))
+    first = mixing.Mixer([t.T for t in tables], mixing.first_weights(), mixing.first_map())
+    assert cost[-1] < first.both(spelled, np.ones(sum(map(len, spelled)), bool))[1].sum()
+
+
+def test_share_by_all_words():
+    n = 2 * mixing.RATIO_FAR * mixing.RATIO_STEPS + 1
+    ratios = np.zeros(n, np.int64)
+    ratios[0], ratios[(mixing.RATIO_FAR + 8) * mixing.RATIO_STEPS] = 600, 400  # no count, or 256 times as likely
+    share = mixing.share_of(ratios)
+    assert math.isclose(share, (400 * 256 / 1000 - 1) / 255, rel_tol=1e-2)
+    assert mixing.share_of(np.zeros(n, np.int64)) == 0.5
