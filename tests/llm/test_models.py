@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from testdata import SF
 
 from quarry.llm import langid, mixing
+from quarry.llm.common import cut
 from quarry.llm.queries import QUERIES
 
 
@@ -288,6 +289,69 @@ def test_every_bit_of_training_text_is_an_example():
     assert cost[-1] < first.both(spelled, np.ones(sum(map(len, spelled)), bool))[1].sum()
 
 
+def test_learning_leaves_nothing_on_disk(spark, tmp_path, monkeypatch):
+    """Examples are written once, without a shuffle of them, and go when the weights are learnt: only what the scores are
+    made of stays."""
+    for module in ("common", "exchange"):
+        monkeypatch.setattr(f"quarry.llm.{module}.shared_dir", lambda _: tmp_path.as_uri())
+    plans = []
+    monkeypatch.setattr(mixing, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    got = mixing.score(spark.read.parquet(f"{SF}/documents.parquet"))
+    gathered = plans[0]
+    assert gathered.count("MapInArrow") == 1 and "Exchange" not in gathered[: gathered.index("MapInArrow")]
+    left = {p.parent.name.split("-")[0] + "/" + p.name.split("-")[0] for p in tmp_path.rglob("*") if p.is_dir()}
+    assert not left & {f"kinds/kind={k}" for k in (0, 1, 3, 4, 5, 6)}
+    assert len(list(tmp_path.glob("cut-*"))) == 1
+    assert got.count() > 0
+
+
+def test_sums_of_any_counts():
+    """Counts of more than 15 bits are summed as the others."""
+    rng = np.random.default_rng(1)
+    for most in (2, 1 << 15, 1 << 40):
+        keys = rng.integers(0, 500, 4000).astype(np.uint64) * np.uint64((1 << 49) // 500)
+        counts = np.where(rng.random(4000) < 0.9, rng.integers(1, 3, 4000), rng.integers(1, most + 1, 4000))
+        want = Counter()
+        for k, n in zip(keys.tolist(), counts.tolist(), strict=True):
+            want[k] += n
+        got = mixing._sums(keys, counts)
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == sorted(want.items())
+    lone = mixing._sums(np.array([7, 3, 7], np.uint64), np.array([1 << 20, 1 << 20, 1 << 20]))
+    assert [x.tolist() for x in lone] == [[3, 7], [1 << 20, 1 << 21]]
+
+
+def test_slopes_by_hand():
+    """Each example's slope and curvature, one by one; chunks of one level lose none."""
+    rng = np.random.default_rng(2)
+    raw = rng.integers(-127, 128, (3 * mixing.CHUNK, 8)).astype(np.int8)
+    raw[:, : mixing.TABLES] *= rng.random((len(raw), mixing.TABLES)) < 0.7
+    raw[:, 6], raw[:, 7] = rng.integers(0, 2, len(raw)), 0
+    keys, counts = mixing._levelled(*mixing._sums(raw.view(np.uint64).ravel(), rng.integers(1, 9, len(raw))))
+    weights, k = mixing.first_weights() + rng.random((mixing.INPUTS, mixing.GATES)) / 10, 3
+    want, level = np.zeros((mixing.GATES // 8, mixing.INPUTS, mixing.INPUTS + 1)), []
+    for row, n in zip(keys.view(np.int8).reshape(-1, 8).tolist(), counts.tolist(), strict=True):
+        g = sum(v != 0 for v in row[:5]) * 2 + (row[5] != 0)
+        x = np.array([*(v / 10 for v in row[:6]), 0.3])
+        p = 1 / (1 + math.exp(-max(-mixing.FAR, min(mixing.FAR, weights[:, g * 8 + k] @ x))))
+        want[g] += n * np.outer(x, np.concatenate([[row[6] - p], p * (1 - p) * x]))
+        level.append(g)
+    assert level == sorted(level) and len(set(level)) == mixing.GATES // 8
+    assert np.allclose(mixing.slopes(k, keys, counts, weights), want, rtol=1e-9, atol=1e-9)
+    assert mixing.followed(k, keys, counts, weights).sum(axis=(0, 2)).tolist() == np.bincount(level, counts).tolist()
+
+
+def test_blocks_keep_their_texts():
+    """What a block stores is the spelling of its texts, their tokens and their runs."""
+    docs = [b"The cat  sat\ton the mat", b"", b"  ", "né à la Mer".encode(), b"x" * 70000, b"the cat " * 500]
+    tokens, _, at, begin, spelled = mixing._tokens(docs, 3)
+    start, keys = mixing._runs_of(at, begin, mixing._hashes(tokens))
+    keys, own = np.unique(keys, return_inverse=True)
+    data, sizes, numbers, first, runs = mixing._unblock(mixing._block(tokens, at, np.diff(np.append(start, len(at))), own))
+    assert data == b"".join(spelled) and [tokens[k] for k in numbers] == [w for d in docs for w in [*d.lower().split(), b""]]
+    assert sizes.tolist() == [len(tokens[k]) + 1 if tokens[k] else 1 for k in numbers]
+    assert np.array_equal(first, start) and np.array_equal(runs, own)
+
+
 def test_share_by_all_words():
     n = 2 * mixing.RATIO_FAR * mixing.RATIO_STEPS + 1
     ratios = np.zeros(n, np.int64)
